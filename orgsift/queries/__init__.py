@@ -1,0 +1,13 @@
+"""The registered queries by family."""
+
+from . import q_pages  # noqa: F401
+from .q_pages import best_link_per_page as flagship  # noqa: F401
+from .registry import QUERIES, SQL
+
+
+def all_queries():
+    return dict(QUERIES)
+
+
+def all_sql():
+    return dict(SQL)

@@ -10,7 +10,7 @@ def local_session(name: str = "orgsift", cores: str = "*", partitions: int = 8)
     return (SparkSession.builder.master(f"local[{cores}]").appName(name)
             .config("spark.sql.shuffle.partitions", str(partitions))
             .config("spark.sql.session.timeZone", "UTC")
-            .config("spark.ui.enabled", "false")
+            .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
             .config("spark.driver.memory", "8g")
             .config("spark.driver.host", "127.0.0.1")
             .config("spark.sql.adaptive.enabled", "true")
