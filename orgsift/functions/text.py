@@ -2,7 +2,7 @@
 
 import re
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 WORD = r"\p{L}\p{N}_"
 
@@ -11,6 +11,17 @@ def as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(df: DataFrame, **columns) -> DataFrame:
+    """Add columns that are computed exactly once per row.
+
+    A filter moves below a projection by copying the expressions it reads, so a text that many
+    conditions look at would be built again for each of them.  It does not move below an explode.
+    """
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once")
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*[F.col(f"`{c}`") for c in kept], made).select(*[F.col(f"`{c}`") for c in kept], "_once.*")
+
+
 def collapse(c) -> Column:
     """Runs of white space become one space; ends are trimmed."""
     return F.trim(F.regexp_replace(as_col(c), r"(?U)\s+", " "))

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import rules
-from ..functions.text import (any_pattern, any_word, as_col, capitalised, count_words, first_label, words)
+from ..functions.text import (any_pattern, any_word, as_col, capitalised, count_words, first_label, once, words)
 from ..functions.url import homepage, host, is_crawlable as _crawlable
 
 # ------------------------------------------------------------------- predicates
@@ -165,9 +165,8 @@ def validate_homepages(pages: DataFrame, indicators=rules.HOMEPAGE_INDICATORS, n
                        title_words=rules.HOMEPAGE_TITLE_WORDS, about=rules.HOMEPAGE_ABOUT,
                        contact=rules.HOMEPAGE_CONTACT) -> DataFrame:
     """Verdict for pages(url, title, description, main_text): organisation or not, type, score, reason."""
-    df = pages.withColumn("_t", F.lower(F.concat_ws(" ", "title", "description", "main_text")))
-    df = df.withColumns({"_non": count_words("_t", non_org), "_host": host("url"),
-                         **{f"_s_{kind}": count_words("_t", listed) for kind, listed in indicators}})
+    df = once(pages, _t=F.lower(F.concat_ws(" ", "title", "description", "main_text")), _host=host("url"))
+    df = once(df, _non=count_words("_t", non_org), **{f"_s_{kind}": count_words("_t", listed) for kind, listed in indicators})
     top = F.greatest(*[F.col(f"_s_{kind}") for kind, _ in indicators])
     kind = F.lit(indicators[-1][0])
     for label, _ in reversed(list(indicators)):
@@ -177,8 +176,7 @@ def validate_homepages(pages: DataFrame, indicators=rules.HOMEPAGE_INDICATORS, n
              + F.when(any_word(F.lower("title"), title_words), 1.0).otherwise(0.0)
              + F.when(any_word("_t", about), 1.0).otherwise(0.0)
              + F.when(any_word("_t", contact), 0.5).otherwise(0.0))
-    df = df.withColumns({"_top": top, "_bonus": bonus,
-                         "_kind": F.when(any_word("_host", academic_host), F.lit("university")).otherwise(kind)})
+    df = once(df, _top=top, _bonus=bonus, _kind=F.when(any_word("_host", academic_host), F.lit("university")).otherwise(kind))
     score = F.col("_top") + F.col("_bonus")
     rejected, is_org = F.col("_non") >= 2, score >= 2.0
     return df.withColumns({

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import rules
 from ..functions.text import (any_pattern, any_word, before_first_separator, collapse, has,
-                              salvage_block, stripped, words)
+                              once, salvage_block, stripped, words)
 from ..functions.url import host, host_label_name, is_http, resolve
 from .classify import is_institution, is_institution_strict, is_valid_name
 from .html import page_text
@@ -62,15 +62,15 @@ def recover_js_links(links: DataFrame) -> DataFrame:
 def external_links(links: DataFrame, internal: bool = False) -> DataFrame:
     """Links with text that lead to another host; internal=True also keeps the own host."""
     kept = links.filter((F.col("href") != "") & (F.col("text") != "") & ~F.lower("href").rlike(_SKIPPED_LINK))
-    kept = kept.withColumn("target", resolve("url", "href"))
+    kept = once(kept, target=resolve("url", "href"))
     return kept if internal else kept.filter(host("target") != host("url"))
 
 
 def simple_company_links(links: DataFrame, blocklist=rules.LINK_BLOCKLIST, internal: bool = False) -> DataFrame:
     """Distinct (name, target, source) links of plausible name length to another host."""
     n = F.length("text")
-    kept = (links.filter((F.col("href") != "") & (n > 3) & (n < 100) & ~F.lower("text").isin(*blocklist))
-            .withColumn("target", resolve("url", "href")).filter(is_http("target")))
+    kept = links.filter((F.col("href") != "") & (n > 3) & (n < 100) & ~F.lower("text").isin(*blocklist))
+    kept = once(kept, target=resolve("url", "href")).filter(is_http("target"))
     if not internal:
         kept = kept.filter(host("target") != host("url"))
     return kept.groupBy(F.col("text").alias("name"), "target").agg(F.min_by("url", F.struct("page_id", "no")).alias("source"))
@@ -214,8 +214,7 @@ def is_institution_host(url, parts=rules.INSTITUTION_HOST_PARTS, host_words=rule
 def host_named_orgs(links: DataFrame, parts=rules.INSTITUTION_HOST_PARTS, host_words=rules.INSTITUTION_HOST_WORDS,
                     text_test=is_institution) -> DataFrame:
     """Names for links to institution hosts: from the text (0.85) and from the host (0.7)."""
-    wanted = links.withColumn("target", resolve("url", "href")).filter(
-        is_institution_host("target", parts, host_words))
+    wanted = once(links, target=resolve("url", "href")).filter(is_institution_host("target", parts, host_words))
     by_text = F.struct(F.col("text").alias("name"), F.lit(0.85).alias("confidence"), F.lit("link_analysis").alias("method"))
     by_host = F.struct(host_label_name("target").alias("name"), F.lit(0.7).alias("confidence"), F.lit("url_analysis").alias("method"))
     both = F.array(F.when(text_test("text") & (F.col("text") != ""), by_text), F.when(host_label_name("target") != "", by_host))
@@ -260,15 +259,15 @@ def clean_name(df: DataFrame, source: str, target: str) -> DataFrame:
     name = raw
     for p in rules.NAME_RANK_PREFIXES:
         name = F.regexp_replace(name, p, "")
-    df = df.withColumn("_c", before_first_separator(name, rules.NAME_SEPARATORS))
+    df = once(df, _c=before_first_separator(name, rules.NAME_SEPARATORS))
     tail = F.col("_c")
     for p in rules.NAME_TAILS:
         tail = F.regexp_replace(tail, "(?iu)" + p, "")
-    df = df.withColumn("_c", F.array_join(F.transform(words(tail), _spell_out), " "))
+    df = once(df, _c=F.array_join(F.transform(words(tail), _spell_out), " "))
     n = F.length("_c")
     ok = (~any_pattern(F.lower(raw), rules.NAME_REJECTS) & (n >= 3) & (n <= 150)
           & any_word(F.lower("_c"), rules.STRONG_INDICATORS))
-    return df.withColumn(target, F.when(ok, F.col("_c")).otherwise(F.lit(""))).drop("_c")
+    return once(df, **{target: F.when(ok, F.col("_c")).otherwise(F.lit(""))}).drop("_c")
 
 
 # ------------------------------------------------------------- hits with offsets
@@ -449,14 +448,15 @@ def entity_guided_orgs(elements: DataFrame, entities: DataFrame) -> DataFrame:
                                                   lambda e: F.coalesce(e["text"], F.lit(""))), " "))
     links = F.transform(F.filter("elements", lambda e: _is_link(e) & (e["href"] != "") & ~F.startswith(e["href"], F.lit("javascript:"))),
                         lambda e: F.struct(e["href"].alias("href"), F.lower(e["text"]).alias("text")))
-    rows = joined.select("page_id", "url", page_words.alias("_page"), links.alias("_links"), F.explode("_ents").alias("_x"))
+    shown = joined.withColumns({"_page": page_words, "_links": links}).drop("elements")
+    rows = shown.withColumn("_x", F.explode("_ents"))
     hit = F.get(F.filter("_links", lambda a: F.contains(a["text"], F.lower(F.trim("_x.entity")))), F.lit(0))["href"]
     rows = rows.withColumns({"kind": F.col("_x.kind"), "_name": F.trim("_x.entity"), "_href": hit})
     target = F.when(F.col("_href").isNotNull(), resolve("url", "_href"))
     kind = F.col("kind")
     keep = ((kind == "university") & is_http("_target") | (kind == "scholarship")
             | (kind == "program") & F.contains("_page", F.lower("_name")))
-    return (rows.withColumn("_target", target).filter(F.coalesce(keep, F.lit(False))).select(
+    return (once(rows, _target=target).filter(F.coalesce(keep, F.lit(False))).select(
         "page_id", F.col("url").alias("source_url"), kind.alias("org_type"),
         F.when(kind == "university", F.col("_name")).otherwise(F.concat(F.initcap("kind"), F.lit(": "), F.col("_name"))).alias("name"),
         F.when(kind == "program", F.col("url")).otherwise(F.coalesce("_target", "url")).alias("target"),

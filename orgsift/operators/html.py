@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import as_col, collapse, cut_words
+from ..functions.text import as_col, collapse, cut_words, once
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NO_TEXT = frozenset("html head body".split())
@@ -143,7 +143,7 @@ def main_text(pages: DataFrame, max_chars: int = None, tags=STRIPPED_TAGS_AND_HE
     text = collapse(without_tags(area))
     if max_chars:
         text = F.left(text, F.lit(max_chars))
-    return pages.withColumn("_kept", kept).withColumn("main_text", text).drop("_kept", "html")
+    return once(once(pages, _kept=kept).drop("html"), main_text=text).drop("_kept")
 
 
 def title_of(c) -> Column:
@@ -175,10 +175,9 @@ def page_meta(pages: DataFrame) -> DataFrame:
 def flat_links(pages: DataFrame) -> DataFrame:
     """(page_id, url, no, href, text) for every <a href=..> without the element array."""
     tag = F.lit(r"(?is)(<a\b[^>]*>.*?</a>)")
-    return (pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", tag, F.lit(1))).alias("no", "_a"))
-            .select("page_id", "url", "no",
-                    F.trim(unescape(F.regexp_extract("_a", r"(?is)^<a\b[^>]*?\shref\s*=\s*[\"']([^\"']*)[\"']", 1))).alias("href"),
-                    collapse(without_tags("_a")).alias("text")))
+    rows = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", tag, F.lit(1))).alias("no", "_a"))
+    return once(rows, href=F.trim(unescape(F.regexp_extract("_a", r"(?is)^<a\b[^>]*?\shref\s*=\s*[\"']([^\"']*)[\"']", 1))),
+                text=collapse(without_tags("_a"))).drop("_a")
 
 
 def tag_counts(pages: DataFrame) -> DataFrame:

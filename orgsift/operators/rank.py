@@ -4,7 +4,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import rules
-from ..functions.text import any_word, as_col, count_words, key_core, words
+from ..functions.text import any_word, as_col, count_words, key_core, once, words
 from ..functions.url import host
 from .ordering import spread_row_number
 
@@ -87,19 +87,16 @@ def rank_components(results: DataFrame, contexts: DataFrame, as_of: str, entity_
     if entity_scores is not None:
         df = df.join(entity_scores.select("query_id", "url", F.col("relevance").alias("ner_relevance")), ["query_id", "url"], "left")
         df = df.withColumn("ner_relevance", F.coalesce("ner_relevance", F.lit(0.0)))
-    df = df.withColumns({"_raw": F.concat_ws(" ", "title", "abstract"), "_url": F.lower("url")})
-    df = df.withColumn("_text", F.lower("_raw"))
+    raw = F.concat_ws(" ", "title", "abstract")
+    df = once(df, _raw=raw, _text=F.lower(raw), _url=F.lower("url"))
     text, url, title = F.col("_text"), F.col("_url"), F.lower("title")
     six = lambda c: F.round(c, 6)
-    df = df.withColumns({
-        "semantic_alignment": six(_semantic(text, fields)),
-        "authority": six(_authority(url, title, suffixes, url_patterns, title_words)),
-        "geographic_relevance": six(_geographic(F.concat_ws(" ", url, text), F.col("url"), codes))})
-    df = df.withColumns({
-        "level_appropriateness": six(_level(text, rules.RANK_LEVEL_WORDS)),
-        "temporal_relevance": six(_temporal(text, int(as_of[:4]))),
-        "comprehensiveness": six(_comprehensive(F.col("_raw"))),
-        "profile_alignment": six(_profile(text))})
+    df = once(df, semantic_alignment=six(_semantic(text, fields)),
+              authority=six(_authority(url, title, suffixes, url_patterns, title_words)),
+              geographic_relevance=six(_geographic(F.concat_ws(" ", url, text), F.col("url"), codes)))
+    df = once(df, level_appropriateness=six(_level(text, rules.RANK_LEVEL_WORDS)),
+              temporal_relevance=six(_temporal(text, int(as_of[:4]))),
+              comprehensiveness=six(_comprehensive(F.col("_raw"))), profile_alignment=six(_profile(text)))
     present = [(n, w) for n, w in rules.RELEVANCE_WEIGHTS if n != "ner_relevance" or entity_scores is not None]
     overall, strong = F.lit(0.0), F.lit(0)
     for n, w in present:
@@ -137,7 +134,7 @@ def priority_score(ranked: DataFrame, boosts=rules.PRIORITY_TYPE_BOOSTS, levels=
     for label, listed in profiles.items():
         profile = F.when((F.col("user_profile") == label) & any_word(text, listed), 0.1).otherwise(profile)
     score = F.col("overall") + kind + F.least(level, F.lit(0.2)) + F.when(place, 0.15).otherwise(0.0) + profile
-    return ranked.withColumn("priority", F.round(F.least(score, F.lit(1.0)), 6))
+    return once(ranked, priority=F.round(F.least(score, F.lit(1.0)), 6))
 
 
 # ------------------------------------------------------------------ entity overlap

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import rules
-from ..functions.text import (any_pattern, any_word, as_col, capital_ratio, capitalised, count_words, has, words)
+from ..functions.text import (any_pattern, any_word, as_col, capital_ratio, capitalised, count_words, has, once, words)
 from .classify import is_institution, is_institution_link
 
 
@@ -38,7 +38,7 @@ def dynamic_confidence(df: DataFrame, name: str, url: str, description: str = No
                        academic_parts=(".edu", ".ac.", ".university"), out: str = "confidence") -> DataFrame:
     """Confidence from the factors of the query intent (domain_focus, geographic_focus, search_intent)."""
     parts = [F.lower(F.col(name)), F.lower(F.col(url)), F.lower(F.col(description)) if description else F.lit("")]
-    df = df.withColumn("_text", F.concat_ws(" ", *parts))
+    df = once(df, _text=F.concat_ws(" ", *parts))
     focus, intent = F.col("domain_focus"), F.col("search_intent")
     score = (F.lit(0.5)
              + F.when(_in_focus(focus, domains, lambda w: any_word("_text", w)), _factor(intent, 0)).otherwise(0.0)
@@ -47,7 +47,7 @@ def dynamic_confidence(df: DataFrame, name: str, url: str, description: str = No
              + F.when(_in_focus(focus, includes, lambda p: any_pattern(F.lower(F.col(name)), p)), _factor(intent, 2)).otherwise(0.0))
     if tagged is not None:
         score = score + _points(tagged, 0.2)
-    return df.withColumn(out, _cap(score)).drop("_text")
+    return once(df, **{out: _cap(score)}).drop("_text")
 
 
 def static_confidence(name, tagged: Column = None, institution=rules.INSTITUTION_WORDS, research=rules.RESEARCH_WORDS) -> Column:
@@ -66,15 +66,14 @@ def academic_confidence(df: DataFrame, name: str, url: str, out: str = "confiden
     if not compat:
         rejects = tuple(r + r"\b" if r.startswith("^(") and r.endswith(")") else r for r in rejects)
     n, low = F.col(name), F.lower(F.trim(F.col(name)))
-    df = df.withColumns({"_host_ok": any_pattern(F.lower(F.col(url)), hosts, flags=""),
-                         "_rejected": any_pattern(low, rejects)})
+    df = once(df, _host_ok=any_pattern(F.lower(F.col(url)), hosts, flags=""), _rejected=any_pattern(low, rejects))
     base = (F.when(any_pattern(n, shapes, flags=""), 0.6)
             .when(any_word(low, keywords) & ~any_word(low, ("best", "top", "list", "guide")), 0.3).otherwise(0.0)
             + _points(F.col("_host_ok"), 0.4)
             + _points((F.size(words(n)) >= 2) & (capitalised(n, 3) >= 2), 0.2))
     reads_like_text = ((F.length(n) > 100) | (F.size(F.split(n, ",")) > 3) | has(n, ":") | has(n, " - ")
                        | F.endswith(n, F.lit("?")) | low.rlike("^(how|what|why|when|where) "))
-    df = df.withColumn("_base", F.round(base, 6))
+    df = once(df, _base=F.round(base, 6))
     good = ~F.col("_rejected") & (F.col("_base") >= 0.5) & ~reads_like_text
     score = F.when(good, F.least(F.col("_base") + _points(F.col("_host_ok"), 0.1), F.lit(1.0))).otherwise(0.0)
     return df.withColumn(out, F.round(score, 6)).drop("_host_ok", "_rejected", "_base")
@@ -197,7 +196,7 @@ def score_sources(results: DataFrame, tiers=rules.SOURCE_TIERS, listings=rules.S
                   keywords=rules.SOURCE_KEYWORDS, path_words=rules.SOURCE_PATH_WORDS, list_words=rules.SOURCE_LIST_WORDS) -> DataFrame:
     """score and source_type of results(url, title, abstract): host tier + content + URL words."""
     url = F.lower("url")
-    df = results.withColumn("_text", F.lower(F.concat_ws(" ", "title", "abstract")))
+    df = once(results, _text=F.lower(F.concat_ws(" ", "title", "abstract")))
     listed, listed_type = F.lit(0.0), F.lit("general")
     for label, value, parts in listings:
         hit = any_word(url, parts)
@@ -214,7 +213,7 @@ def score_sources(results: DataFrame, tiers=rules.SOURCE_TIERS, listings=rules.S
         content_type = F.when(hit, F.lit(label)).otherwise(content_type)
     content_score = content_score + F.least(count_words("_text", keywords) * 0.1, F.lit(0.3))
     url_score = F.least(count_words(url, path_words) * 0.1 + count_words(url, list_words) * 0.05, F.lit(0.5))
-    return (df.withColumns({"_h": host_score, "_ht": host_type, "_c": content_score, "_ct": content_type, "_u": url_score})
+    return (once(df, _h=host_score, _ht=host_type, _c=content_score, _ct=content_type, _u=url_score)
             .withColumns({"score": F.round(F.col("_h") + F.col("_c") + F.col("_u"), 6),
                           "source_type": F.when(F.col("_ct") != "general", F.col("_ct")).otherwise(F.col("_ht"))})
             .drop("_text", "_h", "_ht", "_c", "_ct", "_u"))

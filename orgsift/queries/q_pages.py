@@ -128,13 +128,13 @@ def _(spark, sf):
     return X.list_candidates(H.page_elements(catalog_pages(spark, sf))).select("page_id", "name", "target")
 
 
-@query("x9_selector_links", f"""WITH {CATALOG_SQL} SELECT page_id, name, target, round(0.6 + 0.2 + 0.2, 6) AS quality FROM ({_ITEM_SQL}) WHERE size % 5 <> 0""")
+@query("x9_selector_links", f"""WITH {CATALOG_SQL} SELECT page_id, name, target, 1.0::DOUBLE AS quality FROM ({_ITEM_SQL}) WHERE size % 5 <> 0""")
 def _(spark, sf):
     return X.selector_candidates(H.page_elements(catalog_pages(spark, sf))).select("page_id", "name", "target", "quality")
 
 
 @query("x10_headings", f"""WITH {CATALOG_SQL} SELECT page_id, name || ' College' AS name, 'https://catalog' || page_id || '.example.com/list/index.html?col=' || k AS target,
-  round(0.4 + 3 * 0.1, 6) AS quality FROM parts""")
+  0.7::DOUBLE AS quality FROM parts""")
 def _(spark, sf):
     return X.heading_candidates(H.page_elements(catalog_pages(spark, sf))).select("page_id", "name", "target", "quality")
 
@@ -157,7 +157,7 @@ def _(spark, sf):
 
 @query("x21_entity_guided", f"""WITH {CATALOG_SQL}, ents AS (SELECT DISTINCT page_id, url, name FROM parts)
   SELECT page_id, name AS name, 'university' AS org_type, 'https://catalog' || page_id || '.example.com/part/' || first_k AS target, 0.9::DOUBLE AS confidence
-    FROM (SELECT page_id, url, name, min(k) AS first_k FROM parts GROUP BY 1, 2, 3)
+    FROM (SELECT e.page_id, e.name, min(p.k) AS first_k FROM ents e JOIN parts p ON p.page_id = e.page_id AND contains(lower(p.name), lower(e.name)) GROUP BY 1, 2)
   UNION ALL SELECT page_id, 'Program: ' || name || ' School', 'program', url, 0.7 FROM ents
   UNION ALL SELECT page_id, 'Scholarship: ' || name || ' Grant', 'scholarship', url, 0.8 FROM ents""")
 def _(spark, sf):

@@ -9,7 +9,12 @@ def query(name: str, sql: str = None):
     def add(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = lambda spark, sf: plain(fn(spark, sf))
+
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return plain(fn(spark, sf))
+
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = sql
         return fn
@@ -17,7 +22,10 @@ def query(name: str, sql: str = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; its wall-clock times are read as UTC instants."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    times = {f.name: F.col(f.name).cast("timestamp") for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)}
+    return df.withColumns(times) if times else df
 
 
 def plain(df: DataFrame) -> DataFrame:
