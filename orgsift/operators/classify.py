@@ -45,9 +45,8 @@ def is_spam(c, patterns=rules.NAME_SPAM) -> Column:
     w = words(low)
     n = F.size(w)
     # a word that fills more than half of a sorted list sits in its middle
-    ordered = F.array_sort(w)
-    middle = F.get(ordered, F.floor(n / 2).cast("int"))
-    most = F.size(F.filter(ordered, lambda x: x == middle))
+    middle = F.get(F.sort_array(w), F.floor(n / 2).cast("int"))
+    most = n - F.size(F.array_remove(w, middle))
     return (c.isNull() | (c == "") | any_pattern(low, patterns, flags="")
             | ((n > 1) & (most > F.floor(n / 2))))
 

@@ -1,5 +1,7 @@
 """Candidates from pages and texts: links, lists, tables, headings, structured data, names, entities."""
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import rules
@@ -259,54 +261,75 @@ def clean_name(df: DataFrame, source: str, target: str) -> DataFrame:
     name = raw
     for p in rules.NAME_RANK_PREFIXES:
         name = F.regexp_replace(name, p, "")
-    df = once(df, _c=before_first_separator(name, rules.NAME_SEPARATORS))
+    df = once(once(df, _c=name, _raw=F.lower(raw)), _c=before_first_separator("_c", rules.NAME_SEPARATORS))
     tail = F.col("_c")
     for p in rules.NAME_TAILS:
         tail = F.regexp_replace(tail, "(?iu)" + p, "")
     df = once(df, _c=F.array_join(F.transform(words(tail), _spell_out), " "))
     n = F.length("_c")
-    ok = (~any_pattern(F.lower(raw), rules.NAME_REJECTS) & (n >= 3) & (n <= 150)
+    ok = (~any_pattern("_raw", rules.NAME_REJECTS) & (n >= 3) & (n <= 150)
           & any_word(F.lower("_c"), rules.STRONG_INDICATORS))
-    return once(df, **{target: F.when(ok, F.col("_c")).otherwise(F.lit(""))}).drop("_c")
+    return once(df, **{target: F.when(ok, F.col("_c")).otherwise(F.lit(""))}).drop("_c", "_raw")
 
 
 # ------------------------------------------------------------- hits with offsets
 
 
-def pattern_hits(docs: DataFrame, key: str, text: str, pattern: str, group: int = 0) -> DataFrame:
-    """(key, hit_no, start, hit, group text) for every match, offsets counted from 0.
+def _plain_groups(patterns):
+    """Capturing groups become plain ones, so patterns can be joined and their hits counted."""
+    return [re.sub(r"(?<!\\)\((?!\?)", "(?:", p) for p in patterns]
 
-    Offsets are the running length of the gaps and hits before a match, so only short
-    pieces, never the text, go to the window of a document.
-    """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    named = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
-    rows = (docs.select(key, F.posexplode(F.arrays_zip(hits.alias("hit"), named.alias("part"),
-                                                       F.transform(F.slice(gaps, F.lit(1), F.greatest(F.size(hits), F.lit(1))), F.length).alias("gap"))).alias("hit_no", "_x"))
-            .select(key, "hit_no", "_x.hit", "_x.part", "_x.gap").filter("hit is not null"))
-    so_far = W.partitionBy(key).orderBy("hit_no").rowsBetween(W.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.col("gap") + F.length("hit")).over(so_far), F.lit(0))
-    return rows.select(key, "hit_no", (before + F.col("gap")).cast("long").alias("start_pos"), "hit", "part")
 
+def _beside(pieces: str, first: str, pad: int, left: bool) -> str:
+    """Up to `pad` characters of the joined pieces next to a hit; a few pieces nearly always do."""
+    def cut(k):
+        if left:
+            return f"right(array_join(slice({pieces}, greatest({first} - {k}, 1), least({first}, {k + 1})), ''), {pad})"
+        return f"left(array_join(slice({pieces}, {first}, {k + 1}), ''), {pad})"
+    return f"CASE WHEN length({cut(8)}) >= {pad} THEN {cut(8)} ELSE {cut(2 * pad)} END"
 
-def match_contexts(docs: DataFrame, key: str, text: str, patterns, pad: int, flags: str = "iu") -> DataFrame:
-    """Every hit with up to `pad` characters on both sides; neighbours may overlap.
 
-    The sides are looked at without being consumed: one scan, nothing quadratic, no offsets.
+def _scan(docs: DataFrame, key: str, text: str, scans, pad: int = 0) -> DataFrame:
+    """Hits of scans (labels, pattern, group): key, labels, hit_no, hit, part, gap and, with pad, before and after.
+
+    Every text meets the fixed list of patterns inside its row.  It is cut into the gaps between
+    hits and the hits; what stands beside a hit is joined from its neighbouring pieces, so hits
+    may be close and nothing is quadratic.  Texts without a hit are scanned once and not cut.
     """
-    joined = "|".join(f"(?:{p})" for p in _plain_groups(patterns))
-    look = rf"(?s{flags})(?<=(\A.{{0,{pad - 1}}}|.{{{pad}}}))({joined})(?=(.{{0,{pad}}}))"
-    three = [F.regexp_extract_all(text, F.lit(look), F.lit(i)) for i in (1, 2, 3)]
-    return (docs.select(key, F.posexplode(F.arrays_zip(*[c.alias(n) for c, n in zip(three, ("before", "hit", "after"))])).alias("hit_no", "_x"))
-            .select(key, "hit_no", "_x.before", "_x.hit", "_x.after")
-            .withColumn("context", F.concat("before", "hit", "after")))
+    listed = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in labels.items()], F.lit(p).alias("_pat"), F.lit(g).alias("_grp"))
+                       for labels, p, g in scans])
+    df = docs.select(key, F.col(text).alias("_text"), F.inline(listed))
+    df = once(df, _h=F.expr("regexp_extract_all(_text, _pat, 0)")).filter("size(_h) > 0")
+    df = once(df, _g=F.expr("split(_text, _pat, -1)"),
+              _n=F.expr("CASE WHEN _grp > 0 THEN regexp_extract_all(_text, _pat, _grp) ELSE _h END")).drop("_text", "_pat", "_grp")
+    fields = ["no AS hit_no", "h AS hit", "get(_n, no) AS part", "length(get(_g, no)) AS gap"]
+    if pad:
+        df = once(df, _p=F.expr("concat(flatten(zip_with(slice(_g, 1, size(_h)), _h, (g, h) -> array(g, h))), slice(_g, size(_h) + 1, 1))"))
+        fields += [f"CASE WHEN length(get(_g, no)) >= {pad} THEN right(get(_g, no), {pad}) ELSE {_beside('_p', '(no * 2 + 1)', pad, True)} END AS before",
+                   f"CASE WHEN length(get(_g, no + 1)) >= {pad} THEN left(get(_g, no + 1), {pad}) ELSE {_beside('_p', '(no * 2 + 3)', pad, False)} END AS after"]
+    labels = list(scans[0][0])
+    return df.select(key, *labels, F.expr(f"inline(transform(_h, (h, no) -> struct({', '.join(fields)})))"))
+
+
+def _with_offsets(hits: DataFrame, keys) -> DataFrame:
+    """start_pos and end_pos, counted from 0: the running length of the gaps and hits before.
+
+    Only short pieces, never the text, reach the window of a document."""
+    so_far = W.partitionBy(*keys).orderBy("hit_no").rowsBetween(W.unboundedPreceding, -1)
+    start = (F.coalesce(F.sum(F.col("gap") + F.length("hit")).over(so_far), F.lit(0)) + F.col("gap")).cast("long")
+    return hits.withColumn("start_pos", start).withColumn("end_pos", F.col("start_pos") + F.length("hit"))
 
 
-def _plain_groups(patterns):
-    """Capturing groups become plain ones, so a joined pattern has known group numbers."""
-    import re
-    return [re.sub(r"(?<!\\)\((?!\?)", "(?:", p) for p in patterns]
+def pattern_hits(docs: DataFrame, key: str, text: str, pattern: str, group: int = 0) -> DataFrame:
+    """(key, hit_no, start_pos, hit, group text) for every match."""
+    return _with_offsets(_scan(docs, key, text, [({}, pattern, group)]), [key]).select(key, "hit_no", "start_pos", "hit", "part")
+
+
+def match_contexts(docs: DataFrame, key: str, text: str, patterns, pad: int, flags: str = "iu") -> DataFrame:
+    """Every hit of the joined patterns with up to `pad` characters on both sides; contexts may overlap."""
+    joined = f"(?{flags})" + "|".join(f"(?:{p})" for p in _plain_groups(patterns))
+    rows = _scan(docs, key, text, [({}, joined, 0)], pad)
+    return rows.select(key, "hit_no", "before", "hit", "after", F.concat("before", "hit", "after").alias("context"))
 
 
 def name_from_context(context: str, hit: str) -> Column:
@@ -350,54 +373,33 @@ def typed_entities(contexts: DataFrame, countries=rules.CONTEXT_COUNTRIES, name:
 
 
 def extract_entities(docs: DataFrame, key: str, text: str, patterns=rules.ENTITY_PATTERNS, pad: int = 50) -> DataFrame:
-    """Long rows (key, kind, text, confidence, start, end, context) for every match of every pattern.
+    """Long rows (key, kind, entity, confidence, start, end, context) for every match of every pattern.
 
-    Patterns of a kind may overlap, so each is a scan of its own, and all scans share one read.
+    Patterns of a kind may overlap, so each is a scan of its own; all scans share one read.
     """
     scans = []
-    for kind, confidence, kind_patterns in patterns:
-        for no, p in enumerate(kind_patterns):
+    for kind, confidence, listed in patterns:
+        for no, p in enumerate(listed):
             plain = _plain_groups([p])[0]
-            grouped = kind == "deadline" and plain != p
-            look = rf"(?iu)(?<=(?s:(\A.{{0,{pad - 1}}}|.{{{pad}}})))(?:{p if grouped else '(' + plain + ')'})(?=(?s:(.{{0,{pad}}})))"
-            whole = rf"(?iu){plain}"
-            hits = F.regexp_extract_all(text, F.lit(whole), F.lit(0))
-            shown = F.regexp_extract_all(text, F.lit(look), F.lit(2))
-            left = F.regexp_extract_all(text, F.lit(look), F.lit(1))
-            right = F.regexp_extract_all(text, F.lit(look), F.lit(3))
-            gaps = F.transform(F.split(text, whole, -1), F.length)
-            rows = F.transform(F.arrays_zip(hits.alias("hit"), shown.alias("shown"), left.alias("l"), right.alias("r"),
-                                            F.slice(gaps, F.lit(1), F.greatest(F.size(hits), F.lit(1))).alias("gap")),
-                               lambda x, i: F.struct(F.lit(kind).alias("kind"), F.lit(no).alias("pattern_no"), i.alias("hit_no"),
-                                                     F.lit(confidence).alias("confidence"), x["hit"].alias("hit"),
-                                                     x["shown"].alias("entity"), x["gap"].alias("gap"),
-                                                     F.concat(x["l"], x["hit"], x["r"]).alias("context")))
-            scans.append(F.filter(rows, lambda x: x["hit"].isNotNull()))
-    found = docs.select(key, F.explode(F.concat(*scans)).alias("_e")).select(key, "_e.*")
-    so_far = W.partitionBy(key, "kind", "pattern_no").orderBy("hit_no").rowsBetween(W.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.col("gap") + F.length("hit")).over(so_far), F.lit(0))
-    start = (before + F.col("gap")).cast("long")
-    return found.select(key, "kind", "pattern_no", "hit_no", "entity", "confidence", start.alias("start_pos"),
-                        (start + F.length("hit")).alias("end_pos"), "context")
+            group = 1 if kind == "deadline" and plain != p else 0
+            labels = {"kind": kind, "pattern_no": no, "confidence": float(confidence)}
+            scans.append((labels, "(?iu)" + (p if group else plain), group))
+    rows = _with_offsets(_scan(docs, key, text, scans, pad), [key, "kind", "pattern_no"])
+    return rows.select(key, "kind", "pattern_no", "hit_no", F.col("part").alias("entity"), "confidence", "start_pos", "end_pos",
+                       F.concat("before", "hit", "after").alias("context"))
 
 
 def pattern_names(docs: DataFrame, key: str, text: str, families=rules.NAME_PATTERN_FAMILIES, pad: int = 100,
                   context_words=rules.PATTERN_CONTEXT_WORDS, clean: bool = True) -> DataFrame:
     """Institution names by pattern family, cleaned, checked and scored."""
-    scans = []
-    for family, base, patterns in families:
-        for p in _plain_groups(patterns):
-            look = rf"(?iu)(?<=(?s:(\A.{{0,{pad - 1}}}|.{{{pad}}})))({p})(?=(?s:(.{{0,{pad}}})))"
-            l, h, r = [F.regexp_extract_all(text, F.lit(look), F.lit(i)) for i in (1, 2, 3)]
-            scans.append(F.transform(F.arrays_zip(l.alias("l"), h.alias("h"), r.alias("r")), lambda x: F.struct(
-                F.lit(family).alias("family"), F.lit(base).alias("base"), x["h"].alias("found"),
-                F.concat(x["l"], x["h"], x["r"]).alias("context"))))
-    rows = docs.select(key, F.explode(F.concat(*scans)).alias("_e")).select(key, "_e.*")
-    rows = clean_name(rows, "found", "name") if clean else rows.withColumn("name", F.col("found"))
+    scans = [({"family": family, "base": float(base)}, "(?iu)" + p, 0)
+             for family, base, listed in families for p in _plain_groups(listed)]
+    rows = _scan(docs, key, text, scans, pad).withColumn("context", F.concat("before", "hit", "after"))
+    rows = clean_name(rows, "hit", "name") if clean else rows.withColumn("name", F.col("hit"))
     return (rows.filter(is_valid_name("name"))
-            .withColumn("confidence", pattern_confidence("base", "found", "context", context_words))
+            .withColumn("confidence", pattern_confidence("base", "hit", "context", context_words))
             .withColumn("method", F.concat(F.lit("pattern_"), F.col("family")))
-            .drop("base", "context"))
+            .select(key, "family", "name", "hit", "confidence", "method"))
 
 
 def gazetteer_entities(docs: DataFrame, key: str, text: str, gazetteer: DataFrame, max_n: int = 3) -> DataFrame:

@@ -31,14 +31,14 @@ def catalog_pages(spark, sf) -> DataFrame:
     """HTML pages with a table, a list, cards, microdata, script links and JSON-LD for 20 parts each."""
     k = F.col("k").cast("string")
     piece = {
-        "row": F.concat(F.lit('<tr><td><a href="/part/'), k, F.lit('">'), "name", F.lit(" University</a></td><td>"), "brand", F.lit("</td></tr>")),
-        "item": F.when(F.col("size") % 5 == 0, F.concat(F.lit('<li><a href="https://c'), k, F.lit('.example.com/"></a>'), "name", F.lit(" College</li>")))
-        .otherwise(F.concat(F.lit('<li><a href="https://u'), k, F.lit('.example.edu/university/">'), "name", F.lit(" University</a> in town</li>"))),
-        "card": F.concat(F.lit('<div class="university-card"><strong>'), "name", F.lit(' Institute of Technology</strong><a href="../inst/'), k, F.lit('">go</a></div>')),
+        "row": F.concat(F.lit('<tr><td><a href="/part/'), k, F.lit('">'), "name", F.lit(" University</a></td><td>"), "brand", F.lit(".</td></tr>")),
+        "item": F.when(F.col("size") % 5 == 0, F.concat(F.lit('<li><a href="https://c'), k, F.lit('.example.com/"></a>'), "name", F.lit(" College</li>.")))
+        .otherwise(F.concat(F.lit('<li><a href="https://u'), k, F.lit('.example.edu/university/">'), "name", F.lit(" University</a> in town</li>."))),
+        "card": F.concat(F.lit('<div class="university-card"><strong>'), "name", F.lit(' Institute of Technology</strong><a href="../inst/'), k, F.lit('">go</a></div>.')),
         "micro": F.concat(F.lit('<div itemscope itemtype="https://schema.org/CollegeOrUniversity"><span itemprop="name">'), "name",
-                          F.lit(' Academy</span><a itemprop="url" href="https://a'), k, F.lit('.example.org/">site</a></div>')),
-        "js": F.concat(F.lit('<p><a href="javascript:void(0)" data-url="/js/'), k, F.lit('">'), "name", F.lit(" School</a></p>")),
-        "head": F.concat(F.lit("<h3>"), "name", F.lit(' College</h3><p>see <a href="?col='), k, F.lit('">more research</a></p>')),
+                          F.lit(' Academy</span><a itemprop="url" href="https://a'), k, F.lit('.example.org/">site</a></div>.')),
+        "js": F.concat(F.lit('<p><a href="javascript:void(0)" data-url="/js/'), k, F.lit('">'), "name", F.lit(" School</a></p>.")),
+        "head": F.concat(F.lit("<h3>"), "name", F.lit(' College</h3><p>see <a href="?col='), k, F.lit('">more research</a></p>.')),
         "ld": F.concat(F.lit('{"@type":"CollegeOrUniversity","name":"'), "name", F.lit(' Polytechnic University",'),
                        F.when(F.col("size") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit('"url":"https://p'), k, F.lit('.example.edu",'))),
                        F.lit('"description":"d'), k, F.lit('"}')),

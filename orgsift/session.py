@@ -13,6 +13,7 @@ def local_session(name: str = "orgsift", cores: str = "*", partitions: int = 8)
             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
             .config("spark.driver.memory", "8g")
             .config("spark.driver.host", "127.0.0.1")
+            .config("spark.python.sql.dataFrameDebugging.enabled", "false")
             .config("spark.sql.adaptive.enabled", "true")
             .config("spark.sql.adaptive.skewJoin.enabled", "true")
             .getOrCreate())
