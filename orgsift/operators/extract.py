@@ -412,13 +412,13 @@ def gazetteer_entities(docs: DataFrame, key: str, text: str, gazetteer: DataFram
     cut = docs.select(key, tokens.alias("_t"))
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_n)), lambda n: F.filter(
         F.transform("_t", lambda _, i: F.struct(
-            i.alias("at"), n.alias("n"),
+            i.alias("word_no"), n.alias("n"),
             F.when(i + n <= F.size("_t"), F.array_join(F.slice("_t", i + 1, n), " ")).alias("phrase"))),
         lambda s: s["phrase"].isNotNull())))
     grams = cut.select(key, F.explode(spans).alias("_s")).select(key, "_s.*")
     hits = grams.join(gazetteer, "phrase")
-    longest = hits.groupBy(key, "at").agg(F.max("n").alias("n"))
-    return hits.join(longest, [key, "at", "n"]).select(key, "at", "n", "phrase", "label")
+    longest = hits.groupBy(key, "word_no").agg(F.max("n").alias("n"))
+    return hits.join(longest, [key, "word_no", "n"]).select(key, "word_no", "n", "phrase", "label")
 
 
 def split_organisations(entities: DataFrame, indicators=rules.ENTITY_INDICATORS) -> DataFrame:

@@ -41,7 +41,11 @@ def tag_queries(queries: DataFrame, query: str = "query", lexicon: dict = rules.
 def long_tags(tagged: DataFrame, key: str) -> DataFrame:
     """(key, tag_set, tag) rows of the tag arrays."""
     sets = ("levels", "fields", "modes", "countries", "regions", "languages")
-    pairs = F.concat(*[F.transform(c, lambda t, c=c: F.struct(F.lit(c).alias("tag_set"), t.alias("tag"))) for c in sets])
+
+    def labelled(name):
+        return F.transform(name, lambda t: F.struct(F.lit(name).alias("tag_set"), t.alias("tag")))
+
+    pairs = F.concat(*[labelled(name) for name in sets])
     return tagged.select(key, F.explode(pairs).alias("_t")).select(key, "_t.*")
 
 

@@ -104,7 +104,7 @@ def rank_components(results: DataFrame, contexts: DataFrame, as_of: str, entity_
         strong = strong + (F.col(n) > 0.6).cast("int")
     notes = [F.when(F.col(n) > limit, F.format_string(label + " (%.2f)", n)) for n, limit, label in rules.RELEVANCE_NOTES
              if n in [p for p, _ in present]]
-    return df.withColumns({"overall": six(overall), "confidence": six(strong / float(len(present))),
+    return df.withColumns({"overall": F.round(overall, 8), "confidence": six(strong / float(len(present))),
                            "notes": F.array_compact(F.array(*notes))}).drop("_raw", "_url", "_text")
 
 
@@ -134,7 +134,7 @@ def priority_score(ranked: DataFrame, boosts=rules.PRIORITY_TYPE_BOOSTS, levels=
     for label, listed in profiles.items():
         profile = F.when((F.col("user_profile") == label) & any_word(text, listed), 0.1).otherwise(profile)
     score = F.col("overall") + kind + F.least(level, F.lit(0.2)) + F.when(place, 0.15).otherwise(0.0) + profile
-    return once(ranked, priority=F.round(F.least(score, F.lit(1.0)), 6))
+    return once(ranked, priority=F.round(F.least(score, F.lit(1.0)), 8))
 
 
 # ------------------------------------------------------------------ entity overlap

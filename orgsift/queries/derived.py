@@ -137,20 +137,29 @@ _TEMPLATES = (
 )
 
 
+_NATIONS = ("germany", "united states", "canada", "japan", "norway", "france", "south korea", "netherlands", "brazil", "australia")
+
+
+def countries(spark, sf) -> DataFrame:
+    """A country for every given nation."""
+    n = table(spark, sf, "nation")
+    return n.select("n_nationkey", _pick(F.col("n_nationkey") % len(_NATIONS), _NATIONS).alias("country"))
+
+
 def search_queries(spark, sf) -> DataFrame:
-    """One search query per customer, about the customer's nation."""
-    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    """One search query per customer, about the country of its nation."""
+    c = table(spark, sf, "customer").join(countries(spark, sf), F.col("c_nationkey") == F.col("n_nationkey"))
     n = len(_TEMPLATES)
     head = _pick(F.col("c_custkey") % n, [a for a, _ in _TEMPLATES])
     tail = _pick(F.col("c_custkey") % n, [b for _, b in _TEMPLATES])
-    return c.select(F.col("c_custkey").alias("query_id"), F.concat(head, F.lower("n_name"), tail).alias("query"),
-                    F.lower("n_name").alias("nation"))
+    return c.select(F.col("c_custkey").alias("query_id"), F.concat(head, "country", tail).alias("query"), F.col("country").alias("nation"))
 
 
-QUERIES_SQL = f"""search_queries AS (SELECT c_custkey AS query_id,
-  {_case(f'c_custkey % {len(_TEMPLATES)}', [a for a, _ in _TEMPLATES])} || lower(n_name) ||
-  {_case(f'c_custkey % {len(_TEMPLATES)}', [b for _, b in _TEMPLATES])} AS query, lower(n_name) AS nation
-  FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+QUERIES_SQL = f"""countries AS (SELECT n_nationkey, {_case(f'n_nationkey % {len(_NATIONS)}', _NATIONS)} AS country FROM nation),
+search_queries AS (SELECT c_custkey AS query_id,
+  {_case(f'c_custkey % {len(_TEMPLATES)}', [a for a, _ in _TEMPLATES])} || country ||
+  {_case(f'c_custkey % {len(_TEMPLATES)}', [b for _, b in _TEMPLATES])} AS query, country AS nation
+  FROM customer JOIN countries ON c_nationkey = n_nationkey)"""
 
 # ------------------------------------------------------------- names and records
 

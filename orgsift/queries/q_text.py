@@ -9,8 +9,8 @@ from ..operators import intent as Q
 from ..operators import quality as V
 from ..operators import score as S
 from ..plans import jobs as J
-from .derived import AS_OF, CATALOG_SQL, NAMES_SQL, OFFERS_SQL, catalog_pages, catalog_rows, institution_names, offers
-from .registry import (lit, query, s_any, s_cap_words, s_caps, s_collapse, s_count, s_join, s_ladder, s_pattern, s_words, table)
+from .derived import CATALOG_SQL, NAMES_SQL, OFFERS_SQL, QUERIES_SQL, catalog_pages, catalog_rows, countries, institution_names, offers
+from .registry import lit, query, s_any, s_caps, s_count, s_ladder, s_pattern, s_words, table
 
 
 def documents(spark, sf):
@@ -144,24 +144,24 @@ def _(spark, sf):
 
 
 # a gazetteer of nations and part names, tagged in offers and conversations
-_GAZ_SQL = """gaz AS (SELECT lower(n_name) AS phrase, 'GPE' AS label FROM nation UNION SELECT 'merit scholarship', 'MONEY' UNION SELECT 'plain university', 'ORG' UNION SELECT 'university', 'ORG'
+_GAZ_SQL = """gaz AS (SELECT DISTINCT country AS phrase, 'GPE' AS label FROM countries UNION SELECT 'merit scholarship', 'MONEY' UNION SELECT 'plain university', 'ORG' UNION SELECT 'university', 'ORG'
   UNION SELECT 'high college of', 'ORG' UNION SELECT DISTINCT lower(c_mktsegment), 'PERSON' FROM customer)"""
 
 
 def gazetteer(spark, sf):
-    n = table(spark, sf, "nation").select(F.lower("n_name").alias("phrase"), F.lit("GPE").alias("label"))
+    n = countries(spark, sf).select(F.col("country").alias("phrase"), F.lit("GPE").alias("label"))
     fixed = [("merit scholarship", "MONEY"), ("plain university", "ORG"), ("university", "ORG"), ("high college of", "ORG")]
     more = spark.createDataFrame(fixed, "phrase string, label string")
     seg = table(spark, sf, "customer").select(F.lower("c_mktsegment").alias("phrase"), F.lit("PERSON").alias("label"))
     return n.unionByName(more).unionByName(seg).distinct()
 
 
-@query("x19_gazetteer_entities", f"""WITH {OFFERS_SQL}, {_GAZ_SQL}, tok AS (SELECT offer_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS t FROM offers),
-  pos AS (SELECT offer_id, t, unnest(range(len(t))) AS at FROM tok), gram AS (SELECT offer_id, at, n, array_to_string(t[at + 1:at + n], ' ') AS phrase FROM pos, range(1, 4) r(n) WHERE at + n <= len(t)),
+@query("x19_gazetteer_entities", f"""WITH {OFFERS_SQL}, {QUERIES_SQL}, {_GAZ_SQL}, tok AS (SELECT offer_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS t FROM offers),
+  pos AS (SELECT offer_id, t, unnest(range(len(t))) AS word_no FROM tok), gram AS (SELECT offer_id, word_no, n, array_to_string(t[word_no + 1:word_no + n], ' ') AS phrase FROM pos, range(1, 4) r(n) WHERE word_no + n <= len(t)),
   hit AS (SELECT g.*, label FROM gram g JOIN gaz USING (phrase))
-  SELECT offer_id, at::BIGINT AS at, n::BIGINT AS n, phrase, label, CASE WHEN label = 'ORG' AND {s_any('phrase', rules.ENTITY_INDICATORS)} THEN 'university' WHEN label = 'ORG' THEN 'organization'
+  SELECT offer_id, word_no::BIGINT AS word_no, n::BIGINT AS n, phrase, label, CASE WHEN label = 'ORG' AND {s_any('phrase', rules.ENTITY_INDICATORS)} THEN 'university' WHEN label = 'ORG' THEN 'organization'
     WHEN label = 'GPE' THEN 'location' WHEN label = 'PERSON' THEN 'person' WHEN label = 'MONEY' THEN 'amount' ELSE 'deadline' END AS kind
-  FROM hit WHERE n = (SELECT max(n) FROM hit h WHERE h.offer_id = hit.offer_id AND h.at = hit.at)""")
+  FROM hit WHERE n = (SELECT max(n) FROM hit h WHERE h.offer_id = hit.offer_id AND h.word_no = hit.word_no)""")
 def _(spark, sf):
     return X.split_organisations(X.gazetteer_entities(offers(spark, sf), "offer_id", "text", gazetteer(spark, sf)))
 
