@@ -1,6 +1,6 @@
 """The registered queries by family."""
 
-from . import q_dedup, q_pages, q_search, q_text  # noqa: F401
+from . import q_dedup, q_learning, q_pages, q_quality, q_search, q_text  # noqa: F401
 from .q_pages import best_link_per_page as flagship  # noqa: F401
 from .registry import QUERIES, SQL
 
