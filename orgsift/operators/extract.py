@@ -8,6 +8,7 @@ from .. import rules
 from ..functions.text import (any_pattern, any_word, before_first_separator, collapse, has,
                               once, salvage_block, stripped, words)
 from ..functions.url import host, host_label_name, is_http, resolve
+from ..session import broadcast_if_small
 from .classify import is_institution, is_institution_strict, is_valid_name
 from .html import page_text
 from .score import heading_quality, link_quality, list_quality, pattern_confidence, table_quality
@@ -292,14 +293,15 @@ def _beside(pieces: str, first: str, pad: int, left: bool) -> str:
 def _scan(docs: DataFrame, key: str, text: str, scans, pad: int = 0) -> DataFrame:
     """Hits of scans (labels, pattern, group): key, labels, hit_no, hit, part, gap and, with pad, before and after.
 
-    Every text meets the fixed list of patterns inside its row.  It is cut into the gaps between
-    hits and the hits; what stands beside a hit is joined from its neighbouring pieces, so hits
-    may be close and nothing is quadratic.  Texts without a hit are scanned once and not cut.
+    Every text meets the fixed list of patterns inside its row.  Where a pattern hits, the text is
+    cut into the gaps between hits and the hits; what stands beside a hit is joined from its
+    neighbouring pieces, so hits may be close and nothing is quadratic.
     """
-    listed = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in labels.items()], F.lit(p).alias("_pat"), F.lit(g).alias("_grp"))
-                       for labels, p, g in scans])
-    df = docs.select(key, F.col(text).alias("_text"), F.inline(listed))
-    df = once(df, _h=F.expr("regexp_extract_all(_text, _pat, 0)")).filter("size(_h) > 0")
+    tried = F.array(*[F.struct(F.lit(i).alias("_i"), F.regexp_extract_all("_text", F.lit(p), F.lit(0)).alias("_h")) for i, (_, p, _) in enumerate(scans)])
+    known = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in labels.items()], F.lit(p).alias("_pat"), F.lit(g).alias("_grp")) for labels, p, g in scans])
+    df = docs.select(key, F.col(text).alias("_text"))
+    df = df.select(key, "_text", F.inline(F.filter(tried, lambda x: F.size(x["_h"]) > 0)))
+    df = once(df, _k=F.get(known, F.col("_i"))).select(key, "_text", "_h", "_k.*")
     df = once(df, _g=F.expr("split(_text, _pat, -1)"),
               _n=F.expr("CASE WHEN _grp > 0 THEN regexp_extract_all(_text, _pat, _grp) ELSE _h END")).drop("_text", "_pat", "_grp")
     fields = ["no AS hit_no", "h AS hit", "get(_n, no) AS part", "length(get(_g, no)) AS gap"]
@@ -408,17 +410,13 @@ def gazetteer_entities(docs: DataFrame, key: str, text: str, gazetteer: DataFram
     Every text is cut into 1..max_n word phrases inside its row and joined on equality, so no
     text meets the whole gazetteer.  Phrases are lower case.
     """
-    tokens = F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: w)
-    cut = docs.select(key, tokens.alias("_t"))
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_n)), lambda n: F.filter(
-        F.transform("_t", lambda _, i: F.struct(
-            i.alias("word_no"), n.alias("n"),
-            F.when(i + n <= F.size("_t"), F.array_join(F.slice("_t", i + 1, n), " ")).alias("phrase"))),
-        lambda s: s["phrase"].isNotNull())))
-    grams = cut.select(key, F.explode(spans).alias("_s")).select(key, "_s.*")
-    hits = grams.join(gazetteer, "phrase")
-    longest = hits.groupBy(key, "word_no").agg(F.max("n").alias("n"))
-    return hits.join(longest, [key, "word_no", "n"]).select(key, "word_no", "n", "phrase", "label")
+    df = once(docs.select(key, F.col(text).alias("_x")), _t=F.filter(F.split(F.lower("_x"), r"[^\p{L}\p{N}]+"), lambda w: w != "")).drop("_x")
+    spans = ", ".join(f"transform(slice(_t, 1, greatest(size(_t) - {n - 1}, 0)), (w, i) -> struct(i AS word_no, {n} AS n, "
+                      f"{'w' if n == 1 else f'array_join(slice(_t, i + 1, {n}), chr(32))'} AS phrase))" for n in range(1, max_n + 1))
+    grams = df.select(key, F.expr(f"inline(concat({spans}))"))
+    phrases = broadcast_if_small(gazetteer.select("phrase").distinct())
+    longest = grams.join(phrases, "phrase", "left_semi").groupBy(key, "word_no").agg(F.max(F.struct("n", "phrase")).alias("_m"))
+    return longest.select(key, "word_no", "_m.*").join(broadcast_if_small(gazetteer), "phrase").select(key, "word_no", "n", "phrase", "label")
 
 
 def split_organisations(entities: DataFrame, indicators=rules.ENTITY_INDICATORS) -> DataFrame:

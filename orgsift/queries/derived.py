@@ -45,6 +45,7 @@ def catalog_pages(spark, sf) -> DataFrame:
     }
     rows = catalog_rows(spark, sf).select("page_id", "k", *[c.alias(n) for n, c in piece.items()])
     packed = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("k", *piece))).alias("_r"))
+    packed = packed.repartition(spark.sparkContext.defaultParallelism) if len(table(spark, sf, "part").inputFiles()) < 2 else packed
     part = lambda n, sep="": F.array_join(F.transform("_r", lambda r: r[n]), sep)
     no = F.col("page_id").cast("string")
     html = F.concat(

@@ -9,6 +9,7 @@ from ..operators import extract as X
 from ..operators import html as H
 from ..operators import score as S
 from ..plans import jobs as J
+from ..session import spread
 from ..sources.tables import read_pages
 from .derived import CATALOG_SQL, catalog_pages
 from .registry import (lit, query, s_any, s_cap_words, s_caps, s_collapse, s_count, s_home, s_host, s_ladder, s_pattern,
@@ -25,7 +26,7 @@ TITLE_SQL = s_collapse(s_unescape("regexp_extract(html, '(?is)<title[^>]*>(.*?)<
 
 
 def pages_of(spark, sf):
-    return read_pages(spark, f"{sf}/pages.parquet")
+    return spread(read_pages(spark, f"{sf}/pages.parquet"))
 
 
 def titled(spark, sf):

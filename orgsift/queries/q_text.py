@@ -357,7 +357,7 @@ def _(spark, sf):
     return C.gate_candidates(name_forms(spark, sf)).select("k", "name", "confidence")
 
 
-_DIRTY = ("1. {} University - best of all", "#12 {} Univ. of Tech", "3) {} College | admissions", "{} Inst (private)", "• {} University Scholarships 2024", "top {} University", "{} St. Academy")
+_DIRTY = ("1. {} University - best of all", "#12 {} Univ. of Tech", "3) {} College | campus", "{} Inst (private)", "• {} University Scholarships 2024", "top {} University", "{} St. Academy")
 _CLEANED = ("{} University", "{} University of Institute", "{} College", "{} Institute", "{} University", "", "{} Saint Academy")
 
 

@@ -2,7 +2,7 @@
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(name: str = "orgsift", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -35,3 +35,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="orgsift-ckpt-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share a scan of fewer files than there are cores over all cores, for work that is heavy per row.
+
+    A table of many files is left as it is, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 200000) -> DataFrame:
+    """Mark a table for broadcasting when a count proves it small; a larger one joins by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
