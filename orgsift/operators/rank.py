@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .. import rules
 from ..functions.text import any_word, as_col, count_words, key_core, once, words
 from ..functions.url import host
+from ..session import cut_lineage
 from .ordering import spread_row_number
 
 # ------------------------------------------------------------ component scores
@@ -139,19 +140,20 @@ def priority_score(ranked: DataFrame, boosts=rules.PRIORITY_TYPE_BOOSTS, levels=
 
 # ------------------------------------------------------------------ entity overlap
 #
-# Two entity texts match when one contains the other.  Within a query every contained text
-# shares its first letters (at most four) with some place of the containing text, so texts
-# meet on (query, letters) and not all against all.
+# Two entity texts match when one contains the other.  A contained text of four letters or
+# more starts with a four-letter piece of the containing text, so texts meet on (query, piece)
+# and not all against all; shorter texts meet on pieces of their own length.  Only queries
+# that have a text to contain send their texts into the join.  The distinct texts are written
+# once, so the scans that found them do not run again for every branch.
 
 _GRAM = 4
 
 
-def _grams(text: Column) -> Column:
-    """Distinct pieces of 1 to 4 letters of a text; a contained text starts with one of them."""
+def _pieces(text: Column, sizes) -> Column:
+    """Distinct pieces of the given sizes."""
     n = F.length(text)
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(_GRAM)), lambda k: F.filter(
-        F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, k)),
-        lambda g: F.length(g) == k))))
+    cut = [F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(k))) for k in sizes]
+    return F.array_distinct(F.concat(*cut))
 
 
 def contained_pairs(left: DataFrame, right: DataFrame, group: str, a: str, b: str) -> DataFrame:
@@ -159,9 +161,13 @@ def contained_pairs(left: DataFrame, right: DataFrame, group: str, a: str, b: st
     left, right = left.select(group, a).distinct(), right.select(group, b).distinct()
 
     def inside(small, s, big, t):
-        heads = small.withColumn("_g", F.left(F.col(s), F.lit(_GRAM)))
-        pieces = big.withColumn("_g", F.explode(_grams(F.col(t))))
-        return heads.join(pieces, [group, "_g"]).filter(F.contains(F.col(t), F.col(s))).select(group, a, b)
+        parts = []
+        for heads, sizes in ((small.filter(F.length(s) >= _GRAM), (_GRAM,)), (small.filter(F.length(s) < _GRAM), range(1, _GRAM))):
+            near = big.join(heads.select(group).distinct(), group, "left_semi")
+            pieces = near.withColumn("_g", F.explode(_pieces(F.col(t), sizes)))
+            met = heads.withColumn("_g", F.left(F.col(s), F.lit(_GRAM))).join(pieces, [group, "_g"])
+            parts.append(met.filter(F.contains(F.col(t), F.col(s))).select(group, a, b))
+        return parts[0].unionByName(parts[1])
 
     return inside(left, a, right, b).unionByName(inside(right, b, left, a)).distinct()
 
@@ -172,8 +178,8 @@ def _texts(entities: DataFrame, kinds) -> DataFrame:
 
 def entity_relevance(query_ents: DataFrame, result_ents: DataFrame, urls: DataFrame, kinds=rules.COMPARED_KINDS) -> DataFrame:
     """Per (query_id, url): mean over its entities of 1 for an equal and 0.5 for a partly equal query entity."""
-    q = _texts(query_ents, kinds).select("query_id", F.col("entity").alias("q_text")).distinct()
-    r = _texts(result_ents, kinds).groupBy("query_id", "url", "entity").agg(F.count(F.lit(1)).alias("n"))
+    q = cut_lineage(_texts(query_ents, kinds).select("query_id", F.col("entity").alias("q_text")).distinct())
+    r = cut_lineage(_texts(result_ents, kinds).groupBy("query_id", "url", "entity").agg(F.count(F.lit(1)).alias("n")))
     pairs = contained_pairs(q, r.select("query_id", "entity"), "query_id", "q_text", "entity")
     points = pairs.groupBy("query_id", "entity").agg(F.max(F.when(F.col("q_text") == F.col("entity"), 1.0).otherwise(0.5)).alias("_p"))
     scored = r.join(points, ["query_id", "entity"], "left").groupBy("query_id", "url").agg(
@@ -184,9 +190,8 @@ def entity_relevance(query_ents: DataFrame, result_ents: DataFrame, urls: DataFr
 
 def entity_matches(query_ents: DataFrame, result_ents: DataFrame, kinds=rules.COMPARED_KINDS) -> DataFrame:
     """(query_id, query entity, its kind, url, result entity) for texts that contain one another."""
-    q = (_texts(query_ents, kinds).groupBy("query_id", F.col("entity").alias("q_text"))
-         .agg(F.max("kind").alias("q_kind")))
-    r = _texts(result_ents, kinds).groupBy("query_id", "url", F.col("entity").alias("r_text")).agg(F.count(F.lit(1)).alias("times"))
+    q = cut_lineage(_texts(query_ents, kinds).groupBy("query_id", F.col("entity").alias("q_text")).agg(F.max("kind").alias("q_kind")))
+    r = cut_lineage(_texts(result_ents, kinds).groupBy("query_id", "url", F.col("entity").alias("r_text")).agg(F.count(F.lit(1)).alias("times")))
     pairs = contained_pairs(q, r, "query_id", "q_text", "r_text")
     return pairs.join(q, ["query_id", "q_text"]).join(r, ["query_id", "r_text"])
 
