@@ -266,9 +266,9 @@ def _(spark, sf):
     return R.entity_matches(asked, found)
 
 
-@query("l3_relevance_cut", f"WITH {_PIPE}, {_OVER} SELECT query_id, url, relevance, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, url) AS place FROM overlap WHERE relevance >= 0.1")
+@query("l3_relevance_cut", f"WITH {_PIPE}, {_OVER} SELECT query_id, url, relevance, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, url) AS place FROM overlap WHERE relevance >= 0.02")
 def _(spark, sf):
-    return R.relevance_cut(R.entity_relevance(*entities_of(spark, sf)))
+    return R.relevance_cut(R.entity_relevance(*entities_of(spark, sf)), 0.02)
 
 
 # ------------------------------------------------------------------ eight components
