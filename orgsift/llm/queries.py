@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .exact_dups import deduplicated
 from .near_dups import near_duplicates
+from .toxicity import severity, train as train_toxicity
+from .url_filter import judge, rule_table
 
 QUERIES, SQL = {}, {}
 
@@ -34,11 +37,45 @@ s AS (SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1,
                                  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) sh FROM w),
 d AS (SELECT DISTINCT doc_id, sh FROM s),
 n AS (SELECT doc_id, count(*) n FROM d GROUP BY 1),
-both AS (SELECT x.doc_id a, y.doc_id b, count(*) i FROM d x JOIN d y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY 1, 2),
-links AS (SELECT a, b FROM both JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 75 * (na.n + nb.n - i)),
+met AS (SELECT x.doc_id a, y.doc_id b, count(*) i FROM d x JOIN d y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM met JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 75 * (na.n + nb.n - i)),
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT doc_id, coalesce(n.n, 0)::BIGINT n_shingles, least(doc_id, coalesce(r.m, doc_id)) component_id,
        doc_id = least(doc_id, coalesce(r.m, doc_id)) kept
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a doc_id, min(b) m FROM reach GROUP BY 1) r USING (doc_id)""")
 def op1_near_duplicates(spark, sf):
     return near_duplicates(read(spark, sf, "documents"))
+
+
+@query("op8_exact_duplicates", sql=f"""
+WITH t AS (SELECT doc_id, sha256({_LOW}) text_sha256 FROM documents),
+g AS (SELECT text_sha256, max(doc_id) keep_id, count(*) group_size FROM t GROUP BY 1)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id kept, text_sha256 FROM t JOIN g USING (text_sha256)""")
+def op8_exact_duplicates(spark, sf):
+    return deduplicated(read(spark, sf, "documents"))
+
+
+RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+def _fits(host: str, path: str) -> str:
+    return f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}'))"
+
+
+# the given pages carry no canonical links and no refreshes; if one had them, this SQL would not know
+@query("op2_url_filter", sql=f"""
+WITH p AS (SELECT page_id,
+    translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), '{_UPPER}', '{_LOWER}') host,
+    coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') path FROM pages),
+r AS (SELECT *, CASE {" ".join(f"WHEN {_fits(h, x)} THEN '{h}{x}'" for _, h, x in sorted(RULES, key=lambda r: -len(r[1] + r[2])))} END rule FROM p)
+SELECT *, CASE WHEN rule IN ({", ".join(f"'{h}{x}'" for v, h, x in RULES if v == "block")}) THEN 'block' ELSE 'allow' END verdict,
+       CAST(NULL AS VARCHAR) alias_of FROM r""")
+def op2_url_filter(spark, sf):
+    return judge(read(spark, sf, "pages"), rule_table(spark, RULES))
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark, sf):
+    docs = read(spark, sf, "documents")
+    return severity(docs.select("doc_id", "text"), train_toxicity(docs, read(spark, sf, "labels"))).select(
+        "doc_id", "severity", "p_toxic", "grade")
