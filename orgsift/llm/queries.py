@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dups import deduplicated
+from .mixing import mixed
 from .near_dups import near_duplicates
+from .packing import pack, with_digests
 from .toxicity import severity, train as train_toxicity
 from .url_filter import judge, rule_table
 
@@ -79,3 +81,14 @@ def op4_toxicity(spark, sf):
     docs = read(spark, sf, "documents")
     return severity(docs.select("doc_id", "text"), train_toxicity(docs, read(spark, sf, "labels"))).select(
         "doc_id", "severity", "p_toxic", "grade")
+
+
+@query("op5_mixing")
+def op5_mixing(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "text", "source")
+    return mixed(docs).select("doc_id", "source", "mix_pass", "mix_block", "mix_weight", "mix_order")
+
+
+@query("op3_packing")
+def op3_packing(spark, sf):
+    return with_digests(pack(read(spark, sf, "documents")))
