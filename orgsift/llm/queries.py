@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .chunk_prints import fingerprints_with_next
 from .exact_dups import deduplicated
+from .licenses import build_index, scan_licenses
 from .mixing import mixed
 from .near_dups import near_duplicates
 from .packing import pack, with_digests
@@ -92,3 +94,15 @@ def op5_mixing(spark, sf):
 @query("op3_packing")
 def op3_packing(spark, sf):
     return with_digests(pack(read(spark, sf, "documents")))
+
+
+@query("op7_fingerprints")
+def op7_fingerprints(spark, sf):
+    return fingerprints_with_next(read(spark, sf, "documents"))
+
+
+@query("op10_licenses")
+def op10_licenses(spark, sf):
+    docs = read(spark, sf, "documents")
+    found = scan_licenses(docs, build_index(docs))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")}).drop("spans")
