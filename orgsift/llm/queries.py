@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .chunk_prints import fingerprints_with_next
 from .exact_dups import deduplicated
+from .language import languages, train as train_language
 from .licenses import build_index, scan_licenses
 from .mixing import mixed
 from .near_dups import near_duplicates
 from .packing import pack, with_digests
+from .quality import quality_scores, train as train_quality
 from .toxicity import severity, train as train_toxicity
 from .url_filter import judge, rule_table
 
@@ -106,3 +108,15 @@ def op10_licenses(spark, sf):
     docs = read(spark, sf, "documents")
     found = scan_licenses(docs, build_index(docs))
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")}).drop("spans")
+
+
+@query("op6_quality")
+def op6_quality(spark, sf):
+    docs = read(spark, sf, "documents")
+    return quality_scores(docs, train_quality(docs, read(spark, sf, "labels")))
+
+
+@query("op9_language")
+def op9_language(spark, sf):
+    docs = read(spark, sf, "documents")
+    return languages(docs, train_language(docs))
