@@ -4,38 +4,55 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import rules
 from ..functions.text import any_word
-from ..functions.url import host, path
+from ..functions.url import host, is_crawlable
 from .ordering import keep_first, spread_previous, spread_row_number
 
 
 def robots_filter(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
-    """Adds `allowed`: the first rule of the host whose prefix starts the path decides; no rule allows.
+    """Adds `allowed` by the usual rules of robots files(host, agent, seq, path_prefix, allow).
 
-    The rules of a host travel as one array (a robots file is small), so a URL row is never multiplied.
+    The group of a host whose name stands in the agent's name counts (the first in the file), else
+    the group *; groups are never merged.  The first rule of it whose prefix starts the path with
+    its query decides; no rule, or an empty disallow, allows.  The rules of a host travel as one
+    array (a robots file is small), so a URL row is never multiplied.
     """
-    mine = (robots.filter(F.col("agent").isin(agent, "*"))
-            .groupBy("host").agg(F.array_sort(F.collect_list(F.struct("seq", "path_prefix", "allow"))).alias("_rules")))
-    with_path = urls.withColumn("host", host("url")).withColumn("_path", F.when(path("url") == "", "/").otherwise(path("url")))
-    fitting = F.filter("_rules", lambda r: F.startswith(F.col("_path"), r["path_prefix"]))
+    name = agent.split("/")[0].lower()
+    fits = (F.col("agent") != "*") & F.contains(F.lit(name), F.lower("agent"))
+    groups = (robots.filter((F.col("agent") == "*") | fits)
+              .groupBy("host", F.lower("agent").alias("_agent"))
+              .agg(F.array_sort(F.collect_list(F.struct("seq", "path_prefix", "allow"))).alias("_rules")))
+    mine = groups.groupBy("host").agg(F.min_by("_rules", F.struct(F.col("_agent") == "*", F.get("_rules", F.lit(0))["seq"])).alias("_rules"))
+    rest = F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*(.*)$", 1)
+    with_path = urls.withColumn("host", host("url")).withColumn("_path", F.when(rest == "", "/").otherwise(rest))
+    fitting = F.filter("_rules", lambda r: (r["path_prefix"] == "*") | F.startswith(F.col("_path"), r["path_prefix"]))
+    decided = F.get(fitting, F.lit(0))
     return (with_path.join(mine, "host", "left")
-            .withColumn("allowed", F.coalesce(F.get(fitting, F.lit(0))["allow"], F.lit(True)))
+            .withColumn("allowed", F.coalesce(decided["allow"] | (decided["path_prefix"] == ""), F.lit(True)))
             .drop("_rules", "_path"))
 
 
-def frontier_candidates(links: DataFrame, words=rules.FRONTIER_WORDS, priority: int = 5) -> DataFrame:
-    """Links whose text names a listing page, to be visited early."""
-    return (links.filter(any_word(F.lower("text"), words))
+def frontier_candidates(links: DataFrame, words=rules.FRONTIER_WORDS, priority: int = 5,
+                        skipped=rules.SKIPPED_EXTENSIONS, social=rules.SOCIAL_HOSTS) -> DataFrame:
+    """Crawlable links whose text names a listing page, to be visited early."""
+    return (links.filter(any_word(F.lower("text"), words) & is_crawlable("target", skipped, social))
             .select(F.col("target").alias("url"), F.lit(priority).alias("priority")))
 
 
 def unvisited(frontier: DataFrame, visited: DataFrame, order="arrival") -> DataFrame:
-    """First request per URL that was not visited before."""
+    """First request per URL, by one or more order columns, that was not visited before."""
     return keep_first(frontier, ["url"], order).join(visited.select("url"), "url", "left_anti")
 
 
-def order_frontier(frontier: DataFrame, capacity: int = 10000) -> DataFrame:
-    """Highest priority first, then arrival; the queue holds `capacity` requests."""
-    return frontier.orderBy(F.desc("priority"), F.asc("arrival")).limit(capacity)
+def order_frontier(frontier: DataFrame, arrival=("arrival",), capacity: int = None, width: int = 100000) -> DataFrame:
+    """Adds `place`: highest priority first, then arrival (one or more columns, a number first).
+
+    The whole frontier is numbered; a capacity keeps the first places only.  Requests are cut into
+    buckets of `width` along the order, so no task sorts them all.
+    """
+    arrival = list(arrival)
+    bucket = F.struct((-F.col("priority")).alias("p"), F.floor(F.col(arrival[0]) / width).alias("a"))
+    placed = spread_row_number(frontier, [], bucket, [F.desc("priority"), *[F.asc(a) for a in arrival]], "place")
+    return placed.filter(F.col("place") <= capacity) if capacity else placed
 
 
 def politeness_schedule(urls: DataFrame, delay: float, arrival: str = "arrival", width: int = 100000) -> DataFrame:

@@ -8,7 +8,6 @@ from .. import rules
 from ..functions.text import (any_pattern, any_word, before_first_separator, collapse, has,
                               once, salvage_block, stripped, words)
 from ..functions.url import host, host_label_name, is_http, resolve
-from ..session import broadcast_if_small
 from .classify import is_institution, is_institution_strict, is_valid_name
 from .html import page_text
 from .score import heading_quality, link_quality, list_quality, pattern_confidence, table_quality
@@ -79,7 +78,11 @@ def simple_company_links(links: DataFrame, blocklist=rules.LINK_BLOCKLIST, inter
     return kept.groupBy(F.col("text").alias("name"), "target").agg(F.min_by("url", F.struct("page_id", "no")).alias("source"))
 
 
-def table_candidates(elements: DataFrame, first_cell: bool = True) -> DataFrame:
+def _short(c: Column, limit: int) -> Column:
+    return F.left(c, F.lit(limit)) if limit else c
+
+
+def table_candidates(elements: DataFrame, first_cell: bool = True, description_chars: int = None) -> DataFrame:
     """Links in table cells, named by their text or else by the cell's."""
     def keep(e):
         inside = _is_link(e) & e["cell"].isNotNull() & e["table"].isNotNull()
@@ -87,31 +90,26 @@ def table_candidates(elements: DataFrame, first_cell: bool = True) -> DataFrame:
 
     return _pick(elements, keep, lambda e: {
         "pos": e["pos"], "name": F.coalesce(F.nullif(e["text"], F.lit("")), _el(e["cell"])["text"]), "href": e["href"],
-        "description": F.left(_el(e["cell"])["text"], F.lit(200))}).withColumns(
+        "description": _short(_el(e["cell"])["text"], description_chars)}).withColumns(
         {"target": resolve("url", "href"), "method": F.lit("table_extraction")})
 
 
 def cell_names(elements: DataFrame) -> DataFrame:
     """Cells that read like an institution, with their first link if any."""
-    links = F.filter("elements", _is_link)
     table_words = ("university", "institution", "college")
-
-    def fields(e):
-        inside = F.filter(links, lambda a: a["cell"] == e["pos"])
-        return {"pos": e["pos"], "name": e["text"], "href": F.get(inside, F.lit(0))["href"],
-                "header_named": any_word(F.lower(_el(e["table"])["text"]), table_words)}
-
-    rows = _pick(elements, lambda e: e["tag"].isin("td", "th") & e["table"].isNotNull(), fields)
+    rows = _pick(elements, lambda e: e["tag"].isin("td", "th") & e["table"].isNotNull(), lambda e: {
+        "pos": e["pos"], "name": e["text"], "href": e["inner"],
+        "header_named": any_word(F.lower(_el(e["table"])["text"]), table_words)})
     return (rows.filter(is_institution("name"))
             .withColumns({"target": resolve("url", "href"), "method": F.lit("table_extraction"),
                           "confidence": F.lit(0.8), "quality": table_quality("header_named")}))
 
 
-def list_candidates(elements: DataFrame) -> DataFrame:
+def list_candidates(elements: DataFrame, description_chars: int = None) -> DataFrame:
     """Links in list items, named by their text or else by the item's."""
     return _pick(elements, lambda e: _is_link(e) & e["li"].isNotNull(), lambda e: {
         "pos": e["pos"], "name": F.coalesce(F.nullif(e["text"], F.lit("")), _el(e["li"])["text"]), "href": e["href"],
-        "description": F.left(_el(e["li"])["text"], F.lit(200))}).withColumns(
+        "description": _short(_el(e["li"])["text"], description_chars)}).withColumns(
         {"target": resolve("url", "href"), "method": F.lit("list_extraction")})
 
 
@@ -139,31 +137,17 @@ def selector_candidates(elements: DataFrame, selectors=rules.LINK_SELECTORS) ->
 
 def heading_candidates(elements: DataFrame) -> DataFrame:
     """Headings with the link inside, else the next link of the document."""
-    links = F.filter("elements", _is_link)
-
-    def fields(e):
-        inside = F.filter(links, lambda a: a["heading"] == e["pos"])
-        after = F.filter(links, lambda a: a["pos"] > e["pos"])
-        return {"pos": e["pos"], "name": e["text"], "level": F.right(e["tag"], F.lit(1)).cast("int"),
-                "href": F.coalesce(F.get(inside, F.lit(0))["href"], F.get(after, F.lit(0))["href"])}
-
-    rows = _pick(elements, lambda e: e["tag"].rlike("^h[1-6]$") & (F.length(e["text"]) > 0), fields)
+    rows = _pick(elements, lambda e: e["tag"].rlike("^h[1-6]$") & (F.length(e["text"]) > 0), lambda e: {
+        "pos": e["pos"], "name": e["text"], "level": F.right(e["tag"], F.lit(1)).cast("int"),
+        "href": F.coalesce(e["inner"], e["next"])})
     return rows.withColumns({"target": resolve("url", "href"), "method": F.lit("heading_extraction"),
                              "confidence": F.lit(0.7), "quality": heading_quality("level")})
 
 
 def emphasis_candidates(elements: DataFrame) -> DataFrame:
     """strong and b texts with the first link below their parent."""
-    links = F.filter("elements", _is_link)
-
-    def fields(e):
-        up = F.size(e["path"])
-        near = F.filter(links, lambda a: (a["parent"] == e["parent"]) | (
-            (a["pos"] > e["parent"]) & (F.size(a["path"]) >= up) & (F.slice(a["path"], F.lit(1), up) == e["path"])
-            & (_el(a["parent"])["parent"] == e["parent"])))
-        return {"pos": e["pos"], "name": e["text"], "href": F.get(near, F.lit(0))["href"]}
-
-    rows = _pick(elements, lambda e: e["tag"].isin("strong", "b") & (F.length(e["text"]) > 0), fields)
+    rows = _pick(elements, lambda e: e["tag"].isin("strong", "b") & (F.length(e["text"]) > 0), lambda e: {
+        "pos": e["pos"], "name": e["text"], "href": e["near"]})
     return rows.withColumns({"target": resolve("url", "href"), "method": F.lit("emphasis")})
 
 
@@ -197,12 +181,8 @@ def jsonld_orgs(pages: DataFrame, types=rules.JSONLD_TYPES, need_url: bool = Tru
 
 def microdata_orgs(elements: DataFrame, types: str = rules.MICRODATA_TYPES) -> DataFrame:
     """itemscope blocks of the wanted types with their name and url properties."""
-    def prop(e, name):
-        return F.get(F.filter("elements", lambda x: (x["item"] == e["pos"]) & (F.try_element_at(x["attrs"], F.lit("itemprop")) == name)), F.lit(0))
-
     rows = _pick(elements, lambda e: F.coalesce(F.try_element_at(e["attrs"], F.lit("itemtype")).rlike(types), F.lit(False)),
-                 lambda e: {"pos": e["pos"], "name": prop(e, "name")["text"],
-                            "target": F.coalesce(prop(e, "url")["href"], F.lit(""))})
+                 lambda e: {"pos": e["pos"], "name": e["item_name"], "target": F.coalesce(e["item_url"], F.lit(""))})
     return rows.filter(F.col("name") != "").withColumns({"method": F.lit("microdata"), "confidence": F.lit(0.9)})
 
 
@@ -351,8 +331,8 @@ def leading_name(context: str) -> Column:
     return F.when((F.length(name) > 5) & F.exists(words(name), lambda w: w.rlike(r"^\p{Lu}")), name)
 
 
-def typed_entities(contexts: DataFrame, countries=rules.CONTEXT_COUNTRIES, name: str = "name") -> DataFrame:
-    """Country, city, amount, deadline, kind, provider and description of a context."""
+def typed_entities(contexts: DataFrame, countries=rules.CONTEXT_COUNTRIES, name: str = "name", description_chars: int = None) -> DataFrame:
+    """Country, city, amount, deadline, kind, provider and description (whole, unless cut on demand) of a context."""
     low = F.lower("context")
     country = F.lit("")
     for c in reversed(list(countries)):
@@ -370,7 +350,8 @@ def typed_entities(contexts: DataFrame, countries=rules.CONTEXT_COUNTRIES, name:
         "deadline": F.regexp_extract("context", rules.DEADLINE_PATTERN, 1),
         "kind": kind,
         "provider": F.coalesce(leading_name("context"), F.lit("")),
-        "description": F.when(F.length(flat) > 500, F.concat(F.left(flat, F.lit(500)), F.lit("..."))).otherwise(flat),
+        "description": flat if not description_chars else F.when(
+            F.length(flat) > description_chars, F.concat(F.left(flat, F.lit(description_chars)), F.lit("..."))).otherwise(flat),
     })
 
 
@@ -404,19 +385,21 @@ def pattern_names(docs: DataFrame, key: str, text: str, families=rules.NAME_PATT
             .select(key, "family", "name", "hit", "confidence", "method"))
 
 
-def gazetteer_entities(docs: DataFrame, key: str, text: str, gazetteer: DataFrame, max_n: int = 3) -> DataFrame:
-    """Names of a gazetteer(phrase, label) found in texts; the longest match at a place wins.
+def gazetteer_entities(docs: DataFrame, key: str, text: str, gazetteer: DataFrame) -> DataFrame:
+    """Names of a gazetteer(phrase, label) found in texts; phrases are lower case and of any number of words.
 
-    Every text is cut into 1..max_n word phrases inside its row and joined on equality, so no
-    text meets the whole gazetteer.  Phrases are lower case.
+    The longest phrase that starts at a word wins; a shorter one that starts at a later word inside
+    it is reported as well.  Every text is cut inside its row into phrases of the lengths that the
+    gazetteer has, and joined on equality, so no text meets the whole gazetteer.
     """
+    length = F.size(F.split("phrase", " "))
+    lengths = gazetteer.agg(F.array_sort(F.collect_set(length)).alias("_lengths")).scalar()
     df = once(docs.select(key, F.col(text).alias("_x")), _t=F.filter(F.split(F.lower("_x"), r"[^\p{L}\p{N}]+"), lambda w: w != "")).drop("_x")
-    spans = ", ".join(f"transform(slice(_t, 1, greatest(size(_t) - {n - 1}, 0)), (w, i) -> struct(i AS word_no, {n} AS n, "
-                      f"{'w' if n == 1 else f'array_join(slice(_t, i + 1, {n}), chr(32))'} AS phrase))" for n in range(1, max_n + 1))
-    grams = df.select(key, F.expr(f"inline(concat({spans}))"))
-    phrases = broadcast_if_small(gazetteer.select("phrase").distinct())
-    longest = grams.join(phrases, "phrase", "left_semi").groupBy(key, "word_no").agg(F.max(F.struct("n", "phrase")).alias("_m"))
-    return longest.select(key, "word_no", "_m.*").join(broadcast_if_small(gazetteer), "phrase").select(key, "word_no", "n", "phrase", "label")
+    df = df.withColumn("_lengths", lengths)
+    grams = df.select(key, F.expr("""inline(flatten(transform(_lengths, n -> transform(slice(_t, 1, greatest(size(_t) - n + 1, 0)),
+        (w, i) -> struct(i AS word_no, n AS n, CASE WHEN n = 1 THEN w ELSE array_join(slice(_t, i + 1, n), ' ') END AS phrase)))))"""))
+    longest = grams.join(gazetteer.select("phrase").distinct(), "phrase", "left_semi").groupBy(key, "word_no").agg(F.max(F.struct("n", "phrase")).alias("_m"))
+    return longest.select(key, "word_no", "_m.*").join(gazetteer, "phrase").select(key, "word_no", "n", "phrase", "label")
 
 
 def split_organisations(entities: DataFrame, indicators=rules.ENTITY_INDICATORS) -> DataFrame:
@@ -478,27 +461,22 @@ def list_article_orgs(content: DataFrame, elements: DataFrame, min_conf: float =
     titles = (content.filter((F.col("content_type") == "blog_post") & is_list_article("title"))
               .groupBy(F.col("url").alias("_page")).agg(F.min("title").alias("article")))
     pages = elements.join(titles, elements.url == titles["_page"]).drop("_page")
-    article = pages.select("page_id", "article")
-    links = F.filter("elements", _is_link)
-    heads = _pick(pages, lambda e: e["tag"].rlike("^h[1-6]$"), lambda e: {
-        "pos": e["pos"], "raw": e["text"], "method": F.lit("blog_content_heading"),
-        "href": F.get(F.filter(links, lambda a: a["heading"] == e["pos"]), F.lit(0))["href"]})
-    heads = heads.filter(~any_word(F.lower("raw"), rules.ARTICLE_HEADING_REJECTS)).withColumn("name", F.col("raw"))
-    items = _pick(pages, lambda e: e["tag"] == "li", lambda e: {
-        "pos": e["pos"], "raw": e["text"], "method": F.lit("blog_content_list"),
-        "href": F.get(F.filter(links, lambda a: a["li"] == e["pos"]), F.lit(0))["href"]})
-    items = items.withColumn("name", clean_item("raw"))
-    bold = emphasis_candidates(pages).select("page_id", "url", "pos", F.col("name").alias("raw"),
-                                             F.lit("blog_content_emphasis").alias("method"), "href", "name")
-    cols = ["page_id", "url", "pos", "raw", "method", "href", "name"]
-    rows = heads.select(*cols).unionByName(items.select(*cols)).unionByName(bold.select(*cols))
+    is_head = lambda e: e["tag"].rlike("^h[1-6]$")
+    is_item = lambda e: e["tag"] == "li"
+    is_bold = lambda e: e["tag"].isin("strong", "b") & (F.length(e["text"]) > 0)
+    shaped = F.transform(F.filter("elements", lambda e: is_head(e) | is_item(e) | is_bold(e)), lambda e: F.struct(
+        e["pos"].alias("pos"), e["text"].alias("raw"),
+        F.when(is_head(e), "blog_content_heading").when(is_item(e), "blog_content_list").otherwise("blog_content_emphasis").alias("method"),
+        F.when(is_bold(e), e["near"]).otherwise(e["inner"]).alias("href")))
+    rows = pages.select("page_id", "url", "article", F.explode(shaped).alias("_e")).select("page_id", "url", "article", "_e.*")
+    rows = rows.filter((F.col("method") != "blog_content_heading") | ~any_word(F.lower("raw"), rules.ARTICLE_HEADING_REJECTS))
+    rows = once(rows, name=F.when(F.col("method") == "blog_content_list", clean_item("raw")).otherwise(F.col("raw")))
     rows = rows.filter(is_institution_strict("raw") & is_institution_strict("name"))
     rows = rows.withColumn("target", F.when(F.col("href").isNotNull(), resolve("url", "href")).otherwise(F.lit("")))
     rows = academic_confidence(rows, "name", "target", "confidence").filter(F.col("confidence") >= min_conf)
     order = F.when(F.col("method") == "blog_content_heading", 0).when(F.col("method") == "blog_content_list", 1).otherwise(2)
-    rows = rows.withColumn("_place", order * 1000000 + F.col("pos")).withColumn("_key", F.lower(F.trim("name")))
-    best = keep_best(rows, ["page_id", "_key"], "confidence", "_place").drop("_place", "_key")
-    return best.join(article.distinct(), "page_id")
+    rows = rows.withColumn("_order", order).withColumn("_key", F.lower(F.trim("name")))
+    return keep_best(rows, ["page_id", "_key"], "confidence", ["_order", "pos"]).drop("_order", "_key")
 
 
 # ------------------------------------------------------------------------- JSON

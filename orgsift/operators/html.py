@@ -4,48 +4,63 @@
 inside the row, so nothing is shuffled between parsing and candidates.
 """
 
+from collections import Counter
+from html import unescape as _unescape
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import as_col, collapse, cut_words, once
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NO_TEXT = frozenset("html head body".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ELEMENT = ("struct<pos:int,tag:string,text:string,href:string,attrs:map<string,string>,path:array<string>,"
-           "parent:int,cell:int,cell_no:int,table:int,li:int,heading:int,item:int>")
+           "parent:int,cell:int,cell_no:int,table:int,li:int,heading:int,item:int,"
+           "inner:string,next:string,near:string,item_name:string,item_url:string>")
 ELEMENTS = f"page_id long, url string, elements array<{ELEMENT}>"
+LINKS = "page_id long, url string, no int, href string, text string"
+SLICE_ELEMENTS = 20000
 
 
 class _Reader(HTMLParser):
-    """Collects elements in document order; text is the stripped text nodes joined together."""
+    """Collects elements in document order; text is the stripped text nodes joined together.
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.rows, self.open, self.pieces = [], [], []
-        self.cells = {}
+    The nearest table, row, cell, list item, heading and item stand on the stack of open tags, so a
+    tag costs the same wherever it is.
+    """
 
-    def _nearest(self, wanted):
-        return next((p for t, p in reversed(self.open) if t in wanted), None)
+    def __init__(self, only=None):
+        super().__init__(convert_charrefs=True)
+        self.rows, self.pieces, self.only = [], [], only
+        self.open, self.times, self.cells = [], Counter(), Counter()
+        self.root = dict(parent=None, cell=None, table=None, li=None, heading=None, item=None, line=None, path=[])
 
     def handle_starttag(self, tag, attrs):
         pos = len(self.rows)
         attrs = {k: v or "" for k, v in attrs}
-        row = dict(pos=pos, tag=tag, text=len(self.pieces), href=attrs.get("href"), attrs=attrs,
-                   path=[t + "|" + self.rows[p]["attrs"].get("class", "") for t, p in self.open],
-                   parent=self.open[-1][1] if self.open else None,
-                   cell=self._nearest(("td", "th")), cell_no=None, table=self._nearest(("table",)),
-                   li=self._nearest(("li",)), heading=self._nearest(("h1", "h2", "h3", "h4", "h5", "h6")),
-                   item=next((p for _, p in reversed(self.open) if "itemtype" in self.rows[p]["attrs"]), None))
+        near = self.open[-1][2] if self.open else self.root
+        wanted = self.only is None or tag in self.only
+        row = dict(near, pos=pos, tag=tag, text=len(self.pieces), href=attrs.get("href"), attrs=attrs, cell_no=None, wanted=wanted)
         if tag in ("td", "th"):
-            line = self._nearest(("tr",))
-            self.cells[line] = row["cell_no"] = self.cells.get(line, 0) + 1
+            self.cells[near["line"]] += 1
+            row["cell_no"] = self.cells[near["line"]]
         self.rows.append(row)
         if tag in VOID:
             row["text"] = ""
-        else:
-            self.open.append((tag, pos))
+            return
+        below = dict(near, parent=pos)
+        if self.only is None:
+            below["path"] = near["path"] + [tag + "|" + attrs.get("class", "")]
+        name = ("cell" if tag in ("td", "th") else "table" if tag == "table" else "li" if tag == "li"
+                else "heading" if tag in HEADINGS else "line" if tag == "tr" else None)
+        if name:
+            below[name] = pos
+        if "itemtype" in attrs:
+            below["item"] = pos
+        self.open.append((tag, pos, below))
+        self.times[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -53,14 +68,15 @@ class _Reader(HTMLParser):
             self._close()
 
     def handle_endtag(self, tag):
-        if any(t == tag for t, _ in self.open):
+        if self.times[tag]:
             while self._close() != tag:
                 pass
 
     def _close(self):
-        tag, pos = self.open.pop()
+        tag, pos, _ = self.open.pop()
+        self.times[tag] -= 1
         row = self.rows[pos]
-        row["text"] = None if tag in NO_TEXT else "".join(self.pieces[row["text"]:])
+        row["text"] = None if tag in NO_TEXT or not row["wanted"] else "".join(self.pieces[row["text"]:])
         return tag
 
     def handle_data(self, data):
@@ -72,8 +88,8 @@ class _Reader(HTMLParser):
             self.pieces.append(data.strip())
 
 
-def read_elements(html: str) -> list:
-    reader = _Reader()
+def _read(html: str, only=None) -> list:
+    reader = _Reader(only)
     reader.feed(html or "")
     reader.close()
     while reader.open:
@@ -81,10 +97,55 @@ def read_elements(html: str) -> list:
     return reader.rows
 
 
+def read_elements(html: str) -> list:
+    """Elements of a page, each with what extractors ask about its surroundings.
+
+    inner: the first link inside a cell, heading or list item; next: the next link of the document
+    (headings); near: the first link whose parent or grandparent is the own parent (strong, b);
+    item_name, item_url: the first name and url properties of an item.
+    """
+    rows = _read(html)
+    inner, near, names, urls = {}, {}, {}, {}
+    following, after = None, [None] * len(rows)
+    for row in reversed(rows):
+        after[row["pos"]] = following
+        link = row["tag"] == "a" and row["href"] is not None
+        if link:
+            following = row["href"]
+            for kind in ("cell", "heading", "li"):
+                inner[row[kind]] = row["href"]
+            near[row["parent"]] = row["href"]
+            if row["parent"] is not None:
+                near[rows[row["parent"]]["parent"]] = row["href"]
+        if row["item"] is not None:
+            prop = row["attrs"].get("itemprop")
+            if prop == "name":
+                names[row["item"]] = row["text"]
+            elif prop == "url":
+                urls[row["item"]] = row["href"]
+    for row in rows:
+        tag, pos = row["tag"], row["pos"]
+        row["inner"] = inner.get(pos) if tag in HEADINGS or tag in ("td", "th", "li") else None
+        row["next"] = after[pos] if tag in HEADINGS else None
+        row["near"] = near.get(row["parent"]) if tag in ("strong", "b") else None
+        row["item_name"], row["item_url"] = names.get(pos), urls.get(pos)
+    return rows
+
+
 def _parse(batches):
+    """Slices of a batch, so that a task holds the elements of a few pages only."""
     for pages in batches:
-        yield pd.DataFrame({"page_id": pages.page_id, "url": pages.url,
-                            "elements": [read_elements(h) for h in pages.html]})
+        ids, urls, made, size = [], [], [], 0
+        for page_id, url, html in zip(pages.page_id, pages.url, pages.html):
+            ids.append(page_id)
+            urls.append(url)
+            made.append(read_elements(html))
+            size += len(made[-1])
+            if size >= SLICE_ELEMENTS:
+                yield pd.DataFrame({"page_id": ids, "url": urls, "elements": made})
+                ids, urls, made, size = [], [], [], 0
+        if ids:
+            yield pd.DataFrame({"page_id": ids, "url": urls, "elements": made})
 
 
 def page_elements(pages: DataFrame) -> DataFrame:
@@ -154,30 +215,66 @@ def _meta_parts(c):
     tags = F.regexp_extract_all(as_col(c), F.lit(r"(?is)(<meta\b[^>]*>)"), F.lit(1))
 
     def attr(tag, name):
-        return unescape(F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*[\"']([^\"']*)[\"']", 1))
+        quoted = [F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*{q}", 1) for q in ('"([^"]*)"', "'([^']*)'", r"([^\s\"'>]+)")]
+        return F.coalesce(*[F.nullif(q, F.lit("")) for q in quoted], F.lit(""))
 
     pair = F.transform(tags, lambda t: F.struct(
         F.lower(F.when(attr(t, "name") != "", attr(t, "name")).otherwise(attr(t, "property"))).alias("k"),
-        collapse(attr(t, "content")).alias("v")))
+        attr(t, "content").alias("v")))
     return F.filter(pair, lambda p: (p["k"] != "") & (p["v"] != ""))
 
 
+@F.pandas_udf(T.StringType())
+def decoded(text: pd.Series) -> pd.Series:
+    """All character references, for short texts such as titles."""
+    return text.map(lambda x: _unescape(x) if x and "&" in x else x)
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.StringType())])))
+def _decoded_pairs(pairs: pd.Series) -> pd.Series:
+    return pairs.map(lambda found: [{"k": p["k"], "v": _unescape(p["v"])} for p in found])
+
+
 def page_meta(pages: DataFrame) -> DataFrame:
-    """Title, description and the map of named meta tags (the last one wins)."""
-    pairs = _meta_parts("html")
+    """Title, description and the map of named meta tags (the last one wins), with all references decoded."""
+    pages = once(pages, _title=F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), _meta=_meta_parts("html"))
+    pages = pages.withColumns({"_title": collapse(decoded("_title")), "_meta": _decoded_pairs("_meta")})
+    pairs = F.transform("_meta", lambda p: F.struct(p["k"].alias("k"), collapse(p["v"]).alias("v")))
     last = F.aggregate(pairs, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")),
                        lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["k"]), F.create_map(p["k"], p["v"])))
-    return (pages.withColumns({"title": title_of("html"), "meta": last})
+    return (pages.withColumns({"title": F.col("_title"), "meta": last})
             .withColumn("description", F.coalesce(F.try_element_at("meta", F.lit("description")), F.lit("")))
-            .drop("html"))
+            .drop("html", "_title", "_meta"))
+
+
+def _link_rows(batches):
+    for pages in batches:
+        rows = []
+        for page_id, url, html in zip(pages.page_id, pages.url, pages.html):
+            links = [r for r in _read(html, only=("a",)) if r["tag"] == "a" and r["href"] is not None]
+            rows += [(page_id, url, no, r["href"].strip(), r["text"]) for no, r in enumerate(links)]
+            if len(rows) >= SLICE_ELEMENTS:
+                yield pd.DataFrame(rows, columns=["page_id", "url", "no", "href", "text"])
+                rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=["page_id", "url", "no", "href", "text"])
 
 
 def flat_links(pages: DataFrame) -> DataFrame:
-    """(page_id, url, no, href, text) for every <a href=..> without the element array."""
-    tag = F.lit(r"(?is)(<a\b[^>]*>.*?</a>)")
-    rows = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", tag, F.lit(1))).alias("no", "_a"))
-    return once(rows, href=F.trim(unescape(F.regexp_extract("_a", r"(?is)^<a\b[^>]*?\shref\s*=\s*[\"']([^\"']*)[\"']", 1))),
-                text=collapse(without_tags("_a"))).drop("_a")
+    """(page_id, url, no, href, text) for every <a href=..>, from the reader of page_elements.
+
+    Unquoted values, links that are never closed, all character references and nested tags are read
+    as a browser would; the text is the stripped text nodes joined together.
+    """
+    return pages.select("page_id", "url", "html").mapInPandas(_link_rows, LINKS)
+
+
+def links_of_elements(elements: DataFrame) -> DataFrame:
+    """The rows of flat_links from pages that are already parsed."""
+    shaped = F.transform(F.filter("elements", lambda e: (e["tag"] == "a") & e["href"].isNotNull()),
+                         lambda e: F.struct(F.trim(e["href"]).alias("href"), e["text"].alias("text")))
+    return elements.select("page_id", "url", F.posexplode(shaped).alias("no", "_l")).select(
+        "page_id", "url", "no", "_l.href", "_l.text")
 
 
 def tag_counts(pages: DataFrame) -> DataFrame:
@@ -186,5 +283,6 @@ def tag_counts(pages: DataFrame) -> DataFrame:
     return per_page.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-def short_description(c, n: int = 500) -> Column:
-    return cut_words(collapse(c), n)
+def short_description(c, n: int = None) -> Column:
+    """Collapsed text; with n, at most n characters cut back to a word."""
+    return cut_words(collapse(c), n) if n else collapse(c)

@@ -185,10 +185,11 @@ def completeness(df: DataFrame, fields) -> DataFrame:
     return df.withColumn("completeness", F.round(filled / float(len(fields)), 6))
 
 
-def clean_records(df: DataFrame, name: str = "name", url: str = "url", description: str = "description") -> DataFrame:
-    """Collapsed printable text, URLs with a scheme, descriptions cut at a word."""
+def clean_records(df: DataFrame, name: str = "name", url: str = "url", description: str = "description", description_chars: int = None) -> DataFrame:
+    """Collapsed printable text, URLs with a scheme; descriptions stay whole unless a length is given, then they are cut at a word."""
+    text = printable(collapse(description))
     return df.withColumns({name: printable(collapse(name)), url: with_scheme(url),
-                           description: cut_words(printable(collapse(description)), 500)})
+                           description: cut_words(text, description_chars) if description_chars else text})
 
 
 # ------------------------------------------------------------------------ reports

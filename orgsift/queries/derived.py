@@ -7,6 +7,7 @@ institution pages are built from `part` (20 parts a page), offers and search res
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import dealt
 from .registry import s_cap_words, table
 
 PARTS_PER_PAGE = 20
@@ -45,7 +46,7 @@ def catalog_pages(spark, sf) -> DataFrame:
     }
     rows = catalog_rows(spark, sf).select("page_id", "k", *[c.alias(n) for n, c in piece.items()])
     packed = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("k", *piece))).alias("_r"))
-    packed = packed.repartition(spark.sparkContext.defaultParallelism) if len(table(spark, sf, "part").inputFiles()) < 2 else packed
+    packed = dealt(packed)
     part = lambda n, sep="": F.array_join(F.transform("_r", lambda r: r[n]), sep)
     no = F.col("page_id").cast("string")
     html = F.concat(
@@ -56,6 +57,24 @@ def catalog_pages(spark, sf) -> DataFrame:
     return packed.select("page_id", F.concat(F.lit("https://catalog"), no, F.lit(".example.com/list/index.html")).alias("url"), html.alias("html"))
 
 
+def odd_pages(spark, sf) -> DataFrame:
+    """One page per part with links as browsers accept them: unquoted, with references, with tags inside, never closed."""
+    k = F.col("k").cast("string")
+    html = F.concat(F.lit("<p><a href=/unq"), k, F.lit('>Unquoted</a> <a href="https://e'), k, F.lit('.example.edu/?a=1&amp;b=2">Universit&eacute; &#233; '), "name",
+                    F.lit("</a><a HREF='https://n"), k, F.lit(".example.org/x'>\n Foo <b>Bar</b> <!-- no --></a><a name=here>Anchor</a><a href>Empty</a><a href=\"https://o"), k,
+                    F.lit('.example.com/">open'))
+    return dealt(catalog_rows(spark, sf)).select(F.col("k").alias("page_id"), F.concat(F.lit("https://odd"), k, F.lit(".example.com/dir/page")).alias("url"), html.alias("html"))
+
+
+_AT = "'https://odd' || k || '.example.com/"
+ODD_SQL = CATALOG_SQL + f""", odd AS (SELECT k AS page_id, {_AT}dir/page' AS url, x.no::BIGINT AS no, x.href AS href, x.text AS text, x.target AS target
+  FROM (SELECT k, unnest([
+    {{'no': 0, 'href': '/unq' || k, 'text': 'Unquoted', 'target': {_AT}unq' || k}},
+    {{'no': 1, 'href': 'https://e' || k || '.example.edu/?a=1&b=2', 'text': 'Université é ' || name, 'target': 'https://e' || k || '.example.edu/?a=1&b=2'}},
+    {{'no': 2, 'href': 'https://n' || k || '.example.org/x', 'text': 'FooBar', 'target': 'https://n' || k || '.example.org/x'}},
+    {{'no': 3, 'href': '', 'text': 'Empty', 'target': {_AT}dir/page'}},
+    {{'no': 4, 'href': 'https://o' || k || '.example.com/', 'text': 'open', 'target': 'https://o' || k || '.example.com/'}}]) AS x FROM parts))"""
+
 # ----------------------------------------------------------------------- offers
 
 _WORD = {"1": "Urgent", "2": "High", "3": "Medium", "4": "Plain", "5": "Low"}

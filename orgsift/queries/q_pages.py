@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from .. import rules
 from ..functions.url import host
 from ..operators import classify as C
 from ..operators import crawlplan as P
@@ -9,9 +10,9 @@ from ..operators import extract as X
 from ..operators import html as H
 from ..operators import score as S
 from ..plans import jobs as J
-from ..session import spread
+from ..session import dealt
 from ..sources.tables import read_pages
-from .derived import CATALOG_SQL, catalog_pages
+from .derived import CATALOG_SQL, ODD_SQL, catalog_pages, odd_pages
 from .registry import (lit, query, s_any, s_cap_words, s_caps, s_collapse, s_count, s_home, s_host, s_ladder, s_pattern,
                        s_strip_blocks, s_unescape, s_untag, s_words, table)
 
@@ -26,7 +27,7 @@ TITLE_SQL = s_collapse(s_unescape("regexp_extract(html, '(?is)<title[^>]*>(.*?)<
 
 
 def pages_of(spark, sf):
-    return spread(read_pages(spark, f"{sf}/pages.parquet"))
+    return dealt(read_pages(spark, f"{sf}/pages.parquet"))
 
 
 def titled(spark, sf):
@@ -83,9 +84,37 @@ def _(spark, sf):
 
 
 @query("x4_external_links", f"""WITH {CATALOG_SQL} SELECT page_id, 'https://u' || k || '.example.edu/university/' AS target, name || ' University' AS text
-  FROM parts WHERE size % 5 <> 0 UNION ALL SELECT page_id, 'https://a' || k || '.example.org/', 'site' FROM parts""")
+  FROM parts WHERE size % 5 <> 0 UNION ALL SELECT page_id, 'https://a' || k || '.example.org/', 'site' FROM parts
+  UNION ALL SELECT page_id, 'javascript:void(0)', name || ' School' FROM parts""")
 def _(spark, sf):
-    return X.external_links(H.flat_links(catalog_pages(spark, sf))).filter("href not like 'javascript:%'").select("page_id", "target", "text")
+    return X.external_links(H.flat_links(catalog_pages(spark, sf))).select("page_id", "target", "text")
+
+
+@query("x4_odd_links", f"WITH {ODD_SQL} SELECT page_id, no, href, text, target FROM odd WHERE href <> '' AND text <> ''")
+def _(spark, sf):
+    return X.external_links(H.flat_links(odd_pages(spark, sf)), internal=True).select("page_id", "no", "href", "text", "target")
+
+
+@query("x4_odd_links_of_elements", f"WITH {ODD_SQL} SELECT page_id, no, href, text FROM odd")
+def _(spark, sf):
+    return H.links_of_elements(H.page_elements(odd_pages(spark, sf))).select("page_id", "no", "href", "text")
+
+
+@query("x5_odd_companies", f"""WITH {ODD_SQL} SELECT text AS name, target, arg_min(url, (page_id, no)) AS source FROM odd WHERE href <> '' AND length(text) > 3 AND length(text) < 100
+  AND target NOT LIKE '%/unq%' GROUP BY 1, 2""")
+def _(spark, sf):
+    return J.simple_companies(odd_pages(spark, sf))
+
+
+@query("x23_odd_hosts", f"""WITH {ODD_SQL} SELECT page_id, target, text AS name, 0.85::DOUBLE AS confidence, 'link_analysis' AS method FROM odd WHERE no = 1""")
+def _(spark, sf):
+    found = X.host_named_orgs(H.flat_links(odd_pages(spark, sf)), text_test=lambda c: F.col(c) != "")
+    return found.filter("method = 'link_analysis'").select("page_id", "target", "name", "confidence", "method")
+
+
+@query("x25_odd_frontier", f"WITH {ODD_SQL} SELECT target AS url, 5::BIGINT AS priority FROM odd WHERE href <> '' AND text IN ('FooBar', 'open')")
+def _(spark, sf):
+    return P.frontier_candidates(X.external_links(H.flat_links(odd_pages(spark, sf)), internal=True), ("foobar", "open"))
 
 
 _BLOCK = ("from", "with", "nicht", "pour")
@@ -172,10 +201,18 @@ def _(spark, sf):
     return X.entity_guided_orgs(H.page_elements(pages), ents).select("page_id", "name", "org_type", "target", "confidence")
 
 
-@query("x22_link_context", f"""WITH {CATALOG_SQL} SELECT page_id, k::BIGINT AS k, 'see' || 'more research' AS context FROM parts""")
+# the parent and its parent, as far as their texts are shorter than 500 characters
+@query("x22_link_context", f"""WITH {CATALOG_SQL}, body AS (SELECT page_id, string_agg(CASE WHEN size % 5 = 0 THEN name || ' College.' ELSE name || ' Universityin town.' END, '' ORDER BY k) AS items FROM parts GROUP BY 1),
+  l AS (SELECT page_id, k, '/part/' || k AS href, name || ' University' AS text, [name || ' University', name || ' University' || brand || '.'] AS up FROM parts
+  UNION ALL SELECT page_id, k, 'https://c' || k || '.example.com/', '', [name || ' College', items] FROM parts JOIN body USING (page_id) WHERE size % 5 = 0
+  UNION ALL SELECT page_id, k, 'https://u' || k || '.example.edu/university/', name || ' University', [name || ' Universityin town', items] FROM parts JOIN body USING (page_id) WHERE size % 5 <> 0
+  UNION ALL SELECT page_id, k, '../inst/' || k, 'go', [name || ' Institute of Technologygo', NULL] FROM parts
+  UNION ALL SELECT page_id, k, 'https://a' || k || '.example.org/', 'site', [name || ' Academysite', NULL] FROM parts
+  UNION ALL SELECT page_id, k, 'javascript:void(0)', name || ' School', [name || ' School', NULL] FROM parts
+  UNION ALL SELECT page_id, k, '?col=' || k, 'more research', ['seemore research', NULL] FROM parts)
+  SELECT page_id, href, text, array_to_string(list_filter(up, lambda t: t IS NOT NULL AND length(t) > 0 AND length(t) < 500), ' ') AS context FROM l""")
 def _(spark, sf):
-    rows = X.link_context(H.page_elements(catalog_pages(spark, sf))).filter("text = 'more research'")
-    return rows.select("page_id", F.regexp_extract("href", r"(\d+)$", 1).cast("long").alias("k"), "context")
+    return X.link_context(H.page_elements(catalog_pages(spark, sf))).select("page_id", "href", "text", "context")
 
 
 _HOSTED = f"""SELECT page_id, 'https://u' || k || '.example.edu/university/' AS target, name || ' University' AS name, 0.85::DOUBLE AS confidence,
@@ -212,7 +249,12 @@ def _(spark, sf):
 _FRONT = ("der", "the", "de", "und")
 
 
-@query("x25_frontier", f"WITH {LINKS_SQL} SELECT target AS url, 5::BIGINT AS priority FROM links WHERE href <> '' AND text <> '' AND {s_any('lower(text)', _FRONT)}")
+def _crawlable_sql(x, ext=rules.SKIPPED_EXTENSIONS, social=rules.SOCIAL_HOSTS):
+    ends = " OR ".join(f"ends_with(lower({x}), {lit(e)})" for e in ext)
+    return f"({s_host(x)} <> '' AND NOT ({ends}) AND NOT {s_any(s_host(x), social)})"
+
+
+@query("x25_frontier", f"WITH {LINKS_SQL} SELECT target AS url, 5::BIGINT AS priority FROM links WHERE href <> '' AND text <> '' AND {s_any('lower(text)', _FRONT)} AND {_crawlable_sql('target')}")
 def _(spark, sf):
     return P.frontier_candidates(links_of(spark, sf), _FRONT)
 
@@ -342,11 +384,16 @@ def _(spark, sf):
     return _joined(spark, sf).select("page_id", "no", "homepage_url", "organization_type")
 
 
+# the group named for the agent stands before the group for all; the first fitting rule of it decides
 _ROBOT_SQL = f"""hosts AS (SELECT DISTINCT {s_host('url')} AS host FROM pages WHERE NOT contains(url, '.org')),
  robots AS (SELECT host, '*' AS agent, 1 AS seq, '/fr/' AS path_prefix, false AS allow FROM hosts UNION ALL SELECT host, '*', 2, '/de/1', false FROM hosts
-  UNION ALL SELECT host, 'other', 0, '/', false FROM hosts UNION ALL SELECT host, 'sifter', 3, '/', true FROM hosts UNION ALL SELECT host, '*', 4, '/en', false FROM hosts),
- hit AS (SELECT p.page_id, r.seq, r.allow FROM pages p JOIN robots r ON r.host = {s_host('p.url')} AND r.agent IN ('*', 'sifter')
-  AND starts_with(CASE WHEN regexp_extract(p.url, '^[a-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(p.url, '^[a-z]+://[^/?#]*([^?#]*)', 1) END, r.path_prefix))"""
+  UNION ALL SELECT host, 'other', 0, '/', false FROM hosts UNION ALL SELECT host, '*', 6, '/en', false FROM hosts
+  UNION ALL SELECT host, 'Sifter', 3, '/en/8', false FROM hosts WHERE starts_with(host, 'm.') UNION ALL SELECT host, 'Sifter', 4, '/es/', true FROM hosts WHERE starts_with(host, 'm.')
+  UNION ALL SELECT host, 'Sifter', 5, '/', true FROM hosts WHERE starts_with(host, 'm.')),
+ own AS (SELECT host, max(agent) AS agent FROM robots WHERE agent IN ('*', 'Sifter') GROUP BY 1),
+ asked AS (SELECT page_id, {s_host('url')} AS host, regexp_extract(url, '^[a-z]+://[^/?#]*(.*)$', 1) AS rest FROM pages),
+ hit AS (SELECT p.page_id, r.seq, r.allow FROM asked p JOIN own USING (host) JOIN robots r ON r.host = p.host AND r.agent = own.agent
+  AND starts_with(CASE WHEN rest = '' THEN '/' ELSE rest END, r.path_prefix))"""
 
 
 @query("j8_robots", f"""WITH {_ROBOT_SQL} SELECT p.page_id, coalesce((SELECT arg_min(allow, seq) FROM hit h WHERE h.page_id = p.page_id), true) AS allowed FROM pages p""")
@@ -354,24 +401,26 @@ def _(spark, sf):
     pages = pages_of(spark, sf)
     hosts = pages.filter("url not like '%.org%'").select(host("url").alias("host")).distinct()
     rule = lambda agent, seq, prefix, allow: F.struct(F.lit(agent).alias("agent"), F.lit(seq).alias("seq"), F.lit(prefix).alias("path_prefix"), F.lit(allow).alias("allow"))
-    robots = hosts.select("host", F.explode(F.array(rule("*", 1, "/fr/", False), rule("*", 2, "/de/1", False), rule("other", 0, "/", False),
-                                                    rule("sifter", 3, "/", True), rule("*", 4, "/en", False))).alias("_r")).select("host", "_r.*")
-    return P.robots_filter(pages.select("page_id", "url"), robots, "sifter").select("page_id", "allowed")
+    every = [rule("*", 1, "/fr/", False), rule("*", 2, "/de/1", False), rule("other", 0, "/", False), rule("*", 6, "/en", False)]
+    mobile = [rule("Sifter", 3, "/en/8", False), rule("Sifter", 4, "/es/", True), rule("Sifter", 5, "/", True)]
+    listed = F.when(F.startswith("host", F.lit("m.")), F.array(*every, *mobile)).otherwise(F.array(*every))
+    robots = hosts.select("host", F.explode(listed).alias("_r")).select("host", "_r.*")
+    return P.robots_filter(pages.select("page_id", "url"), robots, "sifter/1.0").select("page_id", "allowed")
 
 
-@query("j10_unvisited", f"""WITH {LINKS_SQL}, f AS (SELECT target AS url, min(page_id * 1000 + no) AS arrival FROM links GROUP BY 1)
-  SELECT url, arrival::BIGINT AS arrival FROM f WHERE url NOT IN (SELECT target FROM links WHERE page_id % 3 = 0)""")
+@query("j10_unvisited", f"""WITH {LINKS_SQL}, f AS (SELECT target AS url, min((page_id, no)) AS m FROM links GROUP BY 1)
+  SELECT url, m[1]::BIGINT AS page_id, m[2]::BIGINT AS no FROM f WHERE url NOT IN (SELECT target FROM links WHERE page_id % 3 = 0)""")
 def _(spark, sf):
     links = links_of(spark, sf)
-    frontier = links.select(F.col("target").alias("url"), (F.col("page_id") * 1000 + F.col("no")).alias("arrival"))
-    return P.unvisited(frontier, links.filter("page_id % 3 = 0").select(F.col("target").alias("url")))
+    frontier = links.select(F.col("target").alias("url"), "page_id", "no")
+    return P.unvisited(frontier, links.filter("page_id % 3 = 0").select(F.col("target").alias("url")), ["page_id", "no"])
 
 
-@query("l6_frontier_order", f"""WITH {LINKS_SQL} SELECT target AS url, priority::BIGINT AS priority, arrival::BIGINT AS arrival FROM (SELECT target, length(text) % 4 AS priority, page_id * 1000 + no AS arrival FROM links)
-  ORDER BY priority DESC, arrival LIMIT 10000""")
+@query("l6_frontier_order", f"""WITH {LINKS_SQL} SELECT target AS url, page_id, no, length(text) % 4 AS priority,
+  row_number() OVER (ORDER BY length(text) % 4 DESC, page_id, no)::BIGINT AS place FROM links""")
 def _(spark, sf):
-    links = links_of(spark, sf).select(F.col("target").alias("url"), (F.length("text") % 4).alias("priority"), (F.col("page_id") * 1000 + F.col("no")).alias("arrival"))
-    return P.order_frontier(links)
+    links = links_of(spark, sf).select(F.col("target").alias("url"), (F.length("text") % 4).alias("priority"), "page_id", "no")
+    return P.order_frontier(links, ["page_id", "no"], width=64)
 
 
 @query("w2_politeness_schedule", f"""SELECT page_id, host, slot::BIGINT AS slot, (slot * 1.5)::DOUBLE AS earliest_s FROM (SELECT page_id, {s_host('url')} AS host,

@@ -145,19 +145,20 @@ def _(spark, sf):
 
 # a gazetteer of nations and part names, tagged in offers and conversations
 _GAZ_SQL = """gaz AS (SELECT DISTINCT country AS phrase, 'GPE' AS label FROM countries UNION SELECT 'merit scholarship', 'MONEY' UNION SELECT 'plain university', 'ORG' UNION SELECT 'university', 'ORG'
-  UNION SELECT 'high college of', 'ORG' UNION SELECT DISTINCT lower(c_mktsegment), 'PERSON' FROM customer)"""
+  UNION SELECT 'high college of', 'ORG' UNION SELECT 'public school in springfield ma', 'GPE' UNION SELECT 'college of norway is a private', 'ORG' UNION SELECT DISTINCT lower(c_mktsegment), 'PERSON' FROM customer)"""
 
 
 def gazetteer(spark, sf):
     n = countries(spark, sf).select(F.col("country").alias("phrase"), F.lit("GPE").alias("label"))
-    fixed = [("merit scholarship", "MONEY"), ("plain university", "ORG"), ("university", "ORG"), ("high college of", "ORG")]
+    fixed = [("merit scholarship", "MONEY"), ("plain university", "ORG"), ("university", "ORG"), ("high college of", "ORG"),
+             ("public school in springfield ma", "GPE"), ("college of norway is a private", "ORG")]
     more = spark.createDataFrame(fixed, "phrase string, label string")
     seg = table(spark, sf, "customer").select(F.lower("c_mktsegment").alias("phrase"), F.lit("PERSON").alias("label"))
     return n.unionByName(more).unionByName(seg).distinct()
 
 
 @query("x19_gazetteer_entities", f"""WITH {OFFERS_SQL}, {QUERIES_SQL}, {_GAZ_SQL}, tok AS (SELECT offer_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS t FROM offers),
-  pos AS (SELECT offer_id, t, unnest(range(len(t))) AS word_no FROM tok), gram AS (SELECT offer_id, word_no, n, array_to_string(t[word_no + 1:word_no + n], ' ') AS phrase FROM pos, range(1, 4) r(n) WHERE word_no + n <= len(t)),
+  pos AS (SELECT offer_id, t, unnest(range(len(t))) AS word_no FROM tok), gram AS (SELECT offer_id, word_no, n, array_to_string(t[word_no + 1:word_no + n], ' ') AS phrase FROM pos, range(1, 7) r(n) WHERE word_no + n <= len(t)),
   hit AS (SELECT g.*, label FROM gram g JOIN gaz USING (phrase))
   SELECT offer_id, word_no::BIGINT AS word_no, n::BIGINT AS n, phrase, label, CASE WHEN label = 'ORG' AND {s_any('phrase', rules.ENTITY_INDICATORS)} THEN 'university' WHEN label = 'ORG' THEN 'organization'
     WHEN label = 'GPE' THEN 'location' WHEN label = 'PERSON' THEN 'person' WHEN label = 'MONEY' THEN 'amount' ELSE 'deadline' END AS kind

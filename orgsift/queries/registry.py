@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, types as T, functions as F
 
-from ..session import spread
+from ..session import dealt
 
 QUERIES, SQL = {}, {}
 TEXTS = ("documents", "pages", "conversations", "orders")  # tables whose rows are costly to scan
@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A given table; its wall-clock times are read as UTC instants."""
     df = spark.read.parquet(f"{sf}/{name}.parquet")
     times = {f.name: F.col(f.name).cast("timestamp") for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)}
-    df = spread(df) if name in TEXTS else df
+    df = dealt(df) if name in TEXTS else df
     return df.withColumns(times) if times else df
 
 

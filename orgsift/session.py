@@ -2,12 +2,19 @@
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+SCAN_PARTITIONS = "spark.orgsift.scan.partitions"
 
 
 def local_session(name: str = "orgsift", cores: str = "*", partitions: int = 8) -> SparkSession:
-    """A session for tests and benchmarks on one machine."""
-    return (SparkSession.builder.master(f"local[{cores}]").appName(name)
+    """A session for tests and benchmarks on one machine.
+
+    The given tables are single files there, so scans of pages and texts are dealt over the cores;
+    a cluster leaves SCAN_PARTITIONS unset and sizes its splits with spark.sql.files.maxPartitionBytes.
+    """
+    builder = SparkSession.builder.config(SCAN_PARTITIONS, cores) if cores.isdigit() else SparkSession.builder
+    return (builder.master(f"local[{cores}]").appName(name)
             .config("spark.sql.shuffle.partitions", str(partitions))
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
@@ -19,33 +26,30 @@ def local_session(name: str = "orgsift", cores: str = "*", partitions: int = 8)
             .getOrCreate())
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder and go on from the written copy.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session.
 
-    A cluster names a shared folder in spark.checkpoint.dir, and that one is used.  Only a
-    local session without the setting gets a folder of its own.
+    A cluster names a folder that all executors share in spark.checkpoint.dir.  Only a session on one
+    machine that names none gets a folder of its own.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="orgsift-ckpt-")
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="orgsift-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Share a scan of fewer files than there are cores over all cores, for work that is heavy per row.
-
-    A table of many files is left as it is, so nothing is shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write df to the checkpoint folder and go on from the written copy."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 200000) -> DataFrame:
-    """Mark a table for broadcasting when a count proves it small; a larger one joins by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def dealt(df: DataFrame) -> DataFrame:
+    """A scan over as many partitions as SCAN_PARTITIONS says; as it is read when that is not set."""
+    partitions = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(partitions)) if partitions else df

@@ -1,5 +1,7 @@
 """Element arrays and extractors on a page with the awkward cases."""
 
+import time
+
 from orgsift.operators import extract as X
 from orgsift.operators import html as H
 from orgsift.plans import jobs as J
@@ -84,3 +86,24 @@ def test_partitions_do_not_matter(spark):
         orgs, _ = J.mine_pages(pages(spark).repartition(n))
         rows.append(pairs(orgs, "name", "url", "confidence"))
     assert rows[0] == rows[1] == rows[2]
+
+
+def test_odd_links(spark):
+    page = "<a href=/unq>U</a><a href='x?a&amp;b'>Universit&eacute; &#233;</a><a href=y>Foo <b>Bar</b></a><a href=z>open"
+    got = H.flat_links(spark.createDataFrame([(1, URL, page), (2, URL, None)], "page_id long, url string, html string"))
+    assert pairs(got, "no", "href", "text") == [(0, "/unq", "U"), (1, "x?a&b", "Université é"), (2, "y", "FooBar"), (3, "z", "open")]
+
+
+def test_many_headings_on_one_page(spark):
+    n = 8000
+    page = "".join(f"<h3>Heading {i} College</h3><p>see <a href='/{i}'>more</a></p><table><tr><td>Cell {i}</td><td><a href='/c{i}'>c</a></td></tr></table>" for i in range(n))
+    start = time.time()
+    rows = X.heading_candidates(H.page_elements(spark.createDataFrame([(1, URL, page)], "page_id long, url string, html string"))).select("name", "target").collect()
+    assert len(rows) == n and time.time() - start < 20
+    assert all(r.target.endswith("/" + r.name.split()[1]) for r in rows)
+
+
+def test_meta_decodes_all_references(spark):
+    page = "<title>Universit&eacute; &#x41;&nbsp;&amp;</title><meta name=Description content='caf&eacute; &lt;b&gt;'><meta property=\"og:x\" content=plain>"
+    row = H.page_meta(spark.createDataFrame([(1, URL, page)], "page_id long, url string, html string")).first()
+    assert row.title == "Université A &" and row.description == "café <b>" and row.meta["og:x"] == "plain"
