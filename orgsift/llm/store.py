@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one is set here only for a local session that names none."""
-    sc = spark.sparkContext
-    named = sc._jsc.sc().getCheckpointDir()
-    if named.isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="orgsift-")
-        sc.setCheckpointDir(folder)
-        named = sc._jsc.sc().getCheckpointDir()
-    return named.get().rstrip("/")
+from pyspark.sql import DataFrame
+
+from ..session import shared_folder
 
 
 def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
