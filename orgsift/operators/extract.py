@@ -2,7 +2,7 @@
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import rules
 from ..functions.text import (any_pattern, any_word, before_first_separator, collapse, has,
@@ -270,8 +270,18 @@ def _beside(pieces: str, first: str, pad: int, left: bool) -> str:
     return f"CASE WHEN length({cut(8)}) >= {pad} THEN {cut(8)} ELSE {cut(2 * pad)} END"
 
 
-def _scan(docs: DataFrame, key: str, text: str, scans, pad: int = 0) -> DataFrame:
-    """Hits of scans (labels, pattern, group): key, labels, hit_no, hit, part, gap and, with pad, before and after.
+_RUN = 64  # hits whose lengths are added up one by one
+
+# lengths of a gap and its hit; sums of whole runs; where each run begins; where a hit begins
+_LENGTHS = "transform(_h, (h, i) -> CAST(length(get(_g, i)) + length(h) AS bigint))"
+_RUN_SUMS = f"transform(sequence(0, size(_l) DIV {_RUN}), b -> aggregate(slice(_l, b * {_RUN} + 1, {_RUN}), 0L, (t, x) -> t + x))"
+_RUN_STARTS = "aggregate(_l, named_struct('a', array(0L), 't', 0L), (r, x) -> named_struct('a', array_append(r.a, r.t + x), 't', r.t + x)).a"
+_START = f"get(_l_starts, no DIV {_RUN}) + aggregate(slice(_l, (no DIV {_RUN}) * {_RUN} + 1, no % {_RUN}), 0L, (t, x) -> t + x) + length(get(_g, no))"
+
+
+def _scan(docs: DataFrame, key: str, text: str, scans, pad: int = 0, offsets: bool = False) -> DataFrame:
+    """Hits of scans (labels, pattern, group): key, labels, hit_no, hit, part and, with pad, before and after;
+    with offsets, start_pos and end_pos counted from 0.
 
     Every text meets the fixed list of patterns inside its row.  Where a pattern hits, the text is
     cut into the gaps between hits and the hits; what stands beside a hit is joined from its
@@ -284,7 +294,11 @@ def _scan(docs: DataFrame, key: str, text: str, scans, pad: int = 0) -> DataFram
     df = once(df, _k=F.get(known, F.col("_i"))).select(key, "_text", "_h", "_k.*")
     df = once(df, _g=F.expr("split(_text, _pat, -1)"),
               _n=F.expr("CASE WHEN _grp > 0 THEN regexp_extract_all(_text, _pat, _grp) ELSE _h END")).drop("_text", "_pat", "_grp")
-    fields = ["no AS hit_no", "h AS hit", "get(_n, no) AS part", "length(get(_g, no)) AS gap"]
+    fields = ["no AS hit_no", "h AS hit", "get(_n, no) AS part"]
+    if offsets:
+        df = once(df, _l=F.expr(_LENGTHS))
+        df = once(df, _l_starts=F.expr(_RUN_STARTS.replace("aggregate(_l,", f"aggregate({_RUN_SUMS},", 1)))
+        fields += [f"{_START} AS start_pos", f"{_START} + length(h) AS end_pos"]
     if pad:
         df = once(df, _p=F.expr("concat(flatten(zip_with(slice(_g, 1, size(_h)), _h, (g, h) -> array(g, h))), slice(_g, size(_h) + 1, 1))"))
         fields += [f"CASE WHEN length(get(_g, no)) >= {pad} THEN right(get(_g, no), {pad}) ELSE {_beside('_p', '(no * 2 + 1)', pad, True)} END AS before",
@@ -293,18 +307,9 @@ def _scan(docs: DataFrame, key: str, text: str, scans, pad: int = 0) -> DataFram
     return df.select(key, *labels, F.expr(f"inline(transform(_h, (h, no) -> struct({', '.join(fields)})))"))
 
 
-def _with_offsets(hits: DataFrame, keys) -> DataFrame:
-    """start_pos and end_pos, counted from 0: the running length of the gaps and hits before.
-
-    Only short pieces, never the text, reach the window of a document."""
-    so_far = W.partitionBy(*keys).orderBy("hit_no").rowsBetween(W.unboundedPreceding, -1)
-    start = (F.coalesce(F.sum(F.col("gap") + F.length("hit")).over(so_far), F.lit(0)) + F.col("gap")).cast("long")
-    return hits.withColumn("start_pos", start).withColumn("end_pos", F.col("start_pos") + F.length("hit"))
-
-
 def pattern_hits(docs: DataFrame, key: str, text: str, pattern: str, group: int = 0) -> DataFrame:
     """(key, hit_no, start_pos, hit, group text) for every match."""
-    return _with_offsets(_scan(docs, key, text, [({}, pattern, group)]), [key]).select(key, "hit_no", "start_pos", "hit", "part")
+    return _scan(docs, key, text, [({}, pattern, group)], offsets=True).select(key, "hit_no", "start_pos", "hit", "part")
 
 
 def match_contexts(docs: DataFrame, key: str, text: str, patterns, pad: int, flags: str = "iu") -> DataFrame:
@@ -367,7 +372,7 @@ def extract_entities(docs: DataFrame, key: str, text: str, patterns=rules.ENTITY
             group = 1 if kind == "deadline" and plain != p else 0
             labels = {"kind": kind, "pattern_no": no, "confidence": float(confidence)}
             scans.append((labels, "(?iu)" + (p if group else plain), group))
-    rows = _with_offsets(_scan(docs, key, text, scans, pad), [key, "kind", "pattern_no"])
+    rows = _scan(docs, key, text, scans, pad, offsets=True)
     return rows.select(key, "kind", "pattern_no", "hit_no", F.col("part").alias("entity"), "confidence", "start_pos", "end_pos",
                        F.concat("before", "hit", "after").alias("context"))
 

@@ -1,5 +1,5 @@
-"""Whole jobs composed of the operators.  Each takes and returns DataFrames and plans lazily;
-only the greedy duplicate rounds run eagerly."""
+"""Whole jobs composed of the operators.  Each takes and returns DataFrames and plans lazily, but for two
+steps that write what they need several times: the duplicate rounds and the distinct entity texts."""
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -159,16 +159,27 @@ def simple_companies(pages: DataFrame, results: DataFrame = None, blocklist=rule
     return X.simple_company_links(flat_links(pages), blocklist, internal)
 
 
-def rank_results(queries: DataFrame, results: DataFrame, as_of: str, patterns=rules.ENTITY_PATTERNS) -> DataFrame:
-    """Ranked results: query context, entity overlap, eight components, priority, threshold, place."""
+def rank_results(queries: DataFrame, results: DataFrame, as_of: str, patterns=rules.ENTITY_PATTERNS, least: float = 0.2, cut: float = 0.1) -> DataFrame:
+    """Ranked results: query context, entity overlap, eight components, priority, scores joined back onto all
+    results (one without a score gets the default), recognition threshold, order by priority, then the
+    entity relevance threshold and order by it.
+
+    The distinct entity texts are written once while the plan is made (R.entity_relevance).
+    """
     contexts = Q.understand_queries(queries, as_of)
     texts = results.select("query_id", "url", F.concat_ws(". ", "title", "abstract").alias("text"))
     keyed = texts.withColumn("_key", F.struct("query_id", "url"))
-    found = X.extract_entities(keyed, "_key", "text", patterns).select("_key.query_id", "_key.url", "kind", "entity")
-    asked = X.extract_entities(queries, "query_id", "query", patterns).select("query_id", "kind", "entity")
+    compared = [p for p in patterns if p[0] in rules.COMPARED_KINDS]  # other kinds are never looked up
+    found = X.extract_entities(keyed, "_key", "text", compared).select("_key.query_id", "_key.url", "kind", "entity")
+    asked = X.extract_entities(queries, "query_id", "query", compared).select("query_id", "kind", "entity")
     overlap = R.entity_relevance(asked, found, results)
     ranked = R.priority_score(R.rank_components(results, contexts, as_of, overlap))
-    return R.top_results(ranked)
+    scores = ranked.select("query_id", "url", "overall", "confidence", "priority")
+    scored = R.attach_scores(results, scores).withColumns({"overall": F.col("recognition_score"), "priority": F.col("priority_score")})
+    placed = R.top_results(scored, least).withColumnRenamed("place", "recognition_place")
+    known = placed.join(overlap, ["query_id", "url"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0.0)))
+    return R.relevance_cut(known, cut, "relevance", "recognition_place").select(
+        "query_id", "url", "overall", "confidence", "priority", "relevance", "place")
 
 
 def discover_institutions(results: DataFrame, pages: DataFrame, k: int = 20, country: str = None) -> dict:

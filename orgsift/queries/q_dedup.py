@@ -183,7 +183,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Sources, five extractors, cleaning and two merges over the catalog pages; no SQL for the whole chain."""
     pages = catalog_pages(spark, sf)
-    results = pages.select((F.col("page_id") % 5).alias("query_id"), F.col("page_id").alias("pos"), "url", F.lit("Best universities").alias("title"), F.lit("list of universities").alias("abstract"))
+    results = pages.select(F.col("page_id").alias("query_id"), F.col("page_id").alias("pos"), "url", F.lit("Best universities").alias("title"), F.lit("list of universities").alias("abstract"))
     found = J.discover_institutions(results, pages)
     return found["names"].select("name_key", "name", "official_url", "confidence", "quality", "method", "is_verified")
 
@@ -192,7 +192,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Intent-driven extraction over the catalog pages, one search query per page; no SQL for the whole chain."""
     from .q_search import intents_of
-    pages = catalog_pages(spark, sf).withColumn("query_id", F.col("page_id") % 140)
+    pages = catalog_pages(spark, sf).withColumn("query_id", F.col("page_id") + 1)
     return J.extract_for_intent(pages, intents_of(spark, sf))
 
 
@@ -202,7 +202,7 @@ def _(spark, sf):
     from .q_pages import judged
     orgs, _ = J.mine_pages(catalog_pages(spark, sf))
     homes = catalog_pages(spark, sf).withColumn("url", F.regexp_replace("url", "/list/.*", "/"))
-    rows = orgs.filter("method = 'table_extraction'").withColumn("pos", F.regexp_extract("url", r"(\d+)$", 1).cast("long"))
+    rows = orgs.withColumn("pos", F.xxhash64("page_id", "name", "url"))
     verdicts = J.homepage_verdicts(rows, homes)
     return J.validate_orgs(rows, verdicts)["valid"].select("pos", "name", "url", "org_type", "confidence")
 

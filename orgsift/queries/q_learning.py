@@ -68,12 +68,12 @@ def _(spark, sf):
     return L.recommend(profiles).select("c_custkey", "advice", "resource")
 
 
-@query("s9_append_assessment", """WITH a AS (SELECT lang AS language, source AS level, 'old' AS title, doc_id FROM documents WHERE doc_id % 9 = 0), n AS (SELECT lang AS language, source AS level, 'new' AS title, doc_id FROM documents WHERE doc_id % 9 = 4)
+@query("s9_append_assessment", """WITH a AS (SELECT lang AS language, source AS level, 'old' AS title, doc_id FROM documents WHERE doc_id % 2 = 0), n AS (SELECT lang AS language, source AS level, 'new' AS title, doc_id FROM documents WHERE doc_id % 2 = 1)
   SELECT * FROM a UNION ALL SELECT * FROM n WHERE EXISTS (SELECT 1 FROM a WHERE a.language = n.language AND a.level = n.level)""")
 def _(spark, sf):
     d = table(spark, sf, "documents")
-    shape = lambda r, t: d.filter(F.col("doc_id") % 9 == r).select(F.col("lang").alias("language"), F.col("source").alias("level"), F.lit(t).alias("title"), "doc_id")
-    return L.append_assessment(shape(0, "old"), shape(4, "new"))
+    shape = lambda r, t: d.filter(F.col("doc_id") % 2 == r).select(F.col("lang").alias("language"), F.col("source").alias("level"), F.lit(t).alias("title"), "doc_id")
+    return L.append_assessment(shape(0, "old"), shape(1, "new"))
 
 
 @query("s9_upsert_topics", f"WITH {_CURR} SELECT language, level, topic FROM curriculum UNION ALL SELECT lang, 'native', 'Talk ' || doc_id FROM documents WHERE source = 'src5'")

@@ -248,10 +248,12 @@ _OVER = """p AS (SELECT f.query_id, f.url, f.entity, max(CASE WHEN a.q_text = f.
 
 
 def entities_of(spark, sf):
+    """Entities of the kinds that are compared, of results and of queries."""
+    kinds = [p for p in rules.ENTITY_PATTERNS if p[0] in rules.COMPARED_KINDS]
     r = search_results(spark, sf)
     texts = r.select(F.struct("query_id", "url").alias("key"), F.concat_ws(". ", "title", "abstract").alias("t"))
-    found = X.extract_entities(texts, "key", "t").select("key.query_id", "key.url", "kind", "entity")
-    asked = X.extract_entities(queries_of(spark, sf), "query_id", "query").select("query_id", "kind", "entity")
+    found = X.extract_entities(texts, "key", "t", kinds).select("key.query_id", "key.url", "kind", "entity")
+    asked = X.extract_entities(queries_of(spark, sf), "query_id", "query", kinds).select("query_id", "kind", "entity")
     return asked, found, r
 
 
@@ -324,10 +326,19 @@ def _(spark, sf):
     return R.priority_score(ranked(spark, sf)).select("query_id", "url", "priority")
 
 
-@query("l2_ranked_results", f"""WITH {_RANK_SQL}, pr AS (SELECT query_id, url, overall, {_PRIO} AS priority FROM scored)
-  SELECT query_id, url, overall, priority, row_number() OVER (PARTITION BY query_id ORDER BY priority DESC, url) AS place FROM pr WHERE overall >= 0.2""")
+_PLACED = f"""pr AS (SELECT query_id, url, overall, confidence, ner_relevance AS relevance, {_PRIO} AS priority FROM scored),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY priority DESC, url) AS place FROM pr WHERE overall >= 0.2)"""
+
+
+@query("l2_ranked_results", f"""WITH {_RANK_SQL}, {_PLACED} SELECT query_id, url, overall, priority, place FROM placed""")
+def _(spark, sf):
+    return R.top_results(R.priority_score(ranked(spark, sf))).select("query_id", "url", "overall", "priority", "place")
+
+
+@query("job_rank_results", f"""WITH {_RANK_SQL}, {_PLACED} SELECT query_id, url, overall, confidence, priority, relevance,
+  row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, place) AS place FROM placed WHERE relevance >= 0.02""")
 def _(spark, sf):
-    return J.rank_results(queries_of(spark, sf), search_results(spark, sf), AS_OF).select("query_id", "url", "overall", "priority", "place")
+    return J.rank_results(queries_of(spark, sf), search_results(spark, sf), AS_OF, cut=0.02)
 
 
 @query("j1_attach_scores", f"""WITH {RESULTS_SQL}, s AS (SELECT query_id, url, round(pos % 97 / 100.0, 6) AS overall, (pos % 5) / 5.0 AS confidence, round(pos % 89 / 90.0, 6) AS priority FROM results WHERE pos % 3 > 0)
@@ -344,7 +355,7 @@ def _(spark, sf):
 
 
 # the greedy pass over the 2k best sources of a query, as a fold over a list
-_L4 = f"""src AS (SELECT query_id % 20 AS query_id, pos, url, {s_host('url')} AS h, 't' || (pos % 3) AS source_type, round(pos * 7 % 101 / 100.0, 6) AS score FROM results),
+_L4 = f"""src AS (SELECT query_id // 10 AS query_id, pos, url, {s_host('url')} AS h, 't' || (pos % 3) AS source_type, round(pos * 7 % 101 / 100.0, 6) AS score FROM results),
  best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rn FROM src),
  lists AS (SELECT query_id, list(struct_pack(pos := [pos], h := [h], t := [source_type]) ORDER BY rn) AS l FROM best WHERE rn <= 40 GROUP BY 1),
  fold AS (SELECT query_id, list_reduce(l, lambda a, x: CASE WHEN len(list_filter(a.h, lambda z: z = x.h[1])) < 3 AND len(list_filter(a.t, lambda z: z = x.t[1])) < 8
@@ -354,7 +365,7 @@ _L4 = f"""src AS (SELECT query_id % 20 AS query_id, pos, url, {s_host('url')} AS
 @query("l4_diverse_sources", f"WITH {RESULTS_SQL}, {_L4} SELECT query_id, unnest(kept.pos[1:20]) AS pos, unnest(range(1, least(len(kept.pos), 20) + 1)) AS place FROM fold")
 def _(spark, sf):
     r = search_results(spark, sf)
-    src = r.select((F.col("query_id") % 20).alias("query_id"), "pos", "url", F.concat(F.lit("t"), (F.col("pos") % 3).cast("string")).alias("source_type"), F.round(F.col("pos") * 7 % 101 / 100.0, 6).alias("score"))
+    src = r.select(F.floor(F.col("query_id") / 10).alias("query_id"), "pos", "url", F.concat(F.lit("t"), (F.col("pos") % 3).cast("string")).alias("source_type"), F.round(F.col("pos") * 7 % 101 / 100.0, 6).alias("score"))
     return R.diverse_top_k(src, 20).select("query_id", "pos", "place")
 
 
