@@ -1,42 +1,76 @@
 """Duplicate removal: exact, two-key greedy, similar names, name groups and survivorship."""
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import rules
 from ..functions.text import key_core, key_plain, key_without_articles, words
 from ..functions.url import host
 from ..session import cut_lineage
+from .graph import components
 from .ordering import keep_best, keep_first, keep_max  # noqa: F401  (part of this module's surface)
 
 # ------------------------------------------------------- greedy, either key hits
 #
-# A sequential pass keeps a row unless an earlier kept row shares its name or its URL.  The
-# same rows come out in rounds: a row that is the earliest open one for both of its keys is
-# kept, open rows that share a key with a kept row go, and the rest wait for the next round.
+# A sequential pass keeps a row unless an earlier kept row shares its name or its URL.  Rows that no
+# chain of shared keys connects do not touch each other, so the pass runs per connected component:
+# components are dealt to tasks, and each task walks its rows in order.  A component of more than
+# PASS_ROWS rows is first taken apart: a row that is the earliest open one for both of its keys is
+# kept, open rows that share a key with it go, and what is left falls into smaller components.
+
+PASS_ROWS = 1_000_000
+
+
+def _pass_in_order(batches):
+    """Numbers of the rows that a pass over sorted rows keeps."""
+    names, links = set(), set()
+    for rows in batches:
+        kept = []
+        for r, a, b in zip(rows["_r"], rows["_a"], rows["_b"]):
+            if (a is None or a not in names) and (b is None or b not in links):
+                kept.append(r)
+                names.add(a)
+                links.add(b)
+        yield pd.DataFrame({"_r": pd.Series(kept, dtype=rows["_r"].dtype)})
+
+
+def _by_component(rows: DataFrame) -> DataFrame:
+    """Adds the component of each row; a hash stands for a key, and one that two keys share only joins two components."""
+    one, two = F.xxhash64(F.lit("a"), "_a"), F.xxhash64(F.lit("b"), "_b")
+    linked = components(rows.filter("_a is not null and _b is not null").select(one.alias("a"), two.alias("b")))
+    own = rows.withColumn("_node", F.when(F.col("_a").isNotNull(), one).otherwise(two))
+    return own.join(linked, F.col("_node") == F.col("id"), "left").select("_r", "_a", "_b", F.coalesce("component", "_node").alias("_c"))
+
+
+def _one_round(rows: DataFrame):
+    """(kept, still open) after the earliest rows of both keys were kept and their neighbours dropped."""
+    low_a = rows.filter(F.col("_a").isNotNull()).groupBy("_a").agg(F.min("_r").alias("_ma"))
+    low_b = rows.filter(F.col("_b").isNotNull()).groupBy("_b").agg(F.min("_r").alias("_mb"))
+    seen = rows.join(low_a, "_a", "left").join(low_b, "_b", "left")
+    wins = (F.coalesce("_ma", "_r") == F.col("_r")) & (F.coalesce("_mb", "_r") == F.col("_r"))
+    state = cut_lineage(seen.select("_r", "_a", "_b", wins.alias("_win")))
+    won = state.filter("_win")
+    rest = (state.filter("not _win").drop("_win")
+            .join(won.select("_a").filter("_a is not null"), "_a", "left_anti")
+            .join(won.select("_b").filter("_b is not null"), "_b", "left_anti"))
+    return won.select("_r"), rest.select("_r", "_a", "_b")
 
 
-def greedy_dedup(df: DataFrame, keys=("name", "url"), order: str = "pos") -> DataFrame:
-    """Rows the sequential pass would keep.  `order` must be a unique column."""
+def greedy_dedup(df: DataFrame, keys=("name", "url"), order: str = "pos", pass_rows: int = PASS_ROWS) -> DataFrame:
+    """Rows the sequential pass would keep.  `order` must be a unique column; an empty or null key never matches."""
     first, second = [F.nullif(F.lower(F.trim(F.col(k))), F.lit("")) for k in keys]
     rows = df.select(F.col(order).alias("_r"), first.alias("_a"), second.alias("_b"))
+    keyless = rows.filter("_a is null and _b is null").select("_r")
     # equal rows on both keys: the first stands for all
-    rows = rows.groupBy("_a", "_b").agg(F.min("_r").alias("_r")).unionByName(
-        rows.filter(F.col("_a").isNull() & F.col("_b").isNull()).select("_a", "_b", "_r")).distinct()
-    open_rows, kept = cut_lineage(rows), None
+    rows = rows.filter("_a is not null or _b is not null").groupBy("_a", "_b").agg(F.min("_r").alias("_r")).select("_r", "_a", "_b")
+    kept, open_rows = keyless, cut_lineage(rows)
+    schema = rows.select("_r").schema
     while not open_rows.isEmpty():
-        low_a = open_rows.filter(F.col("_a").isNotNull()).groupBy("_a").agg(F.min("_r").alias("_ma"))
-        low_b = open_rows.filter(F.col("_b").isNotNull()).groupBy("_b").agg(F.min("_r").alias("_mb"))
-        seen = open_rows.join(low_a, "_a", "left").join(low_b, "_b", "left")
-        wins = (F.coalesce("_ma", "_r") == F.col("_r")) & (F.coalesce("_mb", "_r") == F.col("_r"))
-        state = cut_lineage(seen.select("_r", "_a", "_b", wins.alias("_win")))
-        won = state.filter("_win").select("_r", "_a", "_b")
-        kept = won.select("_r") if kept is None else kept.unionByName(won.select("_r"))
-        open_rows = cut_lineage(
-            state.filter("not _win").drop("_win")
-            .join(won.select("_a").filter("_a is not null"), "_a", "left_anti")
-            .join(won.select("_b").filter("_b is not null"), "_b", "left_anti"))
-    if kept is None:
-        return df.limit(0)
+        placed = cut_lineage(_by_component(open_rows))
+        large = placed.groupBy("_c").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > pass_rows).select("_c")
+        passed = placed.join(large, "_c", "left_anti").repartition("_c").sortWithinPartitions("_r").mapInPandas(_pass_in_order, schema)
+        won, rest = _one_round(placed.join(large, "_c", "left_semi"))
+        kept, open_rows = cut_lineage(kept.unionByName(passed).unionByName(won)), cut_lineage(rest)
     return df.join(kept, df[order] == kept["_r"], "left_semi")
 
 

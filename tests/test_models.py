@@ -146,3 +146,17 @@ def test_spread_rank_of_a_hot_key(spark):
 def test_retry_and_schedule(spark):
     got = [r.delay_s for r in P.retry_plan(spark.createDataFrame([(0,), (1,), (2,), (3,)], "attempt int"), 3.0, 2.0, 5.0, 3).orderBy("attempt").collect()]
     assert got == [0.0, 3.0, 5.0]
+
+
+def test_greedy_dedup_takes_large_components_apart(spark):
+    rnd = random.Random(11)
+    rows = [(i, f"n{rnd.randrange(60)}", rnd.choice(["", f"u{rnd.randrange(60)}"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "pos long, name string, url string")
+    assert sorted(r.pos for r in D.greedy_dedup(df, pass_rows=20).collect()) == fold_two_keys(rows)
+
+
+def test_greedy_dedup_of_a_long_chain(spark):
+    n = 30_000
+    df = spark.range(n).select(F.col("id").alias("pos"), F.concat(F.lit("n"), F.floor((F.col("id") + 1) / 2)).alias("name"),
+                               F.concat(F.lit("u"), F.floor(F.col("id") / 2)).alias("url"))
+    assert D.greedy_dedup(df).count() == n // 2
