@@ -9,7 +9,7 @@ from ..functions.text import (any_pattern, any_word, before_first_separator, col
                               once, salvage_block, stripped, words)
 from ..functions.url import host, host_label_name, is_http, resolve
 from .classify import is_institution, is_institution_strict, is_valid_name
-from .html import page_text
+from .html import flat_links, links_of_elements, page_elements, page_text
 from .score import heading_quality, link_quality, list_quality, pattern_confidence, table_quality
 
 _SKIPPED_LINK = r"^(#|mailto:|tel:)"
@@ -497,6 +497,33 @@ def salvage_json(df: DataFrame, text: str) -> DataFrame:
             .drop("_block"))
 
 
+# ------------------------------------------------------------- extractors by method
+
+#: method -> (input, extractor): the input is "elements" (page_elements), "links" (flat_links) or "pages".
+EXTRACTORS = {
+    "structured_data": ("pages", jsonld_orgs),
+    "link_analysis": ("links", external_links),
+    "table_extraction": ("elements", table_candidates),
+    "list_extraction": ("elements", list_candidates),
+    "selector": ("elements", selector_candidates),
+    "heading_extraction": ("elements", heading_candidates),
+    "emphasis": ("elements", emphasis_candidates),
+    "microdata": ("elements", microdata_orgs),
+    "host_names": ("links", host_named_orgs),
+    "link_pattern": ("links", link_pattern_names),
+}
+
+
+def extract_by_method(pages: DataFrame, method: str, elements: DataFrame = None) -> DataFrame:
+    """Candidates of one method from stored pages; parsed elements can be passed on to several methods."""
+    kind, extractor = EXTRACTORS[method]
+    if kind == "pages":
+        return pages.transform(extractor)
+    if kind == "links":
+        return (links_of_elements(elements) if elements is not None else flat_links(pages)).transform(extractor)
+    return (elements if elements is not None else page_elements(pages)).transform(extractor)
+
+
 def page_names(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """X-14 over the text of stored pages."""
     return pattern_names(pages.select(key, page_text("html").alias("text")), key, "text")

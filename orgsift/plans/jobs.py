@@ -14,7 +14,7 @@ from ..operators import learning as L
 from ..operators import quality as V
 from ..operators import rank as R
 from ..operators import score as S
-from ..operators.html import flat_links, main_text, page_elements, page_meta, page_text, title_of
+from ..operators.html import flat_links, links_of_elements, main_text, page_elements, page_meta, page_text, title_of
 from ..operators.ordering import keep_best
 from ..sources.tables import append_reclassified
 
@@ -109,9 +109,9 @@ def homepage_verdicts(orgs: DataFrame, pages: DataFrame) -> DataFrame:
     """Each homepage that an organisation needs is judged once; other pages are not even parsed."""
     wanted = orgs.select(homepage("url").alias("url")).distinct()
     needed = pages.join(wanted, "url", "left_semi")
-    texts = main_text(needed.withColumns({"title": title_of("html")})).select("page_id", "title", "main_text")
-    metas = page_meta(needed).select("page_id", "url", "description")
-    return C.validate_homepages(metas.join(texts, "page_id"))
+    texts = main_text(needed.withColumn("_head", F.col("html")))
+    heads = page_meta(texts.withColumnRenamed("_head", "html")).select("page_id", "url", "title", "description", "main_text")
+    return C.validate_homepages(heads)
 
 
 def validate_orgs(orgs: DataFrame, verdicts: DataFrame, search_results: DataFrame = None) -> dict:
@@ -195,7 +195,7 @@ def discover_institutions(results: DataFrame, pages: DataFrame, k: int = 20, cou
                             "quality", "method", F.col("target").alias("official_url"))
 
     heads = X.heading_candidates(elements).filter(C.is_institution("name"))
-    links = X.link_pattern_names(flat_links(wanted))
+    links = X.link_pattern_names(links_of_elements(elements))
     texts = X.page_names(wanted).join(wanted.select("page_id", "url"), "page_id").select(
         "page_id", F.col("url").alias("source_url"), F.lit(0).cast("long").alias("pos"), "name", "confidence",
         S.name_quality("name").alias("quality"), "method", F.lit(None).cast("string").alias("official_url"))

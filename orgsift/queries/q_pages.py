@@ -1,5 +1,7 @@
 """Queries over stored pages: the given `pages`, and catalog pages built from `part`."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -10,9 +12,9 @@ from ..operators import extract as X
 from ..operators import html as H
 from ..operators import score as S
 from ..plans import jobs as J
-from ..session import dealt
-from ..sources.tables import read_pages
-from .derived import CATALOG_SQL, ODD_SQL, catalog_pages, odd_pages
+from ..session import dealt, shared_folder
+from ..sources.tables import flatten_for_csv, read_pages, read_search_results, write_outputs
+from .derived import CATALOG_SQL, NAMES_SQL, ODD_SQL, RESULTS_SQL, catalog_pages, institution_names, odd_pages, search_results
 from .registry import (lit, query, s_any, s_cap_words, s_caps, s_collapse, s_count, s_home, s_host, s_ladder, s_pattern,
                        s_strip_blocks, s_unescape, s_untag, s_words, table)
 
@@ -293,20 +295,23 @@ _SKW, _SPW, _SLW = ("the", "nicht", "la ", "and"), ("blog", "www", "utm", "page"
 _TEXT = s_strip_blocks("html", H.STRIPPED_TAGS)
 
 
-def _tier_sql():
-    listed = "greatest(" + ", ".join(f"CASE WHEN {s_any('u', p)} THEN {v} ELSE 0.0 END" for _, v, p in _LISTS) + ")"
-    listed_type = "CASE " + " ".join(f"WHEN {s_any('u', p)} THEN {lit(t)}" for t, _, p in reversed(_LISTS)) + " ELSE 'general' END"
-    host_score = "CASE " + " ".join(f"WHEN {s_any('u', p)} THEN {v}" for _, v, p in _TIERS) + f" ELSE {listed} END"
-    host_type = "CASE " + " ".join(f"WHEN {s_any('u', p)} THEN {lit(t)}" for t, _, p in _TIERS) + f" ELSE {listed_type} END"
-    cont = "greatest(" + ", ".join(f"CASE WHEN {s_pattern('x', p, '')} THEN {v} ELSE 0.0 END" for _, v, p in _CONT) + ")"
-    cont_type = "CASE " + " ".join(f"WHEN {s_pattern('x', p, '')} THEN {lit(t)}" for t, _, p in reversed(_CONT)) + " ELSE 'general' END"
-    return f"""WITH b AS (SELECT page_id, url, lower(url) AS u, lower({TITLE_SQL} || ' ' || {s_collapse(s_untag(_TEXT))}) AS x FROM pages),
-  s AS (SELECT page_id, url, ({host_score})::DOUBLE AS hs, {host_type} AS ht, ({cont})::DOUBLE + least({s_count('x', _SKW)} * 0.1, 0.3)::DOUBLE AS cs, {cont_type} AS ct,
-    least({s_count('u', _SPW)} * 0.1 + {s_count('u', _SLW)} * 0.05, 0.5)::DOUBLE AS us FROM b)
+def _tier_sql(base, tiers, lists, contents, words, path_words, list_words):
+    listed = "greatest(" + ", ".join(f"CASE WHEN {s_any('u', p)} THEN {v} ELSE 0.0 END" for _, v, p in lists) + ")"
+    listed_type = "CASE " + " ".join(f"WHEN {s_any('u', p)} THEN {lit(t)}" for t, _, p in reversed(lists)) + " ELSE 'general' END"
+    host_score = "CASE " + " ".join(f"WHEN {s_any('u', p)} THEN {v}" for _, v, p in tiers) + f" ELSE {listed} END"
+    host_type = "CASE " + " ".join(f"WHEN {s_any('u', p)} THEN {lit(t)}" for t, _, p in tiers) + f" ELSE {listed_type} END"
+    cont = "greatest(" + ", ".join(f"CASE WHEN {s_pattern('x', p, '')} THEN {v} ELSE 0.0 END" for _, v, p in contents) + ")"
+    cont_type = "CASE " + " ".join(f"WHEN {s_pattern('x', p, '')} THEN {lit(t)}" for t, _, p in reversed(contents)) + " ELSE 'general' END"
+    return f"""WITH {base},
+  s AS (SELECT page_id, url, ({host_score})::DOUBLE AS hs, {host_type} AS ht, ({cont})::DOUBLE + least({s_count('x', words)} * 0.1, 0.3)::DOUBLE AS cs, {cont_type} AS ct,
+    least({s_count('u', path_words)} * 0.1 + {s_count('u', list_words)} * 0.05, 0.5)::DOUBLE AS us FROM b)
   SELECT page_id, url, round(hs + cs + us, 6) AS score, CASE WHEN ct <> 'general' THEN ct ELSE ht END AS source_type FROM s"""
 
 
-@query("c11_source_scores", _tier_sql())
+_PAGE_BASE = f"b AS (SELECT page_id, url, lower(url) AS u, lower({TITLE_SQL} || ' ' || {s_collapse(s_untag(_TEXT))}) AS x FROM pages)"
+
+
+@query("c11_source_scores", _tier_sql(_PAGE_BASE, _TIERS, _LISTS, _CONT, _SKW, _SPW, _SLW))
 def _(spark, sf):
     return S.score_sources(titled(spark, sf), _TIERS, _LISTS, _CONT, _SKW, _SPW, _SLW).select("page_id", "url", "score", "source_type")
 
@@ -317,15 +322,15 @@ _NON = ("###", "%%%", "$$$", "&&&")
 _AH, _RH, _TW, _AB, _CO = (".org", ".uni-"), ("blog", "tion"), ("the", "der"), ("that", "von"), ("with", "pour")
 
 
-def _verdict_sql(source):
-    scores = ", ".join(f"{s_count('t', w)} AS s_{k}" for k, w in _IND)
-    top = "greatest(" + ", ".join(f"s_{k}" for k, _ in _IND) + ")"
-    best = "CASE " + " ".join(f"WHEN s_{k} = top THEN '{k}'" for k, _ in _IND) + " END"
+def _verdict_sql(source, ind=_IND, non=_NON, ah=_AH, rh=_RH, tw=_TW, ab=_AB, co=_CO):
+    scores = ", ".join(f"{s_count('t', w)} AS s_{k}" for k, w in ind)
+    top = "greatest(" + ", ".join(f"s_{k}" for k, _ in ind) + ")"
+    best = "CASE " + " ".join(f"WHEN s_{k} = top THEN '{k}'" for k, _ in ind) + " END"
     return f"""v0 AS (SELECT page_id, url, title, {s_host('url')} AS h, lower(title || ' ' || '' || ' ' || main_text) AS t FROM {source}),
-  v1 AS (SELECT *, {s_count('t', _NON)} AS non, {scores}, (CASE WHEN {s_any('h', _AH)} THEN 2.0 ELSE 0.0 END + CASE WHEN {s_any('h', _RH)} THEN 1.0 ELSE 0.0 END
-    + CASE WHEN {s_any('lower(title)', _TW)} THEN 1.0 ELSE 0.0 END + CASE WHEN {s_any('t', _AB)} THEN 1.0 ELSE 0.0 END + CASE WHEN {s_any('t', _CO)} THEN 0.5 ELSE 0.0 END)::DOUBLE AS bonus FROM v0),
+  v1 AS (SELECT *, {s_count('t', non)} AS non, {scores}, (CASE WHEN {s_any('h', ah)} THEN 2.0 ELSE 0.0 END + CASE WHEN {s_any('h', rh)} THEN 1.0 ELSE 0.0 END
+    + CASE WHEN {s_any('lower(title)', tw)} THEN 1.0 ELSE 0.0 END + CASE WHEN {s_any('t', ab)} THEN 1.0 ELSE 0.0 END + CASE WHEN {s_any('t', co)} THEN 0.5 ELSE 0.0 END)::DOUBLE AS bonus FROM v0),
   v2 AS (SELECT *, {top} AS top FROM v1),
-  v3 AS (SELECT *, CASE WHEN {s_any('h', _AH)} THEN 'university' ELSE {best} END AS kind, top + bonus AS score FROM v2),
+  v3 AS (SELECT *, CASE WHEN {s_any('h', ah)} THEN 'university' ELSE {best} END AS kind, top + bonus AS score FROM v2),
   verdicts AS (SELECT page_id, url, title, non < 2 AND score >= 2 AS is_organization, CASE WHEN non >= 2 THEN 0.1 ELSE least(score / 5.0, 1.0) END::DOUBLE AS validation_score,
     CASE WHEN non < 2 AND score >= 2 THEN kind ELSE 'non_organization' END AS organization_type,
     CASE WHEN non >= 2 THEN 'Contains ' || non || ' non-organization indicators'
@@ -459,3 +464,92 @@ def best_link_per_page(spark, sf):
     from ..operators.ordering import keep_best
     scored = links_of(spark, sf).withColumn("confidence", S.crawl_confidence("text", "target", _KW, _HP, _CTX))
     return keep_best(scored, ["page_id"], "confidence", "no").select("page_id", "no", "text", "target", "confidence")
+
+
+# ---------------------------------------------------------------- the default rules on search results and links
+
+_RES = f"""{RESULTS_SQL}, r AS (SELECT pos AS page_id, url, title, abstract FROM results)"""
+
+
+def _as_pages(spark, sf):
+    return search_results(spark, sf).select(F.col("pos").alias("page_id"), "url", "title", "abstract")
+
+
+@query("c4_default_rules", f"""WITH {_RES} SELECT page_id, round(least(1.0, {s_count('lower(title)', rules.INSTITUTION_WORDS)} * 0.3 + {s_count('lower(url)', rules.INSTITUTION_WORDS)} * 0.2
+  + CASE WHEN {s_any('lower(url)', ('.edu', '.ac.'))} THEN 0.4 ELSE 0.0 END + CASE WHEN len({s_words('title')}) >= 2 AND {s_caps('title')} >= 2 THEN 0.2 ELSE 0.0 END
+  + CASE WHEN {s_any('lower(title)', rules.ACADEMIC_CONTEXT_WORDS)} THEN 0.1 ELSE 0.0 END)::DOUBLE, 6) AS confidence FROM r""")
+def _(spark, sf):
+    return _as_pages(spark, sf).select("page_id", S.crawl_confidence("title", "url").alias("confidence"))
+
+
+@query("c11_default_rules", _tier_sql(f"{_RES}, b AS (SELECT page_id, url, lower(url) AS u, lower(title || ' ' || abstract) AS x FROM r)", rules.SOURCE_TIERS, rules.SOURCE_LISTINGS,
+                                      rules.SOURCE_CONTENT, rules.SOURCE_KEYWORDS, rules.SOURCE_PATH_WORDS, rules.SOURCE_LIST_WORDS))
+def _(spark, sf):
+    return S.score_sources(_as_pages(spark, sf)).select("page_id", "url", "score", "source_type")
+
+
+_DEFAULT_VERDICT = _verdict_sql("r2", rules.HOMEPAGE_INDICATORS, rules.NON_ORGANISATION_WORDS, rules.HOMEPAGE_ACADEMIC_HOST, rules.HOMEPAGE_RESEARCH_HOST,
+                                rules.HOMEPAGE_TITLE_WORDS, rules.HOMEPAGE_ABOUT, rules.HOMEPAGE_CONTACT)
+
+
+@query("f8_default_rules", f"""WITH {_RES}, r2 AS (SELECT page_id, url, title, abstract AS main_text FROM r), {_DEFAULT_VERDICT}
+  SELECT page_id, is_organization, validation_score, organization_type, reason FROM verdicts""")
+def _(spark, sf):
+    pages = _as_pages(spark, sf).select("page_id", "url", "title", F.lit("").alias("description"), F.col("abstract").alias("main_text"))
+    return C.validate_homepages(pages).select("page_id", "is_organization", "validation_score", "organization_type", "reason")
+
+
+_FILES = ("", "/prospectus.PDF", "/map.png", "/data.zip", "/plan.docx", "/index.html")
+
+
+@query("f13_default_rules", f"""WITH {_RES}, u AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'https://www.facebook.com/' || page_id WHEN 1 THEN '/relative/' || page_id
+  ELSE url || ([{', '.join(map(lit, _FILES))}])[page_id % 6 + 1] END AS url FROM r) SELECT page_id, {_crawlable_sql('url')} AS crawlable FROM u""")
+def _(spark, sf):
+    k = F.col("page_id")
+    url = (F.when(k % 7 == 0, F.concat(F.lit("https://www.facebook.com/"), k.cast("string"))).when(k % 7 == 1, F.concat(F.lit("/relative/"), k.cast("string")))
+           .otherwise(F.concat("url", F.element_at(F.array(*map(F.lit, _FILES)), (k % 6 + 1).cast("int")))))
+    return _as_pages(spark, sf).select("page_id", C.is_crawlable(url).alias("crawlable"))
+
+
+@query("f14_default_rules", f"""WITH {_RES} SELECT page_id, {s_pattern('lower(url)', rules.ACADEMIC_URL_PATTERNS)} OR {s_pattern("(lower(url) || ' ' || lower(title))", rules.ACADEMIC_TEXT_PATTERNS)} AS academic FROM r""")
+def _(spark, sf):
+    return _as_pages(spark, sf).select("page_id", C.is_academic("url", "title").alias("academic"))
+
+
+# ---------------------------------------------------------------- files written and read back
+
+
+def _folder(spark):
+    return f"{shared_folder(spark)}/written/{uuid.uuid4().hex}"
+
+
+@query("s1_read_search_results", f"""WITH {RESULTS_SQL} SELECT title || ', "quoted"' AS title, CASE WHEN pos % 4 = 0 THEN NULL ELSE abstract || chr(10) || 'second line' END AS abstract, url, query_id::VARCHAR AS original_query
+  FROM results WHERE pos % 5 <> 0""")
+def _(spark, sf):
+    k = F.col("pos")
+    rows = search_results(spark, sf).select(
+        F.concat("title", F.lit(', "quoted"')).alias("title"), F.when(k % 4 != 0, F.concat("abstract", F.lit("\nsecond line"))).alias("abstract"),
+        F.when(k % 5 != 0, F.col("url")).alias("url"), F.col("query_id").cast("string").alias("original_query"))
+    folder = _folder(spark)
+    write_outputs(rows, folder, "csv")
+    return read_search_results(spark, folder)
+
+
+@query("s3_written_organisations", f"""WITH {NAMES_SQL} SELECT pos, name, method, confidence, 'best, first' AS note FROM names""")
+def _(spark, sf):
+    rows = institution_names(spark, sf).select("pos", "name", "method", "confidence", F.array(F.lit("best"), F.lit("first")).alias("note"))
+    folder = _folder(spark)
+    write_outputs(flatten_for_csv(rows), folder, "parquet", score="confidence", partition_by=("method",))
+    return spark.read.parquet(folder).select("pos", "name", "method", "confidence", "note")
+
+
+@query("x_extractors_by_method", f"""WITH {CATALOG_SQL} SELECT page_id, 'table_extraction' AS extractor, count(*)::BIGINT AS n FROM parts GROUP BY 1
+  UNION ALL SELECT page_id, 'list_extraction', count(*) FROM parts GROUP BY 1 UNION ALL SELECT page_id, 'structured_data', count(*) FILTER (size % 7 <> 0) FROM parts GROUP BY 1 HAVING count(*) FILTER (size % 7 <> 0) > 0
+  UNION ALL SELECT page_id, 'microdata', count(*) FROM parts GROUP BY 1 UNION ALL SELECT page_id, 'heading_extraction', count(*) FROM parts GROUP BY 1 UNION ALL SELECT page_id, 'emphasis', count(*) FROM parts GROUP BY 1""")
+def _(spark, sf):
+    pages = catalog_pages(spark, sf)
+    rows = None
+    for method in ("table_extraction", "list_extraction", "structured_data", "microdata", "heading_extraction", "emphasis"):
+        found = X.extract_by_method(pages, method).groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).withColumn("extractor", F.lit(method))
+        rows = found if rows is None else rows.unionByName(found)
+    return rows.select("page_id", "extractor", "n")

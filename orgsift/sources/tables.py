@@ -60,10 +60,13 @@ def flatten_for_csv(df: DataFrame, separator: str = ", ") -> DataFrame:
 
 
 def write_outputs(df: DataFrame, path: str, fmt: str = "parquet", score: str = None, partition_by=(), mode: str = "overwrite") -> None:
-    """Write a table, best score first when a score column is named."""
+    """Write a table, best score first when a score column is named: over all files, or in each partition."""
     if fmt == "csv":
         df = flatten_for_csv(df)
-    if score:
+    if partition_by:
+        order = [F.desc(score)] if score else []
+        df = df.repartitionByRange(*partition_by, *order).sortWithinPartitions(*partition_by, *order)
+    elif score:
         df = df.orderBy(F.desc(score))
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
