@@ -9,10 +9,10 @@ threshold; the rest is decided on the full sets.
 At a similarity of 0.75 a pair misses all 32 bands with probability (1 - 0.75^4)^32 = 5e-6, and the
 estimate is allowed six standard deviations, so links are lost with about that probability only.
 
-No group is ever expanded into all pairs.  Equal sets are folded into one first.  Then every band
-group is compared with one of its members, the one that shares most bands with others; the
-components found so far leave only pairs of *different* components open, and these are compared
-in blocks inside tasks, which emit only pairs that pass the estimate.
+No large group is ever expanded into all pairs.  Equal sets are folded into one first.  Then every
+band group is compared with one of its members, the one that shares most bands with others; the
+components found so far leave only pairs of *different* components open.  In large groups these are
+compared in blocks inside tasks, which give one verified link for each two components that meet.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .graph import components
-from .store import checkpointed, stored
+from .store import stored
 from .textscan import NOT_SPACE, as_long, batch_slices, first_index, mix, words_of
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
@@ -31,7 +31,7 @@ BANDS = REGISTERS // ROWS
 EMPTY = np.uint16(0xFFFF)
 SHINGLE, SIMILARITY = 5, 0.75
 SMALL = 64  # a band group of up to so many members is joined with itself
-BLOCK = 1024  # members of a larger one that a task compares with as many others
+BLOCK, BLOCK_SHINGLES = 4096, 1_000_000  # members and shingles of a larger one that a task compares with as many others
 _U = np.uint64
 _MULT = mix(np.arange(1, 64, dtype=_U) * _U(0xA0761D6478BD642F)) | _U(1)
 
@@ -93,11 +93,10 @@ def _sketch_batches(batches):
             sizes = np.array([len(s) for s in sets], np.int64)
             one = np.array([s.sum(dtype=_U) if len(s) else 0 for s in sets], _U)
             two = np.array([mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U) if len(s) else 0 for s in sets], _U)
-            ends = np.zeros(len(sets) + 1, np.int32)
-            np.cumsum(used.sum(axis=1), out=ends[1:])
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(i, j - i), pa.array(sizes), pa.array(as_long(one)), pa.array(as_long(two)),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(as_long(keys[used]))),
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS),
+                                          pa.array(as_long(keys.ravel()), mask=~used.ravel())),
                  pa.array([r.tobytes() for r in sketch], pa.binary())],
                 names=["doc_id", "n_shingles", "d1", "d2", "bands", "sketch"])
 
@@ -164,16 +163,19 @@ def _linked(percent):
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def stored_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, shingles) for ids(id): texts are narrowed to the ids before any set is made, and read once."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+        ids, F.col("doc_id") == F.col("id"), "left_semi")
+    return stored(texts.mapInArrow(_set_batches, "id long, shingles binary"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) that are linked on their full shingle sets.
 
-    Texts are narrowed to the ends of pairs before any set is made.  Sets of `b` travel first and
-    meet the set of `a` in place, so the set of a hub is not repeated on the way.
+    Sets of `b` travel first and meet the set of `a` in place, so the set of a hub is not repeated
+    on the way.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        ends, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = stored(texts.mapInArrow(_set_batches, "id long, shingles binary"))
     both = (pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b")
             .join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a"))
     return both.select("a", "b", "xa", "xb").mapInArrow(_linked(round(100 * similarity)), "a long, b long")
@@ -181,25 +183,87 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
 
 # ------------------------------------------------------------------ candidates
 
+def _common(one: list[np.ndarray], two: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of one list with all of another, by products of incidence matrices.
+
+    Only shingles that both lists have take part, some columns at a time.
+    """
+    def placed(sets):
+        flat = np.concatenate(sets)
+        return flat, np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    (x, xr), (y, yr) = placed(one), placed(two)
+    columns = np.intersect1d(x, y)
+    out = np.zeros((len(one), len(two)), np.float32)
+    for at in range(0, len(columns), width):
+        part, sides = columns[at:at + width], []
+        for flat, row, n in ((x, xr, len(one)), (y, yr, len(two))):
+            col = np.searchsorted(part, flat)
+            hit = col < len(part)
+            hit[hit] = part[col[hit]] == flat[hit]
+            m = np.zeros((n, len(part)), np.float32)
+            m[row[hit], col[hit]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
 def _open_block(similarity):
-    """Pairs of different components in one block pair of a band group that pass the estimate."""
+    """Links that join different components in one pair of blocks of a band group, as a forest.
+
+    A pair is looked at in the first band it shares.  The estimate leaves out what cannot link; the
+    others are decided on their full sets.  One link is given for each two components that meet, so
+    a block of n members gives fewer than n rows whatever its members have in common.
+    """
+    percent = round(100 * similarity)
+
     def run(rows):
         first, second = rows[rows.side == 0], rows[rows.side == 1]
-        same = not len(second)
-        second = first if same else second
-        sa, sb = _matrix(first.sketch), _matrix(second.sketch)
+        second = second if rows.low.iloc[0] != rows.high.iloc[0] else first
+        none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        if not len(first) or not len(second):
+            return none
+        band = rows.band.iloc[0]
+        sets_a = [np.frombuffer(x, _U) for x in first.shingles]
+        sets_b = sets_a if second is first else [np.frombuffer(x, _U) for x in second.shingles]
+        sa = registers(sets_a)
+        sb = sa if second is first else registers(sets_b)
+        wa, wb = (np.ascontiguousarray(s).view(_U) for s in (sa, sb))  # a word is one band
         na, nb = first.n.to_numpy(), second.n.to_numpy()
         ca, cb = first.component.to_numpy(), second.component.to_numpy()
         ia, ib = first.id.to_numpy(), second.id.to_numpy()
         left, right = [], []
         for i in range(len(ia)):
-            other = np.flatnonzero((cb != ca[i]) & ((ib > ia[i]) if same else True))
-            if len(other):
-                hit = other[may_link(sa[i], sb[other], na[i], nb[other], similarity)]
-                left.append(np.full(len(hit), ia[i]))
-                right.append(ib[hit])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            other = np.flatnonzero((cb != ca[i]) & ((ib > ia[i]) if second is first else True))
+            shared = (wb[other, :band] == wa[i, :band]) & (wa[i, :band] != ~_U(0))
+            other = other[~shared.any(axis=1)]
+            other = other[may_link(sa[i], sb[other], na[i], nb[other], similarity)] if len(other) else other
+            left.append(np.full(len(other), i))
+            right.append(other)
+        left, right = np.concatenate(left), np.concatenate(right)
+        if not len(left):
+            return none
+        ua, pa_ = np.unique(left, return_inverse=True)
+        ub, pb = np.unique(right, return_inverse=True)
+        xa, xb = [sets_a[i] for i in ua], [sets_b[i] for i in ub]
+        if len(left) > 4 * (len(ua) + len(ub)):
+            both = _common(xa, xb)[pa_, pb]
+        else:
+            both = np.array([len(np.intersect1d(xa[i], xb[j], assume_unique=True)) for i, j in zip(pa_, pb)])
+        hit = 100 * both >= percent * (na[left] + nb[right] - both)
+        parent, out = {}, []
+
+        def root(c):
+            while parent.get(c, c) != c:
+                parent[c] = parent.get(parent[c], parent[c])
+                c = parent[c]
+            return c
+
+        for i, j in zip(left[hit], right[hit]):
+            x, y = root(ca[i]), root(cb[j])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((min(ia[i], ib[j]), max(ia[i], ib[j])))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64") if out else none
     return run
 
 
@@ -219,30 +283,32 @@ def _estimate_pairs(pairs: DataFrame, sketch: DataFrame, similarity: float) -> D
     return both.mapInArrow(_estimated(similarity), "a long, b long")
 
 
-def _open_candidates(members: DataFrame, labels: DataFrame, sketch: DataFrame, similarity: float) -> DataFrame:
-    """Pairs in band groups whose ends are not yet in one component, after the estimate.
+def _open_links(members: DataFrame, labels: DataFrame, sketch: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between different components in band groups, as many as join them.
 
-    Groups of up to SMALL members are joined with themselves.  A larger group is cut into blocks
-    by a hash of the id, and each pair of blocks is a small task group of its own, so the group is
-    shared by many tasks and only pairs that pass the estimate leave them.
+    Groups of up to SMALL members are joined with themselves, estimated and verified.  A larger
+    group is cut into blocks by a hash of the id, so that a block has at most about BLOCK members
+    and BLOCK_SHINGLES shingles, and each pair of blocks is a small task group of its own.
     """
     named = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    cut = checkpointed(named.join(open_keys.select("key"), "key"))
+    open_keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                         F.sum("n").alias("total")).where("lo <> hi")
+    cut = stored(named.join(open_keys.select("key", "total"), "key"))
     few = cut.where(F.col("size") <= SMALL)
     one = few.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
     two = few.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
     pairs = one.join(two, "key").where("a < b and ca <> cb").select("a", "b").distinct()
+    likely = stored(_estimate_pairs(pairs, sketch, similarity))
 
-    many = cut.where(F.col("size") > SMALL).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn(
+    many = cut.where(F.col("size") > SMALL).withColumn(
+        "blocks", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")).withColumn(
         "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = many.select("key", "id", "component", F.explode(F.transform(
+    dealt = many.select("key", "band", "id", "component", "n", F.explode(F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(
             F.least("block", other).cast("int").alias("low"), F.greatest("block", other).cast("int").alias("high"),
-            F.when(F.col("block") <= other, 0).otherwise(1).alias("side")))).alias("p")).select("key", "id", "component", "p.*")
-    full = dealt.join(sketch.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch"), "id")
-    blocked = full.groupBy("key", "low", "high").applyInPandas(_open_block(similarity), "a long, b long").distinct()
-    return _estimate_pairs(pairs, sketch, similarity).union(blocked).distinct()
+            F.when(F.col("block") <= other, 0).otherwise(1).alias("side")))).alias("p")).select("key", "band", "id", "component", "n", "p.*")
+    blocked = dealt.join(sets, "id").groupBy("key", "low", "high").applyInPandas(_open_block(similarity), "a long, b long")
+    return verified(likely, sets, similarity).union(blocked).distinct()
 
 
 # ------------------------------------------------------------------ the operator
@@ -264,18 +330,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     folded = known.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     reps = known.select("doc_id", "d1", "d2", "n_shingles", "bands").join(
         folded.withColumnRenamed("rep", "doc_id"), ["d1", "d2", "n_shingles", "doc_id"], "left_semi")
-    bands = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    bands = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key")).where("key is not null")
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = checkpointed(bands.join(shared, "key").select("key", "id", "size"))
+    members = stored(bands.join(shared, "key").select("key", "band", "id", "n", "size"))
+    sets = stored_sets(docs, members.select("id").distinct())
 
-    stars = _estimate_pairs(_star_candidates(members), sketch, similarity)
-    first = checkpointed(verified(checkpointed(stars), docs, similarity))
-    found = components(first)
-    more = checkpointed(_open_candidates(members, found, sketch, similarity))
-    links = first
+    stars = stored(_estimate_pairs(_star_candidates(members), sketch, similarity))
+    links = stored(verified(stars, sets, similarity))
+    found = components(links)
+    more = stored(_open_links(members, found, sketch, sets, similarity))
     if not more.isEmpty():
-        links = checkpointed(first.union(verified(more, docs, similarity)))
-        found = components(links)
+        found = components(links.union(more))
 
     copies = known.select("doc_id", "d1", "d2", "n_shingles").join(folded, ["d1", "d2", "n_shingles"])
     labelled = copies.join(found, F.col("rep") == F.col("id"), "left").select(
