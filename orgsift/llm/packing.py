@@ -14,6 +14,8 @@ Nothing is shuffled, and a block is at most BLOCK_TOKENS ids and one document in
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -21,10 +23,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from .textscan import batch_slices
+
 WINDOW, STEP = 4096, 8
-BLOCK_TOKENS = 6_000_000
+BLOCK_TOKENS = 3_000_000
 END_ID = 2
-CACHED_WORDS, CACHED_CHARS = 400_000, 64
+CACHED_WORDS, CACHED_CHARS = 300_000, 64
 LEFT_OPEN = 8  # a gap of so many tokens is not worth a cut
 
 
@@ -35,12 +39,24 @@ def default_tokenizer() -> str:
 
 # ------------------------------------------------------------------ token ids
 
+#: Letters that are neither composed nor changed by normalisation, in lower case.
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+").fullmatch
+
+
+def _byte_letters() -> list[str]:
+    """The letter that byte-level tokenizers write for each byte: itself where it can be seen, else one after 255."""
+    seen = set(range(33, 127)) | set(range(161, 173)) | set(range(174, 256))
+    hidden = [b for b in range(256) if b not in seen]
+    return [chr(b) if b in seen else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 class Encoder:
     """Token ids of whole texts, word by word.
 
-    The tokenizer drops white space and never joins what stands on its two sides, so the ids of a text
-    are the ids of its pieces between blanks and line ends.  Pieces seen before come from a table
-    of bounded size.
+    The tokenizer lower-cases, drops white space and never joins what stands on its two sides, so the
+    ids of a text are the ids of its pieces between blanks and line ends, with A-Z in lower case.  A
+    comma or full stop after a letter and before white space is a token run of its own, and a run of
+    plain letters goes to the merges at once.  Pieces seen before come from a table of bounded size.
     """
 
     def __init__(self, path: str):
@@ -48,29 +64,62 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known = {}
-
-    def _learn(self, words: list[str]):
-        for at in range(0, len(words), 20_000):
-            part = words[at:at + 20_000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = np.array(got.ids, "<u2").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text and the end id, as 16-bit numbers; null is the empty text."""
-        cut = [(x or "").replace("\n", " ").split(" ") for x in texts]
-        new = set().union(*cut).difference(self.known)
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known = {}
-            new = set().union(*cut)
-        self._learn(list(new))
+        self.known, self.again = {}, set()
+        self.letters = _byte_letters()
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        out, odd, merge = [], [], self.tokenizer.model.tokenize
+        for i, word in enumerate(words):
+            text = word.decode()
+            if not word.isalpha():  # not ASCII letters only
+                text = text.lower()
+                if not _PLAIN(text):
+                    odd.append(i)
+                    out.append(b"")
+                    continue
+                text = "".join([self.letters[b] for b in text.encode()])
+            out.append(array("H", [t.id for t in merge(text)]).tobytes())
+        for at in range(0, len(odd), 20_000):
+            part = odd[at:at + 20_000]
+            got = self.tokenizer.encode_batch_fast([words[i].decode() for i in part], add_special_tokens=False)
+            for i, e in zip(part, got):
+                out[i] = array("H", e.ids).tobytes()
+        return out
+
+    def _learn(self, words: set[bytes]):
+        """Words with a mark at the end are made from the word without it."""
+        bare = {w: w[:-1] for w in words if len(w) > 1 and w[-1] in b",." and 97 <= w[-2] <= 122}
+        marks = dict(zip(b",.", self._ids([b",", b"."])))
+        need = [w for w in words.difference(bare).union(bare.values()) if w not in self.known]
+        self.known.update(zip(need, self._ids(need)))
+        for w, b in bare.items():
+            self.known[w] = self.known[b] + marks[w[-1]]
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each UTF-8 text and the end id, as 16-bit numbers."""
+        cut = [x.lower().replace(b"\n", b" ").split(b" ") for x in texts]
+        every = set().union(*cut)
+        new = every.difference(self.known)
+        self.again |= every.difference(new)
+        if len(self.known) + 2 * len(new) > CACHED_WORDS:  # words of one slice only make room
+            keep = self.again if len(self.again) < CACHED_WORDS // 2 else every.difference(new)
+            self.known, self.again = {w: self.known[w] for w in keep if w in self.known}, set()
+        self._learn(new)
         end = np.array([END_ID], "<u2").tobytes()
         out = [np.frombuffer(b"".join(map(self.known.__getitem__, words)) + end, "<u2") for words in cut]
-        for word in [w for w in new if len(w) > CACHED_CHARS]:
-            del self.known[word]
+        for word in new:
+            if len(word) > CACHED_CHARS:
+                self.known.pop(word, None)
+                self.known.pop(word[:-1], None)
         return out
 
 
+@lru_cache(2)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks of a worker process, with what it has learned."""
+    return Encoder(path)
+
+
 # ------------------------------------------------------------------ which lengths share a window
 
 @lru_cache(4)
@@ -216,13 +265,14 @@ def _piece_rows(ids, docs, first, window):
 
 def _pack_batches(path, window, block_tokens):
     def run(batches):
-        encoder, ids, docs, size = Encoder(path), [], [], 0
+        encoder, ids, docs, size = encoder_of(path), [], [], 0
         number = TaskContext.get().partitionId() << 36  # room for 2^36 sequences a task
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids += part.column(0).to_pylist()
-                got = encoder.encode(part.column(1).to_pylist())
+            ids_here = batch.column(0).to_pylist()
+            for i, j, data, offsets in batch_slices(batch, "text"):
+                raw, ends = data.tobytes(), offsets.tolist()
+                ids += ids_here[i:j]
+                got = encoder.encode([raw[a:b] for a, b in zip(ends, ends[1:])])
                 docs += got
                 size += sum(map(len, got))
                 if size >= block_tokens:

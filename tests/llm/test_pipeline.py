@@ -41,7 +41,7 @@ def test_stages_follow_each_other(spark):
 
     pieces = pipeline.pack_windows(spark, drawn, SF).collect()
     encoder = Encoder(default_tokenizer())
-    assert sum(p.length for p in pieces) == sum(len(x) for x in encoder.encode([r.text for r in rows]))
+    assert sum(p.length for p in pieces) == sum(len(x) for x in encoder.encode([r.text.encode() for r in rows]))
     assert all(np.frombuffer(p.ids, "<u4").size == p.length for p in pieces)
 
 
