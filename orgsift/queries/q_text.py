@@ -37,11 +37,11 @@ def _hits_sql(source, key, text, pattern, cols, pad, group=0):
     SELECT {key}, {text} AS t, regexp_extract_all({text}, {p}, 0) AS h, regexp_extract_all({text}, {p}, {group}) AS p, string_split_regex({text}, {p}) AS g FROM {source}) WHERE len(h) > 0))"""
 
 
-def _pattern_sql():
-    parts = [_hits_sql("documents", "doc_id", "text", "(?i)" + p, f"{lit(f)} AS family, {base} AS base", 100)
-             for f, base, ps in _FAMILIES for p in ps]
-    return f"""WITH hits AS ({' UNION ALL '.join(parts)}) SELECT doc_id, family, hit AS name, round(least(1.0, base
-  + CASE WHEN length(hit) > 10 AND length(hit) - length(replace(hit, ' ', '')) >= 2 THEN 0.05 ELSE 0.0 END + {s_count('lower(context)', _AROUND)} * 0.02)::DOUBLE, 6) AS confidence
+def _pattern_sql(source="documents", key="doc_id", families=_FAMILIES, around=_AROUND, before=""):
+    parts = [_hits_sql(source, key, "text", "(?i)" + p, f"{lit(f)} AS family, {base} AS base", 100)
+             for f, base, ps in families for p in ps]
+    return f"""WITH {before} hits AS ({' UNION ALL '.join(parts)}) SELECT {key}, family, hit AS name, round(least(1.0, base
+  + CASE WHEN length(hit) > 10 AND length(hit) - length(replace(hit, ' ', '')) >= 2 THEN 0.05 ELSE 0.0 END + {s_count('lower(context)', around)} * 0.02)::DOUBLE, 6) AS confidence
   FROM hits WHERE length(hit) BETWEEN 5 AND 120 AND NOT regexp_matches(hit, '^[\\d\\s\\-.,]+$') AND regexp_matches(hit, '[a-zA-Z]')"""
 
 
@@ -50,6 +50,18 @@ def _(spark, sf):
     return X.pattern_names(documents(spark, sf), "doc_id", "text", _FAMILIES, context_words=_AROUND, clean=False).select("doc_id", "family", "name", "confidence")
 
 
+_SENTENCES = ("{} University.", "The {} Medical College, Rome.", "Saint {} University of the North (public)", "see {} Institute of Technology; MIT University", "{} Law School / {} Academy of Sciences")
+
+
+@query("x14_default_patterns", _pattern_sql("texts", "k", rules.NAME_PATTERN_FAMILIES, rules.PATTERN_CONTEXT_WORDS,
+                                            f"{CATALOG_SQL}, texts AS (SELECT k, replace(([{', '.join(map(lit, _SENTENCES))}])[k % {len(_SENTENCES)} + 1], '{{}}', name) AS text FROM parts),"))
+def _(spark, sf):
+    rows = catalog_rows(spark, sf)
+    form = F.element_at(F.array(*map(F.lit, _SENTENCES)), (F.col("k") % len(_SENTENCES) + 1).cast("int"))
+    texts = rows.select("k", F.replace(form, F.lit("{}"), F.col("name")).alias("text"))
+    return X.pattern_names(texts, "k", "text", clean=False).select("k", "family", "name", "confidence")
+
+
 @query("x14_institution_names")
 def _(spark, sf):
     """All fixed name patterns with cleaning over the catalog pages; no SQL (look-around and Unicode word ends)."""
