@@ -67,8 +67,8 @@ def politeness_schedule(urls: DataFrame, delay: float, arrival: str = "arrival",
 
 
 def politeness_audit(log: DataFrame, delay: float, key: str = "host", ts: str = "ts", bucket: Column = None) -> DataFrame:
-    """Seconds since the previous request of the same key, and whether that was too soon."""
-    bucket = F.date_trunc("hour", F.col(ts)) if bucket is None else bucket
+    """Seconds since the previous request of the same key, and whether that was too soon; a key is cut into minutes."""
+    bucket = F.date_trunc("minute", F.col(ts)) if bucket is None else bucket
     with_last = spread_previous(log, [key], bucket, ts, "previous_ts")
     gap = (F.unix_micros(ts) - F.unix_micros("previous_ts")) / 1000000.0
     return with_last.withColumn("gap_s", gap).withColumn("too_soon", F.coalesce(gap < delay, F.lit(False)))

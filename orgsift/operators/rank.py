@@ -203,15 +203,21 @@ def sort_scored(df: DataFrame, scores, key: str) -> DataFrame:
     return df.orderBy(*[F.desc(s) for s in scores], key)
 
 
+def _score_bucket(df: DataFrame, score: str, key: str) -> Column:
+    """Equal scores are cut along the key, so a query whose results all tie is shared by tasks too."""
+    text = dict(df.dtypes)[key] == "string"
+    return F.struct((-F.col(score)).alias("s"), (F.left(key, F.lit(24)) if text else F.floor(F.col(key) / 1000)).alias("k"))
+
+
 def top_results(scored: DataFrame, least: float = 0.2, score: str = "priority", key: str = "url") -> DataFrame:
     """Results with enough recognition, ranked by priority within their query."""
     kept = scored.filter(F.col("overall") >= least)
-    return spread_row_number(kept, ["query_id"], F.floor((1 - F.col(score)) * 1000), [F.desc(score), F.col(key)], "place")
+    return spread_row_number(kept, ["query_id"], _score_bucket(kept, score, key), [F.desc(score), F.col(key)], "place")
 
 
 def relevance_cut(scored: DataFrame, least: float = 0.1, score: str = "relevance", key: str = "url") -> DataFrame:
     kept = scored.filter(F.col(score) >= least)
-    return spread_row_number(kept, ["query_id"], F.floor((1 - F.col(score)) * 1000), [F.desc(score), F.col(key)], "place")
+    return spread_row_number(kept, ["query_id"], _score_bucket(kept, score, key), [F.desc(score), F.col(key)], "place")
 
 
 def diverse_top_k(sources: DataFrame, k: int = 20, per_host: int = 3, per_type: int = 8, pos: str = "pos") -> DataFrame:
