@@ -253,8 +253,8 @@ _PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id lo
 def _piece_rows(ids, docs, first, window):
     sequences = pack_block(docs, window)
     rows = [(d, at, n, first + s, sum(p[2] for p in q[:k])) for s, q in enumerate(sequences) for k, (d, at, n) in enumerate(q)]
-    for a in range(0, len(rows), 20_000):
-        part = rows[a:a + 20_000]
+    for a in range(0, len(rows), 2_000):
+        part = rows[a:a + 2_000]
         yield pa.RecordBatch.from_arrays(
             [pa.array([ids[r[0]] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.int64()),
              pa.array([len(docs[r[0]]) for r in part], pa.int64()), pa.array([r[3] for r in part], pa.int64()), pa.array([r[4] for r in part], pa.int64()),
