@@ -327,7 +327,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """
     sketch = stored(sketches(docs))
     known = sketch.where("n_shingles > 0 and doc_id is not null")
-    folded = known.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # written, so that a join with it can split the rows of a set with very many copies
+    folded = stored(known.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     reps = known.select("doc_id", "d1", "d2", "n_shingles", "bands").join(
         folded.withColumnRenamed("rep", "doc_id"), ["d1", "d2", "n_shingles", "doc_id"], "left_semi")
     bands = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key")).where("key is not null")
