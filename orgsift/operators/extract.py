@@ -276,7 +276,7 @@ _RUN = 64  # hits whose lengths are added up one by one
 _LENGTHS = "transform(_h, (h, i) -> CAST(length(get(_g, i)) + length(h) AS bigint))"
 _RUN_SUMS = f"transform(sequence(0, size(_l) DIV {_RUN}), b -> aggregate(slice(_l, b * {_RUN} + 1, {_RUN}), 0L, (t, x) -> t + x))"
 _RUN_STARTS = "aggregate(_l, named_struct('a', array(0L), 't', 0L), (r, x) -> named_struct('a', array_append(r.a, r.t + x), 't', r.t + x)).a"
-_START = f"get(_l_starts, no DIV {_RUN}) + aggregate(slice(_l, (no DIV {_RUN}) * {_RUN} + 1, no % {_RUN}), 0L, (t, x) -> t + x) + length(get(_g, no))"
+_START = f"CASE WHEN no = 0 THEN CAST(length(get(_g, 0)) AS bigint) ELSE get(_l_starts, no DIV {_RUN}) + aggregate(slice(_l, (no DIV {_RUN}) * {_RUN} + 1, no % {_RUN}), 0L, (t, x) -> t + x) + length(get(_g, no)) END"
 
 
 def _scan(docs: DataFrame, key: str, text: str, scans, pad: int = 0, offsets: bool = False) -> DataFrame:
@@ -296,8 +296,8 @@ def _scan(docs: DataFrame, key: str, text: str, scans, pad: int = 0, offsets: bo
               _n=F.expr("CASE WHEN _grp > 0 THEN regexp_extract_all(_text, _pat, _grp) ELSE _h END")).drop("_text", "_pat", "_grp")
     fields = ["no AS hit_no", "h AS hit", "get(_n, no) AS part"]
     if offsets:
-        df = once(df, _l=F.expr(_LENGTHS))
-        df = once(df, _l_starts=F.expr(_RUN_STARTS.replace("aggregate(_l,", f"aggregate({_RUN_SUMS},", 1)))
+        starts = _RUN_STARTS.replace("aggregate(_l,", f"aggregate({_RUN_SUMS},", 1)
+        df = df.select("*", F.expr(f"inline(transform(array(CASE WHEN size(_h) > 1 THEN {_LENGTHS} END), _l -> struct(_l AS _l, CASE WHEN coalesce(size(_l), 0) < {_RUN} THEN array(0L) ELSE {starts} END AS _l_starts)))"))
         fields += [f"{_START} AS start_pos", f"{_START} + length(h) AS end_pos"]
     if pad:
         df = once(df, _p=F.expr("concat(flatten(zip_with(slice(_g, 1, size(_h)), _h, (g, h) -> array(g, h))), slice(_g, size(_h) + 1, 1))"))
