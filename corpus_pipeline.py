@@ -20,20 +20,37 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_toxic(docs.select(*COLUMNS), train(docs, labels))
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents whose doc_id is kept, once for each doc_id and text; a null doc_id stays."""
-    ids = kept.where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+def _rows(docs: DataFrame) -> DataFrame:
+    """The documents with a 64-bit key of their doc_id and text, whatever is null; the operators decide on it, row by row."""
+    d, t = F.col("doc_id"), F.col("text")
+    return docs.select(*COLUMNS).withColumn("_row", F.xxhash64(d.isNull(), t.isNull(), d, t))
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("_row").alias("doc_id"), "text")
+
+
+def _only(rows: DataFrame, found: DataFrame, group: str, best) -> DataFrame:
+    """The documents whose key is the `best` one of its group in found(doc_id, group), where doc_id is the key."""
+    keyed = found.groupBy(F.col("doc_id").alias("_row")).agg(F.max(group).alias("_group"))
+    ids = rows.groupBy("_row").agg(F.max("doc_id").alias("_id"))
+    kept = keyed.join(ids, "_row").groupBy("_group").agg(best.alias("_best")).select(F.col("_best._row").alias("_row"))
+    return rows.join(stored(kept), "_row", "left_semi").select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the one with the largest doc_id."""
-    return _only(docs, deduplicated(docs))
+    """One document of each group of equal texts: the one with the largest doc_id; a null doc_id only if there is no other."""
+    rows = _rows(docs)
+    return _only(rows, deduplicated(_named(rows)), "text_sha256", F.max(F.struct("_id", "_row")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked texts; texts without words are all kept."""
-    return _only(docs, near_duplicates(docs))
+    """One document of each group of linked texts: the one with the smallest doc_id; a null doc_id only if there is no other.
+
+    Texts without words are all kept.
+    """
+    rows = _rows(docs)
+    return _only(rows, near_duplicates(_named(rows)), "component_id", F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_row")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

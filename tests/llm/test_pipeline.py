@@ -8,7 +8,7 @@ import pytest
 import corpus_pipeline as pipeline
 from orgsift.llm.packing import Encoder, default_tokenizer
 from orgsift.llm.queries import QUERIES
-from cases import HAVE_SF, SF, lowered
+from cases import HAVE_SF, SF, TEXTS, awkward, lowered
 from test_dups import brute
 
 pytestmark = pytest.mark.skipif(not HAVE_SF, reason="needs the given tables")
@@ -53,3 +53,31 @@ def test_empty_documents(spark):
 
 def test_all_ten_are_registered():
     assert {int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")} == set(range(1, 11))
+
+
+def pairs(rows):
+    return {(r.doc_id, r.text) for r in rows}
+
+
+def test_rows_without_a_number_are_told_apart(spark):
+    kept = pairs(pipeline.drop_near_copies(spark, awkward(spark), SF).collect())
+    assert {(None, "a text without a number"), (None, None), (4, None), (5, ""), (6, " \t\n ")} <= kept
+    assert {d for d, _ in kept if d in (1, 2, 3, 10, 11)} == {1, 10}
+    rows = [(None, "only here in this table", "en", "a"), (None, "a copy of a row with a number", "en", "a"), (5, "a copy of a row with a number", "en", "a")]
+    wanted = {(None, "only here in this table"), (5, "a copy of a row with a number")}
+    for stage in (pipeline.drop_copies, pipeline.drop_near_copies):
+        assert pairs(stage(spark, awkward(spark, rows), SF).collect()) == wanted
+
+
+@pytest.mark.parametrize("name, stage", pipeline.STAGES)
+def test_every_stage_takes_awkward_rows(spark, name, stage):
+    docs = awkward(spark)
+    out = stage(spark, docs, SF).collect()
+    if name == "exact_dedup":
+        assert {lowered(r.text) for r in out} == {lowered(t) for _, t, *_ in TEXTS}
+    elif name == "mixing":
+        assert pairs(out) == {(d, t) for d, t, *_ in TEXTS}
+    elif name == "packing":
+        assert {r.doc_id for r in out} == {d for d, *_ in TEXTS}
+    else:
+        assert (None, "a text without a number") in pairs(out)
