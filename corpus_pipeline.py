@@ -31,17 +31,22 @@ def _named(rows: DataFrame) -> DataFrame:
 
 
 def _only(rows: DataFrame, found: DataFrame, group: str, best) -> DataFrame:
-    """The documents whose key is the `best` one of its group in found(doc_id, group), where doc_id is the key."""
-    keyed = found.groupBy(F.col("doc_id").alias("_row")).agg(F.max(group).alias("_group"))
+    """The documents whose key is the `best` one of its group in found(doc_id, group), where doc_id is the key; each once."""
+    keyed = found.groupBy(F.col("doc_id").alias("_row")).agg(F.max(group).alias("_group"), F.count(F.lit(1)).alias("_times"))
     ids = rows.groupBy("_row").agg(F.max("doc_id").alias("_id"))
-    kept = keyed.join(ids, "_row").groupBy("_group").agg(best.alias("_best")).select(F.col("_best._row").alias("_row"))
-    return rows.join(stored(kept), "_row", "left_semi").select(*COLUMNS)
+    kept = stored(keyed.join(ids, "_row").groupBy("_group").agg(best.alias("_best")).select("_best._row", "_best._times"))
+    once = rows.join(kept.where("_times = 1"), "_row", "left_semi").select(*COLUMNS)
+    # only rows that occur again are brought together, after each task has made one of its own
+    again = stored(kept.where("_times > 1"))
+    if again.isEmpty():
+        return once
+    return once.union(rows.join(again, "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*COLUMNS)).alias("_one")).select("_one.*"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the one with the largest doc_id; a null doc_id only if there is no other."""
     rows = _rows(docs)
-    return _only(rows, deduplicated(_named(rows)), "text_sha256", F.max(F.struct("_id", "_row")))
+    return _only(rows, deduplicated(_named(rows)), "text_sha256", F.max(F.struct("_id", "_row", "_times")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +55,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Texts without words are all kept.
     """
     rows = _rows(docs)
-    return _only(rows, near_duplicates(_named(rows)), "component_id", F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_row")))
+    return _only(rows, near_duplicates(_named(rows)), "component_id", F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_row", "_times")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

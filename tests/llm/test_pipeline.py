@@ -69,6 +69,17 @@ def test_rows_without_a_number_are_told_apart(spark):
         assert pairs(stage(spark, awkward(spark, rows), SF).collect()) == wanted
 
 
+def test_repeated_rows_and_ids_with_two_texts(spark):
+    a, b = "the first text of two under one number", "quite another one that stands nowhere else"
+    rows = [(7, a, "en", "a"), (7, b, "en", "a"), (9, a, "en", "b"), (8, b + " too", "fr", "c"), (8, b + " too", "fr", "c"), (8, b + " too", "de", "c"),
+            (None, "x y z", "en", "a"), (None, "x y z", "en", "a"), (6, "", "en", "a"), (6, "", "en", "a"), (6, None, "en", "a")]
+    ordered = lambda stage: sorted(((r.doc_id, r.text) for r in stage(spark, awkward(spark, rows), SF).collect()), key=repr)
+    copies = ordered(pipeline.drop_copies)
+    assert len(copies) == 5 and [p for p in copies if p[1]] == sorted([(9, a), (7, b), (8, b + " too"), (None, "x y z")], key=repr)
+    near = ordered(pipeline.drop_near_copies)
+    assert near == sorted([(7, a), (7, b), (None, "x y z"), (6, ""), (6, None)], key=repr)
+
+
 @pytest.mark.parametrize("name, stage", pipeline.STAGES)
 def test_every_stage_takes_awkward_rows(spark, name, stage):
     docs = awkward(spark)
