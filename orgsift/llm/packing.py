@@ -56,14 +56,15 @@ class Encoder:
     The tokenizer lower-cases, drops white space and never joins what stands on its two sides, so the
     ids of a text are the ids of its pieces between blanks and line ends, with A-Z in lower case.  A
     comma or full stop after a letter and before white space is a token run of its own, and a run of
-    plain letters goes to the merges at once.  Pieces seen before come from a table of bounded size.
+    plain letters goes to the merges at once.  Special tokens such as <|endoftext|> are looked for
+    before lower-casing, so a piece with "<|" keeps its case.  Pieces seen before come from a table of
+    bounded size.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known, self.again = {}, set()
         self.letters = _byte_letters()
 
@@ -97,7 +98,8 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each UTF-8 text and the end id, as 16-bit numbers."""
-        cut = [x.lower().replace(b"\n", b" ").split(b" ") for x in texts]
+        cut = [x.lower().replace(b"\n", b" ").split(b" ") if b"<|" not in x else
+               [w if b"<|" in w else w.lower() for w in x.replace(b"\n", b" ").split(b" ")] for x in texts]
         every = set().union(*cut)
         new = every.difference(self.known)
         self.again |= every.difference(new)

@@ -109,6 +109,15 @@ def test_ids_are_those_of_the_tokenizer(encoder, texts):
         assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids + [END_ID]
 
 
+def test_special_tokens_are_those_of_the_file(encoder):
+    from tokenizers import Tokenizer
+    fresh = Tokenizer.from_file(default_tokenizer())
+    texts = ["end of page <|endoftext|> next", "a<|endoftext|>b.", "<|ENDOFTEXT|> <|EndOfText|>", "Up<|startoftext|><|endoftext|>\nX<|", "<|endoftext|>,", "<|a|>. <|A|>, I<| |>"]
+    for text, ids in zip(texts, encoder.encode([t.encode() for t in texts])):
+        assert ids.tolist() == fresh.encode(text, add_special_tokens=False).ids + [END_ID], text
+    assert encoder.encode([texts[0].encode()])[0].tolist() == [806, 539, 2504, 49407, 1131, END_ID]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(1, 9000), st.sampled_from([1, 8, 3000, 4095, 4096, 4097])), max_size=60), st.booleans())
 def test_each_token_lies_in_one_place(lengths, same):
