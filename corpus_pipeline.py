@@ -59,8 +59,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per draw of a document; no document is left out, and none of a small source is drawn more than three times."""
-    return mixed(docs.select(*COLUMNS)).select(*COLUMNS)
+    """One row per draw of a document, in drawn order; no document is left out, and none of a small source is drawn more than three times.
+
+    The hash of the text tells rows of one doc_id apart, so that no range is a single doc_id.
+    """
+    order = ["mix_pass", "mix_order", "doc_id", "_text"]
+    drawn = mixed(docs.select(*COLUMNS)).withColumn("_text", F.xxhash64("text"))
+    return drawn.repartitionByRange(*order).sortWithinPartitions(*order).select(*COLUMNS)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as pipeline
+from orgsift.llm.mixing import mixed
 from orgsift.llm.packing import Encoder, default_tokenizer
 from orgsift.llm.queries import QUERIES
 from cases import HAVE_SF, SF, TEXTS, awkward, lowered
@@ -80,6 +81,12 @@ def test_repeated_rows_and_ids_with_two_texts(spark):
     assert near == sorted([(7, a), (7, b), (None, "x y z"), (6, ""), (6, None)], key=repr)
 
 
+def test_draws_come_in_their_order(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*pipeline.COLUMNS)
+    wanted = [r.doc_id for r in sorted(mixed(docs).collect(), key=lambda r: (r.mix_pass, r.mix_order, r.doc_id))]
+    assert [r.doc_id for r in pipeline.mix_sources(spark, docs, SF).collect()] == wanted
+
+
 @pytest.mark.parametrize("name, stage", pipeline.STAGES)
 def test_every_stage_takes_awkward_rows(spark, name, stage):
     docs = awkward(spark)
