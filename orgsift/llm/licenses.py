@@ -4,7 +4,8 @@ Every template is a short sentence of a licence with a mandatory phrase in it.
 documents counts in how many each template word stands; the words with the highest inverse document
 frequency are the template's anchors.  The second pass looks up the anchors in every file and
 intersects their postings by relative position: anchors that point to the same start of a template
-are a candidate.  A candidate counts when the mandatory phrase stands there word by word.
+are a candidate, and so is the rarest word of the mandatory phrase alone, whatever the counts of
+the corpus are.  A candidate counts when the mandatory phrase stands there word by word.
 
 Base phrases are found on their own, as runs of consecutive words anywhere in the text.
 """
@@ -60,6 +61,7 @@ class LicenseIndex:
     anchor: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     template: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     place: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    votes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
 
 def vocabulary(templates=TEMPLATES) -> list[str]:
@@ -105,11 +107,14 @@ def build_index(docs: DataFrame, templates=TEMPLATES, anchors: int = ANCHORS, ag
         # the rarest words are the anchors; of equal ones those of the mandatory phrase, then the first
         rare = sorted(range(len(hashes)), key=lambda q: (-idf[hashes[q]], not start <= q < start + len(must), q))[:anchors]
         index.needed[t] = min(agree, len(rare))
-        postings += [(hashes[q], t, q) for q in rare]
+        # every whole phrase holds its rarest word, so that one has all votes a candidate needs
+        sure = max(range(start, start + len(must)), key=lambda q: idf[hashes[q]])
+        postings += [(hashes[q], t, q, int(index.needed[t]) if q == sure else 1) for q in {*rare, sure}]
     postings.sort()
     index.anchor = np.array([p[0] for p in postings], np.uint64)
     index.template = np.array([p[1] for p in postings], np.int64)
     index.place = np.array([p[2] for p in postings], np.int64)
+    index.votes = np.array([p[3] for p in postings], np.int64)
     return index
 
 
@@ -138,8 +143,14 @@ def template_places(index: LicenseIndex, words: np.ndarray, owner: np.ndarray, f
     # votes of one text do not meet those of another: the owner is part of the key
     span = len(words) + 4096
     key = (owner[where] * span + where - index.place[posting] + 2048) * templates + index.template[posting]
-    key, votes = np.unique(key, return_counts=True)
+    key, which = np.unique(key, return_inverse=True)
+    votes = np.bincount(which, weights=index.votes[posting], minlength=len(key))
     key = key[votes >= index.needed[key % templates]]
+    begin, of = key // templates % span - 2048, key % templates
+    opening = begin + np.array([m for m, _ in index.phrase])[of]  # most candidates of one word end here
+    here = (opening >= 0) & (opening < len(words))
+    here[here] = words[opening[here]] == np.array([w[m] for w, (m, _) in zip(index.words, index.phrase)], np.uint64)[of[here]]
+    key = key[here]
     out = []
     for k in key.tolist():
         t, rest = k % templates, k // templates

@@ -85,3 +85,12 @@ def test_licenses(spark):
     assert by[203].labels == ["gpl", "gpl-3.0"] and by[205].labels == ["apache-2.0"] and "mit" in by[13].labels
     assert by[204].labels == [] and by[207].labels == []  # words of the template without the mandatory phrase
     assert scan_licenses(none(spark), build_index(none(spark))).collect() == []
+
+
+def test_a_whole_phrase_is_found_whatever_the_counts_are(spark):
+    notice = "Licensed under the Mozilla Public License, version 2.0"
+    # the words of the phrase are common, those around them in the template are not
+    rows = [(1, notice, "en", "a")] + [(k, "mozilla public license 2 0 of the to", "en", "a") for k in range(2, 60)]
+    docs = awkward(spark, rows)
+    found = {r.doc_id: r.labels for r in scan_licenses(docs, build_index(docs)).collect()}
+    assert all("mpl-2.0" in found[k] for k in range(1, 60))
