@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import rules
 from ..functions.text import any_word
 from ..functions.url import host, is_crawlable
-from .ordering import keep_first, spread_previous, spread_row_number
+from .ordering import global_places, keep_first, spread_previous, spread_row_number
 
 
 def robots_filter(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
@@ -43,15 +43,13 @@ def unvisited(frontier: DataFrame, visited: DataFrame, order="arrival") -> DataF
     return keep_first(frontier, ["url"], order).join(visited.select("url"), "url", "left_anti")
 
 
-def order_frontier(frontier: DataFrame, arrival=("arrival",), capacity: int = None, width: int = 100000) -> DataFrame:
-    """Adds `place`: highest priority first, then arrival (one or more columns, a number first).
+def order_frontier(frontier: DataFrame, arrival=("arrival",), capacity: int = None) -> DataFrame:
+    """Adds `place`: highest priority first, then arrival (one or more columns).
 
-    The whole frontier is numbered; a capacity keeps the first places only.  Requests are cut into
-    buckets of `width` along the order, so no task sorts them all.
+    The whole frontier is numbered over range partitions, so no task sorts it all; a capacity keeps
+    the first places only.
     """
-    arrival = list(arrival)
-    bucket = F.struct((-F.col("priority")).alias("p"), F.floor(F.col(arrival[0]) / width).alias("a"))
-    placed = spread_row_number(frontier, [], bucket, [F.desc("priority"), *[F.asc(a) for a in arrival]], "place")
+    placed = global_places(frontier, [F.desc("priority"), *[F.asc(a) for a in arrival]], "place")
     return placed.filter(F.col("place") <= capacity) if capacity else placed
 
 

@@ -9,6 +9,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import cut_lineage
+
 
 def keep_max(df: DataFrame, keys, by) -> DataFrame:
     """The whole row with the greatest `by` value for each key."""
@@ -71,3 +73,24 @@ def spread_previous(df: DataFrame, keys, bucket: Column, order: str, name: str)
     inside = cut.withColumn("_prev", F.lag(order).over(W.partitionBy(*keys, "_b").orderBy(order)))
     out = inside.join(links, _same(inside, links, [*keys, "_b"]))
     return out.select(*[inside[c] for c in df.columns], F.coalesce("_prev", "_last").alias(name))
+
+
+def global_places(df: DataFrame, order, name: str) -> DataFrame:
+    """Places 1, 2, 3 .. of all rows along `order`, by two levels of sums over range partitions.
+
+    Rows are dealt to ranges and numbered inside them; the second level adds up one count per
+    range.  The numbered rows are written, so ranges and numbers cannot change between the levels.
+    Rows that are equal in `order` get places of their own; add columns that tell them apart where
+    that matters.  No rows give no rows.
+    """
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    numbered = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                           .withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    ranges = numbered.groupBy(part.alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranges.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # one row per range: as many rows as the session has shuffle partitions
+    out = numbered.withColumn("_range", part).join(F.broadcast(starts), "_range")
+    place = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], place.cast("long").alias(name))

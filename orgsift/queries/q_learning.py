@@ -198,4 +198,4 @@ def _(spark, sf):
 def _(spark, sf):
     from ..sources.tables import with_new_ids
     new = table(spark, sf, "events").filter("event_type = 'signup'").select("event_id")
-    return with_new_ids(vocabulary(spark, sf), new, "event_id", width=1000)
+    return with_new_ids(vocabulary(spark, sf), new, "event_id")

@@ -425,7 +425,7 @@ def _(spark, sf):
   row_number() OVER (ORDER BY length(text) % 4 DESC, page_id, no)::BIGINT AS place FROM links""")
 def _(spark, sf):
     links = links_of(spark, sf).select(F.col("target").alias("url"), (F.length("text") % 4).alias("priority"), "page_id", "no")
-    return P.order_frontier(links, ["page_id", "no"], width=64)
+    return P.order_frontier(links, ["page_id", "no"])
 
 
 @query("w2_politeness_schedule", f"""SELECT page_id, host, slot::BIGINT AS slot, (slot * 1.5)::DOUBLE AS earliest_s FROM (SELECT page_id, {s_host('url')} AS host,

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, types as T, functions as F
 
-from ..operators.ordering import keep_first, spread_row_number
+from ..operators.ordering import global_places, keep_first
 
 SEARCH_RESULTS = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "abstract", "url", "original_query")])
 ORGANISATIONS = T.StructType([
@@ -92,10 +92,10 @@ def append_reclassified(results: DataFrame, reclassified: DataFrame, position: s
     return keep_first(both, ["url"], ["part", position]).drop("part")
 
 
-def with_new_ids(existing: DataFrame, new: DataFrame, order: str, width: int = 100000, key: str = "id") -> DataFrame:
-    """New rows numbered on from the greatest existing id, in the given integer order."""
+def with_new_ids(existing: DataFrame, new: DataFrame, order: str, key: str = "id") -> DataFrame:
+    """New rows numbered on from the greatest existing id, in the given order."""
     top = existing.agg(F.coalesce(F.max(key), F.lit(0))).scalar()
-    numbered = spread_row_number(new, [], F.floor(F.col(order) / width), [F.col(order)], "_n")
+    numbered = global_places(new, [order], "_n")
     return numbered.withColumn(key, F.col("_n") + top).drop("_n")
 
 
