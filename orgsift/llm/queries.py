@@ -12,6 +12,7 @@ from .mixing import mixed
 from .near_dups import near_duplicates
 from .packing import pack, with_digests
 from .quality import quality_scores, train as train_quality
+from .resampling import resample
 from .toxicity import severity, train as train_toxicity
 from .url_filter import judge, rule_table
 
@@ -116,6 +117,42 @@ def op6_quality(spark, sf):
     return quality_scores(docs, train_quality(docs, read(spark, sf, "labels")))
 
 
+#: CRC-32 in SQL: the table of the 256 remainders is made by its rule, eight halvings of each byte.
+_CRC_TABLE = """crc_steps(b, k, v) AS (SELECT i::BIGINT, 0, i::BIGINT FROM range(256) r(i) UNION ALL
+    SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM crc_steps WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY b) tab FROM crc_steps WHERE k = 8)"""
+
+
+def _crc32(text: str) -> str:
+    """The SQL of the unsigned CRC-32 of the UTF-8 bytes of a text, given crc_table."""
+    raw = f"hex(encode({text}))"
+    bytes_of = f"list_transform(range(1, len({raw}), 2), lambda p: ('0x' || substr({raw}, p, 2))::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bytes_of}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+_ALNUM_SQL = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+
+
+@query("op12_resampling", sql=f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT doc_id, unnest(regexp_extract_all({_LOW}, '{_ALNUM_SQL}')) w FROM documents),
+a AS (SELECT unnest(regexp_extract_all({_LOW}, '{_ALNUM_SQL}')) w FROM benchmark),
+ws AS (SELECT w, {_crc32("w")} % 10000 b FROM (SELECT w FROM d UNION SELECT w FROM a), crc_table),
+s AS (SELECT b, count(*) n FROM d JOIN ws USING (w) GROUP BY 1),
+t AS (SELECT b, count(*) n FROM a JOIN ws USING (w) GROUP BY 1),
+g AS (SELECT i b, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE
+          / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE)))::BIGINT gain
+      FROM range(10000) r(i) LEFT JOIN s ON s.b = i LEFT JOIN t ON t.b = i),
+f AS (SELECT doc_id, count(*) n_features, floor(sum(gain) / count(*))::BIGINT weight FROM d JOIN ws USING (w) JOIN g USING (b) GROUP BY 1),
+p AS (SELECT doc_id, coalesce(n_features, 0)::BIGINT n_features, coalesce(weight, 0)::BIGINT weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || doc_id), 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT score
+    FROM documents LEFT JOIN f USING (doc_id)),
+e AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) r, count(*) OVER () n FROM p WHERE n_features >= 20)
+SELECT p.*, r::BIGINT AS rank FROM p LEFT JOIN (SELECT doc_id, r FROM e WHERE r <= floor(10 * n / 100)) USING (doc_id)""")
+def op12_resampling(spark, sf):
+    return resample(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
 @query("op9_language")
 def op9_language(spark, sf):
     docs = read(spark, sf, "documents")
