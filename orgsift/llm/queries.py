@@ -11,6 +11,7 @@ from .licenses import build_index, scan_licenses
 from .mixing import mixed
 from .near_dups import near_duplicates
 from .packing import pack, with_digests
+from .prefix_trie import conversation_trie
 from .quality import quality_scores, train as train_quality
 from .resampling import resample
 from .toxicity import severity, train as train_toxicity
@@ -133,6 +134,28 @@ def _crc32(text: str) -> str:
 _ALNUM_SQL = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
+@query("op11_prefix_trie", sql=f"""
+WITH RECURSIVE {_CRC_TABLE},
+o AS (SELECT conv_id, list(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) || '/'
+                           || len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) ORDER BY turn NULLS FIRST) own
+      FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+h AS (SELECT conv_id, own, {_crc32("conv_id::VARCHAR")} % 4 h FROM o, crc_table),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.own, [])[1:h], h.own[h + 1:]) s FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 20),
+m AS (SELECT conv_id, len(s) n, unnest(range(0, len(s) + 1)) d, s FROM r),
+k AS (SELECT conv_id, n, d, array_to_string(s[1:d], ' ') p, array_to_string(s[1:d - 1], ' ') up,
+             CASE WHEN d = 0 THEN 0 ELSE split_part(s[d], '/', 2)::BIGINT END w FROM m),
+v AS (SELECT d, p, min(up) up, min(conv_id) conv_id, count(*) n_convs, min(w) w,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) ends_sha256 FROM k GROUP BY 1, 2),
+c AS (SELECT v.d, v.p, count(x.p) n_children FROM v LEFT JOIN v x ON x.d = v.d + 1 AND x.up = v.p GROUP BY 1, 2),
+under AS (SELECT DISTINCT a.d, array_to_string(a.s[1:a.d], ' ') p, b.d bd, array_to_string(a.s[1:b.d], ' ') bp FROM m a JOIN m b ON a.conv_id = b.conv_id AND b.d >= a.d),
+t AS (SELECT u.d, u.p, sum((x.n_convs - 1) * x.w) saved_tokens, sum(CASE WHEN c.n_children = 0 THEN 1 ELSE 0 END) n_leaves
+      FROM under u JOIN v x ON x.d = u.bd AND x.p = u.bp JOIN c ON c.d = u.bd AND c.p = u.bp GROUP BY 1, 2)
+SELECT v.conv_id, v.d::BIGINT AS "depth", y.conv_id parent_conv_id, v.n_convs, n_children, n_leaves::BIGINT n_leaves, saved_tokens::BIGINT saved_tokens, v.ends_sha256
+FROM v JOIN c USING (d, p) JOIN t USING (d, p) LEFT JOIN v y ON y.d = v.d - 1 AND y.p = v.up""")
+def op11_prefix_trie(spark, sf):
+    return conversation_trie(read(spark, sf, "conversations"))
+
+
 @query("op12_resampling", sql=f"""
 WITH RECURSIVE {_CRC_TABLE},
 d AS (SELECT doc_id, unnest(regexp_extract_all({_LOW}, '{_ALNUM_SQL}')) w FROM documents),
