@@ -33,7 +33,7 @@ def compare(con, sql, df):
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(names)}"
     order = sorted(names)
-    kinds = {"long": "int", "double": "float", "string": "str", "boolean": "bool"}
+    kinds = {"long": "int", "integer": "int", "double": "float", "string": "str", "boolean": "bool"}
     types = {f.name: f.dataType.typeName() for f in df.schema.fields}
     ours = [tuple(_cell(r[c]) for c in order) for r in df.collect()]
     at = [names.index(c) for c in order]
