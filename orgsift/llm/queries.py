@@ -10,6 +10,7 @@ from .language import languages, train as train_language
 from .licenses import build_index, scan_licenses
 from .mixing import mixed
 from .near_dups import near_duplicates
+from .neighbours import nearest
 from .packing import pack, with_digests
 from .prefix_trie import conversation_trie
 from .quality import quality_scores, train as train_quality
@@ -176,6 +177,18 @@ def op12_resampling(spark, sf):
     return resample(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
 
 
+# a table of less than two leaves, as the small ones are, is searched whole, so its answers are the exact ones of this SQL
+@query("op13_neighbours", sql="""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) e FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) score
+      FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM p)
+SELECT query_id, n::INTEGER AS "rank", vec_id, score FROM r WHERE n <= 20""")
+def op13_neighbours(spark, sf):
+    return nearest(read(spark, sf, "embeddings"))
+
+
 @query("op9_language")
 def op9_language(spark, sf):
     docs = read(spark, sf, "documents")

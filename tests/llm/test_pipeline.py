@@ -52,8 +52,8 @@ def test_empty_documents(spark):
         assert stage(spark, docs, SF).collect() == []
 
 
-def test_all_ten_are_registered():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")} == set(range(1, 11))
+def test_all_are_registered():
+    assert {int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")} == set(range(1, 14))
 
 
 def pairs(rows):
