@@ -10,8 +10,10 @@ are visited in the order in which they leave the queue.  How many leaves a query
 for a bounded sample of queries the exact answers over all rows are found once, and the visits are
 widened until TARGET_RECALL of these answers lie in visited leaves.
 
-Visited leaves meet query vectors block by block.  All products are in double precision; the scores
-of the answers are computed pair by pair on the original vectors.
+Queries that begin at one leaf form groups.  A group meets the blocks of the leaves that its queries
+visit one after the other, and keeps the best answers so far, so a query sends on as many answers as
+are asked for and one more.  All products are in double precision; the scores of the answers are
+computed pair by pair on the original vectors.
 """
 
 from __future__ import annotations
@@ -30,8 +32,7 @@ SAMPLE_ROWS = 20_000  # bound of the vectors that the tree is fitted on
 CALIBRATION_ROWS = 128  # bound of the queries whose exact answers are found for calibration
 TARGET_RECALL = 0.96
 BRANCHES, LEAF_ROWS, LEAF_SAMPLE = 8, 1024, 8
-BLOCK_ROWS, CHUNK_ROWS, ID_LIST = 4096, 512, 1000
-_HELD = 1 << 25  # bytes of query vectors that a task gathers before it sends them on
+BLOCK_ROWS, GROUP_ROWS, ID_LIST = 1024, 1024, 1000
 
 
 # ------------------------------------------------------------------ the tree
@@ -129,7 +130,7 @@ def visit_order(tree: KMeansTree, queries: np.ndarray, visits: int, rows: list[i
     return out
 
 
-# ------------------------------------------------------------------ vectors, blocks and chunks
+# ------------------------------------------------------------------ vectors, blocks and query groups
 
 def _kind(vectors: DataFrame):
     return np.float32 if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else np.float64
@@ -241,42 +242,45 @@ def _block_batches(most):
     return run
 
 
-def _chunk_batches(tree, kind, visits, leaf_rows, least):
-    """Query vectors gathered by the leaf they visit, CHUNK_ROWS at most in a row."""
-    names = ["leaf", "m", "lists", "list_counts", "asked"]
-
+def _visit_batches(tree, kind, visits, leaf_rows, least):
+    """Each query vector with its ids and the leaves it visits, the best one named apart."""
     def run(batches):
-        held, size = {}, 0
-
-        def sent(leaf, rows):
-            counts = np.array([len(r[1]) for r in rows], "<i4")
-            return (leaf, len(rows), np.concatenate([np.array(r[1], "<i8") for r in rows]).tobytes(), counts.tobytes(), b"".join(r[0] for r in rows))
-
-        def packed(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=names)
-
         for batch in batches:
             raw, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            if not raw:
-                continue
-            x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
             for a in range(0, len(raw), 1000):
-                for k, leaves in enumerate(visit_order(tree, x[a:a + 1000], visits, leaf_rows, least), a):
-                    for leaf in leaves:
-                        rows = held.setdefault(leaf, [])
-                        rows.append((raw[k], lists[k]))
-                        size += len(raw[k]) + 8 * len(lists[k])
-                        if len(rows) == CHUNK_ROWS:
-                            yield packed([sent(leaf, held.pop(leaf))])
-                    if size > _HELD:
-                        for leaf, rows in held.items():
-                            yield packed([sent(leaf, rows)])
-                        held, size = {}, 0
-        for leaf, rows in held.items():
-            yield packed([sent(leaf, rows)])
+                x = np.frombuffer(b"".join(raw[a:a + 1000]), kind).reshape(len(raw[a:a + 1000]), -1).astype(np.float64)
+                order = visit_order(tree, x, visits, leaf_rows, least)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([o[0] for o in order], pa.int64()), pa.array(raw[a:a + 1000], pa.binary()), pa.array(lists[a:a + 1000], pa.list_(pa.int64())),
+                     pa.array(order, pa.list_(pa.int64()))], names=["best", "vector", "queries", "visits"])
     return run
 
 
+def _group_batches(batches):
+    """Groups of at most GROUP_ROWS query vectors that follow each other, with all the leaves that any of them visits."""
+    from pyspark import TaskContext
+    number, rows = TaskContext.get().partitionId() << 32, []
+
+    def group():
+        flat = lambda lists: (np.concatenate([np.array(x, "<i8") for x in lists]).tobytes(), np.array([len(x) for x in lists], "<i4").tobytes())
+        one = [number, len(rows), b"".join(r[0] for r in rows), *flat([r[1] for r in rows]), *flat([r[2] for r in rows]),
+               sorted({v for r in rows for v in r[2]})]
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(one, _GROUP_ARROW)], schema=_GROUP_ARROW)
+
+    for batch in batches:
+        for row in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+            rows.append(row)
+            if len(rows) == GROUP_ROWS:
+                yield group()
+                number, rows = number + 1, []
+    if rows:
+        yield group()
+
+
+_GROUP = "group long, n long, vectors binary, ids binary, counts binary, visits binary, visit_counts binary, leaves array<long>"
+_GROUP_ARROW = pa.schema([(f.split()[0], {"long": pa.int64(), "binary": pa.binary()}.get(f.split()[1], pa.list_(pa.int64()))) for f in _GROUP.split(", ")])
+
+
 # ------------------------------------------------------------------ products
 
 def _lists(flat: bytes, counts: bytes) -> list[np.ndarray]:
@@ -312,18 +316,52 @@ def best_of_block(queries: np.ndarray, vectors: np.ndarray, ids: list[np.ndarray
     return row[keep], found[keep], score[keep]
 
 
+class _Asking:
+    """A group of query vectors with their best answers so far."""
+
+    def __init__(self, row, kind, most):
+        self.most = most
+        self.x = np.frombuffer(row["vectors"], kind).reshape(row["n"], -1).astype(np.float64)
+        self.asker = np.array([q[0] for q in _lists(row["ids"], row["counts"])])
+        self.visits = {}
+        for q, leaves in enumerate(_lists(row["visits"], row["visit_counts"])):
+            for leaf in leaves.tolist():
+                self.visits.setdefault(leaf, []).append(q)
+        self.row, self.found, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def meet(self, row, kind):
+        """Better the answers of the queries that visit the leaf of this block."""
+        mine = np.array(self.visits[row["leaf"]])
+        vectors = np.frombuffer(row["vectors"], kind).reshape(row["n"], -1).astype(np.float64)
+        q, found, score = best_of_block(self.x[mine], vectors, _lists(row["ids"], row["counts"]), self.most)
+        q, found, score = (np.concatenate(p) for p in ((self.row, mine[q]), (self.found, found), (self.score, score)))
+        order = np.lexsort((found, -score, q))
+        q, found, score = q[order], found[order], score[order]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < self.most
+        self.row, self.found, self.score = q[keep], found[keep], score[keep]
+
+    def answers(self):
+        n = np.bincount(self.row, minlength=len(self.x))
+        ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+        pairs = pa.StructArray.from_arrays([pa.array(self.found), pa.array(self.score)], names=["vec_id", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(self.asker), pa.ListArray.from_arrays(ends, pairs)], names=["asker", "found"])
+
+
 def _answer_batches(kind, most):
+    """Answers of query groups: a group's own row comes first, then the blocks of the leaves it visits."""
     def run(batches):
+        now = None
         for batch in batches:
-            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             for i in range(batch.num_rows):
-                n, m = col["n"][i].as_py(), col["m"][i].as_py()
-                vectors = np.frombuffer(col["vectors"][i].as_py(), kind).reshape(n, -1).astype(np.float64)
-                queries = np.frombuffer(col["asked"][i].as_py(), kind).reshape(m, -1).astype(np.float64)
-                row, found, score = best_of_block(queries, vectors, _lists(col["ids"][i].as_py(), col["counts"][i].as_py()), most)
-                lists = _lists(col["lists"][i].as_py(), col["list_counts"][i].as_py())
-                first = np.array([x[0] for x in lists])
-                yield pa.RecordBatch.from_arrays([pa.array(first[row]), pa.array(found), pa.array(score)], names=["asker", "vec_id", "score"])
+                row = {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
+                if row["leaf"] is None:
+                    if now is not None:
+                        yield now.answers()
+                    now = _Asking(row, kind, most)
+                else:
+                    now.meet(row, kind)
+        if now is not None:
+            yield now.answers()
     return run
 
 
@@ -411,13 +449,17 @@ def build_index(vectors: DataFrame, neighbours: int = NEIGHBOURS, query_step: in
 def search(index: Index, neighbours: int = NEIGHBOURS) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest rows found for each query of the index."""
     most = neighbours + 1
-    chunks = index.queries.mapInArrow(_chunk_batches(index.tree, index.kind, index.visits, index.leaf_rows, most),
-                                      "leaf long, m long, lists binary, list_counts binary, asked binary")
-    pairs = index.blocks.drop("block").join(stored(chunks), "leaf").select("n", "ids", "counts", "vectors", "m", "lists", "list_counts", "asked")
-    found = pairs.mapInArrow(_answer_batches(index.kind, most), "asker long, vec_id long, score double")
-    best = W.partitionBy("asker").orderBy(F.desc("score"), "vec_id")
-    top = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= most)
-    packed = top.groupBy("asker").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("found"))
+    visiting = index.queries.mapInArrow(_visit_batches(index.tree, index.kind, index.visits, index.leaf_rows, most),
+                                        "best long, vector binary, queries array<long>, visits array<long>")
+    # queries that begin at one leaf share most of their way, so they make a group
+    groups = stored(visiting.repartitionByRange("best", "vector").sortWithinPartitions("best", "vector").select("vector", "queries", "visits")
+                    .mapInArrow(_group_batches, _GROUP))
+    columns = ["group", "leaf", "n", "vectors", "ids", "counts", "visits", "visit_counts"]
+    ask = groups.withColumn("leaf", F.lit(None).cast("long")).select(*columns)
+    meet = groups.select("group", F.explode("leaves").alias("leaf")).join(index.blocks, "leaf").withColumns(
+        {c: F.lit(None).cast("binary") for c in ("visits", "visit_counts")}).select(*columns)
+    dealt = ask.unionByName(meet).repartition("group").sortWithinPartitions("group", F.asc_nulls_first("leaf"))
+    packed = dealt.mapInArrow(_answer_batches(index.kind, most), "asker long, found array<struct<vec_id: long, score: double>>")
     # a row of queries holds at most ID_LIST ids of one vector; they share the answers but for themselves
     lists = index.queries.select(F.col("queries")[0].alias("asker"), "queries")
     each = lists.join(packed, "asker").select(F.explode("queries").alias("query_id"), "found")

@@ -66,8 +66,8 @@ def test_few_rows(spark):
     assert close(found(N.nearest(table(spark, rows))), plain(rows))  # fewer than 20: all of them
 
 
-def test_small_blocks_chunks_and_lists(spark, monkeypatch):
-    for name, value in (("BLOCK_ROWS", 7), ("CHUNK_ROWS", 3), ("ID_LIST", 2), ("_HELD", 200)):
+def test_small_blocks_groups_and_lists(spark, monkeypatch):
+    for name, value in (("BLOCK_ROWS", 7), ("GROUP_ROWS", 3), ("ID_LIST", 2)):
         monkeypatch.setattr(N, name, value)
     rows = awkward(2, 120)
     assert close(found(N.nearest(table(spark, rows), neighbours=5, query_step=4, leaf_rows=16, target=2.0)), plain(rows, 5, 4))
