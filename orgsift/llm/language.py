@@ -15,9 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .quality import held_out
+from .store import one_row_each
 from .textscan import LETTERS, LOWER, batch_slices, word_bounds, word_hashes
 
 HIDDEN, WINDOW = 12, 48
@@ -203,11 +204,18 @@ def _sample_batches(batches):
 
 
 def train(docs: DataFrame, most: int = SAMPLE_ROWS) -> LanguageModel:
-    """A model from the words of at most `most` documents with a language that are not held out, chosen by a hash."""
+    """A model from the words of at most `most` documents with a language that are not held out.
+
+    Documents are ranked by a hash within their language, and lower ranks are taken first, so every
+    language is learned before any gets a second document.  A repeated doc_id gives one row a language.
+    """
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
-    chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    # at most `most` numbers, so they may be sent to every task
-    rows = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").select("lang", "text").mapInArrow(
+    mixed = F.xxhash64("doc_id")
+    ranked = known.select("lang", "doc_id").distinct().withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(mixed, "doc_id")))
+    chosen = ranked.where(F.col("rank") <= most).orderBy("rank", mixed, "doc_id", "lang").limit(most).select("doc_id", F.col("lang").alias("of"))
+    # at most `most` rows, so they may be sent to every task
+    pairs = known.select(F.struct("lang", "doc_id").alias("doc_id"), "text")
+    rows = one_row_each(pairs, F.broadcast(chosen.select(F.struct(F.col("of").alias("lang"), "doc_id").alias("doc_id")))).select("doc_id.lang", "text").mapInArrow(
         _sample_batches, "lang string, word binary").toArrow()
     lang, words = rows.column("lang").to_pylist(), rows.column("word").to_pylist()
     order = sorted(range(len(words)), key=lambda i: (lang[i], words[i]))  # batches arrive in any order

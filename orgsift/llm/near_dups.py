@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .graph import components
-from .store import stored
+from .store import small_batches, stored
 from .textscan import NOT_SPACE, as_long, batch_slices, first_index, mix, words_of
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
@@ -31,7 +31,7 @@ BANDS = REGISTERS // ROWS
 EMPTY = np.uint16(0xFFFF)
 SHINGLE, SIMILARITY = 5, 0.75
 SMALL = 64  # a band group of up to so many members is joined with itself
-BLOCK, BLOCK_SHINGLES = 4096, 1_000_000  # members and shingles of a larger one that a task compares with as many others
+BLOCK, BLOCK_SHINGLES = 2048, 1_000_000  # members and shingles of a larger one that a task compares with as many others
 _U = np.uint64
 _MULT = mix(np.arange(1, 64, dtype=_U) * _U(0xA0761D6478BD642F)) | _U(1)
 
@@ -183,7 +183,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
 
 # ------------------------------------------------------------------ candidates
 
-def _common(one: list[np.ndarray], two: list[np.ndarray], width: int = 4096) -> np.ndarray:
+def _common(one: list[np.ndarray], two: list[np.ndarray], width: int = 2048) -> np.ndarray:
     """Sizes of the intersections of all sets of one list with all of another, by products of incidence matrices.
 
     Only shingles that both lists have take part, some columns at a time.
@@ -325,7 +325,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     false, and takes no part in links.  Rows that repeat a doc_id are rows of one document: its
     sets are linked by the id itself.  No rows give no rows.  Other columns are ignored.
     """
-    sketch = stored(sketches(docs))
+    sketch = stored(sketches(small_batches(docs)))
     known = sketch.where("n_shingles > 0 and doc_id is not null")
     # written, so that a join with it can split the rows of a set with very many copies
     folded = stored(known.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")))

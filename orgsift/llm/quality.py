@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .store import one_row_each
 from .textscan import NOT_SPACE, batch_slices, words_of
 
 SHAPES = 4096
@@ -112,11 +113,11 @@ def fit(counts: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> QualityModel:
-    """A model from at most `most` labelled rows that are not held out, chosen by a hash of the doc_id."""
+    """A model from at most `most` labelled rows that are not held out, chosen by a hash of the doc_id; a repeated doc_id gives one row."""
     known = labels.where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # at most `most` rows of two numbers, so they may be sent to every task
-    rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("quality").cast("int").alias("quality"), "text")
+    rows = (one_row_each(docs, F.broadcast(chosen)).select(F.col("quality").cast("int").alias("quality"), "text")
             .mapInArrow(_term_batches, "quality int, terms binary, counts binary").toArrow())
     counts = np.zeros((rows.num_rows, TERMS), np.float32)
     for i, (terms, values) in enumerate(zip(rows.column("terms"), rows.column("counts"))):

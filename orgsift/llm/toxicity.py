@@ -14,13 +14,15 @@ The fit uses a bounded sample of labelled rows; all other work is one pass over
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
-from .textscan import LETTERS, batch_slices, long_lists, words_of
+from .store import one_row_each, small_batches
+from .textscan import LETTERS, batch_slices, long_lists, slices, text_bytes, words_of
 
 COLUMNS = 1 << 18
 SAMPLE_ROWS = 16_000  # bound of the labelled rows that the model is fitted on
@@ -59,11 +61,14 @@ def _feature_batches(batches):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS):
-    """(toxic flags, columns of all rows in one array, row starts): at most `most` labelled rows, chosen by a hash."""
+    """(toxic flags, columns of all rows in one array, row starts): at most `most` labelled rows, chosen by a hash.
+
+    A doc_id that stands on several rows gives one of them, so the bound holds for rows.
+    """
     chosen = (labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
     # the sample has at most `most` rows of two numbers, so it may be sent to every task
-    rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text")
+    rows = (one_row_each(docs, F.broadcast(chosen)).select(F.col("toxic").cast("int").alias("toxic"), "text")
             .mapInArrow(_feature_batches, "toxic int, columns array<long>").toArrow().combine_chunks())
     if not rows.num_rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
@@ -146,25 +151,22 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Ordina
 _OUT = {"severity": "double", "p_toxic": "double", "grade": "long"}
 
 
-def _score_batches(model: OrdinalModel):
+def _scores(model: OrdinalModel):
+    """A function of a text column that gives the fields of _OUT; only these come back from Python, not the text."""
     kept = model.weights != 0
 
-    def run(batches):
-        for batch in batches:
-            rest = [k for k, name in enumerate(batch.schema.names) if name != "_tox_text"]
-            for i, j, data, offsets in batch_slices(batch, "_tox_text"):
-                owner, column = features(data, offsets, kept)
-                p = model.at_least(np.bincount(owner, weights=model.weights[column], minlength=j - i))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(k).slice(i, j - i) for k in rest] + [pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array((p >= 0.5).sum(axis=1))],
-                    names=[batch.schema.names[k] for k in rest] + [f"_tox_{k}" for k in _OUT])
-    return run
-
-
-def _scored(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    rows = docs.withColumn("_tox_text", F.col("text"))
-    schema = T.StructType([f for f in docs.schema.fields] + [T.StructField(f"_tox_{k}", T.DoubleType() if t == "double" else T.LongType()) for k, t in _OUT.items()])
-    return rows.mapInArrow(_score_batches(model), schema)
+    @F.arrow_udf("struct<" + ", ".join(f"{k}: {t}" for k, t in _OUT.items()) + ">")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            data, offsets = text_bytes(column)
+            parts = [np.zeros((0, len(model.thresholds)))]
+            for i, j in slices(offsets):
+                at = offsets[i:j + 1]
+                owner, columns = features(data[at[0]:at[-1]], at - at[0], kept)
+                parts.append(model.at_least(np.bincount(owner, weights=model.weights[columns], minlength=j - i)))
+            p = np.concatenate(parts)
+            yield pa.StructArray.from_arrays([pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array((p >= 0.5).sum(axis=1))], names=list(_OUT))
+    return score
 
 
 def severity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
@@ -174,10 +176,13 @@ def severity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     docs that have the names of the results are replaced.  Repeated rows are scored alike; no rows
     give no rows.
     """
-    return _scored(docs, model).select(*[F.col(f"`{c}`") for c in docs.columns if c not in _OUT],
-                                       *[F.col(f"_tox_{k}").alias(k) for k in _OUT])
+    rows = small_batches(docs).withColumn("_tox", _scores(model)("text"))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c not in _OUT], *[F.col(f"_tox.{k}").alias(k) for k in _OUT])
 
 
 def without_toxic(docs: DataFrame, model: OrdinalModel, reject_at: float = REJECT_AT) -> DataFrame:
-    """docs without the rows whose P(grade >= 1) is `reject_at` or more; columns stay as they are."""
-    return _scored(docs, model).where(F.col("_tox_p_toxic") < reject_at).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs without the rows whose P(grade >= 1) is `reject_at` or more; columns stay as they are.
+
+    Null and empty texts are judged by the thresholds alone.  Repeated rows are judged alike; no rows give no rows.
+    """
+    return small_batches(docs).where(_scores(model)("text")["p_toxic"] < reject_at)

@@ -99,3 +99,24 @@ def test_every_stage_takes_awkward_rows(spark, name, stage):
         assert {r.doc_id for r in out} == {d for d, *_ in TEXTS}
     else:
         assert (None, "a text without a number") in pairs(out)
+
+
+def test_packing_follows_the_drawn_order(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*pipeline.COLUMNS)
+    drawn = pipeline.mix_sources(spark, docs, SF)
+    drawn.write.parquet(f"{tmp_path}/drawn")
+    wanted = [r.doc_id for r in sorted(mixed(docs).collect(), key=lambda r: (r.mix_pass, r.mix_order, r.doc_id))]
+    read = spark.read.parquet(f"{tmp_path}/drawn")
+    assert [r.doc_id for r in pipeline.as_written(read).collect()] == wanted
+    assert pipeline.as_written(docs.groupBy("source").count()).columns == ["source", "count"]
+    # every task packs a run of the order: a document's draws meet sequences in the same order
+    firsts = pipeline.pack_windows(spark, read, SF).where("start = 0").selectExpr("doc_id", "sequence_id >> 36 AS task").collect()
+    tasks = {}
+    for r in firsts:
+        tasks.setdefault(r.task, set()).add(r.doc_id)
+    at = 0
+    for task in sorted(tasks):
+        n = sum(r.task == task for r in firsts)
+        assert set(wanted[at:at + n]) == tasks[task]
+        at += n
+    assert at == len(wanted)
