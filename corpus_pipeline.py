@@ -4,58 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orgsift.llm.exact_dups import deduplicated
+from orgsift.llm.keepers import one_of_equal_texts, one_of_near_copies
 from orgsift.llm.mixing import mixed
-from orgsift.llm.near_dups import near_duplicates
 from orgsift.llm.packing import pack
-from orgsift.llm.store import stored
+from orgsift.llm.store import as_written, stored
 from orgsift.llm.toxicity import train, without_toxic
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of any toxic grade is under one half; fitted on labelled documents."""
+    """Documents whose probability of any toxic grade is under one half; fitted on labelled documents.
+
+    Null and empty texts have no toxic words and stay; repeated rows are judged alike; no rows give no rows.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return without_toxic(docs.select(*COLUMNS), train(docs, labels))
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """The documents with a 64-bit key of their doc_id and text, whatever is null; the operators decide on it, row by row."""
-    d, t = F.col("doc_id"), F.col("text")
-    return docs.select(*COLUMNS).withColumn("_row", F.xxhash64(d.isNull(), t.isNull(), d, t))
-
-
-def _named(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col("_row").alias("doc_id"), "text")
-
-
-def _only(rows: DataFrame, found: DataFrame, group: str, best) -> DataFrame:
-    """The documents whose key is the `best` one of its group in found(doc_id, group), where doc_id is the key; each once."""
-    keyed = found.groupBy(F.col("doc_id").alias("_row")).agg(F.max(group).alias("_group"), F.count(F.lit(1)).alias("_times"))
-    ids = rows.groupBy("_row").agg(F.max("doc_id").alias("_id"))
-    kept = stored(keyed.join(ids, "_row").groupBy("_group").agg(best.alias("_best")).select("_best._row", "_best._times"))
-    once = rows.join(kept.where("_times = 1"), "_row", "left_semi").select(*COLUMNS)
-    # only rows that occur again are brought together, after each task has made one of its own
-    again = stored(kept.where("_times > 1"))
-    if again.isEmpty():
-        return once
-    return once.union(rows.join(again, "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*COLUMNS)).alias("_one")).select("_one.*"))
-
-
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the one with the largest doc_id; a null doc_id only if there is no other."""
-    rows = _rows(docs)
-    return _only(rows, deduplicated(_named(rows)), "text_sha256", F.max(F.struct("_id", "_row", "_times")))
+    """One document of each group of equal texts: the one with the largest doc_id; a null doc_id only if there is no other.
+
+    A null text is empty; of rows that repeat the doc_id that stays, one does; no rows give no rows.
+    """
+    return one_of_equal_texts(docs.select(*COLUMNS))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked texts: the one with the smallest doc_id; a null doc_id only if there is no other.
 
-    Texts without words are all kept.
+    Texts without words are all kept, each doc_id and text of them once; no rows give no rows.
     """
-    rows = _rows(docs)
-    return _only(rows, near_duplicates(_named(rows)), "component_id", F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_row", "_times")))
+    return one_of_near_copies(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +49,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in windows of 4096 tokens, with their ids."""
-    return pack(docs)
+    """Pieces of documents in windows of 4096 tokens, with their ids; a written table is packed in the order in which it was written.
+
+    Null and empty texts are the end id alone; repeated rows, such as further draws, are packed one by one; no rows give no rows.
+    """
+    return pack(as_written(docs))
 
 
 STAGES = [
@@ -86,7 +69,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written and read again by the next."""
+    """All stages over documents; what a stage returns is written and read again by the next.
+
+    No documents give no pieces; null, empty and repeated rows go through the stages as each of them says.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
