@@ -23,12 +23,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .textscan import batch_slices
+from .store import small_batches
+from .textscan import LOWER, batch_slices, byte_class, text_bytes, word_bounds
 
 WINDOW, STEP = 4096, 8
 BLOCK_TOKENS = 3_000_000
 END_ID = 2
-CACHED_WORDS, CACHED_CHARS = 300_000, 64
+CACHED_WORDS, CACHED_CHARS = 300_000, 64  # of each of two tables
 LEFT_OPEN = 8  # a gap of so many tokens is not worth a cut
 
 
@@ -39,8 +40,10 @@ def default_tokenizer() -> str:
 
 # ------------------------------------------------------------------ token ids
 
-#: Letters that are neither composed nor changed by normalisation, in lower case.
+#: Letters that are neither composed nor changed by normalisation, in lower case; marks that may stand behind them.
 _PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+").fullmatch
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_BLANK = byte_class([(0x20, 0x20), (0x0A, 0x0A)])
 
 
 def _byte_letters() -> list[str]:
@@ -51,69 +54,124 @@ def _byte_letters() -> list[str]:
 
 
 class Encoder:
-    """Token ids of whole texts, word by word.
+    """Token ids of whole texts; each distinct word of a slice is touched once.
 
     The tokenizer lower-cases, drops white space and never joins what stands on its two sides, so the
-    ids of a text are the ids of its pieces between blanks and line ends, with A-Z in lower case.  A
-    comma or full stop after a letter and before white space is a token run of its own, and a run of
-    plain letters goes to the merges at once.  Special tokens such as <|endoftext|> are looked for
-    before lower-casing, so a piece with "<|" keeps its case.  Pieces seen before come from a table of
-    bounded size.
+    ids of a text are the ids of its words between blanks and line ends, with A-Z in lower case.  A run
+    of plain letters and a run of marks behind it (no apostrophe, which can begin a contraction) are
+    token runs of their own; such runs go to the merges many at a time, told apart by the tokens that
+    end a word.  Special tokens such as <|endoftext|> are looked for before lower-casing, so a word
+    with "<|" keeps its case.  Words seen before come from two tables of bounded size: what is not
+    asked for while one of them fills up is forgotten.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
-        self.known, self.again = {}, set()
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.ends_word = np.zeros(1 << 16, bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.known, self.older, self.marks = {}, {}, {b"": b""}
         self.letters = _byte_letters()
 
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        out, odd, merge = [], [], self.tokenizer.model.tokenize
+    def _merged(self, runs: list[bytes]) -> list[bytes]:
+        """The ids of each run of letters or of marks."""
+        out = []
+        for a in range(0, len(runs), 2_000):
+            part = runs[a:a + 2_000]
+            text = " ".join([r.decode() if r.isascii() else "".join([self.letters[b] for b in r]) for r in part])
+            ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+            raw, ends = ids.tobytes(), (2 * np.flatnonzero(self.ends_word[ids]) + 2).tolist()
+            out += [raw[p:q] for p, q in zip([0] + ends, ends)]
+        return out
+
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words that no table has."""
+        known, older, marks, found, need, cuts, odd = self.known, self.older, self.marks, {}, [], [], []
         for i, word in enumerate(words):
-            text = word.decode()
-            if not word.isalpha():  # not ASCII letters only
-                text = text.lower()
-                if not _PLAIN(text):
-                    odd.append(i)
-                    out.append(b"")
-                    continue
-                text = "".join([self.letters[b] for b in text.encode()])
-            out.append(array("H", [t.id for t in merge(text)]).tobytes())
-        for at in range(0, len(odd), 20_000):
-            part = odd[at:at + 20_000]
-            got = self.tokenizer.encode_batch_fast([words[i].decode() for i in part], add_special_tokens=False)
-            for i, e in zip(part, got):
+            stem = word.rstrip(_MARKS)
+            tail = word[len(stem):]
+            if not (stem.isalpha() and stem.islower()):  # not ASCII letters only
+                text = stem.decode() if b"<|" in word else stem.decode().lower()
+                stem = text.encode() if _PLAIN(text) else None
+            if stem is None or len(tail) > 4:
+                odd.append(i)
+                continue
+            if tail not in marks:
+                marks[tail] = self._merged([tail])[0]
+            if stem not in found:
+                ids = known.get(stem) or older.get(stem)
+                found[stem] = ids
+                if ids is None:
+                    need.append(stem)
+            cuts.append((i, word, stem, tail))
+        found.update(zip(need, self._merged(need)))
+        out = [b""] * len(words)
+        for i, word, stem, tail in cuts:
+            ids = found[stem]
+            if len(word) <= CACHED_CHARS:
+                if tail:
+                    known[stem] = ids
+                    ids = ids + marks[tail]
+                out[i] = known[word] = ids
+            else:
+                out[i] = ids + marks[tail]
+        for a in range(0, len(odd), 20_000):
+            part = odd[a:a + 20_000]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([words[i].decode() for i in part], add_special_tokens=False)):
                 out[i] = array("H", e.ids).tobytes()
+                if len(words[i]) <= CACHED_CHARS:
+                    known[words[i]] = out[i]
+        if len(marks) > 10_000:
+            self.marks = {b"": b""}
         return out
 
-    def _learn(self, words: set[bytes]):
-        """Words with a mark at the end are made from the word without it."""
-        bare = {w: w[:-1] for w in words if len(w) > 1 and w[-1] in b",." and 97 <= w[-2] <= 122}
-        marks = dict(zip(b",.", self._ids([b",", b"."])))
-        need = [w for w in words.difference(bare).union(bare.values()) if w not in self.known]
-        self.known.update(zip(need, self._ids(need)))
-        for w, b in bare.items():
-            self.known[w] = self.known[b] + marks[w[-1]]
+    def encode_slice(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text of a slice and the end id, as 16-bit numbers."""
+        low = LOWER[data]
+        starts, ends = word_bounds(data, offsets, ~_BLANK)
+        raw = data.tobytes()
+        at = raw.find(b"<|")
+        while at >= 0:  # a word with a special token keeps its case
+            k = int(np.searchsorted(starts, at, "right")) - 1
+            low[starts[k]:ends[k]] = data[starts[k]:ends[k]]
+            at = raw.find(b"<|", int(ends[k]))
+        packed = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(packed), pa.py_buffer(low[~_BLANK[data]])])
+        coded = words.dictionary_encode()
+        held, at = text_bytes(coded.dictionary)
+        held, at = held.tobytes(), at.tolist()
+        distinct = [held[a:b] for a, b in zip(at, at[1:])]
+        ids = list(map(self.known.get, distinct))
+        missing = []
+        for i in [i for i, x in enumerate(ids) if x is None]:
+            word = distinct[i]
+            if (x := self.older.get(word)) is None:
+                missing.append(i)
+            else:
+                ids[i] = self.known[word] = x
+        for i, x in zip(missing, self._learn([distinct[i] for i in missing])):
+            ids[i] = x
+        if len(self.known) > CACHED_WORDS:
+            self.known, self.older = {}, self.known
+        ids.append(np.array([END_ID], "<u2").tobytes())
+        # every text is its words and the end
+        flat = np.frombuffer(b"".join(ids), "<u2")
+        size = np.array([len(x) for x in ids], np.int64) // 2
+        begin = np.cumsum(size) - size
+        first = np.searchsorted(starts, offsets[1:])
+        which = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), first, len(ids) - 1)
+        many = size[which]
+        upto = np.cumsum(many)
+        out = flat[np.repeat(begin[which] - (upto - many), many) + np.arange(upto[-1] if len(upto) else 0)]
+        return np.split(out, upto[first + np.arange(len(first))][:-1]) if len(first) else []
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The ids of each UTF-8 text and the end id, as 16-bit numbers."""
-        cut = [x.lower().replace(b"\n", b" ").split(b" ") if b"<|" not in x else
-               [w if b"<|" in w else w.lower() for w in x.replace(b"\n", b" ").split(b" ")] for x in texts]
-        every = set().union(*cut)
-        new = every.difference(self.known)
-        self.again |= every.difference(new)
-        if len(self.known) + 2 * len(new) > CACHED_WORDS:  # words of one slice only make room
-            keep = self.again if len(self.again) < CACHED_WORDS // 2 else every.difference(new)
-            self.known, self.again = {w: self.known[w] for w in keep if w in self.known}, set()
-        self._learn(new)
-        end = np.array([END_ID], "<u2").tobytes()
-        out = [np.frombuffer(b"".join(map(self.known.__getitem__, words)) + end, "<u2") for words in cut]
-        for word in new:
-            if len(word) > CACHED_CHARS:
-                self.known.pop(word, None)
-                self.known.pop(word[:-1], None)
-        return out
+        """The ids of each UTF-8 text and the end id."""
+        return self.encode_slice(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(x) for x in texts]))
 
 
 @lru_cache(2)
@@ -272,9 +330,8 @@ def _pack_batches(path, window, block_tokens):
         for batch in batches:
             ids_here = batch.column(0).to_pylist()
             for i, j, data, offsets in batch_slices(batch, "text"):
-                raw, ends = data.tobytes(), offsets.tolist()
                 ids += ids_here[i:j]
-                got = encoder.encode([raw[a:b] for a, b in zip(ends, ends[1:])])
+                got = encoder.encode_slice(data, offsets)
                 docs += got
                 size += sum(map(len, got))
                 if size >= block_tokens:
@@ -293,7 +350,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, bl
     Rows that repeat a doc_id are packed one by one; a null doc_id is carried along.  No rows give
     no rows; other columns are ignored.  `window` is a power of two.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         _pack_batches(tokenizer or default_tokenizer(), window, block_tokens), _PIECES)
 
 

@@ -47,7 +47,8 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks)
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = column.cast(pa.large_binary())
+    column = pc.fill_null(column, b"") if column.null_count else column
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

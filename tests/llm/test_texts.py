@@ -165,3 +165,28 @@ def test_pieces_hold_the_documents(spark, encoder):
         assert at <= 4096
     assert Counter(r.doc_id for r in pack(awkward(spark)).collect() if r.start == 0) == Counter(d for d, *_ in TEXTS)
     assert pack(none(spark)).collect() == []
+
+
+ODD = ["ABC<|ENDOFTEXT|>x", "don't we'll it's '' 's", "x" * 1000, "İstanbul ΣΑΣ ﬁ é Å", "a\tb\x0bc d e", "<|startoftext|><|endoftext|>", "  \n\n ",
+       "a$$$$$$$ b!!! c., (x) [y] 12ab 3.14 x_y é$$$ ß. ǆ, Ǆ", "日本語 text。", "a̸ ≮ ≠.", "foó foo,́ A,b.C", "<| A<|B |> <|", "$$$ ... !!"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["word", "Word,", "é", "É!", "x1", "'s", "(", "$$$", "<|endoftext|>", "<|", " ", "\n", "\u0301", "ß.", "aa--", ";"]), max_size=8).map("".join), max_size=5))
+def test_ids_are_those_of_a_fresh_tokenizer(texts):
+    from tokenizers import Tokenizer
+    texts = texts + ODD
+    fresh = Tokenizer.from_file(default_tokenizer())
+    encoder = Encoder(default_tokenizer())
+    for _ in range(2):  # the second time from the tables
+        assert [x.tolist() for x in encoder.encode([t.encode() for t in texts])] == [fresh.encode(t, add_special_tokens=False).ids + [END_ID] for t in texts]
+
+
+def test_words_that_are_not_asked_for_are_forgotten(monkeypatch):
+    from orgsift.llm import packing
+    monkeypatch.setattr(packing, "CACHED_WORDS", 20)
+    encoder, plain = Encoder(default_tokenizer()), Encoder(default_tokenizer()).tokenizer
+    for k in range(50):
+        text = f"common word{chr(97 + k % 26)}{chr(97 + k // 26)}, and more"
+        assert encoder.encode([text.encode()])[0].tolist() == plain.encode(text, add_special_tokens=False).ids + [END_ID]
+    assert len(encoder.known) + len(encoder.older) < 80
