@@ -9,7 +9,7 @@ from ..functions.text import (any_pattern, any_word, before_first_separator, col
                               once, salvage_block, stripped, words)
 from ..functions.url import host, host_label_name, is_http, resolve
 from .classify import is_institution, is_institution_strict, is_valid_name
-from .html import flat_links, links_of_elements, page_elements, page_text
+from .html import flat_links, links_of_elements, page_elements, page_text, selector_name, text_of
 from .score import heading_quality, link_quality, list_quality, pattern_confidence, table_quality
 
 _SKIPPED_LINK = r"^(#|mailto:|tel:)"
@@ -33,14 +33,16 @@ def _is_link(e) -> Column:
 
 def _context(e, limit: int) -> Column:
     parent = _el(e["parent"])
-    texts = F.array(parent["text"], _el(parent["parent"])["text"])
-    return F.array_join(F.filter(texts, lambda t: (F.length(t) > 0) & (F.length(t) < limit)), " ")
+
+    def short(x):
+        return F.when((x["chars"] > 0) & (x["chars"] < limit), text_of(x))
+    return F.array_join(F.array(short(parent), short(_el(parent["parent"]))), " ")
 
 
 def link_context(elements: DataFrame, limit: int = 500) -> DataFrame:
     """Every link with the short texts of its two enclosing elements."""
     links = _pick(elements, _is_link, lambda e: {
-        "pos": e["pos"], "href": e["href"], "text": e["text"], "context": _context(e, limit), "attrs": e["attrs"]})
+        "pos": e["pos"], "href": e["href"], "text": text_of(e), "context": _context(e, limit), "attrs": e["attrs"]})
     return links.withColumn("target", resolve("url", "href"))
 
 
@@ -82,6 +84,11 @@ def _short(c: Column, limit: int) -> Column:
     return F.left(c, F.lit(limit)) if limit else c
 
 
+def _own_or(e, around) -> Column:
+    """The text of an element, or where that is empty the text of one around it."""
+    return F.when(e["chars"] > 0, text_of(e)).otherwise(text_of(around))
+
+
 def table_candidates(elements: DataFrame, first_cell: bool = True, description_chars: int = None) -> DataFrame:
     """Links in table cells, named by their text or else by the cell's."""
     def keep(e):
@@ -89,8 +96,8 @@ def table_candidates(elements: DataFrame, first_cell: bool = True, description_c
         return inside & (_el(e["cell"])["cell_no"] == 1) if first_cell else inside
 
     return _pick(elements, keep, lambda e: {
-        "pos": e["pos"], "name": F.coalesce(F.nullif(e["text"], F.lit("")), _el(e["cell"])["text"]), "href": e["href"],
-        "description": _short(_el(e["cell"])["text"], description_chars)}).withColumns(
+        "pos": e["pos"], "name": _own_or(e, _el(e["cell"])), "href": e["href"],
+        "description": _short(text_of(_el(e["cell"])), description_chars)}).withColumns(
         {"target": resolve("url", "href"), "method": F.lit("table_extraction")})
 
 
@@ -98,8 +105,8 @@ def cell_names(elements: DataFrame) -> DataFrame:
     """Cells that read like an institution, with their first link if any."""
     table_words = ("university", "institution", "college")
     rows = _pick(elements, lambda e: e["tag"].isin("td", "th") & e["table"].isNotNull(), lambda e: {
-        "pos": e["pos"], "name": e["text"], "href": e["inner"],
-        "header_named": any_word(F.lower(_el(e["table"])["text"]), table_words)})
+        "pos": e["pos"], "name": text_of(e), "href": e["inner"],
+        "header_named": any_word(F.lower(text_of(_el(e["table"]))), table_words)})
     return (rows.filter(is_institution("name"))
             .withColumns({"target": resolve("url", "href"), "method": F.lit("table_extraction"),
                           "confidence": F.lit(0.8), "quality": table_quality("header_named")}))
@@ -108,28 +115,25 @@ def cell_names(elements: DataFrame) -> DataFrame:
 def list_candidates(elements: DataFrame, description_chars: int = None) -> DataFrame:
     """Links in list items, named by their text or else by the item's."""
     return _pick(elements, lambda e: _is_link(e) & e["li"].isNotNull(), lambda e: {
-        "pos": e["pos"], "name": F.coalesce(F.nullif(e["text"], F.lit("")), _el(e["li"])["text"]), "href": e["href"],
-        "description": _short(_el(e["li"])["text"], description_chars)}).withColumns(
+        "pos": e["pos"], "name": _own_or(e, _el(e["li"])), "href": e["href"],
+        "description": _short(text_of(_el(e["li"])), description_chars)}).withColumns(
         {"target": resolve("url", "href"), "method": F.lit("list_extraction")})
 
 
 def selector_candidates(elements: DataFrame, selectors=rules.LINK_SELECTORS) -> DataFrame:
-    """Links below the given enclosing tags, with a word in a class and a word in the href."""
-    def below(e, tags, class_word, href_word):
-        names = tags.split()
-        steps = [rf"(^|>){t}\|[^>]*" for t in names[:-1]]
-        last = rf"(^|>){names[-1]}\|[^>]*{class_word}"
-        way = F.array_join(e["path"], ">")
-        ok = way.rlike(".*".join([*steps, last]))
-        return ok & F.contains(e["href"], F.lit(href_word)) if href_word else ok
+    """Links below the given enclosing tags, with a word in a class and a word in the href.
 
+    The reader notes on each element which selectors its enclosing tags fulfil, so the elements must
+    come from page_elements with these selectors.
+    """
     def keep(e):
         ok = F.lit(False)
         for rule in selectors:
-            ok = ok | below(e, *rule)
-        return _is_link(e) & ok & (F.length(e["text"]) > 0)
+            below = F.array_contains(e["under"], selector_name(rule))
+            ok = ok | (below & F.contains(e["href"], F.lit(rule[2])) if rule[2] else below)
+        return _is_link(e) & ok & (e["chars"] > 0)
 
-    return (_pick(elements, keep, lambda e: {"pos": e["pos"], "name": e["text"], "href": e["href"]})
+    return (_pick(elements, keep, lambda e: {"pos": e["pos"], "name": text_of(e), "href": e["href"]})
             .filter(is_institution("name"))
             .withColumns({"target": resolve("url", "href"), "method": F.lit("list_extraction"),
                           "confidence": F.lit(0.85), "quality": list_quality("name", "href")}))
@@ -137,8 +141,8 @@ def selector_candidates(elements: DataFrame, selectors=rules.LINK_SELECTORS) ->
 
 def heading_candidates(elements: DataFrame) -> DataFrame:
     """Headings with the link inside, else the next link of the document."""
-    rows = _pick(elements, lambda e: e["tag"].rlike("^h[1-6]$") & (F.length(e["text"]) > 0), lambda e: {
-        "pos": e["pos"], "name": e["text"], "level": F.right(e["tag"], F.lit(1)).cast("int"),
+    rows = _pick(elements, lambda e: e["tag"].rlike("^h[1-6]$") & (e["chars"] > 0), lambda e: {
+        "pos": e["pos"], "name": text_of(e), "level": F.right(e["tag"], F.lit(1)).cast("int"),
         "href": F.coalesce(e["inner"], e["next"])})
     return rows.withColumns({"target": resolve("url", "href"), "method": F.lit("heading_extraction"),
                              "confidence": F.lit(0.7), "quality": heading_quality("level")})
@@ -146,8 +150,8 @@ def heading_candidates(elements: DataFrame) -> DataFrame:
 
 def emphasis_candidates(elements: DataFrame) -> DataFrame:
     """strong and b texts with the first link below their parent."""
-    rows = _pick(elements, lambda e: e["tag"].isin("strong", "b") & (F.length(e["text"]) > 0), lambda e: {
-        "pos": e["pos"], "name": e["text"], "href": e["near"]})
+    rows = _pick(elements, lambda e: e["tag"].isin("strong", "b") & (e["chars"] > 0), lambda e: {
+        "pos": e["pos"], "name": text_of(e), "href": e["near"]})
     return rows.withColumns({"target": resolve("url", "href"), "method": F.lit("emphasis")})
 
 
@@ -182,7 +186,7 @@ def jsonld_orgs(pages: DataFrame, types=rules.JSONLD_TYPES, need_url: bool = Tru
 def microdata_orgs(elements: DataFrame, types: str = rules.MICRODATA_TYPES) -> DataFrame:
     """itemscope blocks of the wanted types with their name and url properties."""
     rows = _pick(elements, lambda e: F.coalesce(F.try_element_at(e["attrs"], F.lit("itemtype")).rlike(types), F.lit(False)),
-                 lambda e: {"pos": e["pos"], "name": e["item_name"], "target": F.coalesce(e["item_url"], F.lit(""))})
+                 lambda e: {"pos": e["pos"], "name": text_of(_el(e["item_name"])), "target": F.coalesce(e["item_url"], F.lit(""))})
     return rows.filter(F.col("name") != "").withColumns({"method": F.lit("microdata"), "confidence": F.lit(0.9)})
 
 
@@ -432,11 +436,11 @@ def entity_guided_orgs(elements: DataFrame, entities: DataFrame) -> DataFrame:
     """
     per_page = entities.groupBy("page_id").agg(F.collect_set(F.struct("kind", "entity")).alias("_ents"))
     joined = elements.join(per_page, "page_id")
-    page_words = F.lower(F.array_join(F.transform(F.filter("elements", lambda e: e["parent"].isNull() | (F.size(e["path"]) <= 2)),
-                                                  lambda e: F.coalesce(e["text"], F.lit(""))), " "))
+    page_words = F.lower(F.array_join(F.transform(F.filter("elements", lambda e: e["depth"] <= 2),
+                                                  lambda e: F.coalesce(text_of(e), F.lit(""))), " "))
     links = F.transform(F.filter("elements", lambda e: _is_link(e) & (e["href"] != "") & ~F.startswith(e["href"], F.lit("javascript:"))),
-                        lambda e: F.struct(e["href"].alias("href"), F.lower(e["text"]).alias("text")))
-    shown = joined.withColumns({"_page": page_words, "_links": links}).drop("elements")
+                        lambda e: F.struct(e["href"].alias("href"), F.lower(text_of(e)).alias("text")))
+    shown = joined.withColumns({"_page": page_words, "_links": links}).drop("elements", "pieces")
     rows = shown.withColumn("_x", F.explode("_ents"))
     hit = F.get(F.filter("_links", lambda a: F.contains(a["text"], F.lower(F.trim("_x.entity")))), F.lit(0))["href"]
     rows = rows.withColumns({"kind": F.col("_x.kind"), "_name": F.trim("_x.entity"), "_href": hit})
@@ -468,9 +472,9 @@ def list_article_orgs(content: DataFrame, elements: DataFrame, min_conf: float =
     pages = elements.join(titles, elements.url == titles["_page"]).drop("_page")
     is_head = lambda e: e["tag"].rlike("^h[1-6]$")
     is_item = lambda e: e["tag"] == "li"
-    is_bold = lambda e: e["tag"].isin("strong", "b") & (F.length(e["text"]) > 0)
+    is_bold = lambda e: e["tag"].isin("strong", "b") & (e["chars"] > 0)
     shaped = F.transform(F.filter("elements", lambda e: is_head(e) | is_item(e) | is_bold(e)), lambda e: F.struct(
-        e["pos"].alias("pos"), e["text"].alias("raw"),
+        e["pos"].alias("pos"), text_of(e).alias("raw"),
         F.when(is_head(e), "blog_content_heading").when(is_item(e), "blog_content_list").otherwise("blog_content_emphasis").alias("method"),
         F.when(is_bold(e), e["near"]).otherwise(e["inner"]).alias("href")))
     rows = pages.select("page_id", "url", "article", F.explode(shaped).alias("_e")).select("page_id", "url", "article", "_e.*")

@@ -4,64 +4,124 @@
 inside the row, so nothing is shuffled between parsing and candidates.
 """
 
+import re
 from collections import Counter
 from html import unescape as _unescape
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import as_col, collapse, cut_words, once
+from ..rules import LINK_SELECTORS
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NO_TEXT = frozenset("html head body".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-ELEMENT = ("struct<pos:int,tag:string,text:string,href:string,attrs:map<string,string>,path:array<string>,"
-           "parent:int,cell:int,cell_no:int,table:int,li:int,heading:int,item:int,"
-           "inner:string,next:string,near:string,item_name:string,item_url:string>")
-ELEMENTS = f"page_id long, url string, elements array<{ELEMENT}>"
-LINKS = "page_id long, url string, no int, href string, text string"
 SLICE_ELEMENTS = 20000
 
+_PLACES = ("pos", "depth", "first", "n", "chars", "parent", "cell", "cell_no", "table", "li", "heading", "item", "item_name")
+_STRINGS = ("tag", "href", "inner", "next", "near", "item_url")
+_ELEMENT = pa.struct([*[(c, pa.int32()) for c in _PLACES], *[(c, pa.string()) for c in _STRINGS],
+                      ("attrs", pa.map_(pa.string(), pa.string())), ("under", pa.list_(pa.string()))])
+ELEMENT = ("struct<" + ",".join([*[f"{c}:int" for c in _PLACES], *[f"{c}:string" for c in _STRINGS]])
+           + ",attrs:map<string,string>,under:array<string>>")
+ELEMENTS = f"page_id long, url string, pieces array<string>, elements array<{ELEMENT}>"
+LINKS = "page_id long, url string, no int, href string, text string"
+
+#: A start tag ends an open element of these kinds, unless one of the enclosing tags was opened in between.
+_ENDS = {"p": ("p",), "li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"),
+         "option": ("option",), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
+_BLOCKS = "div section article aside nav main header footer blockquote form fieldset details figure"
+_ENCLOSING = {"p": f"{_BLOCKS} ul ol dl li dd dt table td th caption button", "li": "ul ol menu table td th", "td": "table", "th": "table", "tr": "table",
+              "option": "select datalist", "dt": "dl table td th", "dd": "dl table td th"}
+_KINDS = {tag: [k for k, around in _ENCLOSING.items() if tag in around.split()] for tag in set(" ".join(_ENCLOSING.values()).split())}
+_CLOSABLE = frozenset(x for kinds in _ENDS.values() for x in kinds)
+
+
+def selector_name(rule) -> str:
+    """How `under` names a selector: its enclosing tags and the word in the class of the last one."""
+    return f"{rule[0]} {rule[1]}"
+
 
 class _Reader(HTMLParser):
-    """Collects elements in document order; text is the stripped text nodes joined together.
+    """Collects elements in document order, and the stripped text nodes of the page.
 
+    The text of an element is a span of the text nodes, so elements inside each other hold no copies.
     The nearest table, row, cell, list item, heading and item stand on the stack of open tags, so a
     tag costs the same wherever it is.
+
+    Well-formed pages are read as the standard parser nests them.  Where an end tag is missing, the
+    next p, li, option, dt, dd, cell or row ends the one before it inside the same enclosing list,
+    table or block, and the text of a link ends where the next link begins.
     """
 
-    def __init__(self, only=None):
+    def __init__(self, only=None, selectors=()):
         super().__init__(convert_charrefs=True)
         self.rows, self.pieces, self.only = [], [], only
         self.open, self.times, self.cells = [], Counter(), Counter()
-        self.root = dict(parent=None, cell=None, table=None, li=None, heading=None, item=None, line=None, path=[])
+        self.at = {k: [] for k in _CLOSABLE}  # where elements with implied ends stand among the open ones
+        self.around = {k: [-1] for k in _ENCLOSING}  # and what encloses them
+        self.link = None
+        self.selectors = [(selector_name(r), r[0].split(), r[1]) for r in selectors]
+        self.root = dict(depth=0, parent=None, cell=None, table=None, li=None, heading=None, item=None, line=None, steps=(0,) * len(self.selectors), under=())
 
     def handle_starttag(self, tag, attrs):
+        for kind in _ENDS.get(tag, ()):
+            if self.at[kind] and self.at[kind][-1] > self.around[tag][-1]:
+                to = self.at[kind][-1]
+                while len(self.open) > to:
+                    self._close()
         pos = len(self.rows)
         attrs = {k: v or "" for k, v in attrs}
         near = self.open[-1][2] if self.open else self.root
         wanted = self.only is None or tag in self.only
-        row = dict(near, pos=pos, tag=tag, text=len(self.pieces), href=attrs.get("href"), attrs=attrs, cell_no=None, wanted=wanted)
+        row = dict(near, pos=pos, tag=tag, first=len(self.pieces), n=None, href=attrs.get("href"), attrs=attrs, cell_no=None, wanted=wanted)
         if tag in ("td", "th"):
             self.cells[near["line"]] += 1
             row["cell_no"] = self.cells[near["line"]]
         self.rows.append(row)
         if tag in VOID:
-            row["text"] = ""
+            row["n"] = 0
             return
-        below = dict(near, parent=pos)
-        if self.only is None:
-            below["path"] = near["path"] + [tag + "|" + attrs.get("class", "")]
+        if tag == "a":
+            if self.link is not None and self.link["n"] is None:
+                self.link["n"] = len(self.pieces) - self.link["first"]
+            self.link = row
+        below = dict(near, parent=pos, depth=near["depth"] + 1)
+        if self.selectors:
+            self._step(below, tag, attrs.get("class", ""))
         name = ("cell" if tag in ("td", "th") else "table" if tag == "table" else "li" if tag == "li"
                 else "heading" if tag in HEADINGS else "line" if tag == "tr" else None)
         if name:
             below[name] = pos
         if "itemtype" in attrs:
             below["item"] = pos
+        if tag in _CLOSABLE:
+            self.at[tag].append(len(self.open))
+        for kind in _KINDS.get(tag, ()):
+            self.around[kind].append(len(self.open))
         self.open.append((tag, pos, below))
         self.times[tag] += 1
 
+    def _step(self, below, tag, classes):
+        """How far the enclosing tags have come along each selector."""
+        steps, under = [], below["under"]
+        for (name, tags, word), k in zip(self.selectors, below["steps"]):
+            if k < len(tags) and tag == tags[k] and (k + 1 < len(tags) or word in classes):
+                k += 1
+                if k == len(tags):
+                    under = (*under, name)
+            steps.append(k)
+        below["steps"], below["under"] = tuple(steps), under
+
+    def parse_comment(self, i, report=1):
+        """A comment without an end goes to the end of the page."""
+        end = super().parse_comment(i, report)
+        return len(self.rawdata) if end < 0 else end
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
@@ -75,8 +135,13 @@ class _Reader(HTMLParser):
     def _close(self):
         tag, pos, _ = self.open.pop()
         self.times[tag] -= 1
+        if tag in _CLOSABLE:
+            self.at[tag].pop()
+        for kind in _KINDS.get(tag, ()):
+            self.around[kind].pop()
         row = self.rows[pos]
-        row["text"] = None if tag in NO_TEXT or not row["wanted"] else "".join(self.pieces[row["text"]:])
+        if row["n"] is None and tag not in NO_TEXT and row["wanted"]:
+            row["n"] = len(self.pieces) - row["first"]
         return tag
 
     def handle_data(self, data):
@@ -88,23 +153,36 @@ class _Reader(HTMLParser):
             self.pieces.append(data.strip())
 
 
-def _read(html: str, only=None) -> list:
-    reader = _Reader(only)
-    reader.feed(html or "")
+_TAG_BEGINS = re.compile("<[a-zA-Z/!?]").search
+
+
+def _with_whole_tags(html: str) -> str:
+    """The page without a last tag that never ends: behind the last `>` no tag can be whole."""
+    last = html.rfind(">") + 1
+    cut = _TAG_BEGINS(html, last)
+    return html[:cut.start()] if cut and not html.startswith("<!--", cut.start()) else html
+
+
+def _read(html: str, only=None, selectors=()) -> _Reader:
+    reader = _Reader(only, selectors)
+    reader.feed(_with_whole_tags(html or ""))
     reader.close()
     while reader.open:
         reader._close()
-    return reader.rows
+    return reader
 
 
-def read_elements(html: str) -> list:
-    """Elements of a page, each with what extractors ask about its surroundings.
+def read_elements(html: str, selectors=()) -> tuple[list, list]:
+    """The text nodes of a page, and its elements with what extractors ask about their surroundings.
 
-    inner: the first link inside a cell, heading or list item; next: the next link of the document
-    (headings); near: the first link whose parent or grandparent is the own parent (strong, b);
-    item_name, item_url: the first name and url properties of an item.
+    first, n, chars: the span of text nodes and its length; inner: the first link inside a cell,
+    heading or list item; next: the next link of the document (headings); near: the first link whose
+    parent or grandparent is the own parent (strong, b); item_name, item_url: the element of the first
+    name and the first url property of an item; under: the selectors that the enclosing tags fulfil.
     """
-    rows = _read(html)
+    reader = _read(html, selectors=selectors)
+    rows, pieces = reader.rows, reader.pieces
+    upto = [0, *accumulate(map(len, pieces))]
     inner, near, names, urls = {}, {}, {}, {}
     following, after = None, [None] * len(rows)
     for row in reversed(rows):
@@ -120,41 +198,70 @@ def read_elements(html: str) -> list:
         if row["item"] is not None:
             prop = row["attrs"].get("itemprop")
             if prop == "name":
-                names[row["item"]] = row["text"]
+                names[row["item"]] = row["pos"]
             elif prop == "url":
                 urls[row["item"]] = row["href"]
     for row in rows:
         tag, pos = row["tag"], row["pos"]
+        row["chars"] = None if row["n"] is None else upto[row["first"] + row["n"]] - upto[row["first"]]
         row["inner"] = inner.get(pos) if tag in HEADINGS or tag in ("td", "th", "li") else None
         row["next"] = after[pos] if tag in HEADINGS else None
         row["near"] = near.get(row["parent"]) if tag in ("strong", "b") else None
         row["item_name"], row["item_url"] = names.get(pos), urls.get(pos)
-    return rows
+    return pieces, rows
+
+
+def _ends(lists) -> pa.Array:
+    return pa.array([0, *accumulate(map(len, lists))], pa.int32())
 
 
-def _parse(batches):
+def _element_batch(ids, urls, pieces, made) -> pa.RecordBatch:
+    rows = [r for page in made for r in page]
+    columns = [pa.array([list(r[f.name].items()) for r in rows] if f.name == "attrs" else [r[f.name] for r in rows], f.type) for f in _ELEMENT]
+    flat = pa.StructArray.from_arrays(columns, fields=list(_ELEMENT))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(pieces, pa.list_(pa.string())), pa.ListArray.from_arrays(_ends(made), flat)],
+        names=["page_id", "url", "pieces", "elements"])
+
+
+def _parse(selectors):
     """Slices of a batch, so that a task holds the elements of a few pages only."""
-    for pages in batches:
-        ids, urls, made, size = [], [], [], 0
-        for page_id, url, html in zip(pages.page_id, pages.url, pages.html):
-            ids.append(page_id)
-            urls.append(url)
-            made.append(read_elements(html))
-            size += len(made[-1])
-            if size >= SLICE_ELEMENTS:
-                yield pd.DataFrame({"page_id": ids, "url": urls, "elements": made})
-                ids, urls, made, size = [], [], [], 0
-        if ids:
-            yield pd.DataFrame({"page_id": ids, "url": urls, "elements": made})
+    def run(batches):
+        for batch in batches:
+            ids, urls, pieces, made, size = [], [], [], [], 0
+            for page_id, url, html in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+                text, rows = read_elements(html, selectors)
+                ids.append(page_id)
+                urls.append(url)
+                pieces.append(text)
+                made.append(rows)
+                size += len(rows)
+                if size >= SLICE_ELEMENTS:
+                    yield _element_batch(ids, urls, pieces, made)
+                    ids, urls, pieces, made, size = [], [], [], [], 0
+            if ids:
+                yield _element_batch(ids, urls, pieces, made)
+    return run
+
+
+def page_elements(pages: DataFrame, selectors=LINK_SELECTORS) -> DataFrame:
+    """page_id, url, the text nodes and the elements of each page; the html itself is dropped.
+
+    A null or empty page has no elements.  `selectors` are those that selector_candidates will ask for.
+    """
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(_parse(selectors), ELEMENTS)
 
 
-def page_elements(pages: DataFrame) -> DataFrame:
-    """page_id, url and the array of elements of each page; the html itself is dropped."""
-    return pages.select("page_id", "url", "html").mapInPandas(_parse, ELEMENTS)
+def text_of(e) -> Column:
+    """The text of an element of page_elements, null for html, head and body; it costs as much as the text is long."""
+    return F.when(e["n"].isNotNull(), F.array_join(F.slice(F.col("pieces"), e["first"] + 1, e["n"]), ""))
 
 
 def explode_elements(elements: DataFrame) -> DataFrame:
-    return elements.select("page_id", "url", F.explode("elements").alias("e")).select("page_id", "url", "e.*")
+    """A row per element, with its text."""
+    named = [c for c in (*_PLACES, *_STRINGS, "attrs", "under")]
+    shaped = F.transform("elements", lambda e: F.struct(*[e[c].alias(c) for c in named], text_of(e).alias("text")))
+    return elements.select("page_id", "url", F.explode(shaped).alias("e")).select("page_id", "url", "e.*")
 
 
 # ------------------------------------------------------------- native flat tags
@@ -171,19 +278,42 @@ def unescape(c) -> Column:
     return out
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _closed(c: Column, end: str, change) -> Column:
+    """change() of c up to the last place where `end` stands, and the rest as it is.
+
+    Behind that place nothing that `end` closes can match, and before it every search for an end is
+    successful, so openings without an end are not searched for again and again.
+    """
+    return let(c, lambda x: F.when(F.contains(F.lower(x), F.lit(end)), let(
+        F.regexp_extract(x, rf"(?is)^(.*{end})", 1),
+        lambda head: F.concat(change(head), F.substring(x, F.length(head) + 1, F.length(x))))).otherwise(x))
+
+
 def without_tags(c) -> Column:
     """Text of a fragment: comments and tags go, nothing is put in their place."""
-    bare = F.regexp_replace(as_col(c), r"(?s)<!--.*?-->", "")
-    return unescape(F.regexp_replace(bare, r"(?s)<[^>]*>", ""))
+    bare = _closed(as_col(c), "-->", lambda x: F.regexp_replace(x, r"(?s)<!--.*?-->", ""))
+    return unescape(_closed(bare, ">", lambda x: F.regexp_replace(x, r"(?s)<[^>]*>", "")))
 
 
 def strip_blocks(c, tags=STRIPPED_TAGS_AND_HEADER) -> Column:
+    """c without the blocks of these tags; an opening tag ends before the next `<`, a block at its first end tag."""
     out = as_col(c)
     for tag in tags:
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", "")
+        out = _closed(out, f"</{tag}>", lambda x, tag=tag: F.regexp_replace(x, rf"(?is)<{tag}\b[^<>]*>.*?</{tag}>", ""))
     return out
 
 
+def _block(c: Column, opening: str, tag: str) -> Column:
+    """What stands between the first such opening tag that has an end tag behind it and that end tag, or the empty string."""
+    head = F.regexp_extract(c, rf"(?is)^(.*</{tag}>)", 1)
+    return F.regexp_extract(head, rf"(?is){opening}(.*?)</{tag}>", 1)
+
+
 def page_text(c, tags=STRIPPED_TAGS) -> Column:
     """Whole text of a page without its boilerplate blocks."""
     return collapse(without_tags(strip_blocks(c, tags)))
@@ -193,14 +323,11 @@ def main_text(pages: DataFrame, max_chars: int = None, tags=STRIPPED_TAGS_AND_HE
     """Text of <main>, else <article>, else a content div, else the page."""
     kept = strip_blocks("html", tags)
 
-    def block(pattern):
-        found = F.regexp_extract(F.col("_kept"), pattern, 1)
-        return F.nullif(found, F.lit(""))
+    def block(opening, tag):
+        return F.nullif(_block(F.col("_kept"), opening, tag), F.lit(""))
 
-    area = F.coalesce(block(r"(?is)<main\b[^>]*>(.*?)</main>"),
-                      block(r"(?is)<article\b[^>]*>(.*?)</article>"),
-                      block(r"(?is)<div\b[^>]*class=\"[^\"]*(?:content|main)[^\"]*\"[^>]*>(.*?)</div>"),
-                      F.col("_kept"))
+    area = F.coalesce(block(r"<main\b[^<>]*>", "main"), block(r"<article\b[^<>]*>", "article"),
+                      block(r"<div\b[^<>]*class=\"[^\"<>]*(?:content|main)[^\"<>]*\"[^<>]*>", "div"), F.col("_kept"))
     text = collapse(without_tags(area))
     if max_chars:
         text = F.left(text, F.lit(max_chars))
@@ -208,7 +335,7 @@ def main_text(pages: DataFrame, max_chars: int = None, tags=STRIPPED_TAGS_AND_HE
 
 
 def title_of(c) -> Column:
-    return collapse(unescape(F.regexp_extract(as_col(c), r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    return collapse(unescape(_block(as_col(c), "<title[^<>]*>", "title")))
 
 
 def _meta_parts(c):
@@ -237,7 +364,7 @@ def _decoded_pairs(pairs: pd.Series) -> pd.Series:
 
 def page_meta(pages: DataFrame) -> DataFrame:
     """Title, description and the map of named meta tags (the last one wins), with all references decoded."""
-    pages = once(pages, _title=F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), _meta=_meta_parts("html"))
+    pages = once(pages, _title=_block(F.col("html"), "<title[^<>]*>", "title"), _meta=_meta_parts("html"))
     pages = pages.withColumns({"_title": collapse(decoded("_title")), "_meta": _decoded_pairs("_meta")})
     pairs = F.transform("_meta", lambda p: F.struct(p["k"].alias("k"), collapse(p["v"]).alias("v")))
     last = F.aggregate(pairs, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")),
@@ -251,8 +378,9 @@ def _link_rows(batches):
     for pages in batches:
         rows = []
         for page_id, url, html in zip(pages.page_id, pages.url, pages.html):
-            links = [r for r in _read(html, only=("a",)) if r["tag"] == "a" and r["href"] is not None]
-            rows += [(page_id, url, no, r["href"].strip(), r["text"]) for no, r in enumerate(links)]
+            page = _read(html, only=("a",))
+            links = [r for r in page.rows if r["tag"] == "a" and r["href"] is not None]
+            rows += [(page_id, url, no, r["href"].strip(), "".join(page.pieces[r["first"]:r["first"] + r["n"]])) for no, r in enumerate(links)]
             if len(rows) >= SLICE_ELEMENTS:
                 yield pd.DataFrame(rows, columns=["page_id", "url", "no", "href", "text"])
                 rows = []
@@ -272,14 +400,14 @@ def flat_links(pages: DataFrame) -> DataFrame:
 def links_of_elements(elements: DataFrame) -> DataFrame:
     """The rows of flat_links from pages that are already parsed."""
     shaped = F.transform(F.filter("elements", lambda e: (e["tag"] == "a") & e["href"].isNotNull()),
-                         lambda e: F.struct(F.trim(e["href"]).alias("href"), e["text"].alias("text")))
+                         lambda e: F.struct(F.trim(e["href"]).alias("href"), text_of(e).alias("text")))
     return elements.select("page_id", "url", F.posexplode(shaped).alias("no", "_l")).select(
         "page_id", "url", "no", "_l.href", "_l.text")
 
 
 def tag_counts(pages: DataFrame) -> DataFrame:
     """How many elements of each tag a page has, counted before anything leaves the page."""
-    per_page = explode_elements(page_elements(pages)).select("page_id", "tag")
+    per_page = page_elements(pages, ()).select("page_id", F.explode("elements.tag").alias("tag"))
     return per_page.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 

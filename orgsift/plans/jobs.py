@@ -14,7 +14,7 @@ from ..operators import learning as L
 from ..operators import quality as V
 from ..operators import rank as R
 from ..operators import score as S
-from ..operators.html import flat_links, links_of_elements, main_text, page_elements, page_meta, page_text, title_of
+from ..operators.html import flat_links, links_of_elements, main_text, page_elements, page_meta, page_text, text_of, title_of
 from ..operators.ordering import keep_best
 from ..sources.tables import append_reclassified
 
@@ -42,14 +42,14 @@ def page_candidates(elements: DataFrame, types=rules.JSONLD_TYPES) -> DataFrame:
     """All candidates of a page in one pass over its elements: JSON-LD, links, first table cells, list items."""
     el = lambda pos: F.get("elements", pos)
     is_link = lambda e: (e["tag"] == "a") & e["href"].isNotNull() & (e["href"] != "") & ~F.lower(e["href"]).rlike(r"^(#|mailto:|tel:|javascript:)")
-    named = lambda e, around: F.coalesce(F.nullif(e["text"], F.lit("")), el(e[around])["text"])
+    named = lambda e, around: F.when(e["chars"] > 0, text_of(e)).otherwise(text_of(el(e[around])))
 
     def row(method, e, name, context):
         return F.struct(F.lit(method).alias("method"), e["pos"].alias("pos"), name.alias("name"), F.trim(e["href"]).alias("href"),
                         context.alias("context"), F.lit(None).cast("string").alias("description"))
 
-    links = F.transform(F.filter("elements", lambda e: is_link(e) & (e["text"] != "")),
-                        lambda e: row("link_analysis", e, e["text"], X._context(e, 500)))
+    links = F.transform(F.filter("elements", lambda e: is_link(e) & (e["chars"] > 0)),
+                        lambda e: row("link_analysis", e, text_of(e), X._context(e, 500)))
     cells = F.transform(F.filter("elements", lambda e: is_link(e) & (el(e["cell"])["cell_no"] == 1) & e["table"].isNotNull()),
                         lambda e: row("table_extraction", e, named(e, "cell"), F.lit("")))
     items = F.transform(F.filter("elements", lambda e: is_link(e) & e["li"].isNotNull()),

@@ -2,6 +2,9 @@
 
 import time
 
+import pytest
+from pyspark.sql import functions as F
+
 from orgsift.operators import extract as X
 from orgsift.operators import html as H
 from orgsift.plans import jobs as J
@@ -107,3 +110,55 @@ def test_meta_decodes_all_references(spark):
     page = "<title>Universit&eacute; &#x41;&nbsp;&amp;</title><meta name=Description content='caf&eacute; &lt;b&gt;'><meta property=\"og:x\" content=plain>"
     row = H.page_meta(spark.createDataFrame([(1, URL, page)], "page_id long, url string, html string")).first()
     assert row.title == "Université A &" and row.description == "café <b>" and row.meta["og:x"] == "plain"
+
+
+def rows_of(html):
+    pieces, rows = H.read_elements(html)
+    return pieces, rows, ["" if r["n"] is None else "".join(pieces[r["first"]:r["first"] + r["n"]]) for r in rows]
+
+
+def test_missing_end_tags():
+    html = ("<ul><li>one<li>two <b>bold<li>three<ul><li>in<li>side</ul></ul><table><tr><td>a<td>b<tr><th>c<td>d<table><tr><td>x</table></table>"
+            "<select><option>p<option>q</select><p>first<p>second <i>it<div><p>third</div><dl><dt>t<dd>u<dd>v</dl><a href=1>k <a href=2>l</a>m")
+    pieces, rows, texts = rows_of(html)
+    of = lambda tag: [t for r, t in zip(rows, texts) if r["tag"] == tag]
+    assert of("li") == ["one", "twobold", "threeinside", "in", "side"] and of("td") == ["a", "b", "dx", "x"] and of("tr") == ["ab", "cdx", "x"]
+    assert of("option") == ["p", "q"] and of("dd") == ["u", "v"] and of("a") == ["k", "l"]
+    assert of("p")[0] == "first" and of("p")[2] == "third"
+    assert [rows[r["table"]]["pos"] if r["table"] is not None else None for r in rows if r["tag"] == "td"][-1] is not None
+
+
+def test_well_formed_pages_nest_as_written():
+    html = "<div><p>a<span>b</span></p><ul><li>c<ul><li>d</li></ul>e</li></ul><table><tr><td><table><tr><td>f</td></tr></table>g</td><td>h</td></tr></table></div>"
+    pieces, rows, texts = rows_of(html)
+    assert dict(zip([r["tag"] + str(r["pos"]) for r in rows], texts)) == {
+        "div0": "abcdefgh", "p1": "ab", "span2": "b", "ul3": "cde", "li4": "cde", "ul5": "d", "li6": "d", "table7": "fgh", "tr8": "fgh",
+        "td9": "fg", "table10": "f", "tr11": "f", "td12": "f", "td13": "h"}
+    assert [r["parent"] for r in rows] == [None, 0, 1, 0, 3, 4, 5, 0, 7, 8, 9, 10, 11, 8]
+
+
+def test_selectors_of_enclosing_tags():
+    html = '<div class="card big"><ul><li><a href="university">U</a></li></ul></div><div class="x"><a href="university">V</a></div>'
+    _, rows, _ = rows_of(html)
+    pieces, rows = H.read_elements(html, [("ul li", "", "university"), ("div", "card", "university"), ("li div", "", "")])
+    assert [r["under"] for r in rows if r["tag"] == "a"] == [("div card", "ul li "), ()]
+
+
+@pytest.mark.parametrize("unit", ["<p>word ", "<li>word ", "<td>word ", "<div>word ", "<a href=x>word ", "<b>word ", "<option>w ", "<script>", "<!--", "<table><tr><td>x",
+                                  "<p><b>", "<ul><li>", "<span itemscope itemtype=Organization itemprop=name>y ", "<a ", "<", "&", "</a", "<!"])
+def test_a_megabyte_of_open_tags(unit):
+    html = unit * (1_000_000 // len(unit))
+    start = time.time()
+    pieces, rows = H.read_elements(html)
+    assert time.time() - start < 12
+    assert sum(map(len, pieces)) <= len(html) and all(r["n"] is None or 0 <= r["first"] + r["n"] <= len(pieces) for r in rows)
+
+
+@pytest.mark.parametrize("unit", ["<script>", "<nav>x", "<title>", "<div class=\"content", "<main>", "<!--", "<", "<style", "<title"])
+def test_native_blocks_are_linear(spark, unit):
+    page = spark.createDataFrame([(1, URL, unit * (1_000_000 // len(unit)))], "page_id long, url string, html string")
+    H.main_text(page).select(F.length("main_text")).collect()
+    start = time.time()
+    H.main_text(page).select(F.length("main_text")).collect()
+    page.select(H.title_of("html"), F.length(H.page_text("html"))).collect()
+    assert time.time() - start < 8
