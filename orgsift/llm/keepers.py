@@ -1,12 +1,12 @@
 """One document of each group of copies: which rows of a table stay.
 
 The operators that find copies name rows by a whole number.  A doc_id can be null or stand on several
-rows, so every row first gets a number of its own, and the numbered rows are written: a row keeps its
-number however often it is read again.
+rows, so every row first gets a number of its own, which it keeps however often it is read again.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .exact_dups import deduplicated
@@ -15,8 +15,20 @@ from .store import stored
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number of its own for each row, `_row`, as a written table."""
-    return stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+    """docs with a number of its own for each row, `_row`, that is the same whenever the row is read.
+
+    Rows of files are numbered by their file and their place in it, so nothing is copied; the files
+    are counted once, and their table has one row per file.  Another table is written with its numbers.
+    """
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    except AnalysisException:  # not a plain read of files
+        return stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+    files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+    if not files:
+        return docs.withColumn("_row", F.lit(0).cast("long"))
+    names = docs.sparkSession.createDataFrame(list(enumerate(files)), "_no long, _file string")
+    return placed.join(F.broadcast(names), "_file").withColumn("_row", F.shiftleft("_no", 36) + F.col("_place")).drop("_no", "_file", "_place")
 
 
 def _named(rows: DataFrame) -> DataFrame:

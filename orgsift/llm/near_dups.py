@@ -141,12 +141,30 @@ def _estimated(similarity):
     return run
 
 
+def packed(shingles: np.ndarray) -> bytes:
+    """48 bits of each 64-bit shingle hash: the highest 41, and the 7 that name its register."""
+    short = ((shingles >> _U(23)) << _U(7)) | (shingles & _U(REGISTERS - 1))
+    return np.ascontiguousarray(short.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    """The packed hashes at their places, in order; the 16 bits between are 0.
+
+    Two different shingles of a pair of texts fall together with a probability of 2^-48.  The
+    registers are those of the whole hashes while less than 2^31 shingles share a register.
+    """
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    short = wide.view(np.uint64).ravel()
+    return ((short >> _U(7)) << _U(23)) | (short & _U(REGISTERS - 1))
+
+
 def _set_batches(batches):
     for batch in batches:
         ids = batch.column(batch.schema.get_field_index("doc_id"))
         for i, j, data, offsets in batch_slices(batch, "text"):
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(i, j - i), pa.array([s.tobytes() for s in shingle_sets(data, offsets)], pa.binary())],
+                [ids.slice(i, j - i), pa.array([packed(s) for s in shingle_sets(data, offsets)], pa.binary())],
                 names=["id", "shingles"])
 
 
@@ -156,7 +174,7 @@ def _linked(percent):
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             keep = []
             for x, y in zip(col["xa"], col["xb"]):
-                x, y = np.frombuffer(x.as_py(), _U), np.frombuffer(y.as_py(), _U)
+                x, y = unpacked(x.as_py()), unpacked(y.as_py())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both) > 0)
             yield pa.RecordBatch.from_arrays([col["a"], col["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -223,8 +241,8 @@ def _open_block(similarity):
         if not len(first) or not len(second):
             return none
         band = rows.band.iloc[0]
-        sets_a = [np.frombuffer(x, _U) for x in first.shingles]
-        sets_b = sets_a if second is first else [np.frombuffer(x, _U) for x in second.shingles]
+        sets_a = [unpacked(x) for x in first.shingles]
+        sets_b = sets_a if second is first else [unpacked(x) for x in second.shingles]
         sa = registers(sets_a)
         sb = sa if second is first else registers(sets_b)
         wa, wb = (np.ascontiguousarray(s).view(_U) for s in (sa, sb))  # a word is one band

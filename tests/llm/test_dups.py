@@ -132,3 +132,14 @@ def test_batch_against_a_snapshot(spark):
     empty = digests(old.where("false"))
     assert {r.doc_id for r in exact_duplicates(empty, digests(new)).collect() if r.kept} == {4, 6, 7}
     assert {r.doc_id for r in exact_duplicates(digests(old), empty).collect() if r.kept} == {1, 3}
+
+
+def test_packed_hashes_keep_order_registers_and_sizes():
+    import numpy as np
+    from orgsift.llm import near_dups as D
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 400, 100_000):
+        s = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n, dtype=np.uint64))
+        back = D.unpacked(D.packed(s))
+        assert len(back) == len(s) and (np.diff(back.astype(np.float64)) >= 0).all() and len(D.packed(s)) == 6 * len(s)
+        assert (D.registers([back]) == D.registers([s])).all()
