@@ -1,6 +1,8 @@
 """Column functions over text.  All of them stay in the JVM."""
 
 import re
+from functools import lru_cache, reduce
+from re import _constants as _re_codes, _parser as _re_parser  # the parsed form of a pattern
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -156,3 +158,51 @@ def unit_hash(*parts) -> Column:
     """A repeatable number in [0, 1) from the given values."""
     digest = F.md5(F.concat_ws("|", *[as_col(p).cast("string") for p in parts]))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+# ------------------------------------------------------------- what a pattern cannot hit without
+
+#: Characters that match an ASCII letter regardless of case although their lower case is another one.
+_FOLDED_AWAY = "\u017f\u0131\u0130"
+
+
+def _needs(parsed) -> tuple:
+    """The texts of which one stands in every match of a parsed pattern; none means unknown."""
+    found, run = [], ""
+    for op, arg in [*parsed, (None, None)]:
+        if op is _re_codes.LITERAL:
+            run += chr(arg)
+            continue
+        if run:
+            found.append((run.lower(),))
+            run = ""
+        if op is _re_codes.SUBPATTERN:
+            found.append(_needs(arg[-1]))
+        elif op is _re_codes.BRANCH:
+            each = [_needs(b) for b in arg[1]]
+            found.append(tuple(x for e in each for x in e) if all(each) else ())
+        elif op in (_re_codes.MAX_REPEAT, _re_codes.MIN_REPEAT, _re_codes.POSSESSIVE_REPEAT) and arg[0] > 0:
+            found.append(_needs(arg[2]))
+    return max(found, key=lambda f: min(map(len, f), default=0), default=())
+
+
+@lru_cache(1000)
+def needed_literals(pattern: str) -> tuple:
+    """Lower-case texts of which at least one stands in the lower case of every text that the pattern hits.
+
+    The longest run of plain characters that no match can leave out, or one run for each branch of
+    an alternative.  Empty where there is none, or where the pattern is not in Python's dialect.
+    """
+    try:
+        return tuple(dict.fromkeys(_needs(_re_parser.parse(re.sub(r"^\(\?[a-z]+\)", "", pattern)))))
+    except (re.error, OverflowError):
+        return ()
+
+
+def may_hit(text, low, pattern: str) -> Column:
+    """Whether the pattern, taken without regard to case, can hit a text whose lower case is `low`: a cheap test that never errs on the side of no."""
+    words_ = needed_literals(pattern)
+    if not words_:
+        return F.lit(True)
+    odd = [F.contains(as_col(text), F.lit(c)) for c in _FOLDED_AWAY]
+    return reduce(lambda a, b: a | b, [F.contains(as_col(low), F.lit(w)) for w in words_] + odd)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import rules
 from ..functions.text import (any_pattern, any_word, before_first_separator, collapse, has,
-                              once, salvage_block, stripped, words)
+                              may_hit, once, salvage_block, stripped, words)
 from ..functions.url import host, host_label_name, is_http, resolve
 from .classify import is_institution, is_institution_strict, is_valid_name
 from .html import flat_links, links_of_elements, page_elements, page_text, selector_name, text_of
@@ -287,13 +287,16 @@ def _scan(docs: DataFrame, key: str, text: str, scans, pad: int = 0, offsets: bo
     """Hits of scans (labels, pattern, group): key, labels, hit_no, hit, part and, with pad, before and after;
     with offsets, start_pos and end_pos counted from 0.
 
-    Every text meets the fixed list of patterns inside its row.  Where a pattern hits, the text is
+    Every text meets the fixed list of patterns inside its row, but only those patterns whose needed
+    literals stand in it; the others cannot hit.  Where a pattern hits, the text is
     cut into the gaps between hits and the hits; what stands beside a hit is joined from its
     neighbouring pieces, so hits may be close and nothing is quadratic.
     """
-    tried = F.array(*[F.struct(F.lit(i).alias("_i"), F.regexp_extract_all("_text", F.lit(p), F.lit(0)).alias("_h")) for i, (_, p, _) in enumerate(scans)])
+    none = F.array().cast("array<string>")
+    tried = F.array(*[F.struct(F.lit(i).alias("_i"), F.when(may_hit("_text", "_low", p), F.regexp_extract_all("_text", F.lit(p), F.lit(0))).otherwise(none).alias("_h"))
+                      for i, (_, p, _) in enumerate(scans)])
     known = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in labels.items()], F.lit(p).alias("_pat"), F.lit(g).alias("_grp")) for labels, p, g in scans])
-    df = docs.select(key, F.col(text).alias("_text"))
+    df = once(docs.select(key, F.col(text).alias("_text")), _low=F.lower("_text"))
     df = df.select(key, "_text", F.inline(F.filter(tried, lambda x: F.size(x["_h"]) > 0)))
     df = once(df, _k=F.get(known, F.col("_i"))).select(key, "_text", "_h", "_k.*")
     df = once(df, _g=F.expr("split(_text, _pat, -1)"),

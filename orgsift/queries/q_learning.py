@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..operators import learning as L
+from ..operators.ordering import spread_row_number
 from ..plans import jobs as J
 from .derived import AS_OF, REVIEWS_SQL, SEED, STATE_SQL, UNIT, VOCAB_SQL, reviews, vocabulary
 from .registry import lit, query, table
@@ -35,25 +36,38 @@ def _(spark, sf):
     return L.page_of(vocabulary(spark, sf), "id", 40, 100).select("id", "term")
 
 
-_CURR = "curriculum AS (SELECT lang AS language, CASE source WHEN 'src1' THEN 'beginner' WHEN 'src2' THEN 'intermediate' ELSE 'advanced' END AS level, 'Topic ' || doc_id AS topic, '1 week' AS duration, 'https://example.com/' || doc_id AS resource_url FROM documents WHERE source IN ('src1', 'src2') OR (source = 'src3' AND lang = 'en'))"
+_LEVELS = ("beginner", "intermediate", "advanced")
+# every document is a topic: its level comes from the length of its text, its language is its own
+_LEVEL_SQL = f"({list(_LEVELS)})[coalesce(length(text), 0) % 3 + 1]"
+_CURR = f"curriculum AS (SELECT lang AS language, {_LEVEL_SQL} AS level, 'Topic ' || doc_id AS topic, '1 week' AS duration, 'https://example.com/' || doc_id AS resource_url FROM documents)"
+
+
+def _level():
+    return F.element_at(F.array(*[F.lit(x) for x in _LEVELS]), (F.coalesce(F.length("text"), F.lit(0)) % 3 + 1).cast("int"))
 
 
 def curriculum(spark, sf):
-    d = table(spark, sf, "documents").filter("source in ('src1', 'src2') or (source = 'src3' and lang = 'en')")
-    level = F.when(F.col("source") == "src1", "beginner").when(F.col("source") == "src2", "intermediate").otherwise("advanced")
-    return d.select(F.col("lang").alias("language"), level.alias("level"), F.concat(F.lit("Topic "), F.col("doc_id").cast("string")).alias("topic"), F.lit("1 week").alias("duration"),
-                    F.concat(F.lit("https://example.com/"), F.col("doc_id").cast("string")).alias("resource_url"))
+    return table(spark, sf, "documents").select(
+        F.col("lang").alias("language"), _level().alias("level"), F.concat(F.lit("Topic "), F.col("doc_id").cast("string")).alias("topic"),
+        F.lit("1 week").alias("duration"), F.concat(F.lit("https://example.com/"), F.col("doc_id").cast("string")).alias("resource_url"))
 
 
-@query("f20_curriculum", f"""WITH {_CURR}, r AS (SELECT conv_id, turn, (['en', 'fr', 'it'])[conv_id % 3 + 1] AS language, (['beginner', 'intermediate', 'advanced', 'native'])[turn % 4 + 1] AS level FROM conversations),
+# a request asks for one topic of its language and level: topics and requests are dealt to places by their numbers
+@query("f20_curriculum", f"""WITH {_CURR}, place AS (SELECT *, row_number() OVER (PARTITION BY language, level ORDER BY topic) AS place_no FROM curriculum),
+ c AS (SELECT language || '-' || place_no AS language, level, topic, duration, resource_url FROM place),
+ r AS (SELECT conv_id, turn, (['en', 'fr', 'it'])[conv_id % 3 + 1] || '-' || (conv_id // 3 + 1) AS language, (['beginner', 'intermediate', 'advanced', 'native'])[turn % 4 + 1] AS level FROM conversations),
  q(level, vocabulary_range, required_score) AS (VALUES {', '.join(f"({lit(a)}, {lit(b)}, {d}::DOUBLE)" for a, b, _, d in rules.LEVEL_REQUIREMENTS)})
  SELECT conv_id, turn, language, level, coalesce(topic, 'Getting Started') AS topic, coalesce(resource_url, 'https://example.com/' || language || '/' || level || '/intro') AS resource_url, vocabulary_range, required_score
- FROM r LEFT JOIN curriculum USING (language, level) LEFT JOIN q USING (level)""")
+ FROM r LEFT JOIN c USING (language, level) LEFT JOIN q USING (level)""")
 def _(spark, sf):
     pick = lambda c, *v: F.element_at(F.array(*[F.lit(x) for x in v]), (c % len(v) + 1).cast("int"))
-    req = table(spark, sf, "conversations").select("conv_id", "turn", pick(F.col("conv_id"), "en", "fr", "it").alias("language"), pick(F.col("turn"), "beginner", "intermediate", "advanced", "native").alias("level"))
+    numbered = spread_row_number(curriculum(spark, sf), ["language", "level"], F.substring("topic", 1, 8), ["topic"], "at")
+    topics = numbered.withColumn("language", F.concat_ws("-", "language", "at")).drop("at")
+    req = table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.concat_ws("-", pick(F.col("conv_id"), "en", "fr", "it"), F.expr("conv_id div 3 + 1")).alias("language"),
+        pick(F.col("turn"), "beginner", "intermediate", "advanced", "native").alias("level"))
     levels = spark.createDataFrame([(a, b, d) for a, b, _, d in rules.LEVEL_REQUIREMENTS], "level string, vocabulary_range string, required_score double")
-    return L.curriculum_or_default(req, curriculum(spark, sf), levels).select("conv_id", "turn", "language", "level", "topic", "resource_url", "vocabulary_range", "required_score")
+    return L.curriculum_or_default(req, topics, levels).select("conv_id", "turn", "language", "level", "topic", "resource_url", "vocabulary_range", "required_score")
 
 
 _STYLE = "(['visual', 'auditory', 'reading'])[(c_custkey % 3 + 1)::INT]"
@@ -76,9 +90,9 @@ def _(spark, sf):
     return L.append_assessment(shape(0, "old"), shape(1, "new"))
 
 
-@query("s9_upsert_topics", f"WITH {_CURR} SELECT language, level, topic FROM curriculum UNION ALL SELECT lang, 'native', 'Talk ' || doc_id FROM documents WHERE source = 'src5'")
+@query("s9_upsert_topics", f"WITH {_CURR} SELECT language, level, topic FROM curriculum UNION ALL SELECT lang, source, 'Talk ' || doc_id FROM documents")
 def _(spark, sf):
-    new = table(spark, sf, "documents").filter("source = 'src5'").select(F.col("lang").alias("language"), F.lit("native").alias("level"), F.concat(F.lit("Talk "), F.col("doc_id").cast("string")).alias("topic"))
+    new = table(spark, sf, "documents").select(F.col("lang").alias("language"), F.col("source").alias("level"), F.concat(F.lit("Talk "), F.col("doc_id").cast("string")).alias("topic"))
     return L.upsert_topics(curriculum(spark, sf), new).select("language", "level", "topic")
 
 
