@@ -41,16 +41,38 @@ def url_key(url: Column) -> Column:
     return F.when(host != "", F.concat(host, F.when(path == "", "/").otherwise(path), F.regexp_extract(url, _PARTS, 3)))
 
 
-_TAG = re.compile(r"<!--.*?-->|<script\b.*?</script\s*>|<((?:link|meta)\b[^>]*)>", re.I | re.S)
-_ATTRIBUTE = re.compile(r"""([a-z\-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_OPENING = re.compile(r"<(?:!--|(script|link|meta)\b)", re.I)
+_SCRIPT_END = re.compile(r"</script\s*+>", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![a-z\-])([a-z\-]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _REFRESH = re.compile(r"""^\s*\d+(?:\.\d*)?\s*[;,]\s*url\s*=\s*['"]?([^'"]*)""", re.I)
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*:")
 
 
+def _tags(page: str):
+    """link and meta tags outside comments and scripts, in one pass; what has no end anywhere behind it is not looked for again."""
+    at, comments, scripts = 0, True, True
+    while opening := _OPENING.search(page, at):
+        at, kind = opening.end(), opening[1]
+        if kind is None:
+            end = page.find("-->", at) if comments else -1
+            comments = end >= 0
+            at = end + 3 if comments else at
+        elif kind.lower() == "script":
+            end = _SCRIPT_END.search(page, at) if scripts else None
+            scripts = end is not None
+            at = end.end() if scripts else at
+        else:
+            end = page.find(">", at)
+            if end < 0:
+                return
+            yield page[opening.start() + 1:end]
+            at = end + 1
+
+
 def page_targets(url: str, page: str) -> list[str]:
     """Absolute urls that a page names as its canonical address or sends its reader to at once."""
     out = []
-    for tag in filter(None, _TAG.findall(page)):
+    for tag in _tags(page):
         values = {m[0].lower(): html.unescape(m[1] or m[2] or m[3]) for m in _ATTRIBUTE.findall(tag)}
         link = None
         if tag[:4].lower() == "link" and "canonical" in values.get("rel", "").lower().split():
@@ -91,11 +113,14 @@ def rule_table(spark, rules) -> DataFrame:
 
 
 def own_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """key, rule, verdict: the longest rule that fits each of urls(key, host, path)."""
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
-                           lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    spread = urls.where("host <> ''").select("key", "path", F.explode(suffixes).alias("rule_host"))
+    """key, rule, verdict: the longest rule that fits each of urls(key, host, path).
+
+    A host gives only suffixes of as many labels as rules have, so a host of any length is a few rows.
+    """
+    parts = lambda host: F.split(host, r"\.", -1)
+    sizes = rules.select(F.size(parts("rule_host")).alias("n")).agg(F.coalesce(F.array_sort(F.collect_set("n")), F.array().cast("array<int>"))).scalar()
+    spread = urls.where("host <> ''").select("key", "path", parts("host").alias("_labels"), F.explode(sizes).alias("_n")).where(
+        "_n <= size(_labels)").select("key", "path", F.array_join(F.slice("_labels", F.size("_labels") - F.col("_n") + 1, F.col("_n")), ".").alias("rule_host"))
     fit = spread.join(rules, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
     rule = F.concat("rule_host", "rule_path")
     # among rules of the same text the allowing one stands first
