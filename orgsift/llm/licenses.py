@@ -1,18 +1,19 @@
 """Licence notices found by a positional index of rare template words.
 
-Every template is a short sentence of a licence with a mandatory phrase in it.  One pass over all
-documents counts in how many each template word stands; the words with the highest inverse document
-frequency are the template's anchors.  The second pass looks up the anchors in every file and
-intersects their postings by relative position: anchors that point to the same start of a template
-are a candidate, and so is the rarest word of the mandatory phrase alone, whatever the counts of
-the corpus are.  A candidate counts when the mandatory phrase stands there word by word.
-
-Base phrases are found on their own, as runs of consecutive words anywhere in the text.
+Every template is a sentence of a licence with a mandatory key phrase in it.  One pass over all
+documents counts in how many each template word stands.  The second pass takes the licence words of
+each file that have the highest inverse document frequency, looks up their postings (template and
+position), and intersects them by relative position: places of several rare words that point to one
+start of a template, give or take a few inserted or missing words, are a candidate.  It counts when the
+key phrase stands near where it should, with one inserted word at most.
+
+A file's rare words are some of its words, so a second, separate way makes the search whole: every
+place where a key phrase stands word by word counts as well.  Base phrases are found on their own.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .textscan import ALNUM, batch_slices, first_index, hash_of, words_of
 
-ANCHORS = 4  # highest-IDF words of a template that are looked up
-AGREE = 2  # anchors that must point to one start
+RARE = 16  # highest-IDF licence words of a file that are looked up
+AGREE = 3  # of them must point to one start
+SLACK = 2  # words that may be inserted or missing before a place
 
 # Phrases of the base labels
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -46,22 +48,37 @@ TEMPLATES = (
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
     ("cc0", "to the extent possible under law the author has dedicated all copyright to the public domain worldwide cc0", "public domain worldwide"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "deal in the software without restriction"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "copies or substantial portions of the software"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "distributed under the license is distributed on an as is basis"),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "except in compliance with the license"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "retain the above copyright notice this list of conditions"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "endorse or promote products derived from this software"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability", "hope that it will be useful but without any warranty"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program", "received a copy of the gnu general public license"),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license along with this library", "gnu lesser general public license"),
+    ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at", "copy of the mpl was not distributed"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties", "author disclaims all warranties with regard to this software"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary", "free to copy modify publish use compile sell or distribute"),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights", "associated a work with this deed"),
 )
 
 
 @dataclass
 class LicenseIndex:
-    """Templates as word hashes, with the postings of their anchors sorted by word."""
+    """Templates as word hashes; the licence words in order with their IDF, and their postings."""
 
     labels: list[str]
     words: list[np.ndarray]
     weights: list[np.ndarray]
     phrase: list[tuple[int, int]]
-    needed: np.ndarray
-    anchor: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    template: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    place: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    votes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    vocabulary: np.ndarray
+    idf: np.ndarray
+    first: np.ndarray  # where the postings of a licence word begin
+    template: np.ndarray
+    place: np.ndarray
+    rare: int = RARE
+    agree: int = AGREE
 
 
 def vocabulary(templates=TEMPLATES) -> list[str]:
@@ -83,89 +100,131 @@ def _count_batches(hashes: np.ndarray):
     return run
 
 
-def build_index(docs: DataFrame, templates=TEMPLATES, anchors: int = ANCHORS, agree: int = AGREE) -> LicenseIndex:
+def index_of(frequency: np.ndarray, documents: int, templates=TEMPLATES, rare: int = RARE, agree: int = AGREE) -> LicenseIndex:
+    """The index of templates for given document frequencies of vocabulary(templates) in the order of the hashes."""
+    order = np.array(sorted(hash_of(w) for w in vocabulary(templates)), np.uint64)
+    idf = np.log((documents + 1) / (frequency + 1)) + 1e-9
+    at = {int(h): k for k, h in enumerate(order)}
+    labels, words, weights, phrases, postings = [], [], [], [], []
+    for t, (label, text, phrase) in enumerate(templates):
+        parts, must = text.split(), phrase.split()
+        numbers = [at[hash_of(w)] for w in parts]
+        start = next(i for i in range(len(parts)) if parts[i:i + len(must)] == must)
+        labels.append(label)
+        words.append(order[numbers])
+        weights.append(idf[numbers])
+        phrases.append((start, start + len(must)))
+        postings += [(k, t, q) for q, k in enumerate(numbers)]
+    postings = np.array(sorted(postings), np.int64)
+    return LicenseIndex(labels, words, weights, phrases, order, idf, np.searchsorted(postings[:, 0], np.arange(len(order) + 1)),
+                        postings[:, 1], postings[:, 2], rare, agree)
+
+
+def build_index(docs: DataFrame, templates=TEMPLATES, rare: int = RARE, agree: int = AGREE) -> LicenseIndex:
     """Document frequencies of the template words over all docs, and the index made from them.
 
     One number per template word comes to the driver.
     """
-    words = vocabulary(templates)
-    order = np.array(sorted(hash_of(w) for w in words), np.uint64)
+    order = np.array(sorted(hash_of(w) for w in vocabulary(templates)), np.uint64)
     rows = docs.select("text").mapInArrow(_count_batches(order), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     found = {r.word: r.n for r in rows}
-    total = found.get(len(order), 0)
-    idf = {int(h): float(np.log((total + 1) / (found.get(k, 0) + 1)) + 1e-9) for k, h in enumerate(order)}
-    index = LicenseIndex([], [], [], [], np.zeros(len(templates), np.int64))
-    postings = []
-    for t, (label, text, phrase) in enumerate(templates):
-        hashes = [hash_of(w) for w in text.split()]
-        must = phrase.split()
-        start = next(i for i in range(len(hashes)) if text.split()[i:i + len(must)] == must)
-        index.labels.append(label)
-        index.words.append(np.array(hashes, np.uint64))
-        index.weights.append(np.array([idf[h] for h in hashes]))
-        index.phrase.append((start, start + len(must)))
-        # the rarest words are the anchors; of equal ones those of the mandatory phrase, then the first
-        rare = sorted(range(len(hashes)), key=lambda q: (-idf[hashes[q]], not start <= q < start + len(must), q))[:anchors]
-        index.needed[t] = min(agree, len(rare))
-        # every whole phrase holds its rarest word, so that one has all votes a candidate needs
-        sure = max(range(start, start + len(must)), key=lambda q: idf[hashes[q]])
-        postings += [(hashes[q], t, q, int(index.needed[t]) if q == sure else 1) for q in {*rare, sure}]
-    postings.sort()
-    index.anchor = np.array([p[0] for p in postings], np.uint64)
-    index.template = np.array([p[1] for p in postings], np.int64)
-    index.place = np.array([p[2] for p in postings], np.int64)
-    index.votes = np.array([p[3] for p in postings], np.int64)
-    return index
+    return index_of(np.array([found.get(k, 0) for k in range(len(order))]), found.get(len(order), 0), templates, rare, agree)
 
 
-def base_places(words: np.ndarray, owner: np.ndarray, phrase: str) -> np.ndarray:
-    """Places in the list of all words where the phrase stands within one text."""
-    parts = [np.uint64(hash_of(w)) for w in phrase.split()]
+def hash_places(words: np.ndarray, owner: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Places in the list of all words where these words stand one after the other within one text."""
     n = len(words) - len(parts) + 1
     if n <= 0:
         return np.zeros(0, np.int64)
+    rest = np.arange(len(parts))
     at = np.flatnonzero(words[:n] == parts[0])
-    for k, part in enumerate(parts):
-        at = at[words[at + k] == part]
+    for k in rest:
+        at = at[words[at + k] == parts[k]]
     return at[owner[at] == owner[at + len(parts) - 1]]
 
 
-def template_places(index: LicenseIndex, words: np.ndarray, owner: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, float]]:
-    """(text, template, start among its words, share of the template in place) of the verified candidates."""
-    low, high = np.searchsorted(index.anchor, words, "left"), np.searchsorted(index.anchor, words, "right")
-    at = np.flatnonzero(high > low)
-    if not len(at):
-        return []
-    many = high[at] - low[at]
-    where = np.repeat(at, many)
-    posting = np.repeat(low[at] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-    templates = len(index.labels)
-    # votes of one text do not meet those of another: the owner is part of the key
-    span = len(words) + 4096
-    key = (owner[where] * span + where - index.place[posting] + 2048) * templates + index.template[posting]
-    key, which = np.unique(key, return_inverse=True)
-    votes = np.bincount(which, weights=index.votes[posting], minlength=len(key))
-    key = key[votes >= index.needed[key % templates]]
-    begin, of = key // templates % span - 2048, key % templates
-    opening = begin + np.array([m for m, _ in index.phrase])[of]  # most candidates of one word end here
-    here = (opening >= 0) & (opening < len(words))
-    here[here] = words[opening[here]] == np.array([w[m] for w, (m, _) in zip(index.words, index.phrase)], np.uint64)[of[here]]
-    key = key[here]
-    out = []
-    for k in key.tolist():
-        t, rest = k % templates, k // templates
-        text, start = rest // span, rest % span - 2048
-        a, b = first[text], first[text + 1]
-        m0, m1 = index.phrase[t]
-        if start + m0 < a or start + m1 > b or (words[start + m0:start + m1] != index.words[t][m0:m1]).any():
+def base_places(words: np.ndarray, owner: np.ndarray, phrase: str) -> np.ndarray:
+    return hash_places(words, owner, np.array([hash_of(w) for w in phrase.split()], np.uint64))
+
+
+def rare_hits(index: LicenseIndex, words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the list of all words, licence word) of the `rare` licence words with the highest IDF of each text."""
+    number = np.minimum(np.searchsorted(index.vocabulary, words), len(index.vocabulary) - 1)
+    at = np.flatnonzero(index.vocabulary[number] == words)
+    number, n = number[at], len(index.vocabulary)
+    pairs, which = np.unique(owner[at] * n + number, return_inverse=True)
+    order = np.lexsort((pairs % n, -index.idf[pairs % n], pairs // n))
+    text = (pairs // n)[order]
+    chosen = np.zeros(len(pairs), bool)
+    chosen[order] = np.arange(len(pairs)) - np.searchsorted(text, text) < index.rare
+    keep = chosen[which]
+    return at[keep], number[keep]
+
+
+def candidates(index: LicenseIndex, words: np.ndarray, owner: np.ndarray) -> list[tuple[int, int, int]]:
+    """(text, template, start) where postings of enough of a text's rare words point to one start, give or take SLACK."""
+    at, number = rare_hits(index, words, owner)
+    many = (index.first[number + 1] - index.first[number])
+    hit = np.repeat(np.arange(len(at)), many)
+    posting = np.repeat(index.first[number] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    start, template, text = at[hit] - index.place[posting], index.template[posting], owner[at[hit]]
+    order = np.lexsort((start, template, text))
+    start, template, text, place = start[order], template[order], text[order], index.place[posting][order]
+    # the starts of one text and template are one stretch of a line
+    group = (text * len(index.labels) + template)
+    line = group * (len(words) + 8192) + start + 4096
+    until = np.searchsorted(line, line + 2 * SLACK, "right")
+    needed = np.minimum(index.agree, np.array([len(w) for w in index.words]))[template]
+    out, last = [], -1
+    for i in np.flatnonzero(until - np.arange(len(line)) >= needed).tolist():
+        if until[i] <= last or len(set(place[i:until[i]].tolist())) < needed[i]:
             continue
-        lo, hi = max(start, a), min(start + len(index.words[t]), b)
-        same = words[lo:hi] == index.words[t][lo - start:hi - start]
-        weight = index.weights[t]
-        out.append((text, t, int(start - a), float(weight[lo - start:hi - start][same].sum() / weight.sum())))
+        last = int(until[i])
+        out.append((int(text[i]), int(template[i]), int(np.median(start[i:last]))))
     return out
 
 
+def _phrase_near(words: np.ndarray, phrase: np.ndarray, low: int, high: int, until: int) -> int:
+    """The first place from low to high where the phrase begins, with one inserted word at most; -1 if there is none."""
+    for p in (np.flatnonzero(words[low:high] == phrase[0]) + low).tolist():
+        spare, q = 1, p
+        for w in phrase[1:]:
+            q += 1
+            if q < until and words[q] != w and spare:
+                spare, q = 0, q + 1
+            if q >= until or words[q] != w:
+                break
+        else:
+            return p
+    return -1
+
+
+def _share(index: LicenseIndex, t: int, words: np.ndarray, start: int, a: int, b: int) -> float:
+    """IDF-weighted share of a template's words that stand in order from about `start`."""
+    got, at = 0.0, max(a, start - SLACK)
+    for q, (w, weight) in enumerate(zip(index.words[t], index.weights[t])):
+        stop = min(b, max(at, start + q) + SLACK + 1)
+        same = np.flatnonzero(words[at:stop] == w)
+        if len(same):
+            got, at = got + weight, at + int(same[0]) + 1
+    return float(got / index.weights[t].sum())
+
+
+def template_places(index: LicenseIndex, words: np.ndarray, owner: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """(text, template, start among its words, share of the template in place) of the verified candidates of both ways."""
+    found = {}
+    for text, t, start in candidates(index, words, owner):
+        a, b = int(first[text]), int(first[text + 1])
+        m0, m1 = index.phrase[t]
+        p = _phrase_near(words, index.words[t][m0:m1], max(a, start + m0 - 2 * SLACK), min(b, start + m0 + 2 * SLACK + 1), b)
+        if p >= 0:
+            found[text, t, p - m0] = None
+    for t, (m0, m1) in enumerate(index.phrase):  # the whole key phrase, wherever it stands
+        for p in hash_places(words, owner, index.words[t][m0:m1]).tolist():
+            found[int(owner[p]), t, p - m0] = None
+    return [(text, t, start - int(first[text]), _share(index, t, words, start, int(first[text]), int(first[text + 1]))) for text, t, start in sorted(found)]
+
+
 _OUT = ("doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, "
         "labels array<string>, score double, spans array<struct<label: string, start: long, words: long>>")
 
@@ -207,8 +266,8 @@ def scan_licenses(docs: DataFrame, index: LicenseIndex, base=BASE) -> DataFrame:
     Words are runs of a-z, 0-9 and characters over 127 after A-Z is lower-cased.  n_base counts every
     place of every base phrase, overlapping ones too; first_word and last_word are the smallest and
     largest start, null without any.  labels holds the base labels and those of verified templates.
-    score is 1 with a base phrase, else the largest IDF-weighted share of a verified template that
-    stands in place, else 0.  Null is the empty text: no words, no labels, score 0.  Repeated rows
+    score is 1 with a base phrase, else the largest IDF-weighted share of a verified template whose
+    words stand in order, else 0.  Null is the empty text: no words, no labels, score 0.  Repeated rows
     are scanned alike; no rows give no rows; other columns are ignored.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan_batches(index, base), _OUT)

@@ -1,10 +1,15 @@
 """URL rules over alias classes, and licence scans, against brute force."""
 
+import random
 import re
+import time
 
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings, strategies as st
 
-from orgsift.llm.licenses import BASE, build_index, scan_licenses
+from orgsift.llm import licenses as L
+from orgsift.llm.licenses import BASE, TEMPLATES, build_index, scan_licenses
 from orgsift.llm.queries import RULES
 from orgsift.llm.url_filter import judge, page_targets, rule_table
 from cases import TEXTS, awkward, lowered, none
@@ -94,3 +99,102 @@ def test_a_whole_phrase_is_found_whatever_the_counts_are(spark):
     docs = awkward(spark, rows)
     found = {r.doc_id: r.labels for r in scan_licenses(docs, build_index(docs)).collect()}
     assert all("mpl-2.0" in found[k] for k in range(1, 60))
+
+
+def tags_by_regex(page):
+    """The whole-page expression that one pass replaces; quadratic, for small pages."""
+    tag = re.compile(r"<!--.*?-->|<script\b.*?</script\s*>|<((?:link|meta)\b[^>]*)>", re.I | re.S)
+    return [t for t in tag.findall(page) if t]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<!--", "-->", "<script>", "</script >", "</SCRIPT", ">", "<link a=b", "<META x", "linked", "<linkage>", "'", " "]), max_size=14).map("".join))
+def test_one_pass_finds_the_same_tags(page):
+    from orgsift.llm.url_filter import _tags
+    assert list(_tags(page)) == tags_by_regex(page)
+
+
+@pytest.mark.parametrize("unit", ["<!--", "<script>", "<link ", "<link " + "a" * 50, "</script ", "<link a=\"", "<meta a='b"])
+def test_long_pages_take_linear_time(unit):
+    for tail in ("", ">"):
+        start = time.time()
+        page_targets("http://h/a", "<link " + unit * (1_000_000 // len(unit)) + tail)
+        page_targets("http://h/a", unit * (1_000_000 // len(unit)) + tail)
+        assert time.time() - start < 4
+
+
+def test_a_host_of_many_labels(spark):
+    start = time.time()
+    got = verdicts(spark, [(1, "http://" + "a." * 16_000 + "net/x", None), (2, "http://" + "b." * 16_000 + "example.net/en/", None)])
+    assert got[1][2:] == ("net/", "block") and got[2][2:] == ("example.net/en/", "allow") and time.time() - start < 20
+
+
+def label_brute(text):
+    """Labels by the definition: a key phrase word by word, or with one inserted word beside three words of its template."""
+    w, out = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text)), set()
+    for label, template, phrase in TEMPLATES:
+        t, m = template.split(), phrase.split()
+        m0 = next(i for i in range(len(t)) if t[i:i + len(m)] == m)
+        for p in range(len(w)):
+            for gap in range(len(m)):  # no inserted word, or one before the word of this number
+                if [x for k, x in enumerate(w[p:p + len(m) + (gap > 0)]) if not gap or k != gap] == m:
+                    near = {q for q in range(len(t)) for e in range(-L.SLACK, L.SLACK + 1) if 0 <= p - m0 + q + e < len(w) and w[p - m0 + q + e] == t[q]}
+                    if not gap or len(near) >= min(L.AGREE, len(t)):
+                        out.add(label)
+    return out
+
+
+def scanned(texts):
+    """Labels of texts, with counts of a corpus of these texts alone."""
+    import numpy as np
+    from orgsift.llm import textscan
+    vocab = L.vocabulary()
+    order = sorted(textscan.hash_of(x) for x in vocab)
+    name = {textscan.hash_of(x): x for x in vocab}
+    split = [set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(t))) for t in texts]
+    index = L.index_of(np.array([sum(name[h] in s for s in split) for h in order]), len(texts))
+    data, offsets = textscan.text_bytes(pa.array(texts, pa.string()))
+    words, owner, _, _ = textscan.words_of(data, offsets, textscan.ALNUM)
+    found = [set() for _ in texts]
+    for text, t, start, share in L.template_places(index, words, owner, textscan.first_index(owner, len(texts))):
+        assert 0 < share <= 1 + 1e-9
+        found[text].add(index.labels[t])
+    return found
+
+
+def notices():
+    rng = random.Random(7)
+    filler = lambda n: [f"w{rng.randrange(500)}" for _ in range(n)]
+    for label, template, phrase in TEMPLATES:
+        t, m = template.split(), phrase.split()
+        m0 = next(i for i in range(len(t)) if t[i:i + len(m)] == m)
+        for kind in ("whole", "inserted", "beside", "missing"):
+            n = list(t)
+            if kind == "inserted":
+                n.insert(m0 + 1 + rng.randrange(len(m) - 1), "zzz")  # inside the key phrase: no exact search finds it
+            elif kind == "beside" and m0 > 0:
+                n.insert(m0 // 2, "zzz")
+            elif kind == "missing" and m0 > 1:
+                del n[m0 // 2]
+            yield label, kind, " ".join(filler(40) + n + filler(40))
+
+
+def test_notices_with_an_inserted_word():
+    rows = list(notices())
+    found = scanned([t for *_, t in rows])
+    caught = {}
+    for (label, kind, _), got in zip(rows, found):
+        caught.setdefault(kind, []).append(label in got)
+    assert all(caught["whole"]) and all(caught["beside"]) and all(caught["missing"])
+    assert sum(caught["inserted"]) >= 0.9 * len(caught["inserted"])
+
+
+def test_labels_like_brute_force():
+    rng = random.Random(3)
+    words = sorted({w for _, t, _ in TEMPLATES for w in t.split()})
+    texts = [t for *_, t in notices()] + [" ".join(rng.choice(words) for _ in range(60)) for _ in range(60)] + ["", "mit", "license " * 300]
+    found = scanned(texts)
+    exact = [label_brute(t) for t in texts]
+    # what the rare words point to is always right; of what the definition allows, nearly all is found
+    assert all(f <= e for f, e in zip(found, exact))
+    assert sum(len(f) for f in found) >= 0.95 * sum(len(e) for e in exact)
