@@ -13,9 +13,11 @@ from ..operators import intent as Q
 from ..operators import learning as L
 from ..operators import quality as V
 from ..operators import rank as R
+from ..operators import records as O
 from ..operators import score as S
 from ..operators.html import flat_links, links_of_elements, main_text, page_elements, page_meta, page_text, text_of, title_of
 from ..operators.ordering import keep_best
+from ..session import cut_lineage
 from ..sources.tables import append_reclassified
 
 _CANDIDATE = "array<struct<method:string,pos:int,name:string,href:string,context:string,description:string>>"
@@ -234,6 +236,22 @@ def education_records(pages: DataFrame, as_of: str, text: Column = None) -> Data
         "kind", F.col("_k")).drop("_k")
 
 
+def education_offers(docs: DataFrame, keys, text: str, url: str, within: int = None) -> dict:
+    """Validated and accepted records of programs, events and funding from docs(keys, text, url).
+
+    The hits of all patterns are found and written once; each kind of record is a sweep over them.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    at = F.struct(*keys, url).alias("_at")
+    hits = cut_lineage(X.extract_entities(docs.select(at, text), "_at", text).select("_at.*", "kind", "entity", "start_pos", "end_pos", "pattern_no", "hit_no"))
+    checks = {"programs": V.validate_programs, "events": V.validate_events, "funding": V.validate_funding}
+    out = {}
+    for record, check in checks.items():
+        rows = V.completeness(check(O.records_of(hits, keys, record, url, within)), rules.OFFER_FIELDS[record])
+        out[record] = V.accept(rows.withColumn("kind", F.lit(record)), checked=tuple(checks)).drop("kind")
+    return out
+
+
 def education_quality(records: DataFrame) -> DataFrame:
     """Quality per page and the roll-up over pages come from the accepted records."""
     return S.entity_set_quality(records.select("page_id", F.col("record_kind").alias("kind"), "completeness"), "page_id")
@@ -243,9 +261,10 @@ def education_pipeline(pages: DataFrame, as_of: str, queries: DataFrame = None,
     """Records of pages with the quality of each page and the roll-up over all of them.
 
     With queries(query_id, query) and pages that carry a query_id, records also have the student
-    intent and the focus of their query.
+    intent and the focus of their query.  programs, events and funding are tables of their own.
     """
     records = education_records(pages, as_of, text)
+    docs = pages.select("page_id", "url", (page_text("html", ("script", "style")) if text is None else text).alias("text"))
     entities = records.select(F.col("record_kind").alias("kind"), "name", F.col("official_url").alias("link"))
     quality = education_quality(records)
     out = {"quality": quality, "totals": V.roll_up_sources(entities, quality)}
@@ -253,7 +272,7 @@ def education_pipeline(pages: DataFrame, as_of: str, queries: DataFrame = None,
         asked = Q.student_intent(queries).select("query_id", "student_intent", "focus")
         owner = pages.select("page_id", "query_id").join(asked, "query_id", "left")
         records = records.join(owner, "page_id")
-    return {"records": records, **out}
+    return {"records": records, **out, **education_offers(docs, "page_id", "text", "url")}
 
 
 def study_session(vocab: DataFrame, progress: DataFrame, as_of: str, seed: str, new: int = 3, due: int = 2) -> DataFrame:

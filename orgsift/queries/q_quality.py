@@ -239,3 +239,72 @@ def _(spark, sf):
     e = table(spark, sf, "events").withColumn("k", F.when(F.col("event_id") % 3 != 1, F.get_json_object("props", "$.k")))
     _, failed = split_failures(e, F.col("k").isNotNull())
     return failed.select("event_id", "event_type")
+
+
+# ------------------------------------------------------------- records around hits
+
+_TALK = ("Summer Workshop on Data Systems", "Physics Conference", "Career Fair", "Science")
+_ANNOUNCED_SQL = f"""{OFFERS_SQL}, announced AS (SELECT offer_id, 'https://www.example.org/' || offer_id AS url,
+  text || ' The ' || country || ' ' || {_case('offer_id % 4', _TALK)} || ' opens soon. A Travel Fellowship of $' || (offer_id % 90) || ',500 is offered; computer science applicants first.' AS text FROM offers)"""
+
+
+def announced(spark, sf):
+    o = offers(spark, sf)
+    k = F.col("offer_id")
+    more = F.concat(F.col("text"), F.lit(" The "), F.col("country"), F.lit(" "), _pick(k % 4, _TALK), F.lit(" opens soon. A Travel Fellowship of $"),
+                    (k % 90).cast("string"), F.lit(",500 is offered; computer science applicants first."))
+    return o.select("offer_id", F.concat(F.lit("https://www.example.org/"), k.cast("string")).alias("url"), more.alias("text"))
+
+
+def _nearest_sql(record):
+    """Every anchor against all hits of its text: the plain way to the nearest ones."""
+    from ..operators.records import RECORDS
+    from .q_text import _entity_sql
+    anchor, fields = RECORDS[record]
+    picks = ", ".join(f"""coalesce((SELECT x.entity FROM o x WHERE x.offer_id = a.offer_id AND x.kind = {lit(kind)}
+        ORDER BY abs(x.start_pos - a.start_pos), x.no > a.no, abs(x.no - a.no) LIMIT 1), NULL) AS {name}""" for name, kind in fields.items())
+    return f"""WITH {_ANNOUNCED_SQL}, e AS (SELECT offer_id, kind, pattern_no, hit_no, part AS entity, start_pos, end_pos FROM ({_entity_sql('announced', 'offer_id', 'text')})),
+  o AS (SELECT *, row_number() OVER (PARTITION BY offer_id ORDER BY start_pos, end_pos, kind, pattern_no, hit_no) AS no FROM e),
+  n AS (SELECT a.offer_id, a.no, {s_collapse('a.entity')} AS name, {picks} FROM o a WHERE a.kind = {lit(anchor)}),
+  f AS (SELECT *, 'https://www.example.org/' || offer_id AS url, row_number() OVER (PARTITION BY offer_id, lower(name) ORDER BY no) AS first FROM n)"""
+
+
+def _word_sql(text, values):
+    return f"coalesce(regexp_extract(lower({text}), '({'|'.join(values)})', 1), '')"
+
+
+def _offer_sql(record, fields, checks, shown):
+    return f"""{_nearest_sql(record)}, r AS (SELECT offer_id, url AS official_url, url AS university_url, url AS program_url, {fields} FROM f WHERE first = 1),
+  c AS (SELECT *, {_issue_sql(checks)} AS issues, {_score_sql(checks)} AS confidence_score FROM r) SELECT {shown}, issues, confidence_score FROM c WHERE issues = '' OR confidence_score >= 0.7"""
+
+
+_MONEY_ISSUES = _MONEY
+_DATE_BAD = [("false", "''", 0.2)]
+
+
+@query("job_education_programs", _offer_sql(
+    "programs", f"name AS program_name, {s_collapse('university')} AS university, {s_collapse('field_of_study')} AS field_of_study, {_word_sql('degree', rules.DOMAIN_VALUES['degree type'])} AS degree_type",
+    _missing(rules.REQUIRED_FIELDS["programs"], 0.25) + _domain("degree_type", "degree type", 0.15), "offer_id, program_name, university, field_of_study, degree_type"))
+def _(spark, sf):
+    return _offers(spark, sf, "programs", "program_name", "university", "field_of_study", "degree_type")
+
+
+@query("job_education_events", _offer_sql(
+    "events", f"name AS event_name, {s_collapse('organizer')} AS organizer, {s_collapse('date')} AS date, {_word_sql('name', rules.DOMAIN_VALUES['event type'])} AS event_type",
+    _missing(rules.REQUIRED_FIELDS["events"], 0.25) + _domain("event_type", "event type", 0.15), "offer_id, event_name, organizer, date, event_type"))
+def _(spark, sf):
+    return _offers(spark, sf, "events", "event_name", "organizer", "date", "event_type")
+
+
+@query("job_education_funding", _offer_sql(
+    "funding", f"""{s_collapse('program_name')} AS program_name, {s_collapse('funding_body')} AS funding_body, regexp_extract(name, '([$€£])', 1) AS currency, regexp_extract(name, '([0-9,]*[0-9])', 1) AS amount,
+      replace({_word_sql('program_name', ('scholarship', 'fellowship', 'grant'))}, 'grant', 'research_grant') AS funding_type""",
+    _missing(rules.REQUIRED_FIELDS["funding"], 0.25) + _MONEY_ISSUES + _domain("funding_type", "funding type", 0.1), "offer_id, program_name, funding_body, currency, amount, funding_type"))
+def _(spark, sf):
+    return _offers(spark, sf, "funding", "program_name", "funding_body", "currency", "amount", "funding_type")
+
+
+def _offers(spark, sf, record, *columns):
+    from ..plans.jobs import education_offers
+    rows = education_offers(announced(spark, sf), "offer_id", "text", "url")[record]
+    return rows.select("offer_id", *columns, F.array_join("issues", "; ").alias("issues"), "confidence_score")
