@@ -31,6 +31,7 @@ BANDS = REGISTERS // ROWS
 EMPTY = np.uint16(0xFFFF)
 SHINGLE, SIMILARITY = 5, 0.75
 SMALL = 64  # a band group of up to so many members is joined with itself
+STRIP = 256  # members of a block whose pairs are looked at together
 BLOCK, BLOCK_SHINGLES = 2048, 1_000_000  # members and shingles of a larger one that a task compares with as many others
 _U = np.uint64
 _MULT = mix(np.arange(1, 64, dtype=_U) * _U(0xA0761D6478BD642F)) | _U(1)
@@ -249,25 +250,6 @@ def _open_block(similarity):
         na, nb = first.n.to_numpy(), second.n.to_numpy()
         ca, cb = first.component.to_numpy(), second.component.to_numpy()
         ia, ib = first.id.to_numpy(), second.id.to_numpy()
-        left, right = [], []
-        for i in range(len(ia)):
-            other = np.flatnonzero((cb != ca[i]) & ((ib > ia[i]) if second is first else True))
-            shared = (wb[other, :band] == wa[i, :band]) & (wa[i, :band] != ~_U(0))
-            other = other[~shared.any(axis=1)]
-            other = other[may_link(sa[i], sb[other], na[i], nb[other], similarity)] if len(other) else other
-            left.append(np.full(len(other), i))
-            right.append(other)
-        left, right = np.concatenate(left), np.concatenate(right)
-        if not len(left):
-            return none
-        ua, pa_ = np.unique(left, return_inverse=True)
-        ub, pb = np.unique(right, return_inverse=True)
-        xa, xb = [sets_a[i] for i in ua], [sets_b[i] for i in ub]
-        if len(left) > 4 * (len(ua) + len(ub)):
-            both = _common(xa, xb)[pa_, pb]
-        else:
-            both = np.array([len(np.intersect1d(xa[i], xb[j], assume_unique=True)) for i, j in zip(pa_, pb)])
-        hit = 100 * both >= percent * (na[left] + nb[right] - both)
         parent, out = {}, []
 
         def root(c):
@@ -276,11 +258,32 @@ def _open_block(similarity):
                 c = parent[c]
             return c
 
-        for i, j in zip(left[hit], right[hit]):
-            x, y = root(ca[i]), root(cb[j])
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                out.append((min(ia[i], ib[j]), max(ia[i], ib[j])))
+        for at in range(0, len(ia), STRIP):
+            # components that an earlier strip has joined need no further link
+            now_a, now_b = (np.array([root(c) for c in cs.tolist()], np.int64) for cs in (ca[at:at + STRIP], cb))
+            left, right = [], []
+            for k, i in enumerate(range(at, min(at + STRIP, len(ia)))):
+                other = np.flatnonzero((now_b != now_a[k]) & ((ib > ia[i]) if second is first else True))
+                shared = (wb[other, :band] == wa[i, :band]) & (wa[i, :band] != ~_U(0))
+                other = other[~shared.any(axis=1)]
+                other = other[may_link(sa[i], sb[other], na[i], nb[other], similarity)] if len(other) else other
+                left.append(np.full(len(other), i))
+                right.append(other)
+            left, right = np.concatenate(left), np.concatenate(right)
+            if not len(left):
+                continue
+            ua, pa_ = np.unique(left, return_inverse=True)
+            ub, pb = np.unique(right, return_inverse=True)
+            if len(left) > 4 * (len(ua) + len(ub)):
+                both = _common([sets_a[i] for i in ua], [sets_b[i] for i in ub])[pa_, pb]
+            else:
+                both = np.array([len(np.intersect1d(sets_a[i], sets_b[j], assume_unique=True)) for i, j in zip(left, right)])
+            hit = 100 * both >= percent * (na[left] + nb[right] - both)
+            for i, j in zip(left[hit], right[hit]):
+                x, y = root(int(ca[i])), root(int(cb[j]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((min(ia[i], ib[j]), max(ia[i], ib[j])))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64") if out else none
     return run
 
