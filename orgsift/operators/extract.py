@@ -2,7 +2,7 @@
 
 import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import rules
 from ..functions.text import (any_pattern, any_word, before_first_separator, collapse, has,
@@ -494,14 +494,38 @@ def list_article_orgs(content: DataFrame, elements: DataFrame, min_conf: float =
 # ------------------------------------------------------------------------- JSON
 
 
-def salvage_json(df: DataFrame, text: str) -> DataFrame:
-    """The JSON object inside free text: `json` (variant) or an error label."""
+def _read_fields(value: Column, kind: T.StructType, path: str, defaults: dict) -> Column:
+    """The fields of a variant as a struct; a field that is missing, null or of another type has its default."""
+    fields = []
+    for f in kind.fields:
+        here, default = f'{path}["{f.name}"]', defaults.get(f.name)
+        if isinstance(f.dataType, T.StructType):
+            fields.append(_read_fields(value, f.dataType, here, default or {}).alias(f.name))
+            continue
+        told = F.try_variant_get(value, here, f.dataType.simpleString())
+        if default is not None:
+            filled = F.array(*[F.lit(x) for x in default]) if isinstance(default, (list, tuple)) else F.lit(default)
+            told = F.coalesce(told, filled.cast(f.dataType))
+        fields.append(told.alias(f.name))
+    return F.struct(*fields)
+
+
+def salvage_json(df: DataFrame, text: str, schema=None, defaults: dict = None) -> DataFrame:
+    """The JSON object inside free text, from the first { to the last }: `json` (variant) or an error label.
+
+    With a schema (a StructType or its DDL), `record` has its fields, nested ones too; `defaults` name
+    the values for fields that are missing, null or of another type, also where there is no object.
+    """
     block = salvage_block(text)
     value = F.try_parse_json(F.col("_block"))
-    return (df.withColumn("_block", block).withColumn("json", value)
+    rows = (df.withColumn("_block", block).withColumn("json", value)
             .withColumn("json_error", F.when(F.col("_block").isNull(), F.lit("No JSON content found"))
                         .when(F.col("json").isNull(), F.lit("Invalid JSON format")))
             .drop("_block"))
+    if schema is None:
+        return rows
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return rows.withColumn("record", _read_fields(F.col("json"), kind, "$", defaults or {}))
 
 
 # ------------------------------------------------------------- extractors by method

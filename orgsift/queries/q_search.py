@@ -6,6 +6,7 @@ from .. import rules
 from ..operators import classify as C
 from ..operators import extract as X
 from ..operators import intent as Q
+from ..operators import lexicon as K
 from ..operators import rank as R
 from ..operators import score as S
 from ..plans import jobs as J
@@ -376,3 +377,26 @@ def _(spark, sf):
     orgs = n.filter("n_regionkey < 3").select(F.col("n_nationkey").alias("org_id"), F.concat(F.lit("The "), "n_name", F.lit(" College")).alias("name"))
     sch = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat("n_name", F.lit(" University!")).alias("provider"))
     return R.link_providers(sch, orgs).select("c_custkey", "org_id", "org_name")
+
+
+# ------------------------------------------------------------- rule lists as tables
+
+_ALL_TAGS_SQL = ", ".join(f"{s_tags(LOW, lex)} AS {c}" for c, lex in rules.QUERY_TAGS.items())
+
+
+@query("j9_query_tags", f"WITH {QUERIES_SQL}, t AS (SELECT query_id, {_ALL_TAGS_SQL} FROM search_queries) " + " UNION ALL ".join(f"SELECT query_id, {lit(c)} AS tag_set, unnest({c}) AS tag FROM t" for c in rules.QUERY_TAGS))
+def _(spark, sf):
+    return K.tag_by(queries_of(spark, sf), "query_id", "query", K.rule_table(spark, rules.QUERY_TAGS))
+
+
+# names of all parts and customers as one lexicon of the given tables, over the texts of conversations
+@query("j9_given_lexicon", """WITH lex AS (SELECT DISTINCT 'part' AS domain, lower(left(p_name, 6)) AS keyword FROM part UNION SELECT 'customer', lower(substr(c_name, 15)) FROM customer UNION SELECT 'letters', substr(text, 1, 5) FROM conversations),
+  d AS (SELECT conv_id * 1000 + turn AS text_id, lower(text) AS low FROM conversations)
+  SELECT text_id, domain, count(*)::BIGINT AS n FROM d JOIN lex ON keyword <> '' AND contains(low, lower(keyword)) GROUP BY 1, 2""")
+def _(spark, sf):
+    part = table(spark, sf, "part").select(F.lit("part").alias("domain"), F.lower(F.left("p_name", F.lit(6))).alias("keyword"))
+    names = table(spark, sf, "customer").select(F.lit("customer"), F.lower(F.substring("c_name", 15, 100)))
+    conv = table(spark, sf, "conversations")
+    lexicon = part.union(names).union(conv.select(F.lit("letters"), F.substring("text", 1, 5))).distinct()
+    docs = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), "text")
+    return K.lexicon_hits(docs, "text_id", "text", lexicon).groupBy("text_id", "domain").agg(F.count(F.lit(1)).alias("n"))

@@ -8,6 +8,7 @@ from ..operators import extract as X
 from ..operators import intent as Q
 from ..operators import quality as V
 from ..operators import score as S
+from ..operators.lexicon import label_by
 from ..plans import jobs as J
 from .derived import CATALOG_SQL, NAMES_SQL, OFFERS_SQL, QUERIES_SQL, catalog_pages, catalog_rows, countries, institution_names, offers
 from .registry import lit, query, s_any, s_caps, s_count, s_ladder, s_pattern, s_words, table
@@ -197,6 +198,25 @@ def _(spark, sf):
     return rows.select("event_id", F.try_variant_get("json", "$.k", "long").alias("k"), "json_error")
 
 
+@query("x26_salvage_schema", """SELECT event_id, coalesce(k, -1)::BIGINT AS k, coalesce(kind, 'none') AS kind, coalesce(lengths, [0]::BIGINT[])::VARCHAR AS lengths, coalesce(inner_k, 0)::BIGINT AS inner_k, coalesce(flag, true) AS flag, json_error FROM (
+  SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 1 THEN json_extract_string(props, '$.k')::BIGINT END AS k, CASE WHEN event_id % 4 = 1 THEN event_type END AS kind,
+   CASE WHEN event_id % 4 = 1 THEN [length(event_type), event_id % 7]::BIGINT[] END AS lengths, CASE WHEN event_id % 4 = 1 THEN json_extract_string(props, '$.k')::BIGINT END AS inner_k,
+   CASE WHEN event_id % 4 = 1 THEN event_id % 3 = 0 END AS flag, CASE WHEN event_id % 4 = 3 THEN 'No JSON content found' WHEN event_id % 4 = 2 THEN 'Invalid JSON format' END AS json_error FROM events)""")
+def _(spark, sf):
+    """Whole, wrong, broken and missing objects, read into one schema with defaults."""
+    e = table(spark, sf, "events")
+    k = F.col("event_id")
+    whole = F.concat(F.lit('Answer: {"k": '), F.get_json_object("props", "$.k"), F.lit(', "kind": "'), F.col("event_type"), F.lit('", "lengths": ['), F.length("event_type").cast("string"), F.lit(", "),
+                     (k % 7).cast("string"), F.lit('], "inner": {"k": '), F.get_json_object("props", "$.k"), F.lit('}, "flag": '), (k % 3 == 0).cast("string"), F.lit("}. Done."))
+    wrong = F.lit('{"k": "many", "kind": null, "lengths": "none", "inner": [1], "flag": "perhaps"}')
+    told = F.when(k % 4 == 1, whole).when(k % 4 == 0, wrong).when(k % 4 == 2, F.lit("so { it ends }")).otherwise(F.col("event_type"))
+    schema = "k long, kind string, lengths array<long>, inner struct<k: long>, flag boolean"
+    rows = X.salvage_json(e.select(k, told.alias("answer")), "answer", schema, {"k": -1, "kind": "none", "lengths": [0], "inner": {"k": 0}, "flag": True})
+    r = F.col("record")
+    return rows.select("event_id", r["k"].alias("k"), r["kind"].alias("kind"), F.format_string("[%s]", F.array_join(r["lengths"].cast("array<string>"), ", ")).alias("lengths"),
+                       r["inner"]["k"].alias("inner_k"), r["flag"].alias("flag"), "json_error")
+
+
 @query("x26_conversation_json", """SELECT conv_id, turn, CASE WHEN instr(text, '{') > 0 AND instr(text, '}') > 0 THEN 'Invalid JSON format' ELSE 'No JSON content found' END AS json_error FROM conversations""")
 def _(spark, sf):
     return X.salvage_json(table(spark, sf, "conversations"), "text").select("conv_id", "turn", "json_error")
@@ -220,6 +240,12 @@ def _(spark, sf):
     return C.classify_content(documents(spark, sf), "text", _LADDER).select("doc_id", "content_type")
 
 
+@query("j9_content_classes", f"SELECT doc_id, {s_ladder('lower(text)', _LADDER)} AS content_type FROM documents WHERE {s_ladder('lower(text)', _LADDER)} IS NOT NULL")
+def _(spark, sf):
+    ladder = spark.createDataFrame([(label, w, seq) for seq, (label, ws) in enumerate(_LADDER) for w in ws], "label string, keyword string, seq int")
+    return label_by(documents(spark, sf), "doc_id", "text", ladder)
+
+
 @query("f5_general_content", f"""WITH {CATALOG_SQL} SELECT page_id, title, url, content_type FROM (SELECT DISTINCT page_id, 'Catalog home ' || page_id AS title, url, 'navigation' AS content_type FROM parts)""")
 def _(spark, sf):
     pages = catalog_pages(spark, sf)
