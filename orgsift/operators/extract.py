@@ -397,6 +397,16 @@ def pattern_names(docs: DataFrame, key: str, text: str, families=rules.NAME_PATT
             .select(key, "family", "name", "hit", "confidence", "method"))
 
 
+_BITS = 1 << 18  # one bit for each value of a hashed first word, in 4096 numbers
+
+
+def first_word_bits(gazetteer: DataFrame) -> Column:
+    """The bits of the first words of all phrases as 4096 numbers, however long the gazetteer is."""
+    bit = gazetteer.select(F.pmod(F.hash(F.get(F.split("phrase", " "), F.lit(0))), F.lit(_BITS)).alias("_b"))
+    parts = bit.groupBy(F.expr("_b DIV 64").alias("_k")).agg(F.expr("bit_or(shiftleft(1L, CAST(_b % 64 AS INT)))").alias("_v"))
+    return parts.agg(F.expr(f"transform(sequence(0, {_BITS // 64 - 1}), k -> coalesce(try_element_at(map_from_entries(collect_list(struct(CAST(_k AS INT) AS k, _v AS v))), k), 0L))").alias("_first")).scalar()
+
+
 def gazetteer_entities(docs: DataFrame, key: str, text: str, gazetteer: DataFrame) -> DataFrame:
     """Names of a gazetteer(phrase, label) found in texts; phrases are lower case and of any number of words.
 
@@ -407,9 +417,15 @@ def gazetteer_entities(docs: DataFrame, key: str, text: str, gazetteer: DataFram
     length = F.size(F.split("phrase", " "))
     lengths = gazetteer.agg(F.array_sort(F.collect_set(length)).alias("_lengths")).scalar()
     df = once(docs.select(key, F.col(text).alias("_x")), _t=F.filter(F.split(F.lower("_x"), r"[^\p{L}\p{N}]+"), lambda w: w != "")).drop("_x")
-    df = df.withColumn("_lengths", lengths)
-    grams = df.select(key, F.expr("""inline(flatten(transform(_lengths, n -> transform(slice(_t, 1, greatest(size(_t) - n + 1, 0)),
-        (w, i) -> struct(i AS word_no, n AS n, CASE WHEN n = 1 THEN w ELSE array_join(slice(_t, i + 1, n), ' ') END AS phrase)))))"""))
+    df = df.withColumns({"_lengths": lengths, "_bits": first_word_bits(gazetteer)})
+
+    def begins(i):
+        bit = F.pmod(F.hash(F.get("_t", i)), F.lit(_BITS))
+        return F.getbit(F.get("_bits", F.shiftright(bit, 6)), bit % 64) == 1
+    places = F.when(F.size("_t") > 0, F.filter(F.sequence(F.lit(0), F.size("_t") - 1), begins)).otherwise(F.array().cast("array<int>"))
+    df = df.select(key, "_t", "_lengths", places.alias("_at")).where(F.size("_at") > 0)
+    grams = df.select(key, F.expr("""inline(flatten(transform(_lengths, n -> transform(filter(_at, i -> i + n <= size(_t)),
+        i -> struct(i AS word_no, n AS n, CASE WHEN n = 1 THEN get(_t, i) ELSE array_join(slice(_t, i + 1, n), ' ') END AS phrase)))))"""))
     longest = grams.join(gazetteer.select("phrase").distinct(), "phrase", "left_semi").groupBy(key, "word_no").agg(F.max(F.struct("n", "phrase")).alias("_m"))
     return longest.select(key, "word_no", "_m.*").join(gazetteer, "phrase").select(key, "word_no", "n", "phrase", "label")
 
