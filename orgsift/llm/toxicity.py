@@ -100,6 +100,29 @@ def _telling(columns: np.ndarray, toxic: np.ndarray, share: float, least: float
     return np.flatnonzero((chi >= least) & (seen >= 2))
 
 
+def loss_and_gradient(x: np.ndarray, words: int, row: np.ndarray, col: np.ndarray, grade: np.ndarray, shrink: float = 2e-5) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood of the cumulative logit model with a penalty on weights, and its gradient.
+
+    x holds the weights of `words` columns, the first threshold, and the logarithms of the steps
+    between thresholds; (row, col) are the words of the rows.
+    """
+    n, top = len(grade), len(x) - words
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+    w, cuts = x[:words], x[words] + np.concatenate([[0], np.cumsum(np.exp(x[words + 1:]))])
+    score = np.bincount(row, weights=w[col], minlength=n)
+    edge = np.concatenate([[-np.inf], cuts, [np.inf]])
+    upper, lower = sigmoid(edge[grade + 1] - score), sigmoid(edge[grade] - score)
+    inside = np.maximum(upper - lower, 1e-12)
+    du, dl = upper * (1 - upper) / inside, lower * (1 - lower) / inside  # of -log P by score: du - dl
+    grad = np.empty_like(x)
+    grad[:words] = np.bincount(col, weights=(du - dl)[row], minlength=words) / n + shrink * w
+    by_cut = np.array([(dl[grade == k].sum() - du[grade == k - 1].sum()) / n for k in range(1, top + 1)])
+    tail = np.cumsum(by_cut[::-1])[::-1]
+    grad[words] = tail[0]
+    grad[words + 1:] = tail[1:] * np.exp(x[words + 1:])
+    return float(-np.log(inside).mean() + shrink / 2 * (w * w).sum()), grad
+
+
 def fit(columns: np.ndarray, starts: np.ndarray, grade: np.ndarray, steps: int = 400, rate: float = 0.1, shrink: float = 2e-5) -> OrdinalModel:
     """Maximum likelihood of the cumulative logit model with shared weights, by Adam steps over all rows.
 
@@ -115,25 +138,12 @@ def fit(columns: np.ndarray, starts: np.ndarray, grade: np.ndarray, steps: int =
     row = np.repeat(np.arange(n), np.diff(starts))
     keep = number[columns] >= 0
     row, col = row[keep], number[columns][keep]
-    # w, t_1 and the logarithms of the steps between thresholds
     x = np.zeros(len(used) + top)
     share = np.array([(grade >= k).mean() for k in range(1, top + 1)])
     x[len(used)] = -np.log(share[0] / (1 - share[0]))
     first, second = np.zeros_like(x), np.zeros_like(x)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
     for step in range(1, steps + 1):
-        w, cuts = x[:len(used)], x[len(used)] + np.concatenate([[0], np.cumsum(np.exp(x[len(used) + 1:]))])
-        score = np.bincount(row, weights=w[col], minlength=n)
-        edge = np.concatenate([[-np.inf], cuts, [np.inf]])
-        upper, lower = sigmoid(edge[grade + 1] - score), sigmoid(edge[grade] - score)
-        inside = np.maximum(upper - lower, 1e-12)
-        du, dl = upper * (1 - upper) / inside, lower * (1 - lower) / inside  # of -log P by score: du - dl
-        grad = np.empty_like(x)
-        grad[:len(used)] = np.bincount(col, weights=(du - dl)[row], minlength=len(used)) / n + shrink * w
-        by_cut = np.array([(dl[grade == k].sum() - du[grade == k - 1].sum()) / n for k in range(1, top + 1)])
-        tail = np.cumsum(by_cut[::-1])[::-1]
-        grad[len(used)] = tail[0]
-        grad[len(used) + 1:] = tail[1:] * np.exp(x[len(used) + 1:])
+        _, grad = loss_and_gradient(x, len(used), row, col, grade, shrink)
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad * grad
         x = x - rate * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.99 ** step)) + 1e-8)
