@@ -278,10 +278,6 @@ def _offer_sql(record, fields, checks, shown):
   c AS (SELECT *, {_issue_sql(checks)} AS issues, {_score_sql(checks)} AS confidence_score FROM r) SELECT {shown}, issues, confidence_score FROM c WHERE issues = '' OR confidence_score >= 0.7"""
 
 
-_MONEY_ISSUES = _MONEY
-_DATE_BAD = [("false", "''", 0.2)]
-
-
 @query("job_education_programs", _offer_sql(
     "programs", f"name AS program_name, {s_collapse('university')} AS university, {s_collapse('field_of_study')} AS field_of_study, {_word_sql('degree', rules.DOMAIN_VALUES['degree type'])} AS degree_type",
     _missing(rules.REQUIRED_FIELDS["programs"], 0.25) + _domain("degree_type", "degree type", 0.15), "offer_id, program_name, university, field_of_study, degree_type"))
@@ -299,7 +295,7 @@ def _(spark, sf):
 @query("job_education_funding", _offer_sql(
     "funding", f"""{s_collapse('program_name')} AS program_name, {s_collapse('funding_body')} AS funding_body, regexp_extract(name, '([$€£])', 1) AS currency, regexp_extract(name, '([0-9,]*[0-9])', 1) AS amount,
       replace({_word_sql('program_name', ('scholarship', 'fellowship', 'grant'))}, 'grant', 'research_grant') AS funding_type""",
-    _missing(rules.REQUIRED_FIELDS["funding"], 0.25) + _MONEY_ISSUES + _domain("funding_type", "funding type", 0.1), "offer_id, program_name, funding_body, currency, amount, funding_type"))
+    _missing(rules.REQUIRED_FIELDS["funding"], 0.25) + _MONEY + _domain("funding_type", "funding type", 0.1), "offer_id, program_name, funding_body, currency, amount, funding_type"))
 def _(spark, sf):
     return _offers(spark, sf, "funding", "program_name", "funding_body", "currency", "amount", "funding_type")
 
