@@ -83,6 +83,9 @@ def greedy_dedup(df: DataFrame, keys=("name", "url"), order: str = "pos", pass_r
 # collisions are visible in groups keyed by the common part: the name itself and the name
 # without one word.  A group is reduced to two numbers, the lowest rank of each kind, and no
 # pair is written.  Pairs with a longer name come from a prefix join on rare words.
+#
+# Joins are asked for by sorted shuffles: Spark guesses the size of names that are made from a small
+# file as the file's, and would send them whole through the driver.
 
 _SLACK = 1e-9
 
@@ -108,28 +111,50 @@ def _members(names: DataFrame, t: float) -> DataFrame:
                     F.array_join("_p.part", " ").alias("part")))
 
 
+_BUCKETS = 1 << 20  # hashed words; 16 of them share a number, with 4 bits each
+
+
+def _rarity(sets: DataFrame) -> DataFrame:
+    """One row: the size class (its logarithm) of each bucket of hashed words, in an array of a fixed size.
+
+    It sorts words nearly as their own counts would; any order that is the same for all sets is right.
+    """
+    buckets = sets.select(F.explode("_w").alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(_BUCKETS)).alias("b"))
+    level = F.least(F.length(F.bin(F.count(F.lit(1)))) - 1, F.lit(15)).cast("long")
+    levels = buckets.groupBy("b").agg(level.alias("c")).select(F.expr("b DIV 16").alias("k"), F.expr("shiftleft(c, CAST(b % 16 AS INT) * 4)").alias("v"))
+    every = sets.sparkSession.range(_BUCKETS // 16).select(F.col("id").alias("k"), F.lit(0).cast("long").alias("v"))
+    packed = levels.unionByName(every).groupBy("k").agg(F.bit_or("v").alias("v"))
+    return packed.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("_f"))
+
+
+_BY_RARITY = f"""array_sort(transform(_w, w -> struct(
+    shiftright(get(_f, CAST(pmod(xxhash64(w), {_BUCKETS}) DIV 16 AS INT)), CAST(pmod(xxhash64(w), 16) AS INT) * 4) & 15 AS f, xxhash64(w) AS h, w AS w)))"""
+
+
 def similar_pairs(names: DataFrame, t: float, long_only: bool = False) -> DataFrame:
     """Pairs (id, other) of distinct word sets with Jaccard >= t, in both directions.
 
-    Words are sorted by how rare they are; two sets that are this similar share a word among
-    their first n - ceil(t n) + 1.  Lengths and the true similarity are checked after the join.
+    Words are sorted inside each set by how rare they are; two sets that are this similar share a word
+    among their first n - ceil(t n) + 1, and only those travel, as hashes with their places.  Behind the
+    first word that both share at most the shorter rest can be common.  Lengths and this bound are
+    checked in the join, the true similarity on whole sets after it.
     """
     sets = names.filter(F.size("_w") > 0).select("id", F.col("_w"), F.size("_w").alias("n"))
-    frequency = sets.select(F.explode("_w").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("f"))
+    rarity = F.broadcast(_rarity(sets))
     if long_only:
         sets = sets.filter(F.col("n") >= F.ceil(F.lit(_short_limit(t)) * t - _SLACK))
-    by_rarity = (sets.select("id", "n", F.explode("_w").alias("w")).join(frequency, "w")
-                 .groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("_o")))
-    prefix = F.slice("_o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * t - _SLACK) + 1).cast("int"))
-    heads = by_rarity.select("id", "n", F.explode(prefix).alias("_x")).select("id", "n", F.col("_x.w").alias("w"))
-    a, b = heads.alias("a"), heads.alias("b")
-    fits = (F.col("a.w") == F.col("b.w")) & (F.col("a.id") < F.col("b.id")) & (
-        F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * t - _SLACK)
+    prefix = F.slice(F.expr(_BY_RARITY), F.lit(1), (F.col("n") - F.ceil(F.col("n") * t - _SLACK) + 1).cast("int"))
+    heads = sets.crossJoin(rarity).select("id", "n", F.posexplode(F.transform(prefix, lambda x: x["h"])).alias("p", "h"))
+    a, b = heads.alias("a"), heads.hint("merge").alias("b")
+    common = F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p"))
+    fits = (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")) & (
+        F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * t - _SLACK) & (
+        common >= (F.col("a.n") + F.col("b.n") - common) * t - _SLACK)
     if long_only:
         fits = fits & (F.greatest("a.n", "b.n") >= _short_limit(t))
     drafts = a.join(b, fits).select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()
-    left = sets.select("id", F.col("_w").alias("_wa"))
-    right = sets.select(F.col("id").alias("other"), F.col("_w").alias("_wb"))
+    left = sets.select("id", F.col("_w").alias("_wa")).hint("merge")
+    right = sets.select(F.col("id").alias("other"), F.col("_w").alias("_wb")).hint("merge")
     both = F.size(F.array_intersect("_wa", "_wb"))
     true = drafts.join(left, "id").join(right, "other").withColumn(
         "jaccard", both / (F.size("_wa") + F.size("_wb") - both)).filter(F.col("jaccard") >= t - _SLACK)
@@ -142,16 +167,16 @@ def _room(common: Column, out: int, t: float) -> Column:
 
 def _nearest(targets: DataFrame, sources: DataFrame, members: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
     """For each target the lowest rank of a source it collides with (itself included if it is one)."""
-    low = (members.join(sources.select("id"), "id", "left_semi").groupBy("part").agg(
+    low = (members.join(sources.select("id").hint("merge"), "id", "left_semi").groupBy("part").agg(
         F.min(F.when(F.col("out") == 0, F.col("rank"))).alias("_m0"),
         F.min(F.when(F.col("out") == 1, F.col("rank"))).alias("_m1")))
-    against = members.join(targets.select("id"), "id", "left_semi").join(low, "part")
+    against = members.join(targets.select("id").hint("merge"), "id", "left_semi").join(low.hint("merge"), "part")
     one, two = _room(F.col("common"), 1, t), _room(F.col("common"), 2, t)
     hit = F.when(F.col("out") == 0, F.when(one, F.col("_m1"))).otherwise(
         F.least(F.when(one, F.col("_m0")), F.when(two, F.col("_m1"))))
     near = against.select("id", hit.alias("_hit"))
-    far = (pairs.join(sources.select(F.col("id").alias("other"), F.col("rank").alias("_hit")), "other")
-           .join(targets.select("id"), "id", "left_semi").select("id", "_hit"))
+    far = (pairs.join(sources.select(F.col("id").alias("other"), F.col("rank").alias("_hit")).hint("merge"), "other")
+           .join(targets.select("id").hint("merge"), "id", "left_semi").select("id", "_hit"))
     return near.unionByName(far).filter("_hit is not null").groupBy("id").agg(F.min("_hit").alias("_hit"))
 
 
@@ -170,15 +195,15 @@ def dedup_similar(df: DataFrame, name: str, url: str, score: str, pos: str, t: f
     open_rows, kept = names.select("id", "rank"), None
     while not open_rows.isEmpty():
         near = _nearest(open_rows, open_rows, members, pairs, t)
-        state = cut_lineage(open_rows.join(near, "id", "left")
+        state = cut_lineage(open_rows.join(near.hint("merge"), "id", "left")
                             .select("id", "rank", F.coalesce(F.col("_hit") >= F.col("rank"), F.lit(True)).alias("_win")))
         won = state.filter("_win").select("id", "rank")
         kept = won.select("id") if kept is None else kept.unionByName(won.select("id"))
         rest = state.filter("not _win").select("id", "rank")
         gone = _nearest(rest, won, members, pairs, t)
-        open_rows = cut_lineage(rest.join(gone, "id", "left_anti"))
+        open_rows = cut_lineage(rest.join(gone.hint("merge"), "id", "left_anti"))
     ids = wordless if kept is None else wordless.unionByName(kept.select(F.col("id").alias(pos)))
-    return df.join(ids, pos, "left_semi")
+    return df.join(ids.hint("merge"), pos, "left_semi")
 
 
 # --------------------------------------------------------- name groups, survivors

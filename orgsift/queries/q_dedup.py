@@ -6,6 +6,7 @@ from .. import rules
 from ..operators import dedup as D
 from ..operators import quality as V
 from ..plans import jobs as J
+from ..session import cut_lineage
 from .derived import CATALOG_SQL, NAMES_SQL, catalog_pages, catalog_rows, institution_names
 from .registry import CORE_WORDS, query, s_cap_words, s_host, s_key, s_words, table
 
@@ -85,7 +86,7 @@ def _(spark, sf):
  t AS (SELECT id, len(w) AS n, unnest(w) AS tok FROM w), c AS (SELECT a.id, b.id AS other, a.n AS na, b.n AS nb, count(*) AS common FROM t a JOIN t b ON a.tok = b.tok AND a.id < b.id AND least(a.n, b.n) >= 0.85 * greatest(a.n, b.n) - 1e-9 GROUP BY 1, 2, 3, 4)
  SELECT id, other, round(common / (na + nb - common), 6) AS jaccard FROM c WHERE common / (na + nb - common) >= 0.85 - 1e-9""")
 def _(spark, sf):
-    sets = D._word_sets(table(spark, sf, "documents"), "text").groupBy("_w").agg(F.min("doc_id").alias("id"))
+    sets = cut_lineage(D._word_sets(table(spark, sf, "documents"), "text").groupBy("_w").agg(F.min("doc_id").alias("id")))
     return D.similar_pairs(sets, 0.85).withColumn("jaccard", F.round("jaccard", 6))
 
 
