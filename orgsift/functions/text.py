@@ -24,6 +24,22 @@ def once(df: DataFrame, **columns) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in kept], made).select(*[F.col(f"`{c}`") for c in kept], "_once.*")
 
 
+_BITS = 1 << 18  # one bit for each value of a hash, in 4096 numbers
+
+
+def hash_bits(df: DataFrame, value) -> Column:
+    """The bits of the hashes of a column as 4096 numbers, however long the table is."""
+    bit = df.select(F.pmod(F.hash(value), F.lit(_BITS)).alias("_b"))
+    parts = bit.groupBy(F.expr("_b DIV 64").alias("_k")).agg(F.expr("bit_or(shiftleft(1L, CAST(_b % 64 AS INT)))").alias("_v"))
+    return parts.agg(F.expr(f"transform(sequence(0, {_BITS // 64 - 1}), k -> coalesce(try_element_at(map_from_entries(collect_list(struct(CAST(_k AS INT) AS k, _v AS v))), k), 0L))").alias("_first")).scalar()
+
+
+def has_bit(bits, value) -> Column:
+    """Whether a value may be among those of hash_bits; false only if it is not."""
+    bit = F.pmod(F.hash(value), F.lit(_BITS))
+    return F.getbit(F.get(bits, F.shiftright(bit, 6)), bit % 64) == 1
+
+
 def collapse(c) -> Column:
     """Runs of white space become one space; ends are trimmed."""
     return F.trim(F.regexp_replace(as_col(c), r"(?U)\s+", " "))
@@ -199,10 +215,17 @@ def needed_literals(pattern: str) -> tuple:
         return ()
 
 
-def may_hit(text, low, pattern: str) -> Column:
-    """Whether the pattern, taken without regard to case, can hit a text whose lower case is `low`: a cheap test that never errs on the side of no."""
+def folded_away(text) -> Column:
+    """Whether a text has letters that match others than their own lower case."""
+    return any_word(text, _FOLDED_AWAY)
+
+
+def may_hit(text, low, pattern: str, odd: Column = None) -> Column:
+    """Whether the pattern, taken without regard to case, can hit a text whose lower case is `low`: a cheap test that never errs on the side of no.
+
+    `odd` is folded_away of the text, for callers that test many patterns.
+    """
     words_ = needed_literals(pattern)
     if not words_:
         return F.lit(True)
-    odd = [F.contains(as_col(text), F.lit(c)) for c in _FOLDED_AWAY]
-    return reduce(lambda a, b: a | b, [F.contains(as_col(low), F.lit(w)) for w in words_] + odd)
+    return reduce(lambda a, b: a | b, [F.contains(as_col(low), F.lit(w)) for w in words_] + [folded_away(text) if odd is None else odd])

@@ -5,8 +5,8 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import rules
-from ..functions.text import (any_pattern, any_word, before_first_separator, collapse, has,
-                              may_hit, once, salvage_block, stripped, words)
+from ..functions.text import (any_pattern, any_word, before_first_separator, collapse, folded_away,
+                              has, has_bit, hash_bits, may_hit, once, salvage_block, stripped, words)
 from ..functions.url import host, host_label_name, is_http, resolve
 from .classify import is_institution, is_institution_strict, is_valid_name
 from .html import flat_links, links_of_elements, page_elements, page_text, selector_name, text_of
@@ -283,31 +283,42 @@ _RUN_STARTS = "aggregate(_l, named_struct('a', array(0L), 't', 0L), (r, x) -> na
 _START = f"CASE WHEN no = 0 THEN CAST(length(get(_g, 0)) AS bigint) ELSE get(_l_starts, no DIV {_RUN}) + aggregate(slice(_l, (no DIV {_RUN}) * {_RUN} + 1, no % {_RUN}), 0L, (t, x) -> t + x) + length(get(_g, no)) END"
 
 
+_MARK = "\ufdd0"  # no character
+
+
+def _mark(text: str) -> Column:
+    """A mark that does not stand in the text."""
+    return F.when(F.contains(F.col(text), F.lit(_MARK)), F.concat(F.lit(_MARK), F.hex(F.xxhash64(text)))).otherwise(F.lit(_MARK))
+
+
 def _scan(docs: DataFrame, key: str, text: str, scans, pad: int = 0, offsets: bool = False) -> DataFrame:
     """Hits of scans (labels, pattern, group): key, labels, hit_no, hit, part and, with pad, before and after;
     with offsets, start_pos and end_pos counted from 0.
 
     Every text meets the fixed list of patterns inside its row, but only those patterns whose needed
-    literals stand in it; the others cannot hit.  Where a pattern hits, the text is
-    cut into the gaps between hits and the hits; what stands beside a hit is joined from its
+    literals stand in it; the others cannot hit.  One search sets marks around the hits, and the text is
+    cut there into the gaps between hits and the hits; what stands beside a hit is joined from its
     neighbouring pieces, so hits may be close and nothing is quadratic.
     """
     none = F.array().cast("array<string>")
-    tried = F.array(*[F.struct(F.lit(i).alias("_i"), F.when(may_hit("_text", "_low", p), F.regexp_extract_all("_text", F.lit(p), F.lit(0))).otherwise(none).alias("_h"))
-                      for i, (_, p, _) in enumerate(scans)])
-    known = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in labels.items()], F.lit(p).alias("_pat"), F.lit(g).alias("_grp")) for labels, p, g in scans])
-    df = once(docs.select(key, F.col(text).alias("_text")), _low=F.lower("_text"))
-    df = df.select(key, "_text", F.inline(F.filter(tried, lambda x: F.size(x["_h"]) > 0)))
-    df = once(df, _k=F.get(known, F.col("_i"))).select(key, "_text", "_h", "_k.*")
-    df = once(df, _g=F.expr("split(_text, _pat, -1)"),
-              _n=F.expr("CASE WHEN _grp > 0 THEN regexp_extract_all(_text, _pat, _grp) ELSE _h END")).drop("_text", "_pat", "_grp")
+
+    def tries(i, p, group):
+        hit = may_hit("_text", "_low", p, F.col("_odd"))
+        marked = F.split(F.regexp_replace("_text", F.lit(p), F.concat("_mark", F.lit("$0"), "_mark")), F.col("_mark"), -1)
+        part = F.when(hit, F.regexp_extract_all("_text", F.lit(p), F.lit(group))) if group else F.lit(None).cast("array<string>")
+        return F.struct(F.lit(i).alias("_i"), F.when(hit, marked).otherwise(none).alias("_p"), part.alias("_part"))
+    tried = F.array(*[tries(i, p, g) for i, (_, p, g) in enumerate(scans)])
+    known = F.array(*[F.struct(F.lit(i).alias("_i"), *[F.lit(v).alias(n) for n, v in labels.items()]) for i, (labels, _, _) in enumerate(scans)])
+    df = once(docs.select(key, F.col(text).alias("_text")), _low=F.lower("_text"), _odd=folded_away("_text"), _mark=_mark("_text"))
+    df = df.select(key, F.inline(F.filter(tried, lambda x: F.size(x["_p"]) > 1)))
+    df = once(df, _k=F.get(known, F.col("_i")), _h=F.filter("_p", lambda x, i: i % 2 == 1), _g=F.filter("_p", lambda x, i: i % 2 == 0))
+    df = df.select(key, "_p", "_h", "_g", F.coalesce("_part", "_h").alias("_n"), *[F.col(f"_k.{n}") for n in scans[0][0]])
     fields = ["no AS hit_no", "h AS hit", "get(_n, no) AS part"]
     if offsets:
         starts = _RUN_STARTS.replace("aggregate(_l,", f"aggregate({_RUN_SUMS},", 1)
         df = df.select("*", F.expr(f"inline(transform(array(CASE WHEN size(_h) > 1 THEN {_LENGTHS} END), _l -> struct(_l AS _l, CASE WHEN coalesce(size(_l), 0) < {_RUN} THEN array(0L) ELSE {starts} END AS _l_starts)))"))
         fields += [f"{_START} AS start_pos", f"{_START} + length(h) AS end_pos"]
     if pad:
-        df = once(df, _p=F.expr("concat(flatten(zip_with(slice(_g, 1, size(_h)), _h, (g, h) -> array(g, h))), slice(_g, size(_h) + 1, 1))"))
         fields += [f"CASE WHEN length(get(_g, no)) >= {pad} THEN right(get(_g, no), {pad}) ELSE {_beside('_p', '(no * 2 + 1)', pad, True)} END AS before",
                    f"CASE WHEN length(get(_g, no + 1)) >= {pad} THEN left(get(_g, no + 1), {pad}) ELSE {_beside('_p', '(no * 2 + 3)', pad, False)} END AS after"]
     labels = list(scans[0][0])
@@ -397,14 +408,9 @@ def pattern_names(docs: DataFrame, key: str, text: str, families=rules.NAME_PATT
             .select(key, "family", "name", "hit", "confidence", "method"))
 
 
-_BITS = 1 << 18  # one bit for each value of a hashed first word, in 4096 numbers
-
-
 def first_word_bits(gazetteer: DataFrame) -> Column:
-    """The bits of the first words of all phrases as 4096 numbers, however long the gazetteer is."""
-    bit = gazetteer.select(F.pmod(F.hash(F.get(F.split("phrase", " "), F.lit(0))), F.lit(_BITS)).alias("_b"))
-    parts = bit.groupBy(F.expr("_b DIV 64").alias("_k")).agg(F.expr("bit_or(shiftleft(1L, CAST(_b % 64 AS INT)))").alias("_v"))
-    return parts.agg(F.expr(f"transform(sequence(0, {_BITS // 64 - 1}), k -> coalesce(try_element_at(map_from_entries(collect_list(struct(CAST(_k AS INT) AS k, _v AS v))), k), 0L))").alias("_first")).scalar()
+    """The bits of the first words of all phrases, however long the gazetteer is."""
+    return hash_bits(gazetteer, F.get(F.split("phrase", " "), F.lit(0)))
 
 
 def gazetteer_entities(docs: DataFrame, key: str, text: str, gazetteer: DataFrame) -> DataFrame:
@@ -419,10 +425,7 @@ def gazetteer_entities(docs: DataFrame, key: str, text: str, gazetteer: DataFram
     df = once(docs.select(key, F.col(text).alias("_x")), _t=F.filter(F.split(F.lower("_x"), r"[^\p{L}\p{N}]+"), lambda w: w != "")).drop("_x")
     df = df.withColumns({"_lengths": lengths, "_bits": first_word_bits(gazetteer)})
 
-    def begins(i):
-        bit = F.pmod(F.hash(F.get("_t", i)), F.lit(_BITS))
-        return F.getbit(F.get("_bits", F.shiftright(bit, 6)), bit % 64) == 1
-    places = F.when(F.size("_t") > 0, F.filter(F.sequence(F.lit(0), F.size("_t") - 1), begins)).otherwise(F.array().cast("array<int>"))
+    places = F.when(F.size("_t") > 0, F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: has_bit("_bits", F.get("_t", i)))).otherwise(F.array().cast("array<int>"))
     df = df.select(key, "_t", "_lengths", places.alias("_at")).where(F.size("_at") > 0)
     grams = df.select(key, F.expr("""inline(flatten(transform(_lengths, n -> transform(filter(_at, i -> i + n <= size(_t)),
         i -> struct(i AS word_no, n AS n, CASE WHEN n = 1 THEN get(_t, i) ELSE array_join(slice(_t, i + 1, n), ' ') END AS phrase)))))"""))
@@ -454,13 +457,13 @@ def entity_guided_orgs(elements: DataFrame, entities: DataFrame) -> DataFrame:
     scholarship falls back to the page itself.
     """
     per_page = entities.groupBy("page_id").agg(F.collect_set(F.struct("kind", "entity")).alias("_ents"))
-    joined = elements.join(per_page, "page_id")
     page_words = F.lower(F.array_join(F.transform(F.filter("elements", lambda e: e["depth"] <= 2),
                                                   lambda e: F.coalesce(text_of(e), F.lit(""))), " "))
     links = F.transform(F.filter("elements", lambda e: _is_link(e) & (e["href"] != "") & ~F.startswith(e["href"], F.lit("javascript:"))),
                         lambda e: F.struct(e["href"].alias("href"), F.lower(text_of(e)).alias("text")))
-    shown = joined.withColumns({"_page": page_words, "_links": links}).drop("elements", "pieces")
-    rows = shown.withColumn("_x", F.explode("_ents"))
+    # what a page shows is much less than its elements, which stay where they were made
+    shown = once(elements, _page=page_words, _links=links).drop("elements", "pieces")
+    rows = shown.join(per_page.hint("merge"), "page_id").withColumn("_x", F.explode("_ents"))
     hit = F.get(F.filter("_links", lambda a: F.contains(a["text"], F.lower(F.trim("_x.entity")))), F.lit(0))["href"]
     rows = rows.withColumns({"kind": F.col("_x.kind"), "_name": F.trim("_x.entity"), "_href": hit})
     target = F.when(F.col("_href").isNotNull(), resolve("url", "_href"))

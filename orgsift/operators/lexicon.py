@@ -1,16 +1,18 @@
 """Rule lists as tables: keywords of any number, found as substrings of texts.
 
 A keyword is looked up by one of its pieces of up to four characters, the one that fewest keywords
-have (the anchor); texts are cut into their distinct pieces, and pieces meet anchors by equality.  Only
-keywords whose anchor stands in a text are compared with it, so no text meets the whole table, and the
-table may be as long as a caller likes: whether it is sent to all tasks is left to Spark's size rule.
+have (the anchor); texts are cut into their distinct pieces, and pieces meet anchors by equality.  Pieces
+whose hash no anchor has are left where they are cut.  Only keywords whose anchor stands in a text are
+compared with it, so no text meets the whole table, and the table may be as long as a caller likes: its
+rows are counted, and only a short table is sent to all tasks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import as_col, capitalised, words
+from ..functions.text import as_col, capitalised, has_bit, hash_bits, words
+from ..session import cut_lineage, sent_if_short
 from .score import _cap, _points
 
 PIECE = 4
@@ -25,21 +27,20 @@ def rule_table(spark, lists, weight: float = 1.0) -> DataFrame:
     return spark.createDataFrame(rows, "domain string, label string, keyword string, weight double, seq int")
 
 
-def _pieces(chars: Column, n) -> Column:
+def _pieces(text, n: int) -> Column:
     """All runs of n characters; none where the text is shorter."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(chars, i, n), ""))
-
-
-def _chars(text: Column) -> Column:
-    return F.filter(F.split(text, ""), lambda c: c != "")
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
 def anchored(lexicon: DataFrame) -> DataFrame:
     """(keyword, anchor) for the distinct lower-case keywords; empty ones are left out."""
     known = lexicon.select(F.lower("keyword").alias("keyword")).where("keyword <> ''").distinct()
-    pieces = known.select("keyword", F.explode(F.array_distinct(_pieces(_chars(F.col("keyword")), F.least(F.length("keyword"), F.lit(PIECE))))).alias("anchor"))
+    cut = _pieces("keyword", PIECE)
+    for n in range(PIECE - 1, 0, -1):
+        cut = F.when(F.length("keyword") == n, _pieces("keyword", n)).otherwise(cut)
+    pieces = known.select("keyword", F.explode(F.array_distinct(cut)).alias("anchor"))
     shared = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"))
-    return pieces.join(shared, "anchor").groupBy("keyword").agg(F.min_by("anchor", F.struct("_n", "anchor")).alias("anchor"))
+    return pieces.join(shared.hint("merge"), "anchor").groupBy("keyword").agg(F.min_by("anchor", F.struct("_n", "anchor")).alias("anchor"))
 
 
 def keyword_hits(docs: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
@@ -47,18 +48,21 @@ def keyword_hits(docs: DataFrame, key: str, text: str, lexicon: DataFrame) -> Da
 
     Keys name texts, so each key stands once.  Null and empty texts have no keywords; an empty table finds nothing.
     """
-    anchors = anchored(lexicon)
+    anchors = cut_lineage(anchored(lexicon))
     low = docs.where(F.col(text).isNotNull()).select(key, F.lower(text).alias("_low"))
-    sizes = range(1, PIECE + 1)
-    pieces = low.select(key, _chars(F.col("_low")).alias("_c")).select(
-        key, F.explode(F.array_distinct(F.concat(*[F.when(F.size("_c") >= n, _pieces(F.col("_c"), n)).otherwise(F.array().cast("array<string>")) for n in sizes]))).alias("anchor"))
-    likely = pieces.join(anchors, "anchor").groupBy(key).agg(F.collect_set("keyword").alias("_k"))
-    return low.join(likely, key).select(key, F.explode(F.filter("_k", lambda k: F.contains(F.col("_low"), k))).alias("keyword"))
+    sizes = anchors.agg(F.coalesce(F.collect_set(F.char_length("anchor")), F.array().cast("array<int>")).alias("_s")).scalar()
+    marked = low.withColumns({"_sizes": sizes, "_bits": hash_bits(anchors, "anchor")})
+    none = F.array().cast("array<string>")
+    cut = F.concat(*[F.filter(F.when(F.array_contains("_sizes", n), _pieces("_low", n)).otherwise(none), lambda p: has_bit("_bits", p)) for n in range(1, PIECE + 1)])
+    pieces = marked.select(key, F.explode(F.array_distinct(cut)).alias("anchor"))
+    likely = pieces.join(sent_if_short(anchors), "anchor").groupBy(key).agg(F.collect_set("keyword").alias("_k"))
+    return low.join(likely.hint("merge"), key).select(key, F.explode(F.filter("_k", lambda k: F.contains(F.col("_low"), k))).alias("keyword"))
 
 
 def lexicon_hits(docs: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """keyword_hits with the other columns of the table; a keyword of several rows gives each of them."""
-    return keyword_hits(docs, key, text, lexicon).join(lexicon.withColumn("keyword", F.lower("keyword")).distinct(), "keyword")
+    rows = sent_if_short(lexicon.withColumn("keyword", F.lower("keyword")).distinct())
+    return keyword_hits(docs, key, text, lexicon).join(rows, "keyword")
 
 
 def tag_by(docs: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:

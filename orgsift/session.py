@@ -5,6 +5,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 SCAN_PARTITIONS = "spark.orgsift.scan.partitions"
+TASKS_PER_CORE = 8
+SENT_ROWS = 100_000
 
 
 def local_session(name: str = "orgsift", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -49,6 +51,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sent_if_short(df: DataFrame) -> DataFrame:
+    """A table for a join, counted first: a short one is sent to all tasks, a longer one meets the other by a sorted shuffle."""
+    return df.hint("broadcast" if df.limit(SENT_ROWS + 1).count() <= SENT_ROWS else "merge")
+
+
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """Rows of a narrow table over all cores, before each becomes a page or a text that takes long.
+
+    Such a table is a small file that is read as a few splits, so the work on its rows would stay in a
+    few tasks.  With keys, rows that agree in them meet in one task and a grouping needs no more shuffle.
+    """
+    spark = df.sparkSession
+    partitions = spark.conf.get(SCAN_PARTITIONS, None) or TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    return df.repartition(int(partitions), *keys)
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """A scan over as many partitions as SCAN_PARTITIONS says; as it is read when that is not set."""
     partitions = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
