@@ -7,7 +7,7 @@ institution pages are built from `part` (20 parts a page), offers and search res
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import dealt
+from ..session import spread
 from .registry import s_cap_words, table
 
 PARTS_PER_PAGE = 20
@@ -44,9 +44,8 @@ def catalog_pages(spark, sf) -> DataFrame:
                        F.when(F.col("size") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit('"url":"https://p'), k, F.lit('.example.edu",'))),
                        F.lit('"description":"d'), k, F.lit('"}')),
     }
-    rows = catalog_rows(spark, sf).select("page_id", "k", *[c.alias(n) for n, c in piece.items()])
+    rows = spread(catalog_rows(spark, sf), "page_id").select("page_id", "k", *[c.alias(n) for n, c in piece.items()])
     packed = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("k", *piece))).alias("_r"))
-    packed = dealt(packed)
     part = lambda n, sep="": F.array_join(F.transform("_r", lambda r: r[n]), sep)
     no = F.col("page_id").cast("string")
     html = F.concat(
@@ -63,7 +62,7 @@ def odd_pages(spark, sf) -> DataFrame:
     html = F.concat(F.lit("<p><a href=/unq"), k, F.lit('>Unquoted</a> <a href="https://e'), k, F.lit('.example.edu/?a=1&amp;b=2">Universit&eacute; &#233; '), "name",
                     F.lit("</a><a HREF='https://n"), k, F.lit(".example.org/x'>\n Foo <b>Bar</b> <!-- no --></a><a name=here>Anchor</a><a href>Empty</a><a href=\"https://o"), k,
                     F.lit('.example.com/">open'))
-    return dealt(catalog_rows(spark, sf)).select(F.col("k").alias("page_id"), F.concat(F.lit("https://odd"), k, F.lit(".example.com/dir/page")).alias("url"), html.alias("html"))
+    return spread(catalog_rows(spark, sf)).select(F.col("k").alias("page_id"), F.concat(F.lit("https://odd"), k, F.lit(".example.com/dir/page")).alias("url"), html.alias("html"))
 
 
 _AT = "'https://odd' || k || '.example.com/"
@@ -92,7 +91,7 @@ def _pick(column, values):
 
 def offers(spark, sf) -> DataFrame:
     """One offer text per order, with an institution, an amount and a deadline."""
-    o = table(spark, sf, "orders")
+    o = spread(table(spark, sf, "orders"))
     word = F.lit("Plain")
     for digit, w in _WORD.items():
         word = F.when(F.left("o_orderpriority", F.lit(1)) == digit, F.lit(w)).otherwise(word)
@@ -168,7 +167,7 @@ def countries(spark, sf) -> DataFrame:
 
 def search_queries(spark, sf) -> DataFrame:
     """One search query per customer, about the country of its nation."""
-    c = table(spark, sf, "customer").join(countries(spark, sf), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = spread(table(spark, sf, "customer")).join(countries(spark, sf), F.col("c_nationkey") == F.col("n_nationkey"))
     n = len(_TEMPLATES)
     head = _pick(F.col("c_custkey") % n, [a for a, _ in _TEMPLATES])
     tail = _pick(F.col("c_custkey") % n, [b for _, b in _TEMPLATES])

@@ -10,6 +10,7 @@ from ..operators import quality as V
 from ..operators import score as S
 from ..operators.lexicon import label_by
 from ..plans import jobs as J
+from ..session import spread
 from .derived import CATALOG_SQL, NAMES_SQL, OFFERS_SQL, QUERIES_SQL, catalog_pages, catalog_rows, countries, institution_names, offers
 from .registry import lit, query, s_any, s_caps, s_count, s_ladder, s_pattern, s_words, table
 
@@ -57,7 +58,7 @@ _SENTENCES = ("{} University.", "The {} Medical College, Rome.", "Saint {} Unive
 @query("x14_default_patterns", _pattern_sql("texts", "k", rules.NAME_PATTERN_FAMILIES, rules.PATTERN_CONTEXT_WORDS,
                                             f"{CATALOG_SQL}, texts AS (SELECT k, replace(([{', '.join(map(lit, _SENTENCES))}])[k % {len(_SENTENCES)} + 1], '{{}}', name) AS text FROM parts),"))
 def _(spark, sf):
-    rows = catalog_rows(spark, sf)
+    rows = spread(catalog_rows(spark, sf))
     form = F.element_at(F.array(*map(F.lit, _SENTENCES)), (F.col("k") % len(_SENTENCES) + 1).cast("int"))
     texts = rows.select("k", F.replace(form, F.lit("{}"), F.col("name")).alias("text"))
     return X.pattern_names(texts, "k", "text", clean=False).select("k", "family", "name", "confidence")

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T, functions as F
 from ..session import dealt
 
 QUERIES, SQL = {}, {}
-TEXTS = ("documents", "pages", "conversations", "orders")  # tables whose rows are costly to scan
+TEXTS = ("documents", "pages", "conversations")  # tables whose rows are costly to scan
 
 
 def query(name: str, sql: str = None):
