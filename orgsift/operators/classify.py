@@ -192,7 +192,7 @@ def attach_verdicts(orgs: DataFrame, verdicts: DataFrame) -> DataFrame:
     v = verdicts.select(F.col("url").alias("homepage_url"), "is_organization", "validation_score",
                         "organization_type", "reason", F.col("title").alias("homepage_title"),
                         F.col("description").alias("homepage_description"))
-    joined = orgs.withColumn("homepage_url", homepage("url")).join(v, "homepage_url", "left")
+    joined = orgs.withColumn("homepage_url", homepage("url")).join(v.hint("merge"), "homepage_url", "left")
     return joined.withColumns({
         "is_organization": F.coalesce("is_organization", F.lit(False)),
         "validation_score": F.coalesce("validation_score", F.lit(0.0)),

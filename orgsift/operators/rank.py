@@ -84,9 +84,9 @@ def rank_components(results: DataFrame, contexts: DataFrame, as_of: str, entity_
 
     Every result meets only the context of its own query.
     """
-    df = results.join(contexts.drop("query"), "query_id")
+    df = results.join(contexts.drop("query").hint("merge"), "query_id")
     if entity_scores is not None:
-        df = df.join(entity_scores.select("query_id", "url", F.col("relevance").alias("ner_relevance")), ["query_id", "url"], "left")
+        df = df.join(entity_scores.select("query_id", "url", F.col("relevance").alias("ner_relevance")).hint("merge"), ["query_id", "url"], "left")
         df = df.withColumn("ner_relevance", F.coalesce("ner_relevance", F.lit(0.0)))
     raw = F.concat_ws(" ", "title", "abstract")
     df = once(df, _raw=raw, _text=F.lower(raw), _url=F.lower("url"))
@@ -112,7 +112,7 @@ def rank_components(results: DataFrame, contexts: DataFrame, as_of: str, entity_
 def attach_scores(results: DataFrame, scores: DataFrame) -> DataFrame:
     """Scores onto results; a result without one gets 0.3 with no confidence."""
     s = scores.select("query_id", "url", F.col("overall").alias("recognition_score"), F.col("confidence"), F.col("priority").alias("priority_score"))
-    return results.join(s, ["query_id", "url"], "left").withColumns({
+    return results.join(s.hint("merge"), ["query_id", "url"], "left").withColumns({
         "recognition_score": F.coalesce("recognition_score", F.lit(0.3)),
         "confidence": F.coalesce("confidence", F.lit(0.0)),
         "priority_score": F.coalesce("priority_score", F.lit(0.3))})
@@ -144,7 +144,9 @@ def priority_score(ranked: DataFrame, boosts=rules.PRIORITY_TYPE_BOOSTS, levels=
 # more starts with a four-letter piece of the containing text, so texts meet on (query, piece)
 # and not all against all; shorter texts meet on pieces of their own length.  Only queries
 # that have a text to contain send their texts into the join.  The distinct texts are written
-# once, so the scans that found them do not run again for every branch.
+# once, so the scans that found them do not run again for every branch.  Joins are asked for by
+# sorted shuffles: texts that are made from a small file look small to Spark as well, and would go
+# whole through the driver.
 
 _GRAM = 4
 
@@ -163,9 +165,9 @@ def contained_pairs(left: DataFrame, right: DataFrame, group: str, a: str, b: st
     def inside(small, s, big, t):
         parts = []
         for heads, sizes in ((small.filter(F.length(s) >= _GRAM), (_GRAM,)), (small.filter(F.length(s) < _GRAM), range(1, _GRAM))):
-            near = big.join(heads.select(group).distinct(), group, "left_semi")
+            near = big.join(heads.select(group).distinct().hint("merge"), group, "left_semi")
             pieces = near.withColumn("_g", F.explode(_pieces(F.col(t), sizes)))
-            met = heads.withColumn("_g", F.left(F.col(s), F.lit(_GRAM))).join(pieces, [group, "_g"])
+            met = heads.withColumn("_g", F.left(F.col(s), F.lit(_GRAM))).join(pieces.hint("merge"), [group, "_g"])
             parts.append(met.filter(F.contains(F.col(t), F.col(s))).select(group, a, b))
         return parts[0].unionByName(parts[1])
 
@@ -182,9 +184,9 @@ def entity_relevance(query_ents: DataFrame, result_ents: DataFrame, urls: DataFr
     r = cut_lineage(_texts(result_ents, kinds).groupBy("query_id", "url", "entity").agg(F.count(F.lit(1)).alias("n")))
     pairs = contained_pairs(q, r.select("query_id", "entity"), "query_id", "q_text", "entity")
     points = pairs.groupBy("query_id", "entity").agg(F.max(F.when(F.col("q_text") == F.col("entity"), 1.0).otherwise(0.5)).alias("_p"))
-    scored = r.join(points, ["query_id", "entity"], "left").groupBy("query_id", "url").agg(
+    scored = r.join(points.hint("merge"), ["query_id", "entity"], "left").groupBy("query_id", "url").agg(
         (F.sum(F.coalesce("_p", F.lit(0.0)) * F.col("n")) / F.sum("n")).alias("relevance"))
-    return (urls.select("query_id", "url").distinct().join(scored, ["query_id", "url"], "left")
+    return (urls.select("query_id", "url").distinct().join(scored.hint("merge"), ["query_id", "url"], "left")
             .withColumn("relevance", F.round(F.coalesce("relevance", F.lit(0.0)), 6)))
 
 
@@ -193,7 +195,7 @@ def entity_matches(query_ents: DataFrame, result_ents: DataFrame, kinds=rules.CO
     q = cut_lineage(_texts(query_ents, kinds).groupBy("query_id", F.col("entity").alias("q_text")).agg(F.max("kind").alias("q_kind")))
     r = cut_lineage(_texts(result_ents, kinds).groupBy("query_id", "url", F.col("entity").alias("r_text")).agg(F.count(F.lit(1)).alias("times")))
     pairs = contained_pairs(q, r, "query_id", "q_text", "r_text")
-    return pairs.join(q, ["query_id", "q_text"]).join(r, ["query_id", "r_text"])
+    return pairs.join(q.hint("merge"), ["query_id", "q_text"]).join(r.hint("merge"), ["query_id", "r_text"])
 
 
 # --------------------------------------------------------------------- cuts, top k

@@ -67,7 +67,7 @@ def score_candidates(cands: DataFrame, intents: DataFrame = None) -> DataFrame:
     clean = F.lower(F.trim("name"))
     fits = F.length(F.trim("name")).between(3, 150) & ~any_pattern(clean, rules.INTENT_EXCLUDES)
     if intents is not None:
-        df = S.dynamic_confidence(cands.join(intents.select("query_id", "domain_focus", "geographic_focus", "search_intent"), "query_id"),
+        df = S.dynamic_confidence(cands.join(intents.select("query_id", "domain_focus", "geographic_focus", "search_intent").hint("merge"), "query_id"),
                                   "name", "target", out="_base")
         df = df.withColumn("org_type", C.intent_type("name", "target", "domain_focus"))
     else:
@@ -110,7 +110,7 @@ def mine_pages(pages: DataFrame, intents: DataFrame = None):
 def homepage_verdicts(orgs: DataFrame, pages: DataFrame) -> DataFrame:
     """Each homepage that an organisation needs is judged once; other pages are not even parsed."""
     wanted = orgs.select(homepage("url").alias("url")).distinct()
-    needed = pages.join(wanted, "url", "left_semi")
+    needed = pages.join(wanted.hint("merge"), "url", "left_semi")
     texts = main_text(needed.withColumn("_head", F.col("html")))
     heads = page_meta(texts.withColumnRenamed("_head", "html")).select("page_id", "url", "title", "description", "main_text")
     return C.validate_homepages(heads)
@@ -142,7 +142,7 @@ def extract_for_intent(pages: DataFrame, intents: DataFrame, gazetteer: DataFram
         named = tagged.select("page_id", "phrase").distinct().join(pages.select("page_id", "url"), "page_id")
         rows = rows.unionByName(named.select("page_id", "url", F.initcap("phrase").alias("name"), F.col("url").alias("target"),
                                              F.lit("").alias("description"), F.lit("text_entities").alias("method")))
-    rows = rows.join(owner, "page_id").join(focus, "query_id")
+    rows = rows.join(owner.hint("merge"), "page_id").join(focus.hint("merge"), "query_id")
     scored = S.older_confidence(rows, "name", "target", "description", compat=False)
     gate = F.when(F.col("method") == "structured_data", 0.3).when(F.col("method") == "link_analysis", least).otherwise(0.5)
     kept = scored.filter((F.col("confidence") >= gate) & ((F.col("method") == "structured_data") | C.matches_include("name", "domain_focus")))
@@ -179,7 +179,7 @@ def rank_results(queries: DataFrame, results: DataFrame, as_of: str, patterns=ru
     scores = ranked.select("query_id", "url", "overall", "confidence", "priority")
     scored = R.attach_scores(results, scores).withColumns({"overall": F.col("recognition_score"), "priority": F.col("priority_score")})
     placed = R.top_results(scored, least).withColumnRenamed("place", "recognition_place")
-    known = placed.join(overlap, ["query_id", "url"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0.0)))
+    known = placed.join(overlap.hint("merge"), ["query_id", "url"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0.0)))
     return R.relevance_cut(known, cut, "relevance", "recognition_place").select(
         "query_id", "url", "overall", "confidence", "priority", "relevance", "place")
 
@@ -187,7 +187,7 @@ def rank_results(queries: DataFrame, results: DataFrame, as_of: str, patterns=ru
 def discover_institutions(results: DataFrame, pages: DataFrame, k: int = 20, country: str = None) -> dict:
     """Institution names on the best sources of each query, merged over sources, with counts per method."""
     sources = R.diverse_top_k(S.score_sources(results), k)
-    wanted = pages.join(sources.select("url").distinct(), "url", "left_semi")
+    wanted = pages.join(sources.select("url").distinct().hint("merge"), "url", "left_semi")
     elements = page_elements(wanted)
     common = ["page_id", "source_url", "pos", "name", "confidence", "quality", "method", "official_url"]
 
@@ -198,7 +198,7 @@ def discover_institutions(results: DataFrame, pages: DataFrame, k: int = 20, cou
 
     heads = X.heading_candidates(elements).filter(C.is_institution("name"))
     links = X.link_pattern_names(links_of_elements(elements))
-    texts = X.page_names(wanted).join(wanted.select("page_id", "url"), "page_id").select(
+    texts = X.page_names(wanted).join(wanted.select("page_id", "url").hint("merge"), "page_id").select(
         "page_id", F.col("url").alias("source_url"), F.lit(0).cast("long").alias("pos"), "name", "confidence",
         S.name_quality("name").alias("quality"), "method", F.lit(None).cast("string").alias("official_url"))
     names = (shape(X.selector_candidates(elements)).unionByName(shape(X.cell_names(elements)))
@@ -220,7 +220,7 @@ def education_records(pages: DataFrame, as_of: str, text: Column = None) -> Data
         named = X.typed_entities(hits.withColumn("name", X.name_from_context("context", "hit")).filter("name is not null"))
         named = named.withColumn("record_kind", F.lit("universities" if kind == "university" else "scholarships"))
         rows = named if rows is None else rows.unionByName(named)
-    rows = rows.join(docs.select("page_id", F.col("url").alias("official_url")), "page_id")
+    rows = rows.join(docs.select("page_id", F.col("url").alias("official_url")).hint("merge"), "page_id")
     link = F.when(F.col("record_kind") == "universities", F.col("official_url")).otherwise(F.col("provider"))
     rows = rows.withColumns({"_n": F.lower("name"), "_l": F.lower(link)})
     once = D.keep_first(rows, ["page_id", "record_kind", "_n", "_l"], ["hit_no"]).drop("_n", "_l")
@@ -270,8 +270,8 @@ def education_pipeline(pages: DataFrame, as_of: str, queries: DataFrame = None,
     out = {"quality": quality, "totals": V.roll_up_sources(entities, quality)}
     if queries is not None:
         asked = Q.student_intent(queries).select("query_id", "student_intent", "focus")
-        owner = pages.select("page_id", "query_id").join(asked, "query_id", "left")
-        records = records.join(owner, "page_id")
+        owner = pages.select("page_id", "query_id").join(asked.hint("merge"), "query_id", "left")
+        records = records.join(owner.hint("merge"), "page_id")
     return {"records": records, **out, **education_offers(docs, "page_id", "text", "url")}
 
 
