@@ -8,7 +8,7 @@ import re
 from collections import Counter
 from html import unescape as _unescape
 from html.parser import HTMLParser
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import pandas as pd
 import pyarrow as pa
@@ -21,6 +21,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 NO_TEXT = frozenset("html head body".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SLICE_ELEMENTS = 20000
+SLICE_PAGES = 256
 
 _PLACES = ("pos", "depth", "first", "n", "chars", "parent", "cell", "cell_no", "table", "li", "heading", "item", "item_name")
 _STRINGS = ("tag", "href", "inner", "next", "near", "item_url")
@@ -229,7 +230,8 @@ def _parse(selectors):
     def run(batches):
         for batch in batches:
             ids, urls, pieces, made, size = [], [], [], [], 0
-            for page_id, url, html in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+            parts = (batch.slice(at, SLICE_PAGES) for at in range(0, batch.num_rows, SLICE_PAGES))
+            for page_id, url, html in chain.from_iterable(zip(*[part.column(k).to_pylist() for k in range(3)]) for part in parts):
                 text, rows = read_elements(html, selectors)
                 ids.append(page_id)
                 urls.append(url)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import rules
 from ..functions.text import as_like, unit_hash
+from ..session import cut_lineage, sent_if_short
 from .ordering import global_places, keep_max, spread_row_number
 
 TOP_LEVEL = 5
@@ -283,7 +284,8 @@ def category_items(goals: DataFrame, vocab: DataFrame, n: int, order: str = "id"
     heads = vocab.withColumn("_r", F.row_number().over(in_category)).filter(F.col("_r") <= n).drop("_r")
     wanted = goals.select("goal_id", F.explode(F.array_distinct("focus_categories")).alias("category"))
     in_goal = W.partitionBy("goal_id").orderBy(order)
-    return (wanted.join(heads, "category").withColumn("place", F.row_number().over(in_goal))
+    # a category has many goals: a shuffle by it would leave its goals to one task
+    return (wanted.join(sent_if_short(cut_lineage(heads)), "category").withColumn("place", F.row_number().over(in_goal))
             .filter(F.col("place") <= n))
 
 
