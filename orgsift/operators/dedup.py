@@ -1,10 +1,12 @@
 """Duplicate removal: exact, two-key greedy, similar names, name groups and survivorship."""
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import rules
-from ..functions.text import key_core, key_plain, key_without_articles, words
+from ..functions.text import has_bit, hash_bits, key_core, key_plain, key_without_articles, words
 from ..functions.url import host
 from ..session import cut_lineage
 from .graph import components
@@ -131,13 +133,26 @@ _BY_RARITY = f"""array_sort(transform(_w, w -> struct(
     shiftright(get(_f, CAST(pmod(xxhash64(w), {_BUCKETS}) DIV 16 AS INT)), CAST(pmod(xxhash64(w), 16) AS INT) * 4) & 15 AS f, xxhash64(w) AS h, w AS w)))"""
 
 
+_MAP = 16  # numbers of 64 bits that stand for a set
+
+
+def _alike(drafts: DataFrame, sets: DataFrame, t: float) -> DataFrame:
+    """Drafts whose sets can be similar by their bit maps: every bit that only one map has is a word that only one set has."""
+    bit = sets.select("id", "n", F.explode("_w").alias("w")).select("id", "n", F.pmod(F.xxhash64("w"), F.lit(_MAP * 64)).alias("b"))
+    maps = bit.groupBy("id", "n").agg(*[F.coalesce(F.expr(f"bit_or(CASE WHEN b DIV 64 = {k} THEN shiftleft(1L, CAST(b % 64 AS INT)) END)"), F.lit(0).cast("long")).alias(f"m{k}") for k in range(_MAP)])
+    other = maps.select(F.col("id").alias("other"), F.col("n").alias("_n"), *[F.col(f"m{k}").alias(f"o{k}") for k in range(_MAP)])
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"m{k}").bitwiseXOR(F.col(f"o{k}"))) for k in range(_MAP)])
+    met = drafts.join(maps.hint("merge"), "id").join(other.hint("merge"), "other")
+    return met.filter(apart <= (F.col("n") + F.col("_n")) * ((1.0 - t) / (1.0 + t)) + _SLACK).select("id", "other")
+
+
 def similar_pairs(names: DataFrame, t: float, long_only: bool = False) -> DataFrame:
     """Pairs (id, other) of distinct word sets with Jaccard >= t, in both directions.
 
     Words are sorted inside each set by how rare they are; two sets that are this similar share a word
     among their first n - ceil(t n) + 1, and only those travel, as hashes with their places.  Behind the
     first word that both share at most the shorter rest can be common.  Lengths and this bound are
-    checked in the join, the true similarity on whole sets after it.
+    checked in the join, then bit maps of the sets, and the true similarity on the whole sets that are left.
     """
     sets = names.filter(F.size("_w") > 0).select("id", F.col("_w"), F.size("_w").alias("n"))
     rarity = F.broadcast(_rarity(sets))
@@ -153,6 +168,9 @@ def similar_pairs(names: DataFrame, t: float, long_only: bool = False) -> DataFr
     if long_only:
         fits = fits & (F.greatest("a.n", "b.n") >= _short_limit(t))
     drafts = a.join(b, fits).select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()
+    drafts = cut_lineage(_alike(drafts, sets, t))
+    ends = drafts.select(F.explode(F.array("id", "other")).alias("id"))
+    sets = sets.filter(has_bit(hash_bits(ends, "id"), F.col("id")))  # sets of no draft stay where they are
     left = sets.select("id", F.col("_w").alias("_wa")).hint("merge")
     right = sets.select(F.col("id").alias("other"), F.col("_w").alias("_wb")).hint("merge")
     both = F.size(F.array_intersect("_wa", "_wb"))
