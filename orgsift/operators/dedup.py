@@ -136,14 +136,30 @@ _BY_RARITY = f"""array_sort(transform(_w, w -> struct(
 _MAP = 16  # numbers of 64 bits that stand for a set
 
 
+def _some_bits(no: int) -> Column:
+    """64 bits for an eighth of all words, small enough to travel with every head."""
+    at = f"CAST(pmod(xxhash64(w), 512) AS INT) - {no * 64}"
+    return F.expr(f"aggregate(_w, 0L, (a, w) -> CASE WHEN {at} BETWEEN 0 AND 63 THEN a | shiftleft(1L, {at}) ELSE a END)").alias(f"s{no}")
+
+
+def _apart(*maps) -> Column:
+    """Bits that only one of two maps has."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in maps])
+
+
+def _may_differ(sizes: Column, t: float) -> Column:
+    """How many words may stand in one set only."""
+    return sizes * ((1.0 - t) / (1.0 + t)) + _SLACK
+
+
 def _alike(drafts: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     """Drafts whose sets can be similar by their bit maps: every bit that only one map has is a word that only one set has."""
     bit = sets.select("id", "n", F.explode("_w").alias("w")).select("id", "n", F.pmod(F.xxhash64("w"), F.lit(_MAP * 64)).alias("b"))
     maps = bit.groupBy("id", "n").agg(*[F.coalesce(F.expr(f"bit_or(CASE WHEN b DIV 64 = {k} THEN shiftleft(1L, CAST(b % 64 AS INT)) END)"), F.lit(0).cast("long")).alias(f"m{k}") for k in range(_MAP)])
     other = maps.select(F.col("id").alias("other"), F.col("n").alias("_n"), *[F.col(f"m{k}").alias(f"o{k}") for k in range(_MAP)])
-    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"m{k}").bitwiseXOR(F.col(f"o{k}"))) for k in range(_MAP)])
     met = drafts.join(maps.hint("merge"), "id").join(other.hint("merge"), "other")
-    return met.filter(apart <= (F.col("n") + F.col("_n")) * ((1.0 - t) / (1.0 + t)) + _SLACK).select("id", "other")
+    apart = _apart(*[(f"m{k}", f"o{k}") for k in range(_MAP)])
+    return met.filter(apart <= _may_differ(F.col("n") + F.col("_n"), t)).select("id", "other")
 
 
 def similar_pairs(names: DataFrame, t: float, long_only: bool = False) -> DataFrame:
@@ -159,12 +175,14 @@ def similar_pairs(names: DataFrame, t: float, long_only: bool = False) -> DataFr
     if long_only:
         sets = sets.filter(F.col("n") >= F.ceil(F.lit(_short_limit(t)) * t - _SLACK))
     prefix = F.slice(F.expr(_BY_RARITY), F.lit(1), (F.col("n") - F.ceil(F.col("n") * t - _SLACK) + 1).cast("int"))
-    heads = sets.crossJoin(rarity).select("id", "n", F.posexplode(F.transform(prefix, lambda x: x["h"])).alias("p", "h"))
+    mapped = sets.select("id", "n", "_w", _some_bits(0), _some_bits(1))
+    heads = mapped.crossJoin(rarity).select("id", "n", "s0", "s1", F.posexplode(F.transform(prefix, lambda x: x["h"])).alias("p", "h"))
     a, b = heads.alias("a"), heads.hint("merge").alias("b")
     common = F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p"))
     fits = (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")) & (
         F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * t - _SLACK) & (
-        common >= (F.col("a.n") + F.col("b.n") - common) * t - _SLACK)
+        common >= (F.col("a.n") + F.col("b.n") - common) * t - _SLACK) & (
+        _apart(("a.s0", "b.s0"), ("a.s1", "b.s1")) <= _may_differ(F.col("a.n") + F.col("b.n"), t))
     if long_only:
         fits = fits & (F.greatest("a.n", "b.n") >= _short_limit(t))
     drafts = a.join(b, fits).select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()
