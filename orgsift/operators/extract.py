@@ -280,7 +280,7 @@ _RUN = 64  # hits whose lengths are added up one by one
 _LENGTHS = "transform(_h, (h, i) -> CAST(length(get(_g, i)) + length(h) AS bigint))"
 _RUN_SUMS = f"transform(sequence(0, size(_l) DIV {_RUN}), b -> aggregate(slice(_l, b * {_RUN} + 1, {_RUN}), 0L, (t, x) -> t + x))"
 _RUN_STARTS = "aggregate(_l, named_struct('a', array(0L), 't', 0L), (r, x) -> named_struct('a', array_append(r.a, r.t + x), 't', r.t + x)).a"
-_START = f"CASE WHEN no = 0 THEN CAST(length(get(_g, 0)) AS bigint) ELSE get(_l_starts, no DIV {_RUN}) + aggregate(slice(_l, (no DIV {_RUN}) * {_RUN} + 1, no % {_RUN}), 0L, (t, x) -> t + x) + length(get(_g, no)) END"
+_START = f"CASE WHEN _no = 0 THEN CAST(length(get(_g, 0)) AS bigint) ELSE get(_l_starts, _no DIV {_RUN}) + aggregate(slice(_l, (_no DIV {_RUN}) * {_RUN} + 1, _no % {_RUN}), 0L, (t, x) -> t + x) + length(get(_g, _no)) END"
 
 
 _MARK = "\ufdd0"  # no character
@@ -313,16 +313,16 @@ def _scan(docs: DataFrame, key: str, text: str, scans, pad: int = 0, offsets: bo
     df = df.select(key, F.inline(F.filter(tried, lambda x: F.size(x["_p"]) > 1)))
     df = once(df, _k=F.get(known, F.col("_i")), _h=F.filter("_p", lambda x, i: i % 2 == 1), _g=F.filter("_p", lambda x, i: i % 2 == 0))
     df = df.select(key, "_p", "_h", "_g", F.coalesce("_part", "_h").alias("_n"), *[F.col(f"_k.{n}") for n in scans[0][0]])
-    fields = ["no AS hit_no", "h AS hit", "get(_n, no) AS part"]
+    fields = ["_no AS hit_no", "_hit AS hit", "get(_n, _no) AS part"]
     if offsets:
         starts = _RUN_STARTS.replace("aggregate(_l,", f"aggregate({_RUN_SUMS},", 1)
         df = df.select("*", F.expr(f"inline(transform(array(CASE WHEN size(_h) > 1 THEN {_LENGTHS} END), _l -> struct(_l AS _l, CASE WHEN coalesce(size(_l), 0) < {_RUN} THEN array(0L) ELSE {starts} END AS _l_starts)))"))
-        fields += [f"{_START} AS start_pos", f"{_START} + length(h) AS end_pos"]
+        fields += [f"{_START} AS start_pos", f"{_START} + length(_hit) AS end_pos"]
     if pad:
-        fields += [f"CASE WHEN length(get(_g, no)) >= {pad} THEN right(get(_g, no), {pad}) ELSE {_beside('_p', '(no * 2 + 1)', pad, True)} END AS before",
-                   f"CASE WHEN length(get(_g, no + 1)) >= {pad} THEN left(get(_g, no + 1), {pad}) ELSE {_beside('_p', '(no * 2 + 3)', pad, False)} END AS after"]
-    labels = list(scans[0][0])
-    return df.select(key, *labels, F.expr(f"inline(transform(_h, (h, no) -> struct({', '.join(fields)})))"))
+        fields += [f"CASE WHEN length(get(_g, _no)) >= {pad} THEN right(get(_g, _no), {pad}) ELSE {_beside('_p', '(_no * 2 + 1)', pad, True)} END AS before",
+                   f"CASE WHEN length(get(_g, _no + 1)) >= {pad} THEN left(get(_g, _no + 1), {pad}) ELSE {_beside('_p', '(_no * 2 + 3)', pad, False)} END AS after"]
+    # what is taken from the pieces is an expression of its own for each column, so columns that nobody reads are left out
+    return df.select("*", F.posexplode("_h").alias("_no", "_hit")).select(key, *scans[0][0], *map(F.expr, fields))
 
 
 def pattern_hits(docs: DataFrame, key: str, text: str, pattern: str, group: int = 0) -> DataFrame:

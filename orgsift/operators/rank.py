@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .. import rules
 from ..functions.text import any_word, as_col, count_words, key_core, once, words
 from ..functions.url import host
-from ..session import cut_lineage
+from ..session import written
 from .ordering import spread_row_number
 
 # ------------------------------------------------------------ component scores
@@ -143,12 +143,14 @@ def priority_score(ranked: DataFrame, boosts=rules.PRIORITY_TYPE_BOOSTS, levels=
 # Two entity texts match when one contains the other.  A contained text of four letters or
 # more starts with a four-letter piece of the containing text, so texts meet on (query, piece)
 # and not all against all; shorter texts meet on pieces of their own length.  Only queries
-# that have a text to contain send their texts into the join.  The distinct texts are written
-# once, so the scans that found them do not run again for every branch.  Joins are asked for by
-# sorted shuffles: texts that are made from a small file look small to Spark as well, and would go
-# whole through the driver.
+# that have a text to contain send their texts into the join.  Pieces are many times the texts, so
+# only queries with more than _FEW texts meet on them; the texts of another query go to its results
+# as one short array.  The distinct texts are written once, so the scans that found them do not run
+# again for every branch.  Joins are asked for by sorted shuffles: texts that are made from a small
+# file look small to Spark as well, and would go whole through the driver.
 
 _GRAM = 4
+_FEW = 64
 
 
 def _pieces(text: Column, sizes) -> Column:
@@ -159,8 +161,19 @@ def _pieces(text: Column, sizes) -> Column:
 
 
 def contained_pairs(left: DataFrame, right: DataFrame, group: str, a: str, b: str) -> DataFrame:
-    """Distinct (group, a, b) where one text contains the other; left has (group, a), right has (group, b)."""
+    """Distinct (group, a, b) where one text contains the other; left has (group, a), right has (group, b).
+
+    A group whose left side has at most _FEW texts meets them in place, others by their pieces.
+    """
     left, right = left.select(group, a).distinct(), right.select(group, b).distinct()
+    sizes = left.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    few = left.join(sizes.where(F.col("_n") <= _FEW).hint("merge"), group).groupBy(group).agg(F.collect_list(a).alias("_texts"))
+    met = F.filter("_texts", lambda t: F.contains(F.col(b), t) | F.contains(t, F.col(b)))
+    near = right.join(few.hint("merge"), group).select(group, F.explode(met).alias(a), b)
+    many = sizes.where(F.col("_n") > _FEW).select(group)
+    if many.isEmpty():
+        return near
+    left = left.join(many.hint("merge"), group, "left_semi")
 
     def inside(small, s, big, t):
         parts = []
@@ -171,7 +184,7 @@ def contained_pairs(left: DataFrame, right: DataFrame, group: str, a: str, b: st
             parts.append(met.filter(F.contains(F.col(t), F.col(s))).select(group, a, b))
         return parts[0].unionByName(parts[1])
 
-    return inside(left, a, right, b).unionByName(inside(right, b, left, a)).distinct()
+    return near.unionByName(inside(left, a, right, b).unionByName(inside(right, b, left, a)).distinct())
 
 
 def _texts(entities: DataFrame, kinds) -> DataFrame:
@@ -180,8 +193,8 @@ def _texts(entities: DataFrame, kinds) -> DataFrame:
 
 def entity_relevance(query_ents: DataFrame, result_ents: DataFrame, urls: DataFrame, kinds=rules.COMPARED_KINDS) -> DataFrame:
     """Per (query_id, url): mean over its entities of 1 for an equal and 0.5 for a partly equal query entity."""
-    q = cut_lineage(_texts(query_ents, kinds).select("query_id", F.col("entity").alias("q_text")).distinct())
-    r = cut_lineage(_texts(result_ents, kinds).groupBy("query_id", "url", "entity").agg(F.count(F.lit(1)).alias("n")))
+    q = written(_texts(query_ents, kinds).select("query_id", F.col("entity").alias("q_text")).distinct())
+    r = written(_texts(result_ents, kinds).groupBy("query_id", "url", "entity").agg(F.count(F.lit(1)).alias("n")))
     pairs = contained_pairs(q, r.select("query_id", "entity"), "query_id", "q_text", "entity")
     points = pairs.groupBy("query_id", "entity").agg(F.max(F.when(F.col("q_text") == F.col("entity"), 1.0).otherwise(0.5)).alias("_p"))
     scored = r.join(points.hint("merge"), ["query_id", "entity"], "left").groupBy("query_id", "url").agg(
@@ -192,8 +205,8 @@ def entity_relevance(query_ents: DataFrame, result_ents: DataFrame, urls: DataFr
 
 def entity_matches(query_ents: DataFrame, result_ents: DataFrame, kinds=rules.COMPARED_KINDS) -> DataFrame:
     """(query_id, query entity, its kind, url, result entity) for texts that contain one another."""
-    q = cut_lineage(_texts(query_ents, kinds).groupBy("query_id", F.col("entity").alias("q_text")).agg(F.max("kind").alias("q_kind")))
-    r = cut_lineage(_texts(result_ents, kinds).groupBy("query_id", "url", F.col("entity").alias("r_text")).agg(F.count(F.lit(1)).alias("times")))
+    q = written(_texts(query_ents, kinds).groupBy("query_id", F.col("entity").alias("q_text")).agg(F.max("kind").alias("q_kind")))
+    r = written(_texts(result_ents, kinds).groupBy("query_id", "url", F.col("entity").alias("r_text")).agg(F.count(F.lit(1)).alias("times")))
     pairs = contained_pairs(q, r, "query_id", "q_text", "r_text")
     return pairs.join(q.hint("merge"), ["query_id", "q_text"]).join(r.hint("merge"), ["query_id", "r_text"])
 

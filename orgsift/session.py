@@ -1,6 +1,7 @@
 """Session settings and checkpoints."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +52,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A table that several steps read, written as Parquet to the checkpoint folder: steps read only the columns they need."""
+    folder = f"{shared_folder(df.sparkSession)}/written/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def sent_if_short(df: DataFrame) -> DataFrame:
     """A table for a join, counted first: a short one is sent to all tasks, a longer one meets the other by a sorted shuffle."""
     return df.hint("broadcast" if df.limit(SENT_ROWS + 1).count() <= SENT_ROWS else "merge")
