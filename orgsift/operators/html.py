@@ -9,6 +9,7 @@ from collections import Counter
 from html import unescape as _unescape
 from html.parser import HTMLParser
 from itertools import accumulate, chain
+from operator import itemgetter
 
 import pandas as pd
 import pyarrow as pa
@@ -67,6 +68,7 @@ class _Reader(HTMLParser):
         self.around = {k: [-1] for k in _ENCLOSING}  # and what encloses them
         self.link = None
         self.selectors = [(selector_name(r), r[0].split(), r[1]) for r in selectors]
+        self.step_tags = frozenset(t for _, tags, _ in self.selectors for t in tags)
         self.root = dict(depth=0, parent=None, cell=None, table=None, li=None, heading=None, item=None, line=None, steps=(0,) * len(self.selectors), under=())
 
     def handle_starttag(self, tag, attrs):
@@ -92,7 +94,7 @@ class _Reader(HTMLParser):
                 self.link["n"] = len(self.pieces) - self.link["first"]
             self.link = row
         below = dict(near, parent=pos, depth=near["depth"] + 1)
-        if self.selectors:
+        if tag in self.step_tags:
             self._step(below, tag, attrs.get("class", ""))
         name = ("cell" if tag in ("td", "th") else "table" if tag == "table" else "li" if tag == "li"
                 else "heading" if tag in HEADINGS else "line" if tag == "tr" else None)
@@ -118,6 +120,10 @@ class _Reader(HTMLParser):
             steps.append(k)
         below["steps"], below["under"] = tuple(steps), under
 
+    def updatepos(self, i, j):
+        """Lines are not counted."""
+        return j
+
     def parse_comment(self, i, report=1):
         """A comment without an end goes to the end of the page."""
         end = super().parse_comment(i, report)
@@ -212,14 +218,23 @@ def read_elements(html: str, selectors=()) -> tuple[list, list]:
     return pieces, rows
 
 
+_NAMES = [f.name for f in _ELEMENT]
+_VALUES = itemgetter(*_NAMES)
+
+
 def _ends(lists) -> pa.Array:
     return pa.array([0, *accumulate(map(len, lists))], pa.int32())
 
 
 def _element_batch(ids, urls, pieces, made) -> pa.RecordBatch:
-    rows = [r for page in made for r in page]
-    columns = [pa.array([list(r[f.name].items()) for r in rows] if f.name == "attrs" else [r[f.name] for r in rows], f.type) for f in _ELEMENT]
-    flat = pa.StructArray.from_arrays(columns, fields=list(_ELEMENT))
+    rows = list(chain.from_iterable(made))
+    values = dict(zip(_NAMES, zip(*map(_VALUES, rows)))) if rows else dict.fromkeys(_NAMES, ())
+    columns = {n: pa.array(values[n], pa.int32()) for n in _PLACES} | {n: pa.array(values[n], pa.string()) for n in _STRINGS}
+    attrs, under = values["attrs"], values["under"]
+    columns["attrs"] = pa.MapArray.from_arrays(_ends(attrs), pa.array(chain.from_iterable(attrs), pa.string()),
+                                               pa.array(chain.from_iterable(map(dict.values, attrs)), pa.string()))
+    columns["under"] = pa.ListArray.from_arrays(_ends(under), pa.array(chain.from_iterable(under), pa.string()))
+    flat = pa.StructArray.from_arrays([columns[n] for n in _NAMES], fields=list(_ELEMENT))
     return pa.RecordBatch.from_arrays(
         [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(pieces, pa.list_(pa.string())), pa.ListArray.from_arrays(_ends(made), flat)],
         names=["page_id", "url", "pieces", "elements"])
