@@ -1,5 +1,6 @@
-"""Whole jobs composed of the operators.  Each takes and returns DataFrames and plans lazily, but for two
-steps that write what they need several times: the duplicate rounds and the distinct entity texts."""
+"""Whole jobs composed of the operators.  Each takes and returns DataFrames and plans lazily, but for steps
+that write what they need several times: the duplicate rounds, the distinct entity texts, the elements that
+several extractors read, and the texts and hits of the education records."""
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -17,7 +18,7 @@ from ..operators import records as O
 from ..operators import score as S
 from ..operators.html import flat_links, links_of_elements, main_text, page_elements, page_meta, page_text, text_of, title_of
 from ..operators.ordering import keep_best
-from ..session import cut_lineage
+from ..session import written
 from ..sources.tables import append_reclassified
 
 _CANDIDATE = "array<struct<method:string,pos:int,name:string,href:string,context:string,description:string>>"
@@ -188,7 +189,7 @@ def discover_institutions(results: DataFrame, pages: DataFrame, k: int = 20, cou
     """Institution names on the best sources of each query, merged over sources, with counts per method."""
     sources = R.diverse_top_k(S.score_sources(results), k)
     wanted = pages.join(sources.select("url").distinct().hint("merge"), "url", "left_semi")
-    elements = page_elements(wanted)
+    elements = written(page_elements(wanted))  # read by four extractors
     common = ["page_id", "source_url", "pos", "name", "confidence", "quality", "method", "official_url"]
 
     def shape(df, pos="pos"):
@@ -211,9 +212,14 @@ def discover_institutions(results: DataFrame, pages: DataFrame, k: int = 20, cou
     return {"sources": sources, "names": final, "counts": V.discovery_counts(final)}
 
 
+def _page_texts(pages: DataFrame, text: Column = None) -> DataFrame:
+    """page_id, url, text: the given text of a page, or its whole text without scripts and styles."""
+    return pages.select("page_id", "url", (page_text("html", ("script", "style")) if text is None else text).alias("text"))
+
+
 def education_records(pages: DataFrame, as_of: str, text: Column = None) -> DataFrame:
     """University and scholarship records around their trigger words, validated and accepted."""
-    docs = pages.select("page_id", "url", (page_text("html", ("script", "style")) if text is None else text).alias("text"))
+    docs = _page_texts(pages, text)
     rows = None
     for kind, (pad, patterns) in rules.EDUCATION_HITS.items():
         hits = X.match_contexts(docs, "page_id", "text", patterns, pad)
@@ -243,7 +249,7 @@ def education_offers(docs: DataFrame, keys, text: str, url: str, within: int = N
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     at = F.struct(*keys, url).alias("_at")
-    hits = cut_lineage(X.extract_entities(docs.select(at, text), "_at", text).select("_at.*", "kind", "entity", "start_pos", "end_pos", "pattern_no", "hit_no"))
+    hits = written(X.extract_entities(docs.select(at, text), "_at", text).select("_at.*", "kind", "entity", "start_pos", "end_pos", "pattern_no", "hit_no"))
     checks = {"programs": V.validate_programs, "events": V.validate_events, "funding": V.validate_funding}
     out = {}
     for record, check in checks.items():
@@ -263,8 +269,8 @@ def education_pipeline(pages: DataFrame, as_of: str, queries: DataFrame = None,
     With queries(query_id, query) and pages that carry a query_id, records also have the student
     intent and the focus of their query.  programs, events and funding are tables of their own.
     """
-    records = education_records(pages, as_of, text)
-    docs = pages.select("page_id", "url", (page_text("html", ("script", "style")) if text is None else text).alias("text"))
+    docs = written(_page_texts(pages, text))  # read by the records and by the offers
+    records = education_records(docs, as_of, F.col("text"))
     entities = records.select(F.col("record_kind").alias("kind"), "name", F.col("official_url").alias("link"))
     quality = education_quality(records)
     out = {"quality": quality, "totals": V.roll_up_sources(entities, quality)}

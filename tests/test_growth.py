@@ -109,3 +109,38 @@ def test_pages_are_read_in_slices(spark, monkeypatch):
     monkeypatch.setattr(H, "read_elements", lambda html, selectors=(): (sizes.append(1), real(html, selectors))[1])
     batch = pa.RecordBatch.from_pydict({"page_id": pa.array(range(10), pa.int64()), "url": ["u"] * 10, "html": ["<p>a</p>"] * 10})
     assert [i for b in H._parse(())([batch]) for i in b.column(0).to_pylist()] == list(range(10)) and len(sizes) == 10
+
+
+def test_queries_of_few_texts_make_no_pieces(spark):
+    left = spark.createDataFrame([(1, f"t{i}") for i in range(3)], "g int, a string")
+    right = spark.createDataFrame([(1, "at1b"), (1, "t"), (2, "t1")], "g int, b string")
+    got = R.contained_pairs(left, right, "g", "a", "b")
+    assert "_g#" not in plan(got)
+    assert sorted(map(tuple, got.collect())) == [(1, "t0", "t"), (1, "t1", "at1b"), (1, "t1", "t"), (1, "t2", "t")]
+
+
+def test_queries_of_many_texts_meet_by_pieces(spark):
+    left = [(1, f"text{i}x") for i in range(R._FEW + 1)] + [(2, "text5x"), (3, None)]
+    right = [(1, "a text5x b"), (1, "text"), (2, "text"), (2, "no"), (3, "text"), (1, None)]
+    got = R.contained_pairs(spark.createDataFrame(left, "g int, a string"), spark.createDataFrame(right, "g int, b string"), "g", "a", "b")
+    want = sorted((g, a, b) for g, a in left for h, b in right if g == h and a and b and (a in b or b in a))
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_contexts_of_hits_are_made_only_where_they_are_read(spark):
+    docs = spark.createDataFrame([(1, "The University of Oslo.")], "k int, t string")
+    assert "right(" not in plan(X.extract_entities(docs, "k", "t").select("k", "entity"))
+
+
+def test_a_batch_of_elements_is_made_by_columns():
+    pages = [H.read_elements(x, (("ul", "", ""),))[1] for x in ('<p a=1 b>x</p><img src="y">', "", None)]
+    batch = H._element_batch([1, 2, 3], ["u", None, "w"], [["x"], [], []], pages)
+    assert [len(x) for x in batch.column(3).to_pylist()] == [2, 0, 0]
+    assert batch.column(3).to_pylist()[0][0]["attrs"] == [("a", "1"), ("b", "")] and batch.schema.field(3).type.value_type.field("attrs").type == H._ELEMENT.field("attrs").type
+
+
+def test_pages_are_parsed_once_for_all_extractors(spark):
+    pages = spark.createDataFrame([(1, "https://a.example.com/", "<h2>Oslo University</h2>")], "page_id long, url string, html string")
+    results = pages.selectExpr("page_id AS query_id", "page_id AS pos", "url", "'Best universities' AS title", "'' AS abstract")
+    from orgsift.plans import jobs as J
+    assert "MapInArrow" not in plan(J.discover_institutions(results, pages)["names"])
