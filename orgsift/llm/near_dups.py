@@ -84,6 +84,11 @@ def band_keys(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix(word ^ mix(np.arange(1, BANDS + 1, dtype=_U))), (parts != EMPTY).any(axis=2)
 
 
+def _given_back() -> None:
+    """Memory that Arrow has freed goes back to the system: a Python worker stays beside the executor when its task has ended."""
+    pa.default_memory_pool().release_unused()
+
+
 def _sketch_batches(batches):
     for batch in batches:
         ids = batch.column(batch.schema.get_field_index("doc_id"))
@@ -100,6 +105,7 @@ def _sketch_batches(batches):
                                           pa.array(as_long(keys.ravel()), mask=~used.ravel())),
                  pa.array([r.tobytes() for r in sketch], pa.binary())],
                 names=["doc_id", "n_shingles", "d1", "d2", "bands", "sketch"])
+    _given_back()
 
 
 _SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary"
@@ -139,6 +145,7 @@ def _estimated(similarity):
             ok = may_link(_matrix(col["sa"].to_pylist()), _matrix(col["sb"].to_pylist()),
                           col["na"].to_numpy(), col["nb"].to_numpy(), similarity)
             yield pa.RecordBatch.from_arrays([col["a"], col["b"]], names=["a", "b"]).filter(pa.array(ok))
+        _given_back()
     return run
 
 
@@ -167,6 +174,7 @@ def _set_batches(batches):
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(i, j - i), pa.array([packed(s) for s in shingle_sets(data, offsets)], pa.binary())],
                 names=["id", "shingles"])
+    _given_back()
 
 
 def _linked(percent):
@@ -179,6 +187,7 @@ def _linked(percent):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both) > 0)
             yield pa.RecordBatch.from_arrays([col["a"], col["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        _given_back()
     return run
 
 
@@ -202,27 +211,34 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
 
 # ------------------------------------------------------------------ candidates
 
-def _common(one: list[np.ndarray], two: list[np.ndarray], width: int = 2048) -> np.ndarray:
+def _common(one: list[np.ndarray], two: list[np.ndarray], width: int = 1024) -> np.ndarray:
     """Sizes of the intersections of all sets of one list with all of another, by products of incidence matrices.
 
     Only shingles that both lists have take part, some columns at a time.
     """
-    def placed(sets):
-        flat = np.concatenate(sets)
-        return flat, np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    (x, xr), (y, yr) = placed(one), placed(two)
-    columns = np.intersect1d(x, y)
+    flat = [np.concatenate(sets) for sets in (one, two)]
+    columns = np.intersect1d(*flat)
     out = np.zeros((len(one), len(two)), np.float32)
+    if not len(columns):
+        return out
+
+    def placed(sets, all_of_them):
+        col = np.searchsorted(columns, all_of_them).astype(np.int32)
+        np.minimum(col, len(columns) - 1, out=col)
+        hit = np.flatnonzero(columns[col] == all_of_them)
+        hit = hit[np.argsort(col[hit], kind="stable")]
+        return col[hit], np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])[hit]
+
+    sides = [(len(sets), *placed(sets, all_of_them)) for sets, all_of_them in zip((one, two), flat)]
+    del flat
     for at in range(0, len(columns), width):
-        part, sides = columns[at:at + width], []
-        for flat, row, n in ((x, xr, len(one)), (y, yr, len(two))):
-            col = np.searchsorted(part, flat)
-            hit = col < len(part)
-            hit[hit] = part[col[hit]] == flat[hit]
-            m = np.zeros((n, len(part)), np.float32)
-            m[row[hit], col[hit]] = 1
-            sides.append(m)
-        out += sides[0] @ sides[1].T
+        product = []
+        for n, col, row in sides:
+            i, j = np.searchsorted(col, (at, at + width))
+            m = np.zeros((n, min(width, len(columns) - at)), np.float32)
+            m[row[i:j], col[i:j] - at] = 1
+            product.append(m)
+        out += product[0] @ product[1].T
     return out
 
 

@@ -143,3 +143,19 @@ def test_packed_hashes_keep_order_registers_and_sizes():
         back = D.unpacked(D.packed(s))
         assert len(back) == len(s) and (np.diff(back.astype(np.float64)) >= 0).all() and len(D.packed(s)) == 6 * len(s)
         assert (D.registers([back]) == D.registers([s])).all()
+
+
+def test_workers_give_arrow_memory_back(monkeypatch):
+    import pyarrow as pa
+    given = []
+    monkeypatch.setattr(near_dups, "_given_back", lambda: given.append(1), raising=False)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array(["a b c", None])], names=["doc_id", "text"])
+    assert sum(b.num_rows for b in near_dups._set_batches([batch])) == 2 and sum(b.num_rows for b in near_dups._sketch_batches([batch])) == 2
+    assert len(given) == 2
+
+
+def test_common_counts_equal_brute_force():
+    rng = np.random.default_rng(3)
+    one, two = ([np.unique(rng.integers(0, 3000, n).astype(np.uint64)) for n in sizes] for sizes in ((5, 0, 900, 40), (700, 1, 0)))
+    want = [[len(np.intersect1d(a, b)) for b in two] for a in one]
+    assert near_dups._common(one, two, 64).tolist() == want and near_dups._common(one[:1], [np.zeros(0, np.uint64)]).tolist() == [[0]]
