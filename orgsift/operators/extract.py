@@ -8,6 +8,7 @@ from .. import rules
 from ..functions.text import (any_pattern, any_word, before_first_separator, collapse, folded_away,
                               has, has_bit, hash_bits, may_hit, once, salvage_block, stripped, words)
 from ..functions.url import host, host_label_name, is_http, resolve
+from ..session import written
 from .classify import is_institution, is_institution_strict, is_valid_name
 from .html import flat_links, links_of_elements, page_elements, page_text, selector_name, text_of
 from .score import heading_quality, link_quality, list_quality, pattern_confidence, table_quality
@@ -31,6 +32,29 @@ def _is_link(e) -> Column:
     return (e["tag"] == "a") & e["href"].isNotNull()
 
 
+def picked_together(elements: DataFrame, picks: dict) -> dict:
+    """For each named pick (keep, fields) its rows as _pick gives them, with their places among them in `no`.
+
+    The elements are read once, and the rows of all picks are written as one flat table.  The elements
+    are not written: a reader of such a table holds the elements of thousands of pages at a time.
+    """
+    own = {name: list(fields(_el(0))) for name, (_, fields) in picks.items()}
+    every = dict.fromkeys(n for names in own.values() for n in names)
+
+    def shaped(name, keep, fields):
+        def row(e, i):
+            made = fields(e)
+            return F.struct(F.lit(name).alias("_pick"), i.alias("no"), *[made.get(n, F.lit(None)).alias(n) for n in every])
+        return F.transform(F.filter("elements", keep), row)
+
+    rows = elements.select("page_id", "url", F.explode(F.concat(*[shaped(n, *p) for n, p in picks.items()])).alias("_e"))
+    rows = written(rows.select("page_id", "url", "_e.*"))
+    return {name: rows.filter(F.col("_pick") == name).select("page_id", "url", "no", *names) for name, names in own.items()}
+
+
+LINKS = (_is_link, lambda e: {"href": F.trim(e["href"]), "text": text_of(e)})  # as links_of_elements gives them
+
+
 def _context(e, limit: int) -> Column:
     parent = _el(e["parent"])
 
@@ -101,17 +125,26 @@ def table_candidates(elements: DataFrame, first_cell: bool = True, description_c
         {"target": resolve("url", "href"), "method": F.lit("table_extraction")})
 
 
-def cell_names(elements: DataFrame) -> DataFrame:
-    """Cells that read like an institution, with their first link if any."""
-    table_words = ("university", "institution", "college")
-    rows = _pick(elements, lambda e: e["tag"].isin("td", "th") & e["table"].isNotNull(), lambda e: {
-        "pos": e["pos"], "name": text_of(e), "href": e["inner"],
-        "header_named": any_word(F.lower(text_of(_el(e["table"]))), table_words)})
-    return (rows.filter(is_institution("name"))
+def _cell_fields(e) -> dict:
+    return {"pos": e["pos"], "name": text_of(e), "href": e["inner"],
+            "header_named": any_word(F.lower(text_of(_el(e["table"]))), ("university", "institution", "college"))}
+
+
+CELLS = (lambda e: e["tag"].isin("td", "th") & e["table"].isNotNull(), _cell_fields)
+
+
+def cell_rows(cells: DataFrame) -> DataFrame:
+    """Picked cells that read like an institution."""
+    return (cells.filter(is_institution("name"))
             .withColumns({"target": resolve("url", "href"), "method": F.lit("table_extraction"),
                           "confidence": F.lit(0.8), "quality": table_quality("header_named")}))
 
 
+def cell_names(elements: DataFrame) -> DataFrame:
+    """Cells that read like an institution, with their first link if any."""
+    return cell_rows(_pick(elements, *CELLS))
+
+
 def list_candidates(elements: DataFrame, description_chars: int = None) -> DataFrame:
     """Links in list items, named by their text or else by the item's."""
     return _pick(elements, lambda e: _is_link(e) & e["li"].isNotNull(), lambda e: {
@@ -120,12 +153,8 @@ def list_candidates(elements: DataFrame, description_chars: int = None) -> DataF
         {"target": resolve("url", "href"), "method": F.lit("list_extraction")})
 
 
-def selector_candidates(elements: DataFrame, selectors=rules.LINK_SELECTORS) -> DataFrame:
-    """Links below the given enclosing tags, with a word in a class and a word in the href.
-
-    The reader notes on each element which selectors its enclosing tags fulfil, so the elements must
-    come from page_elements with these selectors.
-    """
+def selector_links(selectors=rules.LINK_SELECTORS) -> tuple:
+    """The pick of links below the given enclosing tags, with a word in a class and a word in the href."""
     def keep(e):
         ok = F.lit(False)
         for rule in selectors:
@@ -133,19 +162,37 @@ def selector_candidates(elements: DataFrame, selectors=rules.LINK_SELECTORS) ->
             ok = ok | (below & F.contains(e["href"], F.lit(rule[2])) if rule[2] else below)
         return _is_link(e) & ok & (e["chars"] > 0)
 
-    return (_pick(elements, keep, lambda e: {"pos": e["pos"], "name": text_of(e), "href": e["href"]})
-            .filter(is_institution("name"))
+    return keep, lambda e: {"pos": e["pos"], "name": text_of(e), "href": e["href"]}
+
+
+def selector_rows(links: DataFrame) -> DataFrame:
+    """Picked links that read like an institution."""
+    return (links.filter(is_institution("name"))
             .withColumns({"target": resolve("url", "href"), "method": F.lit("list_extraction"),
                           "confidence": F.lit(0.85), "quality": list_quality("name", "href")}))
 
 
+def selector_candidates(elements: DataFrame, selectors=rules.LINK_SELECTORS) -> DataFrame:
+    """Links below the given enclosing tags, with a word in a class and a word in the href.
+
+    The reader notes on each element which selectors its enclosing tags fulfil, so the elements must
+    come from page_elements with these selectors.
+    """
+    return selector_rows(_pick(elements, *selector_links(selectors)))
+
+
+HEADINGS = (lambda e: e["tag"].rlike("^h[1-6]$") & (e["chars"] > 0),
+            lambda e: {"pos": e["pos"], "name": text_of(e), "level": F.right(e["tag"], F.lit(1)).cast("int"), "href": F.coalesce(e["inner"], e["next"])})
+
+
+def heading_rows(headings: DataFrame) -> DataFrame:
+    return headings.withColumns({"target": resolve("url", "href"), "method": F.lit("heading_extraction"),
+                                 "confidence": F.lit(0.7), "quality": heading_quality("level")})
+
+
 def heading_candidates(elements: DataFrame) -> DataFrame:
     """Headings with the link inside, else the next link of the document."""
-    rows = _pick(elements, lambda e: e["tag"].rlike("^h[1-6]$") & (e["chars"] > 0), lambda e: {
-        "pos": e["pos"], "name": text_of(e), "level": F.right(e["tag"], F.lit(1)).cast("int"),
-        "href": F.coalesce(e["inner"], e["next"])})
-    return rows.withColumns({"target": resolve("url", "href"), "method": F.lit("heading_extraction"),
-                             "confidence": F.lit(0.7), "quality": heading_quality("level")})
+    return heading_rows(_pick(elements, *HEADINGS))
 
 
 def emphasis_candidates(elements: DataFrame) -> DataFrame:

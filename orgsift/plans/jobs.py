@@ -1,6 +1,6 @@
 """Whole jobs composed of the operators.  Each takes and returns DataFrames and plans lazily, but for steps
-that write what they need several times: the duplicate rounds, the distinct entity texts, the elements that
-several extractors read, and the texts and hits of the education records."""
+that write what they need several times: the duplicate rounds, the distinct entity texts, the candidates that
+several extractors pick from elements, and the texts and hits of the education records."""
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -16,7 +16,7 @@ from ..operators import quality as V
 from ..operators import rank as R
 from ..operators import records as O
 from ..operators import score as S
-from ..operators.html import flat_links, links_of_elements, main_text, page_elements, page_meta, page_text, text_of, title_of
+from ..operators.html import flat_links, main_text, page_elements, page_meta, page_text, text_of, title_of
 from ..operators.ordering import keep_best
 from ..session import written
 from ..sources.tables import append_reclassified
@@ -189,7 +189,7 @@ def discover_institutions(results: DataFrame, pages: DataFrame, k: int = 20, cou
     """Institution names on the best sources of each query, merged over sources, with counts per method."""
     sources = R.diverse_top_k(S.score_sources(results), k)
     wanted = pages.join(sources.select("url").distinct().hint("merge"), "url", "left_semi")
-    elements = written(page_elements(wanted))  # read by four extractors
+    picked = X.picked_together(page_elements(wanted), {"selector": X.selector_links(), "cell": X.CELLS, "heading": X.HEADINGS, "link": X.LINKS})
     common = ["page_id", "source_url", "pos", "name", "confidence", "quality", "method", "official_url"]
 
     def shape(df, pos="pos"):
@@ -197,12 +197,12 @@ def discover_institutions(results: DataFrame, pages: DataFrame, k: int = 20, cou
         return named.select("page_id", F.col("url").alias("source_url"), F.col(pos).cast("long").alias("pos"), "name", "confidence",
                             "quality", "method", F.col("target").alias("official_url"))
 
-    heads = X.heading_candidates(elements).filter(C.is_institution("name"))
-    links = X.link_pattern_names(links_of_elements(elements))
+    heads = X.heading_rows(picked["heading"].filter(C.is_institution("name")))
+    links = X.link_pattern_names(picked["link"])
     texts = X.page_names(wanted).join(wanted.select("page_id", "url").hint("merge"), "page_id").select(
         "page_id", F.col("url").alias("source_url"), F.lit(0).cast("long").alias("pos"), "name", "confidence",
         S.name_quality("name").alias("quality"), "method", F.lit(None).cast("string").alias("official_url"))
-    names = (shape(X.selector_candidates(elements)).unionByName(shape(X.cell_names(elements)))
+    names = (shape(X.selector_rows(picked["selector"])).unionByName(shape(X.cell_rows(picked["cell"])))
              .unionByName(shape(heads)).unionByName(shape(links, "no")).unionByName(texts)).select(*common)
     if country:
         names = C.filter_country(names, country)

@@ -144,3 +144,19 @@ def test_pages_are_parsed_once_for_all_extractors(spark):
     results = pages.selectExpr("page_id AS query_id", "page_id AS pos", "url", "'Best universities' AS title", "'' AS abstract")
     from orgsift.plans import jobs as J
     assert "MapInArrow" not in plan(J.discover_institutions(results, pages)["names"])
+
+
+def test_no_table_of_elements_is_read(spark):
+    html = """<table><tr><th>University</th></tr><tr><td><a href='/t'>Turku University</a></td><td>x</td></tr></table>
+        <ul class='universities'><li><a href='/university/o'> Oslo University</a></li></ul><h2>Bergen College</h2><a href='/b?'>more</a>"""
+    pages = spark.createDataFrame([(1, "https://a.example.com/", html), (2, "https://b.example.com/", None)], "page_id long, url string, html string")
+    results = pages.selectExpr("page_id AS query_id", "page_id AS pos", "url", "'Best universities' AS title", "'' AS abstract")
+    from orgsift.plans import jobs as J
+    assert "elements" not in plan(J.discover_institutions(results, pages)["names"])
+    elements = H.page_elements(pages)
+    picked = X.picked_together(elements, {"selector": X.selector_links(), "cell": X.CELLS, "heading": X.HEADINGS, "link": X.LINKS})
+    same = {"selector": (X.selector_rows(picked["selector"]), X.selector_candidates(elements)), "cell": (X.cell_rows(picked["cell"]), X.cell_names(elements)),
+            "heading": (X.heading_rows(picked["heading"]), X.heading_candidates(elements)), "link": (picked["link"], H.links_of_elements(elements))}
+    for name, (got, want) in same.items():
+        rows = sorted(map(str, want.collect()))
+        assert sorted(map(str, got.select(*want.columns).collect())) == rows and rows, name
