@@ -5,6 +5,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import rules
+from ..functions.scan import is_plain, plain_hits, written_out
 from ..functions.text import (any_pattern, any_word, before_first_separator, collapse, folded_away,
                               has, has_bit, hash_bits, may_hit, once, salvage_block, stripped, words)
 from ..functions.url import host, host_label_name, is_http, resolve
@@ -342,6 +343,26 @@ def _scan(docs: DataFrame, key: str, text: str, scans, pad: int = 0, offsets: bo
     """Hits of scans (labels, pattern, group): key, labels, hit_no, hit, part and, with pad, before and after;
     with offsets, start_pos and end_pos counted from 0.
 
+    Plain texts meet the patterns that can be written out for it by columns (functions/scan.py); all
+    others, and other patterns, are searched row by row.
+    """
+    fast = [(i, written_out(p), g > 0) for i, (_, p, g) in enumerate(scans) if g < 2 and written_out(p) is not None]
+    if not fast:
+        return _scan_rows(docs, key, text, scans, pad, offsets)
+    plain, other = docs.filter(is_plain(text)), docs.filter(~is_plain(text))
+    known = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in scans[i][0].items()]) for i, _, _ in fast])
+    labels = [F.get(known, F.col("_i"))[n].alias(n) for n in scans[0][0]]
+    shown = ["hit_no", "hit", F.coalesce("part", "hit").alias("part"), *["start_pos", "end_pos"] * offsets, *["before", "after"] * bool(pad)]
+    found = plain_hits(plain, key, text, [x[1:] for x in fast], pad).select(key, *labels, *shown)
+    rest = [s for i, s in enumerate(scans) if i not in {x[0] for x in fast}]
+    if rest:
+        found = found.unionByName(_scan_rows(plain, key, text, rest, pad, offsets))
+    return found.unionByName(_scan_rows(other, key, text, scans, pad, offsets))
+
+
+def _scan_rows(docs: DataFrame, key: str, text: str, scans, pad: int, offsets: bool) -> DataFrame:
+    """The hits of _scan, row by row.
+
     Every text meets the fixed list of patterns inside its row, but only those patterns whose needed
     literals stand in it; the others cannot hit.  One search sets marks around the hits, and the text is
     cut there into the gaps between hits and the hits; what stands beside a hit is joined from its
@@ -384,26 +405,28 @@ def match_contexts(docs: DataFrame, key: str, text: str, patterns, pad: int, fla
     return rows.select(key, "hit_no", "before", "hit", "after", F.concat("before", "hit", "after").alias("context"))
 
 
-def name_from_context(context: str, hit: str) -> Column:
+def _bare(named: Column) -> Column:
+    """Words joined to a name, without marks."""
+    return F.trim(F.regexp_replace(F.array_join(named, " "), r"(?U)[^\w\s\-&]", ""))
+
+
+def _is_name(name: str) -> Column:
+    return (F.length(name) > 5) & F.exists(words(name), lambda w: w.rlike(r"^\p{Lu}"))
+
+
+def name_from_context(contexts: DataFrame, context: str = "context", hit: str = "hit", name: str = "name") -> DataFrame:
     """Three words before and four from the first place of the hit, without marks; null if it is no name."""
-    at = F.instr(F.col(context), F.col(hit)) if isinstance(hit, str) else F.lit(1)
+    contexts = once(contexts, **{context: F.col(context)})  # joined from its parts once, not for each look at it
+    at = F.instr(F.col(context), F.col(hit))
     before = words(F.left(F.col(context), at - 1))
     after = words(F.substring(F.col(context), at, F.length(context)))
     last3 = F.slice(before, F.greatest(F.size(before) - 2, F.lit(1)), F.lit(3))
-    joined = F.array_join(F.concat(last3, F.slice(after, 1, 4)), " ")
-    name = F.trim(F.regexp_replace(joined, r"(?U)[^\w\s\-&]", ""))
-    return F.when((F.length(name) > 5) & F.exists(words(name), lambda w: w.rlike(r"^\p{Lu}")), name)
-
-
-def leading_name(context: str) -> Column:
-    """The first four words of a context as a name."""
-    name = F.trim(F.regexp_replace(F.array_join(F.slice(words(context), 1, 4), " "), r"(?U)[^\w\s\-&]", ""))
-    return F.when((F.length(name) > 5) & F.exists(words(name), lambda w: w.rlike(r"^\p{Lu}")), name)
+    return once(contexts, _name=_bare(F.concat(last3, F.slice(after, 1, 4)))).withColumn(name, F.when(_is_name("_name"), F.col("_name"))).drop("_name")
 
 
 def typed_entities(contexts: DataFrame, countries=rules.CONTEXT_COUNTRIES, name: str = "name", description_chars: int = None) -> DataFrame:
     """Country, city, amount, deadline, kind, provider and description (whole, unless cut on demand) of a context."""
-    low = F.lower("context")
+    low = F.col("_low")
     country = F.lit("")
     for c in reversed(list(countries)):
         country = F.when(has(low, c.lower()), F.lit(c)).otherwise(country)
@@ -412,6 +435,7 @@ def typed_entities(contexts: DataFrame, countries=rules.CONTEXT_COUNTRIES, name:
     kind = F.when(has(low, "private"), F.lit("private")).otherwise(kind)
     kind = F.when(any_word(F.lower(name), ("technical", "institute of technology", "polytechnic")), F.lit("technical")).otherwise(kind)
     flat = collapse("context")
+    contexts = once(contexts, _low=F.lower("context"), _lead=_bare(F.slice(words("context"), 1, 4)))  # the first four words as a name
     return contexts.withColumns({
         "country": country,
         "city": F.regexp_extract("context", rules.CITY_PATTERN, 1),
@@ -419,10 +443,10 @@ def typed_entities(contexts: DataFrame, countries=rules.CONTEXT_COUNTRIES, name:
         "amount": F.regexp_extract("context", rules.AMOUNT_PATTERN, 2),
         "deadline": F.regexp_extract("context", rules.DEADLINE_PATTERN, 1),
         "kind": kind,
-        "provider": F.coalesce(leading_name("context"), F.lit("")),
+        "provider": F.coalesce(F.when(_is_name("_lead"), F.col("_lead")), F.lit("")),
         "description": flat if not description_chars else F.when(
             F.length(flat) > description_chars, F.concat(F.left(flat, F.lit(description_chars)), F.lit("..."))).otherwise(flat),
-    })
+    }).drop("_low", "_lead")
 
 
 def extract_entities(docs: DataFrame, key: str, text: str, patterns=rules.ENTITY_PATTERNS, pad: int = 50) -> DataFrame:
@@ -439,7 +463,7 @@ def extract_entities(docs: DataFrame, key: str, text: str, patterns=rules.ENTITY
             scans.append((labels, "(?iu)" + (p if group else plain), group))
     rows = _scan(docs, key, text, scans, pad, offsets=True)
     return rows.select(key, "kind", "pattern_no", "hit_no", F.col("part").alias("entity"), "confidence", "start_pos", "end_pos",
-                       F.concat("before", "hit", "after").alias("context"))
+                       (F.concat("before", "hit", "after") if pad else F.col("hit")).alias("context"))
 
 
 def pattern_names(docs: DataFrame, key: str, text: str, families=rules.NAME_PATTERN_FAMILIES, pad: int = 100,

@@ -173,8 +173,8 @@ def rank_results(queries: DataFrame, results: DataFrame, as_of: str, patterns=ru
     texts = results.select("query_id", "url", F.concat_ws(". ", "title", "abstract").alias("text"))
     keyed = texts.withColumn("_key", F.struct("query_id", "url"))
     compared = [p for p in patterns if p[0] in rules.COMPARED_KINDS]  # other kinds are never looked up
-    found = X.extract_entities(keyed, "_key", "text", compared).select("_key.query_id", "_key.url", "kind", "entity")
-    asked = X.extract_entities(queries, "query_id", "query", compared).select("query_id", "kind", "entity")
+    found = X.extract_entities(keyed, "_key", "text", compared, pad=0).select("_key.query_id", "_key.url", "kind", "entity")
+    asked = X.extract_entities(queries, "query_id", "query", compared, pad=0).select("query_id", "kind", "entity")
     overlap = R.entity_relevance(asked, found, results)
     ranked = R.priority_score(R.rank_components(results, contexts, as_of, overlap))
     scores = ranked.select("query_id", "url", "overall", "confidence", "priority")
@@ -223,7 +223,7 @@ def education_records(pages: DataFrame, as_of: str, text: Column = None) -> Data
     rows = None
     for kind, (pad, patterns) in rules.EDUCATION_HITS.items():
         hits = X.match_contexts(docs, "page_id", "text", patterns, pad)
-        named = X.typed_entities(hits.withColumn("name", X.name_from_context("context", "hit")).filter("name is not null"))
+        named = X.typed_entities(X.name_from_context(hits).filter("name is not null"))
         named = named.withColumn("record_kind", F.lit("universities" if kind == "university" else "scholarships"))
         rows = named if rows is None else rows.unionByName(named)
     rows = rows.join(docs.select("page_id", F.col("url").alias("official_url")).hint("merge"), "page_id")
@@ -249,7 +249,7 @@ def education_offers(docs: DataFrame, keys, text: str, url: str, within: int = N
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     at = F.struct(*keys, url).alias("_at")
-    hits = written(X.extract_entities(docs.select(at, text), "_at", text).select("_at.*", "kind", "entity", "start_pos", "end_pos", "pattern_no", "hit_no"))
+    hits = written(X.extract_entities(docs.select(at, text), "_at", text, pad=0).select("_at.*", "kind", "entity", "start_pos", "end_pos", "pattern_no", "hit_no"))
     checks = {"programs": V.validate_programs, "events": V.validate_events, "funding": V.validate_funding}
     out = {}
     for record, check in checks.items():

@@ -105,7 +105,7 @@ _NAMED_SQL = f"""named AS (SELECT offer_id, hit_no, hit, context, CASE WHEN leng
 @query("x16_context_names", f"WITH {OFFERS_SQL}, {_NAMED_SQL} SELECT offer_id, hit_no::BIGINT AS hit_no, name FROM named WHERE name IS NOT NULL")
 def _(spark, sf):
     hits = X.match_contexts(offers(spark, sf), "offer_id", "text", (r"merit scholarship", r"\bcollege\b", "institute"), 100)
-    return hits.withColumn("name", X.name_from_context("context", "hit")).filter("name is not null").select("offer_id", "hit_no", "name")
+    return X.name_from_context(hits).filter("name is not null").select("offer_id", "hit_no", "name")
 
 
 _COUNTRY_SQL = "CASE " + " ".join(f"WHEN contains(lower(context), {lit(c.lower())}) THEN {lit(c)}" for c in rules.CONTEXT_COUNTRIES) + " ELSE '' END"
@@ -122,7 +122,7 @@ _TYPED = f"""SELECT offer_id, hit_no::BIGINT AS hit_no, {_COUNTRY_SQL} AS countr
 @query("x17_typed_entities", f"WITH {OFFERS_SQL}, {_NAMED_SQL} {_TYPED}")
 def _(spark, sf):
     hits = X.match_contexts(offers(spark, sf), "offer_id", "text", (r"merit scholarship", r"\bcollege\b", "institute"), 100)
-    named = hits.withColumn("name", X.name_from_context("context", "hit")).filter("name is not null")
+    named = X.name_from_context(hits).filter("name is not null")
     return X.typed_entities(named).select("offer_id", "hit_no", "country", "city", "currency", "amount", "deadline", "kind", "provider")
 
 
