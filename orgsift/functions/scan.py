@@ -129,17 +129,30 @@ def _cut(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(begin), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[at]))
 
 
-def _hits_of(keys: pa.Array, texts: pa.Array, patterns, pad: int):
-    """Batches of the hits of all patterns in a slice of texts."""
-    texts = pa.concat_arrays([texts])  # a slice still has the buffers of all texts
+def _found_in(texts: pa.Array, patterns):
+    """(pattern, text, hit number, start, end) of the hits of all patterns as arrays, and their parts; None without a hit."""
     made = [(i, *found) for i, (p, grouped) in enumerate(patterns) if (found := _pieces(texts, p, grouped)) is not None]
     if not made:
-        return
+        return None
     scan = np.repeat(np.array([m[0] for m in made], np.int32), [len(m[1]) for m in made])
-    row, no, start, end = [np.concatenate([m[k] for m in made]) for k in range(1, 5)]
     parts = pa.concat_arrays([pa.nulls(len(m[1]), pa.string()) if m[5] is None else m[5] for m in made])
+    return scan, *[np.concatenate([m[k] for m in made]) for k in range(1, 5)], parts
+
+
+def _bytes_of(texts: pa.Array):
+    """Where each text begins and the last one ends in the bytes of all, and these bytes."""
     places = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
-    data = np.frombuffer(texts.buffers()[2], np.uint8)
+    return places, np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+
+
+def _hits_of(keys: pa.Array, texts: pa.Array, patterns, pad: int):
+    """Columns of the hits of all patterns in a slice of texts, some rows at a time."""
+    texts = pa.concat_arrays([texts])  # a slice still has the buffers of all texts
+    found = _found_in(texts, patterns)
+    if found is None:
+        return
+    scan, row, no, start, end, parts = found
+    places, data = _bytes_of(texts)
     first, last = places[row], places[row + 1]
     for at in range(0, len(row), SLICE_HITS):
         k = slice(at, at + SLICE_HITS)
@@ -150,7 +163,25 @@ def _hits_of(keys: pa.Array, texts: pa.Array, patterns, pad: int):
         yield columns
 
 
-def _search(patterns, pad: int, names):
+def _lists_of(keys: pa.Array, texts: pa.Array, patterns):
+    """Columns of a slice of texts: for each text the list of its hits by pattern and place."""
+    texts = pa.concat_arrays([texts])
+    found = _found_in(texts, patterns)
+    kind = pa.struct([("_i", pa.int32()), ("part", pa.string())])
+    if found is None:
+        yield [keys, pa.array([[]] * len(texts), pa.list_(kind))]
+        return
+    scan, row, _, start, end, parts = found
+    order = np.argsort(row, kind="stable")
+    places, data = _bytes_of(texts)
+    begin = places[row]
+    part = pc.coalesce(parts, _cut(data, begin + start, begin + end)).take(pa.array(order))
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(texts)))]).astype(np.int32)
+    yield [keys, pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(scan[order]), part], fields=list(kind)))]
+
+
+def _search(columns_of, names, *args):
+    """A batch is searched in slices, so that a task holds the hits of a few megabytes of texts."""
     def run(batches):
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).cast(pa.string())
@@ -159,7 +190,7 @@ def _search(patterns, pad: int, names):
             while at < len(texts):
                 begin = upto[at - 1] if at else 0
                 to = max(at + 1, int(np.searchsorted(upto, begin + SLICE_BYTES, "right")))
-                for columns in _hits_of(keys.slice(at, to - at), texts.slice(at, to - at), patterns, pad):
+                for columns in columns_of(keys.slice(at, to - at), texts.slice(at, to - at), *args):
                     yield pa.RecordBatch.from_arrays(columns, names=names)
                 at = to
     return run
@@ -168,10 +199,15 @@ def _search(patterns, pad: int, names):
 def plain_hits(docs: DataFrame, key: str, text: str, patterns, pad: int = 0) -> DataFrame:
     """Hits in plain texts of patterns (as written_out gives them, whether its group is wanted): key, _i (the pattern),
     hit_no, hit, part (null without a group), start_pos, end_pos and, with pad, before and after.
-
-    A task holds the hits of two megabytes of texts, and sends them on in batches.
     """
     rows = docs.select(key, F.col(text).alias("_text"))
     schema = T.StructType([rows.schema[0], *T.StructType.fromDDL(
         "_i int, hit_no int, hit string, part string, start_pos bigint, end_pos bigint" + ", before string, after string" * bool(pad)).fields])
-    return rows.mapInArrow(_search(list(patterns), pad, schema.names), schema)
+    return rows.mapInArrow(_search(_hits_of, schema.names, list(patterns), pad), schema)
+
+
+def plain_lists(docs: DataFrame, key: str, text: str, patterns) -> DataFrame:
+    """Plain texts with the list of their hits: key, _found (array of _i, part), where a part is the hit or its wanted group."""
+    rows = docs.select(key, F.col(text).alias("_text"))
+    schema = T.StructType([rows.schema[0], *T.StructType.fromDDL("_found array<struct<_i: int, part: string>>").fields])
+    return rows.mapInArrow(_search(_lists_of, schema.names, list(patterns)), schema)

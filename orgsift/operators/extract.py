@@ -5,7 +5,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import rules
-from ..functions.scan import is_plain, plain_hits, written_out
+from ..functions.scan import is_plain, plain_hits, plain_lists, written_out
 from ..functions.text import (any_pattern, any_word, before_first_separator, collapse, folded_away,
                               has, has_bit, hash_bits, may_hit, once, salvage_block, stripped, words)
 from ..functions.url import host, host_label_name, is_http, resolve
@@ -360,14 +360,8 @@ def _scan(docs: DataFrame, key: str, text: str, scans, pad: int = 0, offsets: bo
     return found.unionByName(_scan_rows(other, key, text, scans, pad, offsets))
 
 
-def _scan_rows(docs: DataFrame, key: str, text: str, scans, pad: int, offsets: bool) -> DataFrame:
-    """The hits of _scan, row by row.
-
-    Every text meets the fixed list of patterns inside its row, but only those patterns whose needed
-    literals stand in it; the others cannot hit.  One search sets marks around the hits, and the text is
-    cut there into the gaps between hits and the hits; what stands beside a hit is joined from its
-    neighbouring pieces, so hits may be close and nothing is quadratic.
-    """
+def _tried(docs: DataFrame, key: str, text: str, scans):
+    """Texts, and for each scan its number, the text cut into gaps and hits, and the parts of the hits where a group is wanted."""
     none = F.array().cast("array<string>")
 
     def tries(i, p, group):
@@ -376,8 +370,19 @@ def _scan_rows(docs: DataFrame, key: str, text: str, scans, pad: int, offsets: b
         part = F.when(hit, F.regexp_extract_all("_text", F.lit(p), F.lit(group))) if group else F.lit(None).cast("array<string>")
         return F.struct(F.lit(i).alias("_i"), F.when(hit, marked).otherwise(none).alias("_p"), part.alias("_part"))
     tried = F.array(*[tries(i, p, g) for i, (_, p, g) in enumerate(scans)])
+    return once(docs.select(key, F.col(text).alias("_text")), _low=F.lower("_text"), _odd=folded_away("_text"), _mark=_mark("_text")), tried
+
+
+def _scan_rows(docs: DataFrame, key: str, text: str, scans, pad: int, offsets: bool) -> DataFrame:
+    """The hits of _scan, row by row.
+
+    Every text meets the fixed list of patterns inside its row, but only those patterns whose needed
+    literals stand in it; the others cannot hit.  One search sets marks around the hits, and the text is
+    cut there into the gaps between hits and the hits; what stands beside a hit is joined from its
+    neighbouring pieces, so hits may be close and nothing is quadratic.
+    """
+    df, tried = _tried(docs, key, text, scans)
     known = F.array(*[F.struct(F.lit(i).alias("_i"), *[F.lit(v).alias(n) for n, v in labels.items()]) for i, (labels, _, _) in enumerate(scans)])
-    df = once(docs.select(key, F.col(text).alias("_text")), _low=F.lower("_text"), _odd=folded_away("_text"), _mark=_mark("_text"))
     df = df.select(key, F.inline(F.filter(tried, lambda x: F.size(x["_p"]) > 1)))
     df = once(df, _k=F.get(known, F.col("_i")), _h=F.filter("_p", lambda x, i: i % 2 == 1), _g=F.filter("_p", lambda x, i: i % 2 == 0))
     df = df.select(key, "_p", "_h", "_g", F.coalesce("_part", "_h").alias("_n"), *[F.col(f"_k.{n}") for n in scans[0][0]])
@@ -449,11 +454,7 @@ def typed_entities(contexts: DataFrame, countries=rules.CONTEXT_COUNTRIES, name:
     }).drop("_low", "_lead")
 
 
-def extract_entities(docs: DataFrame, key: str, text: str, patterns=rules.ENTITY_PATTERNS, pad: int = 50) -> DataFrame:
-    """Long rows (key, kind, entity, confidence, start, end, context) for every match of every pattern.
-
-    Patterns of a kind may overlap, so each is a scan of its own; all scans share one read.
-    """
+def _entity_scans(patterns) -> list:
     scans = []
     for kind, confidence, listed in patterns:
         for no, p in enumerate(listed):
@@ -461,7 +462,33 @@ def extract_entities(docs: DataFrame, key: str, text: str, patterns=rules.ENTITY
             group = 1 if kind == "deadline" and plain != p else 0
             labels = {"kind": kind, "pattern_no": no, "confidence": float(confidence)}
             scans.append((labels, "(?iu)" + (p if group else plain), group))
-    rows = _scan(docs, key, text, scans, pad, offsets=True)
+    return scans
+
+
+def entity_lists(docs: DataFrame, key: str, text: str, patterns=rules.ENTITY_PATTERNS) -> DataFrame:
+    """Every text with the kinds and texts of all rows that extract_entities gives for it: key, entities.
+
+    They stay with their text, so no key travels with each of them.
+    """
+    scans = _entity_scans(patterns)
+    fast = [(written_out(p), g > 0) for _, p, g in scans]
+    kinds = F.array(*[F.lit(labels["kind"]) for labels, _, _ in scans])
+    rows, tried = _tried(docs.filter(~is_plain(text)) if all(p for p, _ in fast) else docs, key, text, scans)
+    parts = F.flatten(F.transform(F.filter(tried, lambda x: F.size(x["_p"]) > 1), lambda x: F.transform(
+        F.coalesce(x["_part"], F.filter(x["_p"], lambda h, i: i % 2 == 1)), lambda h: F.struct(F.get(kinds, x["_i"]).alias("kind"), h.alias("entity")))))
+    listed = rows.select(key, F.coalesce(parts, F.array().cast("array<struct<kind:string,entity:string>>")).alias("entities"))
+    if not all(p for p, _ in fast):
+        return listed
+    named = F.transform("_found", lambda x: F.struct(F.get(kinds, x["_i"]).alias("kind"), x["part"].alias("entity")))
+    return plain_lists(docs.filter(is_plain(text)), key, text, fast).select(key, named.alias("entities")).unionByName(listed)
+
+
+def extract_entities(docs: DataFrame, key: str, text: str, patterns=rules.ENTITY_PATTERNS, pad: int = 50) -> DataFrame:
+    """Long rows (key, kind, entity, confidence, start, end, context) for every match of every pattern.
+
+    Patterns of a kind may overlap, so each is a scan of its own; all scans share one read.
+    """
+    rows = _scan(docs, key, text, _entity_scans(patterns), pad, offsets=True)
     return rows.select(key, "kind", "pattern_no", "hit_no", F.col("part").alias("entity"), "confidence", "start_pos", "end_pos",
                        (F.concat("before", "hit", "after") if pad else F.col("hit")).alias("context"))
 

@@ -85,9 +85,6 @@ def rank_components(results: DataFrame, contexts: DataFrame, as_of: str, entity_
     Every result meets only the context of its own query.
     """
     df = results.join(contexts.drop("query").hint("merge"), "query_id")
-    if entity_scores is not None:
-        df = df.join(entity_scores.select("query_id", "url", F.col("relevance").alias("ner_relevance")).hint("merge"), ["query_id", "url"], "left")
-        df = df.withColumn("ner_relevance", F.coalesce("ner_relevance", F.lit(0.0)))
     raw = F.concat_ws(" ", "title", "abstract")
     df = once(df, _raw=raw, _text=F.lower(raw), _url=F.lower("url"))
     text, url, title = F.col("_text"), F.col("_url"), F.lower("title")
@@ -97,7 +94,10 @@ def rank_components(results: DataFrame, contexts: DataFrame, as_of: str, entity_
               geographic_relevance=six(_geographic(F.concat_ws(" ", url, text), F.col("url"), codes)))
     df = once(df, level_appropriateness=six(_level(text, rules.RANK_LEVEL_WORDS)),
               temporal_relevance=six(_temporal(text, int(as_of[:4]))),
-              comprehensiveness=six(_comprehensive(F.col("_raw"))), profile_alignment=six(_profile(text)))
+              comprehensiveness=six(_comprehensive(F.col("_raw"))), profile_alignment=six(_profile(text))).drop("_raw", "_url", "_text")
+    if entity_scores is not None:  # joined when texts and contexts have been read, so they need not travel again
+        df = df.join(entity_scores.select("query_id", "url", F.col("relevance").alias("ner_relevance")).hint("merge"), ["query_id", "url"], "left")
+        df = df.withColumn("ner_relevance", F.coalesce("ner_relevance", F.lit(0.0)))
     present = [(n, w) for n, w in rules.RELEVANCE_WEIGHTS if n != "ner_relevance" or entity_scores is not None]
     overall, strong = F.lit(0.0), F.lit(0)
     for n, w in present:
@@ -106,7 +106,7 @@ def rank_components(results: DataFrame, contexts: DataFrame, as_of: str, entity_
     notes = [F.when(F.col(n) > limit, F.format_string(label + " (%.2f)", n)) for n, limit, label in rules.RELEVANCE_NOTES
              if n in [p for p, _ in present]]
     return df.withColumns({"overall": F.round(overall, 8), "confidence": six(strong / float(len(present))),
-                           "notes": F.array_compact(F.array(*notes))}).drop("_raw", "_url", "_text")
+                           "notes": F.array_compact(F.array(*notes))})
 
 
 def attach_scores(results: DataFrame, scores: DataFrame) -> DataFrame:
@@ -140,14 +140,15 @@ def priority_score(ranked: DataFrame, boosts=rules.PRIORITY_TYPE_BOOSTS, levels=
 
 # ------------------------------------------------------------------ entity overlap
 #
-# Two entity texts match when one contains the other.  A contained text of four letters or
-# more starts with a four-letter piece of the containing text, so texts meet on (query, piece)
-# and not all against all; shorter texts meet on pieces of their own length.  Only queries
-# that have a text to contain send their texts into the join.  Pieces are many times the texts, so
-# only queries with more than _FEW texts meet on them; the texts of another query go to its results
-# as one short array.  The distinct texts are written once, so the scans that found them do not run
-# again for every branch.  Joins are asked for by sorted shuffles: texts that are made from a small
-# file look small to Spark as well, and would go whole through the driver.
+# Two entity texts match when one contains the other.  The texts of a query with at most _FEW of them go
+# to its results as one short array.  The texts of a result stay in one array, so its address travels once
+# and not with each of them, and nothing leaves the query before its sums are made.  Larger queries meet by
+# pieces: a contained text of four letters or more starts with a four-letter piece of the containing text,
+# so texts meet on (query, piece) and not all against all; shorter texts meet on pieces of their own length.
+# Only queries that have a text to contain send their texts into the join, and only where there are larger
+# queries are the texts of results written, as several branches read them.  Joins are asked for by sorted
+# shuffles: texts that are made from a small file look small to Spark as well, and would go whole through
+# the driver.
 
 _GRAM = 4
 _FEW = 64
@@ -191,24 +192,74 @@ def _texts(entities: DataFrame, kinds) -> DataFrame:
     return entities.filter(F.col("kind").isin(*kinds) & (F.col("entity") != "")).withColumn("entity", F.lower("entity"))
 
 
+def _lists(result_ents: DataFrame, kinds) -> DataFrame:
+    """query_id, url and the compared texts of a result; rows with an array `entities` are taken as they are, others are put together."""
+    if "entities" not in result_ents.columns:
+        result_ents = result_ents.groupBy("query_id", "url").agg(F.collect_list(F.struct("kind", "entity")).alias("entities"))
+    texts = F.transform(F.filter("entities", lambda e: e["kind"].isin(*kinds) & (e["entity"] != "")), lambda e: F.lower(e["entity"]))
+    return once(result_ents.select("query_id", "url", "entities"), _r=texts).drop("entities").filter(F.size("_r") > 0)
+
+
+def _by_size(asked: DataFrame):
+    """The texts of queries with at most _FEW of them as one array each (query_id, _q), and the other queries."""
+    sizes = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
+    few = asked.join(sizes.where(F.col("_n") <= _FEW).hint("merge"), "query_id").groupBy("query_id").agg(
+        F.collect_list(F.struct(*[c for c in asked.columns if c != "query_id"])).alias("_q"))
+    return few, sizes.where(F.col("_n") > _FEW).select("query_id")
+
+
+def _meets(t, x) -> Column:
+    return F.contains(t, x) | F.contains(x, t)
+
+
 def entity_relevance(query_ents: DataFrame, result_ents: DataFrame, urls: DataFrame, kinds=rules.COMPARED_KINDS) -> DataFrame:
-    """Per (query_id, url): mean over its entities of 1 for an equal and 0.5 for a partly equal query entity."""
+    """Per (query_id, url): mean over its entities of 1 for an equal and 0.5 for a partly equal query entity.
+
+    result_ents has rows (query_id, url, kind, entity), or one row for each text with the array `entities`
+    of (kind, entity), which goes to its query as it is.
+    """
     q = written(_texts(query_ents, kinds).select("query_id", F.col("entity").alias("q_text")).distinct())
-    r = written(_texts(result_ents, kinds).groupBy("query_id", "url", "entity").agg(F.count(F.lit(1)).alias("n")))
-    pairs = contained_pairs(q, r.select("query_id", "entity"), "query_id", "q_text", "entity")
-    points = pairs.groupBy("query_id", "entity").agg(F.max(F.when(F.col("q_text") == F.col("entity"), 1.0).otherwise(0.5)).alias("_p"))
-    scored = r.join(points.hint("merge"), ["query_id", "entity"], "left").groupBy("query_id", "url").agg(
-        (F.sum(F.coalesce("_p", F.lit(0.0)) * F.col("n")) / F.sum("n")).alias("relevance"))
+    few, many = _by_size(q)
+    r = _lists(result_ents, kinds)
+    crowded = not many.isEmpty()
+    if crowded:
+        r = written(r)
+    points = F.transform("_r", lambda t: F.when(F.exists("_q", lambda x: x["q_text"] == t), 1.0).when(
+        F.exists("_q", lambda x: _meets(t, x["q_text"])), 0.5).otherwise(0.0))
+    sums = r.join(few.hint("merge"), "query_id").select(
+        "query_id", "url", F.aggregate(points, F.lit(0.0), lambda a, x: a + x).alias("_p"), F.size("_r").cast("long").alias("_n"))
+    if crowded:
+        flat = r.join(many.hint("merge"), "query_id", "left_semi").select("query_id", "url", F.explode("_r").alias("entity")).groupBy(
+            "query_id", "url", "entity").agg(F.count(F.lit(1)).alias("n"))
+        pairs = contained_pairs(q.join(many.hint("merge"), "query_id", "left_semi"), flat.select("query_id", "entity"), "query_id", "q_text", "entity")
+        best = pairs.groupBy("query_id", "entity").agg(F.max(F.when(F.col("q_text") == F.col("entity"), 1.0).otherwise(0.5)).alias("_p"))
+        sums = sums.unionByName(flat.join(best.hint("merge"), ["query_id", "entity"], "left").select(
+            "query_id", "url", (F.coalesce("_p", F.lit(0.0)) * F.col("n")).alias("_p"), F.col("n").alias("_n")))
+    scored = sums.groupBy("query_id", "url").agg((F.sum("_p") / F.sum("_n")).alias("relevance"))
     return (urls.select("query_id", "url").distinct().join(scored.hint("merge"), ["query_id", "url"], "left")
             .withColumn("relevance", F.round(F.coalesce("relevance", F.lit(0.0)), 6)))
 
 
 def entity_matches(query_ents: DataFrame, result_ents: DataFrame, kinds=rules.COMPARED_KINDS) -> DataFrame:
-    """(query_id, query entity, its kind, url, result entity) for texts that contain one another."""
+    """(query_id, query entity, its kind, url, result entity) for texts that contain one another; result_ents as for entity_relevance."""
     q = written(_texts(query_ents, kinds).groupBy("query_id", F.col("entity").alias("q_text")).agg(F.max("kind").alias("q_kind")))
-    r = written(_texts(result_ents, kinds).groupBy("query_id", "url", F.col("entity").alias("r_text")).agg(F.count(F.lit(1)).alias("times")))
-    pairs = contained_pairs(q, r, "query_id", "q_text", "r_text")
-    return pairs.join(q.hint("merge"), ["query_id", "q_text"]).join(r.hint("merge"), ["query_id", "r_text"])
+    few, many = _by_size(q)
+    r = _lists(result_ents, kinds)
+    crowded = not many.isEmpty()
+    if crowded:
+        r = written(r)
+    met = F.transform("_r", lambda t: F.transform(F.filter("_q", lambda x: _meets(t, x["q_text"])), lambda x: F.struct(
+        x["q_text"].alias("q_text"), x["q_kind"].alias("q_kind"), t.alias("r_text"))))
+    rows = r.join(few.hint("merge"), "query_id").select("query_id", "url", F.inline(F.flatten(met)))
+    columns = ["query_id", "r_text", "q_text", "q_kind", "url"]
+    rows = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("times"))
+    if not crowded:
+        return rows
+    flat = r.join(many.hint("merge"), "query_id", "left_semi").select("query_id", "url", F.explode("_r").alias("r_text")).groupBy(
+        "query_id", "url", "r_text").agg(F.count(F.lit(1)).alias("times"))
+    large = q.join(many.hint("merge"), "query_id", "left_semi")
+    pairs = contained_pairs(large, flat, "query_id", "q_text", "r_text")
+    return rows.unionByName(pairs.join(large.hint("merge"), ["query_id", "q_text"]).join(flat.hint("merge"), ["query_id", "r_text"]).select(*columns, "times"))
 
 
 # --------------------------------------------------------------------- cuts, top k

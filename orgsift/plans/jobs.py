@@ -167,13 +167,13 @@ def rank_results(queries: DataFrame, results: DataFrame, as_of: str, patterns=ru
     results (one without a score gets the default), recognition threshold, order by priority, then the
     entity relevance threshold and order by it.
 
-    The distinct entity texts are written once while the plan is made (R.entity_relevance).
+    The distinct entity texts of the queries are written once while the plan is made (R.entity_relevance).
     """
     contexts = Q.understand_queries(queries, as_of)
     texts = results.select("query_id", "url", F.concat_ws(". ", "title", "abstract").alias("text"))
     keyed = texts.withColumn("_key", F.struct("query_id", "url"))
     compared = [p for p in patterns if p[0] in rules.COMPARED_KINDS]  # other kinds are never looked up
-    found = X.extract_entities(keyed, "_key", "text", compared, pad=0).select("_key.query_id", "_key.url", "kind", "entity")
+    found = X.entity_lists(keyed, "_key", "text", compared).select("_key.query_id", "_key.url", "entities")
     asked = X.extract_entities(queries, "query_id", "query", compared, pad=0).select("query_id", "kind", "entity")
     overlap = R.entity_relevance(asked, found, results)
     ranked = R.priority_score(R.rank_components(results, contexts, as_of, overlap))

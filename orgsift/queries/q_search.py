@@ -253,7 +253,7 @@ def entities_of(spark, sf):
     kinds = [p for p in rules.ENTITY_PATTERNS if p[0] in rules.COMPARED_KINDS]
     r = search_results(spark, sf)
     texts = r.select(F.struct("query_id", "url").alias("key"), F.concat_ws(". ", "title", "abstract").alias("t"))
-    found = X.extract_entities(texts, "key", "t", kinds, pad=0).select("key.query_id", "key.url", "kind", "entity")
+    found = X.entity_lists(texts, "key", "t", kinds).select("key.query_id", "key.url", "entities")
     asked = X.extract_entities(queries_of(spark, sf), "query_id", "query", kinds, pad=0).select("query_id", "kind", "entity")
     return asked, found, r
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from orgsift.operators import dedup as D, extract as X, html as H, learning as L, lexicon as K, rank as R
 from orgsift.queries import derived
@@ -160,3 +161,32 @@ def test_no_table_of_elements_is_read(spark):
     for name, (got, want) in same.items():
         rows = sorted(map(str, want.collect()))
         assert sorted(map(str, got.select(*want.columns).collect())) == rows and rows, name
+
+
+def asked_and_found(spark):
+    asked = [(1, "program", f"text{i}x") for i in range(R._FEW + 1)] + [(2, "degree", "phd"), (2, "program", "PhD"), (3, "program", "art"), (3, "amount", "$5"), (None, "program", "art")]
+    found = [(1, "u", "program", "a text5x b"), (1, "u", "program", "no"), (1, "u", "program", "TEXT5x"), (2, "v", "degree", "phd"), (2, "v", "program", "phd in art"),
+             (2, "v", "program", ""), (2, "w", "degree", None), (3, "v", "amount", "$5"), (3, "v", "program", "cart"), (3, "v", "program", "cart"), (None, "v", "program", "art"), (3, None, "program", "art")]
+    return (spark.createDataFrame(asked, "query_id long, kind string, entity string"), spark.createDataFrame(found, "query_id long, url string, kind string, entity string"),
+            spark.createDataFrame([x[:2] for x in found] + [(4, "z")], "query_id long, url string"))
+
+
+def test_results_meet_queries_of_any_size(spark):
+    asked, found, urls = asked_and_found(spark)
+    lists = found.groupBy("query_id", "url").agg(F.collect_list(F.struct("kind", "entity")).alias("entities"))
+    twice = lists.unionByName(lists)  # a result that comes twice has the same mean
+    for given in (found, lists, twice):
+        got = {(r.query_id, r.url): r.relevance for r in R.entity_relevance(asked, given, urls).collect()}
+        assert got == {(1, "u"): 0.5, (2, "v"): 0.75, (2, "w"): 0.0, (3, "v"): 0.5, (None, "v"): 0.0, (3, None): 0.0, (4, "z"): 0.0}
+    matches = sorted(map(tuple, R.entity_matches(asked, lists).select("query_id", "q_text", "q_kind", "url", "r_text", "times").collect()), key=str)
+    assert matches == sorted([(1, "text5x", "program", "u", "a text5x b", 1), (1, "text5x", "program", "u", "text5x", 1), (2, "phd", "program", "v", "phd", 1),
+                              (2, "phd", "program", "v", "phd in art", 1), (3, "art", "program", None, "art", 1), (3, "art", "program", "v", "cart", 2)], key=str)
+
+
+def test_texts_of_results_travel_in_one_row(spark):
+    asked, found, urls = asked_and_found(spark)
+    lists = found.groupBy("query_id", "url").agg(F.collect_list(F.struct("kind", "entity")).alias("entities"))
+    lists = spark.createDataFrame(lists.collect(), lists.schema)
+    few = asked.filter("query_id > 1")
+    for df in (R.entity_relevance(few, lists, urls), R.entity_matches(few, lists)):
+        assert "hashpartitioning(query_id#" in plan(df) and ", entity#" not in plan(df) and "_g#" not in plan(df)

@@ -50,7 +50,7 @@ def test_large_texts_are_taken_in_slices(monkeypatch):
     texts = ["ab ab ab", "", "x ab", "ab" * 20, "no"]
     batch = pa.RecordBatch.from_pydict({"k": pa.array(range(9, 14)), "t": texts}).slice(0, 5)
     names = ["k", "_i", "hit_no", "hit", "part", "start_pos", "end_pos", "before", "after"]
-    out = list(P._search([("[Aa][Bb]", False)], 1, names)([batch]))
+    out = list(P._search(P._hits_of, names, [("[Aa][Bb]", False)], 1)([batch]))
     assert max(b.num_rows for b in out) == 2
     rows = [tuple(r.values()) for b in out for r in b.to_pylist()]
     want = [(9 + i, 0, n, "ab", None, at, at + 2, t[max(0, at - 1):at], t[at + 2:at + 3]) for i, t in enumerate(texts)
@@ -65,3 +65,14 @@ def test_a_context_is_split_once(spark):
     assert [r.name for r in named.collect()] == ["Old Oslo College of Arts in"]
     text = named.select("name")._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("instr(") <= 2 * text.count("Union") + 1
+
+
+def test_lists_hold_the_rows_of_their_text(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(WORDS) + " " for _ in range(rng.randrange(1, 30))) for _ in range(100)] + [None, "", "plain"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    want = sorted(map(tuple, X.extract_entities(docs, "k", "t").select("k", "kind", "entity").collect()))
+    for form in (P.written_out, lambda pattern: None):
+        monkeypatch.setattr(X, "written_out", form)
+        lists = X.entity_lists(docs, "k", "t")
+        assert lists.count() == len(texts) and sorted(map(tuple, lists.select("k", F.inline("entities")).collect())) == want
