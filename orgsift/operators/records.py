@@ -58,7 +58,8 @@ def records_of(hits: DataFrame, keys, record: str, url: str, within: int = None,
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     anchor, fields = RECORDS[record]
-    rows = nearest_hits(hits, [*keys, url], anchor, fields, within)
+    # hits meet once by the keys alone: that serves the sweeps and the choice per name, and the sweeps' columns are made behind it
+    rows = nearest_hits(hits.repartition(*keys), [*keys, url], anchor, fields, within)
     rows = rows.withColumns({c: collapse(c) for c in ["entity", *fields]})
     link = F.col(url)
     if record == "programs":

@@ -190,3 +190,12 @@ def test_texts_of_results_travel_in_one_row(spark):
     few = asked.filter("query_id > 1")
     for df in (R.entity_relevance(few, lists, urls), R.entity_matches(few, lists)):
         assert "hashpartitioning(query_id#" in plan(df) and ", entity#" not in plan(df) and "_g#" not in plan(df)
+
+
+def test_hits_of_records_are_shuffled_once(spark):
+    from orgsift.operators import records as O
+    hits = spark.createDataFrame([(1, "u", k, e, p, p + 3, 0, 0) for k, e, p in (("scholarship", "Merit Grant", 5), ("amount", "$5", 9), ("amount", "$7", 30), ("university", "Oslo", 28))],
+                                 "k long, url string, kind string, entity string, start_pos long, end_pos long, pattern_no int, hit_no int")
+    rows = O.records_of(hits, "k", "funding", "url")
+    assert plan(rows).count("Exchange") == 1
+    assert sorted((r.amount, r.program_name, r.funding_body) for r in rows.collect()) == [("5", "Merit Grant", "Oslo"), ("7", "Merit Grant", "Oslo")]
