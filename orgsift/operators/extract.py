@@ -498,7 +498,8 @@ def pattern_names(docs: DataFrame, key: str, text: str, families=rules.NAME_PATT
     """Institution names by pattern family, cleaned, checked and scored."""
     scans = [({"family": family, "base": float(base)}, "(?iu)" + p, 0)
              for family, base, listed in families for p in _plain_groups(listed)]
-    rows = _scan(docs, key, text, scans, pad).withColumn("context", F.concat("before", "hit", "after"))
+    # row by row: the texts are often made from pages, and _scan looks at each of them twice
+    rows = _scan_rows(docs, key, text, scans, pad, offsets=False).withColumn("context", F.concat("before", "hit", "after"))
     rows = clean_name(rows, "hit", "name") if clean else rows.withColumn("name", F.col("hit"))
     return (rows.filter(is_valid_name("name"))
             .withColumn("confidence", pattern_confidence("base", "hit", "context", context_words))

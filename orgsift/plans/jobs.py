@@ -218,8 +218,11 @@ def _page_texts(pages: DataFrame, text: Column = None) -> DataFrame:
 
 
 def education_records(pages: DataFrame, as_of: str, text: Column = None) -> DataFrame:
-    """University and scholarship records around their trigger words, validated and accepted."""
-    docs = _page_texts(pages, text)
+    """University and scholarship records around their trigger words, validated and accepted.
+
+    Texts that are made from the pages here are written once, as several searches read them.
+    """
+    docs = written(_page_texts(pages)) if text is None else _page_texts(pages, text)
     rows = None
     for kind, (pad, patterns) in rules.EDUCATION_HITS.items():
         hits = X.match_contexts(docs, "page_id", "text", patterns, pad)
